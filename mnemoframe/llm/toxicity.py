@@ -45,16 +45,16 @@ TABLE_BITS = 17
 #: The letters that a sign may stand for.
 LEET = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
-    "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l",
+    "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "£": "l",
 }
 #: Natural logarithms of the channel: a letter as itself, as a sign; one letter written twice, or
 #: more often; a sign read as itself; a border between words in spaced-out letters.
-KEEP, SIGN, TWICE, OFTEN, RAW, BREAK = -0.05, -1.5, -2.5, -3.0, -12.0, -3.0
+KEEP, SIGN, TWICE, OFTEN, RAW, BREAK = -0.05, -1.5, -6.0, -3.0, -12.0, -3.0
 
 _SIGNS = "".join(re.escape(c) for c in LEET)
 _WORDS = re.compile(r"[^\W\d_]+")
-#: A sign between letters, three of a letter, or three letters that stand alone.
-_SUSPECT = re.compile(rf"[^\W\d_][{_SIGNS}]+[^\W\d_]|([^\W\d_])\1\1|(?<![^\W_])[^\W_](?:[ .\-_*]+[^\W_](?![^\W_])){{2}}|(?<![^\W])[{_SIGNS}][^\W\d_]")
+#: A sign before a letter, three of a letter, or three characters that stand alone.
+_SUSPECT = re.compile(rf"[{_SIGNS}][^\W\d_]|([^\W\d_])\1\1|(?<![^\W_])[^\W_](?:[ .\-_*]{{1,2}}[^\W_](?![^\W_])){{2}}")
 #: Stretches to decode: letters spaced out or separated one by one, else a word with its signs.
 _STRETCH = re.compile(rf"(?<![^\W_])(?:[^\W_]|[{_SIGNS}])(?:[ .\-_*]{{1,2}}(?:[^\W_]|[{_SIGNS}])(?![^\W_])){{2,}}|[^\W_{_SIGNS}]*(?:[^\W_]|[{_SIGNS}])+")
 _SPLIT = re.compile(r"[ .\-_*]+")
@@ -152,10 +152,29 @@ def viterbi(columns: list[list[tuple[str, float]]], model: CharModel) -> str:
     return max(best.values())[1].strip()
 
 
+_ALNUM, _ALPHA, _SIGN = (np.array([f(chr(i)) for i in range(256)]) for f in (str.isalnum, str.isalpha, LEET.__contains__))
+
+
+def suspicious(text: str) -> bool:
+    """Whether the lower-cased text may hold what _SUSPECT finds: a quick look at its characters.
+    Those beyond Latin-1 count as letters."""
+    c = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    if len(c) < 2:
+        return False
+    c = np.minimum(c, 256).astype(np.uint16)
+    c[c == 256] = ord("ª")
+    letter, word = _ALPHA[c], _ALNUM[c]
+    if (_SIGN[c[:-1]] & letter[1:]).any() or ((c[2:] == c[1:-1]) & (c[1:-1] == c[:-2]) & letter[2:]).any():
+        return True
+    alone = np.flatnonzero(word & ~np.r_[False, word[:-1]] & ~np.r_[word[1:], False])
+    near = np.diff(alone) <= 3
+    return bool((near[1:] & near[:-1]).any())
+
+
 def restore(text: str, model: CharModel, memo: dict[str, str]) -> list[str]:
     """The words of the lower-cased text, deobfuscated."""
     text = text.lower()
-    if not _SUSPECT.search(text):
+    if not suspicious(text):
         return _WORDS.findall(text)
     out: list[str] = []
     for m in _STRETCH.finditer(text):
