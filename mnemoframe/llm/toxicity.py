@@ -76,6 +76,15 @@ def _slots(codes: np.ndarray, order: int) -> np.ndarray:
     return (h >> np.uint64(7)).astype(np.int64) & ((1 << TABLE_BITS) - 1)
 
 
+def _slot(gram: str) -> int:
+    """The same slot, of one gram."""
+    h = len(gram)
+    for c in gram:
+        h = ((h ^ ord(c)) * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF
+        h ^= h >> 29
+    return (h >> 7) & ((1 << TABLE_BITS) - 1)
+
+
 def count_words(words: Counter[str]) -> np.ndarray:
     """Sums of 1 to ORDER-grams over the words, each word between spaces."""
     out = np.zeros((ORDER, 1 << TABLE_BITS))
@@ -101,18 +110,16 @@ class CharModel:
     def logp(self, context: str, char: str) -> float:
         """context: the ORDER - 1 characters before."""
         key = context + char
-        if key not in self.memo:
-            if len(self.memo) > 200_000:
+        if (p := self.memo.get(key)) is None:
+            if len(self.memo) > MAX_MEMO * 10:
                 self.memo.clear()
-            codes = np.frombuffer(key.encode("utf-32-le"), np.uint32).astype(np.uint64)
-            p = (self.counts[0][_slots(codes, 1)[0]] + 0.1) / (self.total + 100)
-            # An order's context count is the count of the next lower order, one place back.
-            back = np.frombuffer((" " + context).encode("utf-32-le"), np.uint32).astype(np.uint64)
+            p = (self.counts[0, _slot(char)] + 0.1) / (self.total + 100)
             for order in range(2, ORDER + 1):
-                have, n = self.counts[order - 2][_slots(back, order - 1)[0]], self.counts[order - 1][_slots(codes, order)[0]]
+                # A context's count is that of the next lower order, one place back.
+                have, n = self.counts[order - 2, _slot(key[-order:-1])], self.counts[order - 1, _slot(key[-order:])]
                 p = (min(n, have) + 5 * p) / (have + 5)
-            self.memo[key] = math.log(p)
-        return self.memo[key]
+            p = self.memo[key] = math.log(p)
+        return p
 
 
 def lattice(stretch: str) -> list[list[tuple[str, float]]]:
