@@ -138,6 +138,8 @@ def lattice(stretch: str) -> list[list[tuple[str, float]]]:
             else:
                 cost = TWICE if n == 2 else OFTEN
                 columns.append([(x, p + cost) for x, p in heard] + [(x * 2, p + (KEEP if n == 2 else cost)) for x, p in heard])
+    if columns and not stretch[-1].isalnum():
+        columns[-1].append(("", SIGN))  # signs at the end may be just that
     return columns
 
 
