@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import chat_format, exact_dedup, lm_scoring, mixing, ngram_join, packing, quality_rules, sharding, substring_dedup, toxicity
 from .common import table
+from .sql import SQL
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,7 +34,8 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    return chat_format.read_back(chat_format.format_conversations(rows.unionByName(chat_format.probe(spark))))
+    got = chat_format.read_back(chat_format.format_conversations(rows.unionByName(chat_format.probe(spark))))
+    return got.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,12 +56,4 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_lm_scoring, op3_sharding, op4_quality_rules, op5_packing, op6_chat_format, op7_toxicity, op8_substring_dedup, op9_mixing, op10_ngram_join)}
 
-SQL: dict[str, str] = {
-    "op1_exact_dedup": r"""
-        WITH d AS (
-            SELECT doc_id, length(coalesce(text, '')) AS len, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')) AS sha
-            FROM documents)
-        SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY sha) AS group_size,
-               row_number() OVER w = 1 AS kept, sha AS text_sha256
-        FROM d WINDOW w AS (PARTITION BY sha ORDER BY len DESC, doc_id)""",
-}
+__all__ = ["QUERIES", "SQL"]
