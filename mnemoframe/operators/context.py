@@ -30,14 +30,19 @@ def _whole(questions: DataFrame, packed: DataFrame) -> DataFrame:
     return questions.select("question_id").join(packed, "question_id", "left").fillna(EMPTY)
 
 
-def pack_lines(questions: DataFrame, ranked: DataFrame, budget: int | None = None, timestamps: bool = True, joiner: str = "\n\n", by_time: bool = False) -> DataFrame:
+def pack_lines(questions: DataFrame, ranked: DataFrame, budget: int | None = None, timestamps: bool = True, joiner: str = "\n\n", by_time: bool = False, style: str = "stamped") -> DataFrame:
     """Blocks by rank as long as their tokens fit; the first that doesn't ends the context.
     Tokens add up, so that a running sum over the rank decides. by_time orders what was taken by
-    time, for which a block's turn in the budget stays its rank."""
+    time, for which a block's turn in the budget stays its rank. style: "stamped" blocks are
+    [time] text, "list" blocks - time: text, without the time where there is none."""
     from .retrieve import effective
 
     stamp = F.coalesce(text.text_or_null("ts_raw"), F.lit("unknown"))
-    block = F.concat(F.lit("["), stamp, F.lit("] "), F.col("text")) if timestamps else F.col("text")
+    if style == "list":
+        when = F.concat("ts_raw", F.lit(": ")) if timestamps else F.lit("")
+        block = F.concat(F.lit("- "), F.when(F.col("ts_raw") != "", when).otherwise(F.lit("")), F.col("text"))
+    else:
+        block = F.concat(F.lit("["), stamp, F.lit("] "), F.col("text")) if timestamps else F.col("text")
     rows = ranked.withColumns({"block": block, "stamp": stamp, "ts": times.parse("ts_raw")}).withColumn("tok", text.token_count("block"))
     so_far = Window.partitionBy("question_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     taken = rows.withColumn("sum", F.sum("tok").over(so_far)).where(F.col("sum") <= effective(budget, BUDGET))

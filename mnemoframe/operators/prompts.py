@@ -12,7 +12,7 @@ NO_MEMORIES = "(no memories were found)"
 # Marks in replies.
 THINK = r"(?is)<think\b[^>]*>.*?</think>"
 MESSAGE_MARK = r"(?i)<\|message\|>"
-FINAL_MARK = r"(?is)^.*final answer\s*:\s*"
+FINAL_MARK = r"(?is)^(?:.*\n)?[\s*_#]*final\s+answer[\s*_]*[:：]?[\s*_]*"
 
 
 def answer_prompt(context: str = "context", question: str = "query_text", question_time: str = "query_time_raw", with_time: bool = True) -> Column:

@@ -90,7 +90,12 @@ class Experiment:
             "build": one(summaries.build_summary(data.items, artifacts, counts["cache_hits"], counts["cache_misses"])), "answer": one(summaries.answer_summary(answers)), "evaluate": one(evaluate.accuracy(evaluations)),
             "tokens": one(units.token_stats(data.messages, built).agg(F.sum("source_tokens").alias("source_tokens"), F.sum("unit_tokens").alias("unit_tokens"))),
         }
-        report = sinks.report_row(run_id=run_id, dataset=data.name, system=self.system.name, agent="fixed_query" if self.agent is systems.fixed_query_answers else "model", evaluator="judge" if self.judge else "contains", **{k: v for s in sums.values() for k, v in s.items()} | counts)
+        built_sum, answered, graded = sums["build"], sums["answer"], sums["evaluate"]
+        report = sinks.report_row(
+            run_id=run_id, dataset=data.name, memory_system=self.system.name, agent="fixed_query" if self.agent is systems.fixed_query_answers else "model", evaluator="judge" if self.judge else "contains",
+            total_units=built_sum["unit_count"], memory_read_count=answered["question_count"], total_context_tokens=answered["context_tokens"], build_cache_hit_count=counts["cache_hits"], answer_cache_hit_count=0, evaluation_cache_hit_count=0,
+            storage_generation_tokens=0, **{k: built_sum[k] for k in ("item_count", "avg_units_per_item")}, avg_context_tokens=answered["avg_context_tokens"], **graded,
+        )
         for name, s in sums.items():
             self.logger.log(sinks.RunEvent(name, "summary", metrics=s))
         self.logger.log(sinks.RunEvent("run", "completed", message=run_id))

@@ -17,7 +17,7 @@ from ..functions import text
 from ..operators import context, evaluate, prompts, retrieve, units
 
 # Parts of error messages after which a call is tried again.
-RETRYABLE = ("timeout", "timed out", "rate limit", "ratelimit", "429", "500", "502", "503", "504", "connection", "temporarily", "overloaded", "unavailable")
+RETRYABLE = ("timeout", "rate_limit", "ratelimit", "rate limit", "server_error", "server error", "connection", "temporarily", "429", "500", "502", "503", "504")
 
 
 @dataclass(frozen=True)
@@ -80,7 +80,7 @@ class RawMemory:
         return retrieve.ranked(retrieve.lexical_scores(questions, units), retrieve.effective(top_k, self.top_k))
 
     def read(self, questions, units, top_k=None, budget=None):
-        return context.pack_lines(questions, self.rank(questions, units, top_k), retrieve.effective(budget, self.budget), self.timestamps, joiner="\n")
+        return context.pack_lines(questions, self.rank(questions, units, top_k), retrieve.effective(budget, self.budget), self.timestamps, joiner="\n", style="list")
 
 
 RENDERS = ("adaptive", "timeline", "ranked_list")

@@ -45,7 +45,7 @@ BASE = r"""
     scored AS (SELECT question_id, unit_id, u.text, u.ts_raw, u.ts, round(len(list_intersect(qtoks.w, u.w)) / sqrt(greatest(1, len(qtoks.w))::DOUBLE * greatest(1, len(u.w))), 9) AS score
         FROM qtoks JOIN toks u ON qtoks.scope_id = u.scope_id AND u.ts <= qtoks.qt),
     ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, unit_id) AS rank FROM scored) WHERE rank <= 20),
-    lines AS (SELECT *, '[' || ts_raw || '] ' || text AS block, len(regexp_extract_all('[' || ts_raw || '] ' || text, '[A-Za-z0-9]+|[^A-Za-z0-9\s]')) AS tok FROM ranked),
+    lines AS (SELECT *, '- ' || ts_raw || ': ' || text AS block, len(regexp_extract_all('- ' || ts_raw || ': ' || text, '[A-Za-z0-9]+|[^A-Za-z0-9\s]')) AS tok FROM ranked),
     packed AS (SELECT * FROM (SELECT *, sum(tok) OVER (PARTITION BY question_id ORDER BY rank) AS so_far FROM lines) WHERE so_far <= 400),
     contexts AS (SELECT q.question_id, coalesce(string_agg(block, chr(10) ORDER BY rank), '') AS context, CAST(coalesce(sum(tok), 0) AS BIGINT) AS context_tokens, count(block) AS context_blocks,
         count(DISTINCT ts_raw) AS context_timepoints FROM q LEFT JOIN packed USING (question_id) GROUP BY q.question_id)"""
@@ -107,7 +107,7 @@ def lexical_topk(spark, sf):
 
 @query("WITH {base} SELECT * FROM contexts")
 def context_pack(spark, sf):
-    return context.pack_lines(questions(spark, sf), lexical(spark, sf), 400, joiner="\n")
+    return context.pack_lines(questions(spark, sf), lexical(spark, sf), 400, joiner="\n", style="list")
 
 
 @query("WITH {base} SELECT question_id, string_agg('- ' || strftime(ts, '%Y-%m-%d') || ': ' || text, chr(10) ORDER BY rank) AS context FROM ranked GROUP BY question_id")

@@ -6,6 +6,7 @@ columns (conv_ix and msg_ix from 1; item_ord and q_ord from 0)."""
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,8 +15,9 @@ from pyspark.sql import types as T
 
 from ..functions import text
 
-# Fixed value: the version that unified files must carry.
-SCHEMA_VERSION = "unified_dataset_v1"
+# Fixed value: the version that unified files must carry, after the name of what wrote them.
+SCHEMA_VERSIONS = r"[a-z_]+\.unified_dataset\.v1"
+SCHEMA_VERSION = "mnemoframe.unified_dataset.v1"
 
 
 @dataclass(frozen=True)
@@ -83,8 +85,8 @@ def read_unified(spark: SparkSession, path: str) -> Dataset:
     """A unified file: one object with items, conversations and questions."""
     root = spark.read.schema(UNIFIED).option("multiLine", True).option("mode", "FAILFAST").json(path)
     head = root.select("schema_version", "dataset_name").first()
-    if head is None or head.schema_version != SCHEMA_VERSION:
-        raise ValueError(f"schema_version must be {SCHEMA_VERSION}, not {head and head.schema_version}")
+    if head is None or not re.fullmatch(SCHEMA_VERSIONS, head.schema_version or ""):
+        raise ValueError(f"schema_version must be like {SCHEMA_VERSION}, not {head and head.schema_version}")
     items = root.select(F.posexplode("items").alias("item_ord", "i")).select("item_ord", text.text_or_empty("i.item_id").alias("item_id"), "i")
     talks = items.select("item_id", F.posexplode("i.conversations").alias("c", "msgs")).select("item_id", (F.col("c") + 1).alias("conv_ix"), F.posexplode("msgs").alias("m", "x"))
     meta = F.col("x.metadata")

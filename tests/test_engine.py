@@ -143,9 +143,9 @@ def test_judge_routes(spark):
 
 
 def test_replies(spark):
-    t = "<think>x\ny</think>noise <|message|>It is so. Final answer: tea\n"
+    t = "<think>x\ny</think>noise <|message|>It is so.\n**Final Answer:** tea\n"
     df = spark.createDataFrame([(t,), ("plain",), (None,)], "x string").select(prompts.clean_reply("x").alias("c"), prompts.final_answer("x").alias("f"))
-    assert [tuple(r) for r in df.collect()] == [("It is so. Final answer: tea", "tea"), ("plain", "plain"), ("", "")]
+    assert [tuple(r) for r in df.collect()] == [("It is so.\n**Final Answer:** tea", "tea"), ("plain", "plain"), ("", "")]
 
 
 def test_extraction(spark):
@@ -207,15 +207,15 @@ def test_experiment_end_to_end(spark, tmp_path):
     c = cache.StageCache(f"file://{tmp_path}/c")
     result = experiment.Experiment(systems.RawMemory(), logger=log, cache=c).run(data)
     got = {r.question_id: r for r in result.tables["evaluations"].collect()}
-    assert got["q1"].passed and got["q2"].passed is False and result.report["accuracy"] == 0.5 and result.report["cache_misses"] == 1
+    assert got["q1"].passed and got["q2"].passed is False and result.report["accuracy"] == 0.5 and result.summaries["build"]["cache_misses"] == 1
     assert {r.category: r.accuracy for r in result.tables["categories"].collect()} == {"place": 1.0, "late": 0.0}
     assert {"build", "answer", "evaluate", "run"} <= {e.stage for e in log.events}
     again = experiment.Experiment(systems.RawMemory(), cache=c).run(data)
-    assert again.report["cache_hits"] == 1 and again.report["accuracy"] == 0.5
+    assert again.report["build_cache_hit_count"] == 1 and again.report["accuracy"] == 0.5
     other = experiment.Experiment(systems.RawMemory(top_k=3), cache=c).run(data)
-    assert other.report["cache_misses"] == 1
+    assert other.summaries["build"]["cache_misses"] == 1
     null = experiment.Experiment(systems.NullMemory()).run(data)
-    assert null.report["accuracy"] == 0.0 and null.report["context_tokens"] == 0
+    assert null.report["accuracy"] == 0.0 and null.report["total_context_tokens"] == 0
     facts = experiment.Experiment(systems.FactMemory()).run(data)
     assert facts.report["accuracy"] == 0.5
 
