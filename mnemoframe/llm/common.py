@@ -31,8 +31,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     executor costs a read of that table, not a new run of what made it. Row numbers in it are
     stable from then on."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/mnemoframe/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    folder = f"{scratch_dir(spark)}/mnemoframe/{spark.sparkContext.applicationId}"
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)  # with the application
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -148,8 +148,9 @@ def _stored(spark: SparkSession, path: str) -> SlotMap | None:
 
 
 def write_shards(docs: DataFrame, path: str, slots: SlotMap, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Whole rows as Parquet under path/shard=N, one task to a group of slots."""
+    """Whole rows as Parquet under path/to_shard=N, one task to a group of slots."""
     n, text = len(slots.shards), text_or_empty(text_col)
     slot = F.pmod(F.xxhash64(F.col(id_col), F.crc32(text.cast("binary"))), F.lit(n)).cast("int")
-    keyed = docs.withColumn("virtual_slot", slot).join(F.broadcast(slots.frame(docs.sparkSession).select("virtual_slot", "shard")), "virtual_slot")
-    keyed.repartition("shard", "virtual_slot").drop("virtual_slot").write.partitionBy("shard").parquet(path)
+    place = slots.frame(docs.sparkSession).select(F.col("virtual_slot").alias(f"{TMP}slot"), F.col("shard").alias("to_shard"))
+    keyed = docs.withColumn(f"{TMP}slot", slot).join(F.broadcast(place), f"{TMP}slot")
+    keyed.repartition("to_shard", f"{TMP}slot").drop(f"{TMP}slot").write.partitionBy("to_shard").parquet(path)
