@@ -27,7 +27,7 @@ from .common import TMP, broadcast_if_small, materialize, text_or_empty
 
 RUN = 3
 MIN_WORDS = 12
-LONG = 16
+LONG = 8
 #: Rows of hashes up to which they are broadcast.
 MAX_BROADCAST = 200_000
 
@@ -62,23 +62,31 @@ def sentences(text: str, long: int = LONG) -> tuple[list[int], list[bytes], list
     return ends, bodies, counts
 
 
-def run_hashes(bodies: list[bytes], counts: list[int], run: int = RUN, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and first sentence of each run that counts."""
+def run_ends(counts: list[int], run: int = RUN, min_words: int = MIN_WORDS) -> np.ndarray:
+    """For each sentence that a run begins with, the sentence after the run."""
+    before = np.r_[0, np.cumsum(np.array(counts, np.int64))]
+    start = np.arange(len(counts))
+    end = np.maximum(start + run, np.searchsorted(before, before[:-1] + min_words))
+    return end[end <= len(counts)]  # ends never fall, so that the last starts are without
+
+
+def run_hashes(bodies: list[bytes], counts: list[int], run: int = RUN, min_words: int = MIN_WORDS) -> np.ndarray:
+    """Hash of each run, by its first sentence: a polynomial over the sentences' hashes."""
     import xxhash
 
-    if len(bodies) < run:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, bodies), np.uint64, len(bodies))
-    n = len(h) - run + 1
-    out, total, words = np.full(n, run, np.uint64), np.zeros(n, np.int64), np.array(counts)
+    end = run_ends(counts, run, min_words)
+    if not len(end):
+        return np.empty(0, np.int64)
+    base, mask, prefix, power = 0x9E3779B97F4A7C15, 0xFFFFFFFFFFFFFFFF, [0], [1]
+    for h in map(xxhash.xxh3_64_intdigest, bodies):
+        prefix.append((prefix[-1] * base + h) & mask)
+        power.append(power[-1] * base & mask)
+    p, w = np.array(prefix, np.uint64), np.array(power, np.uint64)
+    start = np.arange(len(end))
     with np.errstate(over="ignore"):
-        for i in range(run):
-            out = (out * np.uint64(0x9E3779B97F4A7C15)) + h[i : n + i]
-            out ^= out >> np.uint64(31)
-            total += words[i : n + i]
-        out = out * np.uint64(0xD6E8FEB86659FD93)
-    at = np.flatnonzero(total >= min_words)
-    return out.view(np.int64)[at], at
+        out = (p[end] - p[start] * w[end - start]) ^ (end - start).astype(np.uint64)
+        out = (out ^ (out >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+    return out.view(np.int64)
 
 
 def occurrences(docs: DataFrame, id_col: str, text_col: str, run: int, min_words: int, long: int) -> DataFrame:
@@ -88,14 +96,14 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str, run: int, min_words
         for whole in batches:
             for start in range(0, whole.num_rows, 512):
                 batch = whole.slice(start, 512)
-                rows, hs, ats = [], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+                rows, hs, ats = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
                 for i, text in enumerate(batch.column("text").to_pylist()):
                     _, bodies, counts = sentences(text, long)
-                    h, at = run_hashes(bodies, counts, run, min_words)
+                    h = run_hashes(bodies, counts, run, min_words)
                     rows.append(np.full(len(h), i))
                     hs.append(h)
-                    ats.append(at)
-                take = pa.array(np.concatenate(rows) if rows else np.empty(0, np.int64))
+                    ats.append(np.arange(len(h)))
+                take = pa.array(np.concatenate(rows))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs)), batch.column("id").take(take), batch.column("key").take(take), pa.array(np.concatenate(ats).astype(np.int32))], ["h", "id", "key", "at"])
 
     text = text_or_empty(text_col)
@@ -126,8 +134,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 batch = whole.slice(begin, 512)
                 texts, n, gone, spans = [], [], [], []
                 for text, marks in zip(batch.column("text").to_pylist(), batch.column("starts").to_pylist(), strict=True):
-                    ends, _, _ = sentences(text, long)
-                    drop = sorted({i + k for i in marks or () for k in range(run)})
+                    ends, _, counts = sentences(text, long)
+                    last = run_ends(counts, run, min_words) if marks else ()
+                    drop = sorted({k for i in marks or () for k in range(i, last[i])})
                     cuts: list[list[int]] = []
                     for i in drop:
                         a, b = ends[i - 1] if i else 0, ends[i]

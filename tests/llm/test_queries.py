@@ -144,13 +144,14 @@ def test_op8(spark, docs):
     where = defaultdict(list)
     for i in sorted(docs.index):
         _, body, n = cut[i]
-        for k in range(len(body) - 2):
-            if sum(n[k : k + 3]) >= 12:
-                where[tuple(body[k : k + 3])].append((i, k))
+        for k in range(len(body)):
+            end = next((e for e in range(k + 3, len(body) + 1) if sum(n[k:e]) >= 12), None)
+            if end:
+                where[tuple(body[k:end])].append((i, k, end))
     drop = defaultdict(set)
     for places in where.values():
-        for i, k in sorted(places)[1:]:
-            drop[i] |= {k, k + 1, k + 2}
+        for i, k, end in sorted(places)[1:]:
+            drop[i] |= set(range(k, end))
     for i, t in docs.text.items():
         ends = cut[i][0]
         left = "".join(t[(ends[j - 1] if j else 0) : ends[j]] for j in range(len(ends)) if j not in drop[i]) if ends else t
