@@ -19,6 +19,11 @@ def last_answers(answers: DataFrame, order: str) -> DataFrame:
     return answers.withColumn("_n", F.row_number().over(Window.partitionBy(*KEYS).orderBy(F.desc(order)))).where("_n = 1").drop("_n")
 
 
+def with_labels(answers: DataFrame, labels: DataFrame) -> DataFrame:
+    """Answers with their reference and evidence, which they get only once they are given."""
+    return answers.join(labels.select(*KEYS, "reference", "evidence_ids"), KEYS, "left")
+
+
 def strict_join(left: DataFrame, right: DataFrame, keys: list[str], what: str) -> DataFrame:
     """An inner join that fails on a row of left without a match."""
     marked = left.join(right.withColumn("_hit", F.lit(True)), keys, "left")

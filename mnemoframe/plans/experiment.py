@@ -63,37 +63,63 @@ class Experiment:
         got, counts = self.cache.through("build", wanted, nested)
         return got.drop("cache_key"), counts
 
-    def answer(self, data: tables.Dataset, built: DataFrame) -> DataFrame:
-        """Answers to the questions; labels take no part."""
+    def _through(self, stage: str, wanted: DataFrame, compute: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, dict[str, int]]:
+        """By the cache, if there is one; wanted has cache_key, and so must compute's result."""
+        if self.cache is None:
+            return compute(wanted), {"cache_hits": 0, "cache_misses": 0}
+        return self.cache.through(stage, wanted, compute)
+
+    def answer(self, data: tables.Dataset, built: DataFrame, artifacts: DataFrame | None = None) -> tuple[DataFrame, dict[str, int]]:
+        """Answers to the questions, which labels take no part in. A cached answer counts as long
+        as its question, its item's units, the system, the agent and the limits are the same."""
+        made = artifacts if artifacts is not None else keys.artifact_ids(built, self.system.name, self.system)
         asks = data.requests().select("item_id", "question_id", "scope_id", retrieve.query_text().alias("query_text"), "query_time_raw")
-        asks = asks.withColumnRenamed("question_id", "qid").withColumn("question_id", F.concat_ws("\x1f", "item_id", "qid"))
-        reads = self.system.read(asks, built, self.top_k, self.budget).join(asks, "question_id")
-        return self.agent(reads).withColumn("question_id", F.col("qid")).drop("qid")
+        asks = asks.join(made.select("scope_id", "artifact_id"), "scope_id", "left")
+        how = keys.stable_hash([self.system.name, keys.config_key(self.system), getattr(self.agent, "__name__", str(self.agent)), self.top_k, self.budget], 64)
+        asks = asks.withColumn("cache_key", keys.content_key(F.lit(how).alias("how"), "item_id", "question_id", "query_text", "query_time_raw", "artifact_id"))
+
+        def compute(some: DataFrame) -> DataFrame:
+            one = some.withColumnRenamed("question_id", "qid").withColumn("question_id", F.concat_ws("\x1f", "item_id", "qid"))
+            reads = self.system.read(one, built, self.top_k, self.budget).join(one, "question_id")
+            return self.agent(reads).withColumn("question_id", F.col("qid")).drop("qid")
+
+        got, counts = self._through("answer", asks, compute)
+        return got.drop("cache_key"), counts
 
-    def evaluate(self, data: tables.Dataset, answers: DataFrame) -> DataFrame:
+    def evaluate(self, data: tables.Dataset, answers: DataFrame) -> tuple[DataFrame, dict[str, int]]:
         q = data.questions.select("item_id", "question_id", "query", "question_type", evaluate.category("question_type").alias("category"))
-        asked = evaluate.strict_join(q, answers.select("item_id", "question_id", "answer"), evaluate.KEYS, "answer") if self.fail_fast else q.join(answers.select("item_id", "question_id", "answer"), evaluate.KEYS)
+        said = answers.select("item_id", "question_id", "answer")
+        asked = evaluate.strict_join(q, said, evaluate.KEYS, "answer") if self.fail_fast else q.join(said, evaluate.KEYS)
         rows = asked.join(data.labels.select("item_id", "question_id", "reference", "references", "incorrect_answers"), evaluate.KEYS, "left")
-        if self.judge is not None:
-            return evaluate.judge(rows.withColumns({"dataset": F.lit(data.name), "question": F.col("query")}), self.judge).withColumn("evaluator_name", F.lit("judge"))
-        return rows.withColumns(evaluate.contains(need_all=self.need_all)).withColumn("evaluator_name", F.lit("contains"))
+        how = keys.stable_hash([data.name, self.need_all, getattr(self.judge, "__name__", str(self.judge))], 64)
+        rows = rows.withColumn("cache_key", keys.content_key(F.lit(how).alias("how"), *rows.columns))
+
+        def compute(some: DataFrame) -> DataFrame:
+            if self.judge is not None:
+                return evaluate.judge(some.withColumns({"dataset": F.lit(data.name), "question": F.col("query")}), self.judge).withColumn("evaluator_name", F.lit("judge"))
+            return some.withColumns(evaluate.contains(need_all=self.need_all)).withColumn("evaluator_name", F.lit("contains"))
+
+        got, counts = self._through("evaluate", rows, compute)
+        return got.drop("cache_key"), counts
 
     def run(self, data: tables.Dataset, run_id: str = "run") -> Result:
         self.logger.log(sinks.RunEvent("run", "started", message=run_id))
         built, counts = self._stage("build", lambda: self.build(data))
         built = built.persist()
         artifacts = keys.artifact_ids(built, self.system.name, self.system)
-        answers = self._stage("answer", lambda: self.answer(data, built).persist())
-        evaluations = self._stage("evaluate", lambda: self.evaluate(data, answers).persist())
+        answers, answer_counts = self._stage("answer", lambda: self.answer(data, built, artifacts))
+        answers = answers.persist()
+        evaluations, evaluation_counts = self._stage("evaluate", lambda: self.evaluate(data, answers))
+        evaluations = evaluations.persist()
         one = lambda df: df.first().asDict()
         sums = {
-            "build": one(summaries.build_summary(data.items, artifacts, counts["cache_hits"], counts["cache_misses"])), "answer": one(summaries.answer_summary(answers)), "evaluate": one(evaluate.accuracy(evaluations)),
+            "build": one(summaries.build_summary(data.items, artifacts, counts["cache_hits"], counts["cache_misses"])), "answer": one(summaries.answer_summary(answers, **{k.removeprefix("cache_"): v for k, v in answer_counts.items()})), "evaluate": one(evaluate.accuracy(evaluations)),
             "tokens": one(units.token_stats(data.messages, built).agg(F.sum("source_tokens").alias("source_tokens"), F.sum("unit_tokens").alias("unit_tokens"))),
         }
         built_sum, answered, graded = sums["build"], sums["answer"], sums["evaluate"]
         report = sinks.report_row(
             run_id=run_id, dataset=data.name, memory_system=self.system.name, agent="fixed_query" if self.agent is systems.fixed_query_answers else "model", evaluator="judge" if self.judge else "contains",
-            total_units=built_sum["unit_count"], memory_read_count=answered["question_count"], total_context_tokens=answered["context_tokens"], build_cache_hit_count=counts["cache_hits"], answer_cache_hit_count=0, evaluation_cache_hit_count=0,
+            total_units=built_sum["unit_count"], memory_read_count=answered["question_count"], total_context_tokens=answered["context_tokens"], build_cache_hit_count=counts["cache_hits"], answer_cache_hit_count=answer_counts["cache_hits"], evaluation_cache_hit_count=evaluation_counts["cache_hits"],
             storage_generation_tokens=0, **{k: built_sum[k] for k in ("item_count", "avg_units_per_item")}, avg_context_tokens=answered["avg_context_tokens"], **graded,
         )
         for name, s in sums.items():

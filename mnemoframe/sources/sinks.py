@@ -42,6 +42,11 @@ def answer_record(answers: DataFrame) -> DataFrame:
     return answers.select(*(c for c in keep if c in answers.columns))
 
 
+def append_lines(records: DataFrame, path: str) -> None:
+    """Records as they come, as JSON lines in a folder that grows."""
+    records.write.mode("append").json(path)
+
+
 def evaluation_record(evaluations: DataFrame) -> DataFrame:
     keep = ["item_id", "question_id", "query", "category", "answer", "score", "passed", "reference", "evaluator_name", "skip_reason", "judge_label", "judge_raw", "judge_source"]
     return evaluations.select(*(c for c in keep if c in evaluations.columns))

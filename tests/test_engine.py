@@ -211,9 +211,9 @@ def test_experiment_end_to_end(spark, tmp_path):
     assert {r.category: r.accuracy for r in result.tables["categories"].collect()} == {"place": 1.0, "late": 0.0}
     assert {"build", "answer", "evaluate", "run"} <= {e.stage for e in log.events}
     again = experiment.Experiment(systems.RawMemory(), cache=c).run(data)
-    assert again.report["build_cache_hit_count"] == 1 and again.report["accuracy"] == 0.5
+    assert [again.report[f"{x}_cache_hit_count"] for x in ("build", "answer", "evaluation")] == [1, 2, 2] and again.report["accuracy"] == 0.5
     other = experiment.Experiment(systems.RawMemory(top_k=3), cache=c).run(data)
-    assert other.summaries["build"]["cache_misses"] == 1
+    assert other.summaries["build"]["cache_misses"] == 1 and other.report["answer_cache_hit_count"] == 0
     null = experiment.Experiment(systems.NullMemory()).run(data)
     assert null.report["accuracy"] == 0.0 and null.report["total_context_tokens"] == 0
     facts = experiment.Experiment(systems.FactMemory()).run(data)
