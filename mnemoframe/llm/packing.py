@@ -30,12 +30,41 @@ from .common import TMP, materialize, text_or_empty
 CAPACITY = 4096
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
-#: Words whose ids a worker remembers.
-MAX_MEMO = 300_000
+#: Words whose ids a worker remembers, twice: a full memory is kept as the older one, in which
+#: words that come up again are found.
+MAX_MEMO = 400_000
 #: Pieces that are numbered together in one task.
 PIECES_A_TASK = 50_000
 
-_memo: dict[bytes, bytes] = {}
+#: Signs that the tokenizer parts from letters before them.
+_SIGNS = b".,;:!?|*&%$#-()"
+#: The tokenizer's letters for bytes: printable ones as they are, others from 256 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_LETTERS = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in _PRINTABLE)}
+
+
+class Memo:
+    """Two generations of a bounded memory; young is the one to read and write."""
+
+    def __init__(self) -> None:
+        self.young: dict = {}
+        self.older: dict = {}
+
+    def turn(self) -> None:
+        if len(self.young) > MAX_MEMO:
+            self.young, self.older = {}, self.young
+
+    def missing(self, keys: set) -> list:
+        """Those of keys that neither generation has; what the older has becomes young again."""
+        out, young, old = [], self.young, self.older
+        for k in keys.difference(young):
+            if (found := old.get(k)) is None:
+                out.append(k)
+            else:
+                young[k] = found
+        return out
+
+
 _tokenizer = None
 
 
@@ -47,28 +76,47 @@ def _path(tokenizer: str) -> str:
     return public_tokenizers.path(tokenizer)
 
 
+def _parted(word: bytes) -> tuple[bytes, bytes] | None:
+    """The lower-cased letters of a word, and the signs after them; None if it isn't letters of
+    Latin-1 with such signs, for which nothing is assumed."""
+    letters = word.rstrip(_SIGNS)
+    if letters.isalpha():  # of ASCII
+        return letters.lower(), word[len(letters) :]
+    s = letters.decode()
+    return (s.lower().encode(), word[len(letters) :]) if s.isalpha() and max(s) <= "\xff" else None
+
+
 def encoded(texts: list[str], tokenizer: str = TOKENIZER) -> list[bytes]:
     """Ids of each text, without special tokens, as little-endian 32-bit numbers.
 
     The tokenizer drops white space and no token reaches across it, so that a text's ids are those
-    of its words, one after the other; each word is encoded once."""
-    global _memo, _tokenizer
+    of its words, one after the other. It also lower-cases, and parts letters from signs: letters
+    go to its model directly, in its letters for bytes; other words go through all of it. Each
+    word is put together from such parts once, each part encoded once."""
+    global _tokenizer
     if _tokenizer is None or _tokenizer[0] != tokenizer:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _tokenizer, _memo = (tokenizer, Tokenizer.from_file(_path(tokenizer))), {}
-    if len(_memo) > MAX_MEMO:
-        _memo = {}
+        made = Tokenizer.from_file(_path(tokenizer))
+        _tokenizer = (tokenizer, made, made.model, Memo(), Memo())
+    _, made, model, words, parts = _tokenizer
+    words.turn()
+    parts.turn()
     split = [t.encode().split() for t in texts]
-    new = list({w for ws in split for w in ws if w not in _memo})
-    for at in range(0, len(new), 4096):
-        part = new[at : at + 4096]
-        for w, e in zip(part, _tokenizer[1].encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-            _memo[w] = np.array(e.ids, "<u4").tobytes()
-    return [b"".join(map(_memo.__getitem__, ws)) for ws in split]
+    new = {w: _parted(w) for w in words.missing(set().union(*split))}
+    letters = parts.missing({pair[0] for pair in new.values() if pair})
+    for p in letters:
+        parts.young[p] = np.array([t.id for t in model.tokenize(p.decode("latin-1").translate(_LETTERS))], "<u4").tobytes()
+    rest = parts.missing({pair[1] if pair else w for w, pair in new.items()})
+    for p, e in zip(rest, made.encode_batch_fast([p.decode() for p in rest], add_special_tokens=False), strict=True):
+        parts.young[p] = np.array(e.ids, "<u4").tobytes()
+    for w, pair in new.items():
+        words.young[w] = parts.young[pair[0]] + parts.young[pair[1]] if pair else parts.young[w]
+    ids = words.young.__getitem__
+    return [b"".join(map(ids, ws)) for ws in split]
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, tokenizer: str = TOKENIZER, with_ids: bool = False) -> DataFrame:
