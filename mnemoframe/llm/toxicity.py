@@ -22,7 +22,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -180,11 +180,35 @@ def suspicious(text: str) -> bool:
     return bool((near[1:] & near[:-1]).any())
 
 
+#: ASCII that isn't a letter, as spaces; other bytes as they are.
+_LETTERS_ONLY = bytes(b if b > 127 or chr(b).isalpha() else 32 for b in range(256))
+
+
+def _words_of(tokens: Iterable[bytes]) -> Iterator[tuple[bytes, list[str]]]:
+    """Each token of a text whose ASCII is letters only, with the words in it."""
+    for t in tokens:
+        w = t.decode()
+        yield t, [w] if w.isalpha() else _WORDS.findall(w)
+
+
+def plain_words(text: str) -> set[str]:
+    """The words of a lower-cased text as they stand."""
+    got = b" ".join(set(text.encode().translate(_LETTERS_ONLY).split())).decode().split(" ")
+    out = {w for w in got if w.isalpha()}
+    if len(out) < len(got):
+        out.update(x for w in got if not w.isalpha() for x in _WORDS.findall(w))
+    return out
+
+
+def restored_words(text: str, model: CharModel, memo: dict[str, str]) -> set[str]:
+    """The words of a text, deobfuscated."""
+    text = text.lower()
+    return set(restore(text, model, memo)) if suspicious(text) else plain_words(text)
+
+
 def restore(text: str, model: CharModel, memo: dict[str, str]) -> list[str]:
-    """The words of the lower-cased text, deobfuscated."""
+    """The words of a text in order, deobfuscated."""
     text = text.lower()
-    if not suspicious(text):
-        return _WORDS.findall(text)
     out: list[str] = []
     for m in _STRETCH.finditer(text):
         s = m[0]
@@ -207,15 +231,22 @@ def character_counts(texts: DataFrame) -> np.ndarray:
     size = 1 << TABLE_BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[str] = Counter()
+        def told() -> np.ndarray:
+            words: Counter[str] = Counter()
+            for t, ws in _words_of(held):
+                for w in ws:
+                    words[w] += held[t]
+            return count_words(words)
+
+        held: Counter[bytes] = Counter()
         sums = np.zeros((ORDER, size))
         for batch in batches:
             for t in batch.column("text").to_pylist():
-                held.update(_WORDS.findall(t.lower()))
+                held.update(t.lower().encode().translate(_LETTERS_ONLY).split())
                 if len(held) > 200_000:
-                    sums += count_words(held)
+                    sums += told()
                     held.clear()
-        flat = (sums + count_words(held)).ravel()
+        flat = (sums + told()).ravel()
         code = np.flatnonzero(flat)
         yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(flat[code].astype(np.int64))], ["code", "n"])
 
@@ -275,7 +306,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         clean: Counter[str] = Counter()
         for batch in batches:
             for t, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                (toxic if t == 1 else clean).update(set(restore(text, chars, memo)))
+                (toxic if t == 1 else clean).update(restored_words(text, chars, memo))
                 if len(toxic) + len(clean) > MAX_HELD:
                     yield told()
                     toxic, clean = Counter(), Counter()
@@ -294,7 +325,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         chars, memo, known = CharModel(model.value), {}, at.keys()
         for batch in batches:
             labels = batch.column("toxic").to_pylist()
-            found = [sorted(at[w] for w in known & set(restore(text, chars, memo))) for text in batch.column("text").to_pylist()]
+            found = [sorted(at[w] for w in known & restored_words(text, chars, memo)) for text in batch.column("text").to_pylist()]
             rows = [(t, f) for t, f in zip(labels, found, strict=True) if f]
             yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in rows], pa.int32()), pa.array([f for _, f in rows], pa.list_(pa.int32()))], ["toxic", "f"])
 
@@ -310,7 +341,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for batch in batches:
             out = []
             for text in batch.column("text").to_pylist():
-                z = -np.inf if weights is None else weights[-1] + sum(weights[at[w]] for w in known & set(restore(text, chars, memo)))
+                z = -np.inf if weights is None else weights[-1] + sum(weights[at[w]] for w in known & restored_words(text, chars, memo))
                 out.append(1 / (1 + math.exp(-max(-700.0, min(700.0, z)))) if weights is not None else 0.0)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.float64())], ["doc_id", "score"])
 
