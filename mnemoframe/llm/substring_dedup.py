@@ -4,7 +4,8 @@ A text is cut into sentences after . ! or ? before white space and at line ends;
 more than LONG words counts as several, of LONG words each. Every run of RUN consecutive sentences
 with MIN_WORDS words at least is hashed (64 bits, over its words, so that white space doesn't
 matter). Runs are joined over all documents; of runs that are equal, the first by (doc_id, place)
-stays, and each sentence that any other one covers is removed, with the white space after it.
+stays, and each sentence that any other one covers is removed, with the white space after it. Only
+the last short sentences of a repeat, too few words for a run, can be left of it.
 
 Rows of the same doc_id and text are one document and are treated alike. A null doc_id comes last;
 a null text is empty. Texts without a run stay as they are. Empty tables give empty results.
@@ -23,13 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TMP, broadcast_if_small, materialize, text_or_empty
+from .common import TMP, materialize, text_or_empty
 
 RUN = 3
 MIN_WORDS = 12
 LONG = 8
-#: Rows of hashes up to which they are broadcast.
-MAX_BROADCAST = 200_000
 
 _END = re.compile(r"(?:(?<=[.!?])[\x20\x09\x0B-\x0D]+|[\x20\x09\x0B-\x0D]*\n)[\x20\x09-\x0D]*")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
@@ -115,10 +114,10 @@ def repeated_runs(docs: DataFrame, id_col: str, text_col: str, run: int, min_wor
     """(id, key, starts): the first sentences of the runs of a document that aren't the first of
     their kind, sorted."""
     runs = occurrences(docs, id_col, text_col, run, min_words, long)
-    twice = broadcast_if_small(runs.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), "repeated", MAX_BROADCAST)
+    twice = materialize(runs.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), "repeated").hint("merge")
     found = materialize(runs.join(twice, "h", "left_semi"), "found")
     place = F.struct(F.col("id").isNull().alias("n"), F.col("id"), F.col("key"), F.col("at"))
-    first = broadcast_if_small(found.groupBy("h").agg(F.min(place).alias("first")), "first", MAX_BROADCAST)
+    first = found.groupBy("h").agg(F.min(place).alias("first"))
     later = found.join(first, "h").where(~F.col("first").eqNullSafe(place))
     return later.groupBy("id", "key").agg(F.array_sort(F.collect_set("at")).alias("starts"))
 
