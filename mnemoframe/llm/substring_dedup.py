@@ -1,11 +1,15 @@
 """Substring dedup by sliding sentence spans.
 
 A text is cut into sentences after . ! or ? before white space and at line ends; a sentence of
-more than LONG words counts as several, of LONG words each. Every run of RUN consecutive sentences
+more than MIN_WORDS words counts as several, of LONG words at most, cut after the word of the least
+hash of each LONG neighbouring words. So cuts depend on at most LONG - 1 words to either side, not
+on where the sentence began, and a passage that begins or ends inside sentences is cut alike
+everywhere but near its ends. A sentence of LONG to MIN_WORDS words is cut once, after LONG. Every run of RUN consecutive sentences
 with MIN_WORDS words at least is hashed (64 bits, over its words, so that white space doesn't
 matter). Runs are joined over all documents; of runs that are equal, the first by (doc_id, place)
 stays, and each sentence that any other one covers is removed, with the white space after it. Only
-the last short sentences of a repeat, too few words for a run, can be left of it.
+the first and last few words of a repeat, where cuts still depend on what surrounds it or which are
+too few for a run, can be left of it.
 
 Rows of the same doc_id and text are one document and are treated alike. A null doc_id comes last;
 a null text is empty. Texts without a run stay as they are. Empty tables give empty results.
@@ -17,6 +21,7 @@ can be split; whole texts are shuffled once, by document.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,30 +39,54 @@ _END = re.compile(r"(?:(?<=[.!?])[\x20\x09\x0B-\x0D]+|[\x20\x09\x0B-\x0D]*\n)[\x
 _WORD = re.compile(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
 
 
-def sentences(text: str, long: int = LONG) -> tuple[list[int], list[bytes], list[int]]:
+def content_cuts(words: list[bytes], sizes: list[int], long: int) -> list[list[int]]:
+    """Where sentences of sizes[i] words, more than long each, are cut, as counts of words before
+    the cut; the sentence's end is the last one."""
+    h = np.fromiter(map(zlib.crc32, words), np.int64, len(words))
+    key = (h << 31) | np.arange(len(words), 0, -1)  # of equal hashes, the last one
+    least = key[: len(key) - long + 1].copy()
+    for i in range(1, long):
+        np.minimum(least, key[i : i + len(least)], out=least)
+    bounds = np.r_[0, np.cumsum(sizes)]
+    sentence = np.repeat(np.arange(len(sizes)), sizes)
+    inside = sentence[: len(least)] == sentence[long - 1 :]
+    after = len(words) - (least[inside] & 0x7FFFFFFF) + 1
+    after = np.unique(np.r_[after, bounds[1:]])
+    upto = [0, *np.searchsorted(after, bounds[1:], "right").tolist()]
+    at = (after - np.repeat(bounds[:-1], np.diff(upto))).tolist()
+    return [at[a:b] for a, b in zip(upto, upto[1:], strict=False)]
+
+
+def sentences(text: str, long: int = LONG, whole: int = MIN_WORDS) -> tuple[list[int], list[bytes], list[int]]:
     """Where each sentence ends (white space after it counted), its words, and how many they are.
-    White space at the start belongs to the first sentence."""
-    ends, bodies, counts = [], [], []
+    White space at the start belongs to the first sentence. Sentences of more than whole words are
+    cut by content."""
+    whole = max(whole, long)
+    found: list[list] = []  # start, end, words
     start = 0
     for end in [*(m.end() for m in _END.finditer(text)), len(text)]:
         words = text[start:end].encode().split()
-        if not words:
-            if end > start and ends:
-                ends[-1] = end
-                start = end
-            continue  # at the start of the text, it goes with what follows
+        if words:
+            found.append([start, end, words])
+            start = end
+        elif end > start and found:
+            found[-1][1] = start = end  # at the start of the text, it goes with what follows
+    wide = [words for _, _, words in found if len(words) > whole]
+    by_content = iter(content_cuts([w for words in wide for w in words], [len(words) for words in wide], long) if wide else ())
+    ends, bodies, counts = [], [], []
+    for start, end, words in found:
         if len(words) <= long:
             ends.append(end)
             bodies.append(b" ".join(words))
             counts.append(len(words))
         else:
-            cuts = [start + m.end() for m in _WORD.finditer(text[start:end])]
-            for i in range(0, len(words), long):
-                part = words[i : i + long]
-                ends.append(cuts[min(i + long, len(words)) - 1])
-                bodies.append(b" ".join(part))
-                counts.append(len(part))
-        start = end
+            cuts = [m.end() for m in _WORD.finditer(text, start, end)]
+            at = 0
+            for k in next(by_content) if len(words) > whole else [*range(long, len(words), long), len(words)]:
+                ends.append(cuts[k - 1])
+                bodies.append(b" ".join(words[at:k]))
+                counts.append(k - at)
+                at = k
     return ends, bodies, counts
 
 
@@ -97,7 +126,7 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str, run: int, min_words
                 batch = whole.slice(start, 512)
                 rows, hs, ats = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
                 for i, text in enumerate(batch.column("text").to_pylist()):
-                    _, bodies, counts = sentences(text, long)
+                    _, bodies, counts = sentences(text, long, min_words)
                     h = run_hashes(bodies, counts, run, min_words)
                     rows.append(np.full(len(h), i))
                     hs.append(h)
@@ -133,7 +162,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 batch = whole.slice(begin, 512)
                 texts, n, gone, spans = [], [], [], []
                 for text, marks in zip(batch.column("text").to_pylist(), batch.column("starts").to_pylist(), strict=True):
-                    ends, _, counts = sentences(text, long)
+                    ends, _, counts = sentences(text, long, min_words)
                     last = run_ends(counts, run, min_words) if marks else ()
                     drop = sorted({k for i in marks or () for k in range(i, last[i])})
                     cuts: list[list[int]] = []

@@ -200,6 +200,26 @@ def test_shared_passage_goes(spark):
     assert all(got[i].text == docs[i][1].replace(passage, passage.split()[-1]) and got[i].n_removed == 13 for i in range(1, 5))
 
 
+@pytest.mark.parametrize("first", [3, 10, 18, 26, 52])
+def test_passage_from_inside_a_sentence_goes(spark, first):
+    """Passages of 52 words whose first sentence has `first` words of it; the words before them put
+    them at other places of a sentence in each document."""
+    passages = [data.prose(52, 300 + i).split() for i in range(6)]
+    docs = []
+    for i, p in enumerate(passages):
+        said = " ".join(p[:first]) + (". " + " ".join(p[first:]) if first < len(p) else "")
+        for k, (before, after) in enumerate([(5, 9), (8 + i, 3), (16, 14)]):
+            docs.append((10 * i + k, f"{data.prose(before, 40 * i + k)} {said} {data.prose(after, 900 + 40 * i + k)}."))
+    got = {r.doc_id: r for r in substring_dedup.remove_repeats(data.frame(spark, docs)).collect()}
+    for i, text in docs:
+        gone = [w for s in got[i].removed for w in data.words(text[s.start : s.end])]
+        if i % 10 == 0:
+            assert not gone
+        else:
+            here = [w.strip(".") for w in gone]
+            assert len(here) >= 32 and set(here) <= set(passages[i // 10]), (i, len(here))
+
+
 def test_deobfuscation():
     plain = "you are an idiot and a stupid clown they say the moron is a loser and worthless trash".split()
     model = toxicity.CharModel(toxicity.count_words(Counter(plain * 20)))
