@@ -5,7 +5,9 @@
 2. A noisy channel explains what looks obfuscated: digits and signs inside words stand for letters
    (leetspeak), letters may be repeated, and letters of a word may be spaced out or separated. Such
    a stretch is a lattice of characters; Viterbi search over it, exact for the model's contexts,
-   gives the letters with the highest joint probability. Everything else is read as it stands.
+   gives the letters with the highest joint probability. What the lattice can't change is read as
+   it stands, and so are numbers and signs without a letter, unless spaced out. Signs at the end
+   are read both ways, as letters and as silent.
 3. On the restored words of at most MAX_LABELLED labelled rows outside the held-out fold, the words
    that go with label 1 are found by their log-likelihood ratio, and a logistic regression over
    them is fitted. Labels are used nowhere else.
@@ -21,11 +23,13 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Collection, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,14 +57,17 @@ KEEP, SIGN, TWICE, OFTEN, RAW, BREAK = -0.05, -1.5, -6.0, -3.0, -12.0, -3.0
 
 _SIGNS = "".join(re.escape(c) for c in LEET)
 _WORDS = re.compile(r"[^\W\d_]+")
-#: A sign before a letter, three of a letter, or three characters that stand alone.
-_SUSPECT = re.compile(rf"[{_SIGNS}][^\W\d_]|([^\W\d_])\1\1|(?<![^\W_])[^\W_](?:[ .\-_*]{{1,2}}[^\W_](?![^\W_])){{2}}")
-#: Stretches to decode: letters spaced out or separated one by one, else a word with its signs.
-_STRETCH = re.compile(rf"(?<![^\W_])(?:[^\W_]|[{_SIGNS}])(?:[ .\-_*]{{1,2}}(?:[^\W_]|[{_SIGNS}])(?![^\W_])){{2,}}|[^\W_{_SIGNS}]*(?:[^\W_]|[{_SIGNS}])+")
+#: What the lattice can change in a word: a sign next to a letter, or a letter more than once.
+_SUSPECT = re.compile(rf"[{_SIGNS}][^\W\d_]|[^\W\d_][{_SIGNS}]|([^\W\d_])\1")
+_ANY = re.compile(r"[^\W_]")
+#: Stretches to decode: letters spaced out or separated one by one (group 1), else a word with its signs.
+_STRETCH = re.compile(rf"((?<![^\W_])(?:[^\W_]|[{_SIGNS}])(?:[ .\-_*]{{1,2}}(?:[^\W_]|[{_SIGNS}])(?![^\W_])){{2,}})|[^\W_{_SIGNS}]*(?:[^\W_]|[{_SIGNS}])+")
 _SPLIT = re.compile(r"[ .\-_*]+")
 #: Characters of one stretch that are decoded together; longer ones are decoded in such parts.
 MAX_STRETCH = 400
 MAX_MEMO = 50_000
+#: Distinct tokens whose words a task keeps.
+MAX_TOKENS = 200_000
 #: Distinct words that a task holds before it passes its counts on.
 MAX_HELD = 300_000
 
@@ -105,7 +112,14 @@ class CharModel:
     """Interpolated character model over hashed counts."""
 
     def __init__(self, counts: np.ndarray) -> None:
-        self.counts, self.total, self.memo = counts, counts[0].sum(), {}
+        self.counts, self.total, self.memo, self.of = counts, float(counts[0].sum()), {}, {}
+
+    def count(self, gram: str) -> float:
+        if (n := self.of.get(gram)) is None:
+            if len(self.of) > MAX_MEMO * 10:
+                self.of.clear()
+            n = self.of[gram] = float(self.counts[len(gram) - 1, _slot(gram)])
+        return n
 
     def logp(self, context: str, char: str) -> float:
         """context: the ORDER - 1 characters before."""
@@ -113,33 +127,46 @@ class CharModel:
         if (p := self.memo.get(key)) is None:
             if len(self.memo) > MAX_MEMO * 10:
                 self.memo.clear()
-            p = (self.counts[0, _slot(char)] + 0.1) / (self.total + 100)
+            p = (self.count(char) + 0.1) / (self.total + 100)
             for order in range(2, ORDER + 1):
                 # A context's count is that of the next lower order, one place back.
-                have, n = self.counts[order - 2, _slot(key[-order:-1])], self.counts[order - 1, _slot(key[-order:])]
+                have, n = self.count(key[-order:-1]), self.count(key[-order:])
                 p = (min(n, have) + 5 * p) / (have + 5)
             p = self.memo[key] = math.log(p)
         return p
 
 
-def lattice(stretch: str) -> list[list[tuple[str, float]]]:
+_RUN = re.compile(r"(.)\1*", re.S)
+_COLUMNS: dict[str, list[tuple[str, float]]] = {}
+
+
+def column(run: str) -> list[tuple[str, float]]:
+    """What a run of one character may stand for."""
+    c, n = run[0], len(run)
+    heard = [(x, SIGN) for x in LEET.get(c, "")] + [(c, RAW if c in LEET else KEEP)]
+    if n == 1:
+        return heard
+    cost = TWICE if n == 2 else OFTEN
+    return [(x, p + cost) for x, p in heard] + [(x * 2, p + (KEEP if n == 2 else cost)) for x, p in heard]
+
+
+def lattice(stretch: str, silent: bool = True) -> list[list[tuple[str, float]]]:
     """Columns of (letters, logarithm of the channel). A run of one character is one column;
-    where letters are spaced out, columns between them offer a border or nothing."""
+    where letters are spaced out, columns between them offer a border or nothing. silent: whether
+    signs at the end may stand for nothing."""
     parts = [p for p in _SPLIT.split(stretch) if p]
     columns: list[list[tuple[str, float]]] = []
     for k, part in enumerate(parts):
         if k:
             columns.append([("", KEEP), (" ", BREAK)])
-        for m in re.finditer(r"(.)\1*", part, re.S):
-            c, n = m[1], len(m[0])
-            heard = [(x, SIGN) for x in LEET.get(c, "")] + [(c, RAW if c in LEET else KEEP)]
-            if n == 1:
-                columns.append(heard)
-            else:
-                cost = TWICE if n == 2 else OFTEN
-                columns.append([(x, p + cost) for x, p in heard] + [(x * 2, p + (KEEP if n == 2 else cost)) for x, p in heard])
-    if columns and not stretch[-1].isalnum():
-        columns[-1].append(("", SIGN))  # signs at the end may be just that
+        for m in _RUN.finditer(part):
+            if (c := _COLUMNS.get(m[0])) is None:
+                c = column(m[0])
+                if len(m[0]) < 3 and len(_COLUMNS) < MAX_MEMO:
+                    _COLUMNS[m[0]] = c
+            columns.append(c)
+    if silent and columns and not stretch[-1].isalnum():
+        columns[-1] = [*columns[-1], ("", SIGN)]  # signs at the end may be just that
     return columns
 
 
@@ -147,36 +174,36 @@ def viterbi(columns: list[list[tuple[str, float]]], model: CharModel) -> str:
     """The most probable letters. States are the last ORDER - 1 of them, which the model's next
     step depends on, so that the search is exact."""
     best: dict[str, tuple[float, str]] = {" " * (ORDER - 1): (0.0, "")}
+    known, logp = model.memo.get, model.logp
     for column in [*columns, [(" ", 0.0)]]:
         new: dict[str, tuple[float, str]] = {}
         for context, (p, out) in best.items():
             for letters, q in column:
                 now, at = p + q, context
                 for c in letters:
-                    now += model.logp(at, c)
-                    at = (at + c)[1:]
+                    key = at + c
+                    step = known(key)
+                    now += logp(at, c) if step is None else step
+                    at = key[1:]
                 if at not in new or now > new[at][0]:
                     new[at] = (now, out + letters)
         best = new
     return max(best.values())[1].strip()
 
 
-_ALNUM, _ALPHA, _SIGN = (np.array([f(chr(i)) for i in range(256)]) for f in (str.isalnum, str.isalpha, LEET.__contains__))
+_ALNUM, _SIGN = (np.array([f(chr(i)) for i in range(256)]) for f in (str.isalnum, LEET.__contains__))
 
 
-def suspicious(text: str) -> bool:
-    """Whether the lower-cased text may hold what _SUSPECT finds: a quick look at its characters.
+def spaced_out(text: str) -> bool:
+    """Whether the lower-cased text may hold a spaced-out stretch: a quick look at its characters.
     Those beyond Latin-1 count as letters."""
     c = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    if len(c) < 2:
-        return False
     c = np.minimum(c, 256).astype(np.uint16)
     c[c == 256] = ord("ª")
-    letter, word = _ALPHA[c], _ALNUM[c]
-    if (_SIGN[c[:-1]] & letter[1:]).any() or ((c[2:] == c[1:-1]) & (c[1:-1] == c[:-2]) & letter[2:]).any():
-        return True
-    alone = np.flatnonzero(word & ~np.r_[False, word[:-1]] & ~np.r_[word[1:], False])
-    near = np.diff(alone) <= 3
+    word = _ALNUM[c]
+    alone = np.flatnonzero((word | _SIGN[c]) & ~np.r_[False, word[:-1]] & ~np.r_[word[1:], False])
+    gap = np.diff(alone)
+    near = (gap == 2) | (gap == 3)
     return bool((near[1:] & near[:-1]).any())
 
 
@@ -191,19 +218,43 @@ def _words_of(tokens: Iterable[bytes]) -> Iterator[tuple[bytes, list[str]]]:
         yield t, [w] if w.isalpha() else _WORDS.findall(w)
 
 
-def plain_words(text: str) -> set[str]:
-    """The words of a lower-cased text as they stand."""
-    got = b" ".join(set(text.encode().translate(_LETTERS_ONLY).split())).decode().split(" ")
-    out = {w for w in got if w.isalpha()}
-    if len(out) < len(got):
-        out.update(x for w in got if not w.isalpha() for x in _WORDS.findall(w))
-    return out
+class Reader:
+    """Reads the words of texts, deobfuscated; of those, only the ones in known, if given. Tokens
+    are decoded once each; only spaced-out stretches reach beyond a token."""
+
+    def __init__(self, counts: np.ndarray, known: Collection[str] | None = None) -> None:
+        self.model, self.known, self.memo, self.tokens = CharModel(counts), known, {}, {}
+
+    def wanted(self, words: Iterable[str]) -> tuple[str, ...]:
+        return tuple(words if self.known is None else (w for w in words if w in self.known))
+
+    def words(self, text: str) -> set[str]:
+        text = text.lower()
+        if spaced_out(text):
+            return set(self.wanted(restore(text, self.model, self.memo)))
+        out: set[str] = set()
+        seen = self.tokens
+        if len(seen) > MAX_TOKENS:
+            seen.clear()
+        for t in set(text.split()):
+            if (words := seen.get(t)) is None:
+                words = seen[t] = self.wanted(set(restore(t, self.model, self.memo)) if _SUSPECT.search(t) else (t,) if t.isalpha() else _WORDS.findall(t))
+            if words:
+                out.update(words)
+        return out
 
 
-def restored_words(text: str, model: CharModel, memo: dict[str, str]) -> set[str]:
-    """The words of a text, deobfuscated."""
-    text = text.lower()
-    return set(restore(text, model, memo)) if suspicious(text) else plain_words(text)
+_READERS: dict[tuple[str, bool], Reader] = {}
+
+
+def reader(run: str, counts: Broadcast, known: Collection[str] | None = None) -> Reader:
+    """The reader of a run of score(); one worker's tasks share it."""
+    key = (run, known is not None)
+    if key not in _READERS:
+        for k in [k for k in _READERS if k[0] != run or known is not None]:
+            del _READERS[k]
+        _READERS[key] = Reader(counts.value, known)
+    return _READERS[key]
 
 
 def restore(text: str, model: CharModel, memo: dict[str, str]) -> list[str]:
@@ -212,7 +263,7 @@ def restore(text: str, model: CharModel, memo: dict[str, str]) -> list[str]:
     out: list[str] = []
     for m in _STRETCH.finditer(text):
         s = m[0]
-        if not _SUSPECT.search(s):
+        if not (_ANY.search(s) if m[1] else _SUSPECT.search(s)):
             out += _WORDS.findall(s)
             continue
         for at in range(0, len(s), MAX_STRETCH):
@@ -220,7 +271,11 @@ def restore(text: str, model: CharModel, memo: dict[str, str]) -> list[str]:
             if part not in memo:
                 if len(memo) > MAX_MEMO:
                     memo.clear()
-                memo[part] = viterbi(lattice(part.strip()), model)
+                bare = part.strip()
+                readings = [viterbi(lattice(bare), model)]
+                if bare and not bare[-1].isalnum():
+                    readings.append(viterbi(lattice(bare, silent=False), model))
+                memo[part] = " ".join(dict.fromkeys(readings))
             out += _WORDS.findall(memo[part])
             out += _WORDS.findall(part)  # what stands there may be meant as it stands
     return out
@@ -286,7 +341,7 @@ def regression(rows: list[list[int]], labels: np.ndarray, features: int, ridge:
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted of each row of docs."""
-    spark = docs.sparkSession
+    spark, run = docs.sparkSession, uuid.uuid4().hex
     texts = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     model = spark.sparkContext.broadcast(character_counts(texts.select("text")))
     once = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out("doc_id", FOLDS)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -301,12 +356,12 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             words = [*(toxic.keys() | clean.keys())]
             return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([toxic[w] for w in words], pa.int64()), pa.array([clean[w] for w in words], pa.int64())], ["word", "t", "c"])
 
-        chars, memo = CharModel(model.value), {}
+        read = reader(run, model)
         toxic: Counter[str] = Counter()
         clean: Counter[str] = Counter()
         for batch in batches:
             for t, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                (toxic if t == 1 else clean).update(restored_words(text, chars, memo))
+                (toxic if t == 1 else clean).update(read.words(text))
                 if len(toxic) + len(clean) > MAX_HELD:
                     yield told()
                     toxic, clean = Counter(), Counter()
@@ -322,10 +377,10 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     at = {w: i for i, w in enumerate(words)}
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chars, memo, known = CharModel(model.value), {}, at.keys()
+        read = reader(run, model, at.keys())
         for batch in batches:
             labels = batch.column("toxic").to_pylist()
-            found = [sorted(at[w] for w in known & restored_words(text, chars, memo)) for text in batch.column("text").to_pylist()]
+            found = [sorted(at[w] for w in read.words(text)) for text in batch.column("text").to_pylist()]
             rows = [(t, f) for t, f in zip(labels, found, strict=True) if f]
             yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in rows], pa.int32()), pa.array([f for _, f in rows], pa.list_(pa.int32()))], ["toxic", "f"])
 
@@ -337,11 +392,11 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     weights = regression(x, y, len(words)) if len(y) else None
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chars, memo, known = CharModel(model.value), {}, at.keys()
+        read = reader(run, model, at.keys())
         for batch in batches:
             out = []
             for text in batch.column("text").to_pylist():
-                z = -np.inf if weights is None else weights[-1] + sum(weights[at[w]] for w in known & restored_words(text, chars, memo))
+                z = -np.inf if weights is None else weights[-1] + sum(weights[at[w]] for w in read.words(text))
                 out.append(1 / (1 + math.exp(-max(-700.0, min(700.0, z)))) if weights is not None else 0.0)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.float64())], ["doc_id", "score"])
 

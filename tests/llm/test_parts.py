@@ -228,6 +228,17 @@ def test_deobfuscation():
     assert toxicity.restore("a plain text, 2023-01-02", model, {}) == ["a", "plain", "text"]
 
 
+def test_deobfuscation_at_ends_and_of_doubled_letters():
+    plain = "you are an idiot and a stupid clown they say the moron is a loser and worthless disgusting trash ass".split()
+    counts = toxicity.count_words(Counter(plain * 20))
+    model, reader = toxicity.CharModel(counts), toxicity.Reader(counts)
+    forms = [("idio7", "idiot"), ("idio+", "idiot"), ("worthle55", "worthless"), ("worthles$", "worthless"), ("disgustin9", "disgusting"), ("a$$", "ass"), ("stuupid", "stupid"), ("iidiiot", "idiot"), ("clown!", "clown"), ("a $ s", "ass")]
+    for text, word in forms:
+        assert word in toxicity.restore(text, model, {}), text
+        assert word in reader.words(f"they say {text}, the end"), text
+    assert reader.words("a plain text, 2023-01-02") == {"a", "plain", "text"}
+
+
 def test_slots_agree():
     text = "   aß\U0001f600c "
     codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
