@@ -1,7 +1,7 @@
 """Best-fit packing by exact-complement hashing.
 
 Documents are tokenized, closed by an end token and, only where longer than a sequence, cut into
-pieces. The plan is made on counts by length, at most CAPACITY of them, whatever the number of
+pieces: very long texts give many. The plan is made on counts by length, at most CAPACITY of them, whatever the number of
 pieces: from the longest length down, the gap that a piece leaves is looked up among the lengths
 that are still available, as one length, as a pair and as a triple; a combination that fills the
 gap exactly is used as many times at once as the counts allow. Only where none does, the longest
@@ -11,12 +11,14 @@ The plan is a list of (lengths of a sequence, times). Pieces are numbered within
 two-level counts, so that no task holds all pieces of a frequent length, and each number has its
 place in the plan.
 
-A null text is empty; an empty text is one end token; rows that repeat are packed each. Empty
-tables give empty results.
+A null text is empty; an empty text is one end token; a null doc_id is a value like others, and
+comes last of its length; rows that repeat or tie are packed each, in any order among themselves.
+Other columns of the input, whatever their names, play no part. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -66,6 +68,18 @@ class Memo:
 
 
 _tokenizer = None
+#: The settings of a tokenizer that encoded() may take word by word.
+_BY_WORDS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+}
 
 
 def _path(tokenizer: str) -> str:
@@ -92,7 +106,8 @@ def encoded(texts: list[str], tokenizer: str = TOKENIZER) -> list[bytes]:
     The tokenizer drops white space and no token reaches across it, so that a text's ids are those
     of its words, one after the other. It also lower-cases, and parts letters from signs: letters
     go to its model directly, in its letters for bytes; other words go through all of it. Each
-    word is put together from such parts once, each part encoded once."""
+    word is put together from such parts once, each part encoded once. A tokenizer whose settings
+    are others than _BY_WORDS encodes whole texts."""
     global _tokenizer
     if _tokenizer is None or _tokenizer[0] != tokenizer:
         import os
@@ -101,8 +116,11 @@ def encoded(texts: list[str], tokenizer: str = TOKENIZER) -> list[bytes]:
         from tokenizers import Tokenizer
 
         made = Tokenizer.from_file(_path(tokenizer))
-        _tokenizer = (tokenizer, made, made.model, Memo(), Memo())
-    _, made, model, words, parts = _tokenizer
+        settings = json.loads(made.to_str())
+        _tokenizer = (tokenizer, made, made.model, Memo(), Memo(), all(settings[k] == v for k, v in _BY_WORDS.items()))
+    _, made, model, words, parts, by_words = _tokenizer
+    if not by_words:
+        return [np.array(e.ids, "<u4").tobytes() for e in made.encode_batch_fast(texts, add_special_tokens=False)]
     words.turn()
     parts.turn()
     split = [t.encode().split() for t in texts]
@@ -148,7 +166,8 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
 
 
 def plan(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """counts[n]: pieces of length n. Sequences as (lengths, times)."""
+    """counts[n]: pieces of length n. Sequences as (lengths, times). Pieces that the sequence in
+    hand holds are taken off the counts at once, so that every look-up sees all that is left."""
     left = np.array(counts, np.int64)
     left = np.r_[left, np.zeros(max(0, capacity + 1 - len(left)), np.int64)]
     out: list[tuple[tuple[int, ...], int]] = []
@@ -157,46 +176,45 @@ def plan(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[int,
         """Available lengths, longest first."""
         return np.flatnonzero(left[1 : upto + 1])[::-1] + 1
 
-    def enough(combo: tuple[int, ...]) -> bool:
-        return all(left[n] >= combo.count(n) for n in set(combo))
-
-    def pair(gap: int, most: int, held: tuple[int, ...]) -> tuple[int, ...] | None:
+    def pair(gap: int, most: int) -> tuple[int, int] | None:
         a = lengths(min(gap - 1, most))
         a = a[2 * a >= gap]
-        for n in a[left[gap - a] > 0][:8]:
-            if enough((*held, int(n), gap - int(n))):
-                return int(n), gap - int(n)
-        return None
+        a = a[left[gap - a] > (2 * a == gap)]  # two of the same must both be there
+        return (int(a[0]), gap - int(a[0])) if len(a) else None
 
-    def complement(gap: int, held: tuple[int, ...]) -> tuple[int, ...] | None:
+    def complement(gap: int) -> tuple[int, ...] | None:
         """One, two or three available lengths that add up to gap."""
-        if left[gap] and enough((*held, gap)):
+        if left[gap]:
             return (gap,)
-        if two := pair(gap, gap, held):
+        if two := pair(gap, gap):
             return two
-        for c in lengths(gap - 2):
-            c = int(c)
+        for c in map(int, lengths(gap - 2)):
             if 3 * c < gap:
                 break
-            if two := pair(gap - c, c, (*held, c)):
+            left[c] -= 1
+            two = pair(gap - c, c)
+            left[c] += 1
+            if two:
                 return (c, *two)
         return None
 
     for longest in range(capacity, 0, -1):
         while left[longest] > 0:
-            held, gap = (longest,), capacity - longest
-            while gap:
-                if (rest := complement(gap, held)) is not None:
-                    held, gap = held + rest, 0
-                    break
-                fits = [int(n) for n in lengths(gap)[:64] if enough((*held, int(n)))]
-                if not fits:
-                    break
-                held, gap = (*held, fits[0]), gap - fits[0]
-            times = min(int(left[n]) // held.count(n) for n in set(held))
-            out.append((held, times))
+            held: list[int] = []
+            more: tuple[int, ...] | None = (longest,)
+            gap = capacity
+            while more:
+                for n in more:
+                    left[n] -= 1
+                    gap -= n
+                held += more
+                more = complement(gap) if gap else None
+                if more is None and gap and len(fits := lengths(gap)):
+                    more = (int(fits[0]),)
+            times = 1 + min(int(left[n]) // held.count(n) for n in set(held))
+            out.append((tuple(held), times))
             for n in held:
-                left[n] -= times
+                left[n] -= times - 1
     return out
 
 

@@ -97,6 +97,50 @@ def test_plan(lengths):
     assert n <= math.ceil(sum(lengths) / 24) * 1.5 + 1
 
 
+@pytest.mark.parametrize("n", [65, 70, 80, 85, 90])
+def test_plan_of_distinct_lengths(n):
+    counts = np.r_[0, np.ones(n, int)]
+    assert len(packing.plan(counts)) == math.ceil(n * (n + 1) / 2 / 4096)
+
+
+def fewest(lengths, capacity):
+    """Sequences that an exact search needs."""
+    best = len(lengths)
+
+    def place(k, loads):
+        nonlocal best
+        if len(loads) >= best:
+            return
+        if k == len(lengths):
+            best = len(loads)
+            return
+        for i in range(len(loads)):
+            if loads[i] + lengths[k] <= capacity and loads[i] not in loads[:i]:
+                place(k + 1, [*loads[:i], loads[i] + lengths[k], *loads[i + 1 :]])
+        place(k + 1, [*loads, lengths[k]])
+
+    place(0, [])
+    return best
+
+
+@given(st.lists(st.integers(1, 24), min_size=1, max_size=9))
+@settings(max_examples=100, deadline=None)
+def test_plan_against_an_exact_search(lengths):
+    got = sum(t for _, t in packing.plan(np.bincount(lengths, minlength=25), 24))
+    want = fewest(sorted(lengths, reverse=True), 24)
+    assert want <= got <= want + (want > 1)  # best fit may need one more, but never of one
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_other_tokenizers_encode_whole_texts(name):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(public_tokenizers.path(name))
+    for t in ("Hello World, again", "  it's\n\n", ""):
+        assert np.frombuffer(packing.encoded([t], name)[0], "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids
+
+
 @given(st.lists(st.text(alphabet=st.sampled_from("ab \n\tÉ'sΣ́ <|endoftext|>1!"), max_size=40), min_size=1, max_size=5))
 @settings(max_examples=60, deadline=None)
 def test_encoding_by_words(texts):
