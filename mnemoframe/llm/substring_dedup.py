@@ -1,27 +1,27 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut into sentences after . ! or ? before white space and at line ends; a sentence of
-more than MIN_WORDS words counts as several, of LONG words at most, cut after the word of the least
-hash of each LONG neighbouring words. So cuts depend on at most LONG - 1 words to either side, not
-on where the sentence began, and a passage that begins or ends inside sentences is cut alike
-everywhere but near its ends. A sentence of LONG to MIN_WORDS words is cut once, after LONG. Every run of RUN consecutive sentences
-with MIN_WORDS words at least is hashed (64 bits, over its words, so that white space doesn't
-matter). Runs are joined over all documents; of runs that are equal, the first by (doc_id, place)
-stays, and each sentence that any other one covers is removed, with the white space after it. Only
-the first and last few words of a repeat, where cuts still depend on what surrounds it or which are
-too few for a run, can be left of it.
-
-Rows of the same doc_id and text are one document and are treated alike. A null doc_id comes last;
-a null text is empty. Texts without a run stay as they are. Empty tables give empty results.
-
-Counting shuffles only hashes; occurrences meet the repeated hashes in a join in which a hot hash
-can be split; whole texts are shuffled once, by document.
+A text is cut into sentences after . ! or ? before white space and at line ends. Every run of RUN
+consecutive sentences, or of as many more as MIN_WORDS words take, is hashed (64 bits, over its
+words, so that white space doesn't matter). Runs are joined over all documents; of runs that are
+equal, the first by (doc_id, place) stays, and each sentence that any other one covers is removed,
+with the white space after it. Sentences are kept or removed whole: where a repeat begins or ends
+inside a sentence, that sentence stays. Short lines that many texts share, which no run of
+MIN_WORDS words lies in, stay as well.
+
+Rows of the same doc_id and text are one document and are treated alike; other ties can't be. A
+null doc_id comes last; a null text is empty. Texts without a run stay as they are. A very long
+text is cut like any other, whole, in one task; its runs are rows of their own. Other columns of
+the input, whatever their names, play no part. Empty tables give empty results.
+
+Only hashes are shuffled to find what repeats. Hashes of more than HOT occurrences are so few that
+they are broadcast, and their occurrences are settled where they are read; the others meet their
+first places in a join whose largest group is bounded by HOT. Whole texts are shuffled once, by
+document.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,62 +31,30 @@ from pyspark.sql import functions as F
 
 from .common import TMP, materialize, text_or_empty
 
-RUN = 3
-MIN_WORDS = 12
-LONG = 8
+RUN = 2
+MIN_WORDS = 20
+#: Most hashes that are broadcast; HOT, the occurrences beyond which one is, grows with the input.
+MAX_HOT = 20_000
+LEAST_HOT = 1000
 
 _END = re.compile(r"(?:(?<=[.!?])[\x20\x09\x0B-\x0D]+|[\x20\x09\x0B-\x0D]*\n)[\x20\x09-\x0D]*")
-_WORD = re.compile(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
-
-
-def content_cuts(words: list[bytes], sizes: list[int], long: int) -> list[list[int]]:
-    """Where sentences of sizes[i] words, more than long each, are cut, as counts of words before
-    the cut; the sentence's end is the last one."""
-    h = np.fromiter(map(zlib.crc32, words), np.int64, len(words))
-    key = (h << 31) | np.arange(len(words), 0, -1)  # of equal hashes, the last one
-    least = key[: len(key) - long + 1].copy()
-    for i in range(1, long):
-        np.minimum(least, key[i : i + len(least)], out=least)
-    bounds = np.r_[0, np.cumsum(sizes)]
-    sentence = np.repeat(np.arange(len(sizes)), sizes)
-    inside = sentence[: len(least)] == sentence[long - 1 :]
-    after = len(words) - (least[inside] & 0x7FFFFFFF) + 1
-    after = np.unique(np.r_[after, bounds[1:]])
-    upto = [0, *np.searchsorted(after, bounds[1:], "right").tolist()]
-    at = (after - np.repeat(bounds[:-1], np.diff(upto))).tolist()
-    return [at[a:b] for a, b in zip(upto, upto[1:], strict=False)]
-
-
-def sentences(text: str, long: int = LONG, whole: int = MIN_WORDS) -> tuple[list[int], list[bytes], list[int]]:
+
+
+def sentences(text: str) -> tuple[list[int], list[bytes], list[int]]:
     """Where each sentence ends (white space after it counted), its words, and how many they are.
-    White space at the start belongs to the first sentence. Sentences of more than whole words are
-    cut by content."""
-    whole = max(whole, long)
-    found: list[list] = []  # start, end, words
+    White space at the start belongs to the first sentence."""
+    ends: list[int] = []
+    bodies: list[bytes] = []
+    counts: list[int] = []
     start = 0
     for end in [*(m.end() for m in _END.finditer(text)), len(text)]:
-        words = text[start:end].encode().split()
-        if words:
-            found.append([start, end, words])
-            start = end
-        elif end > start and found:
-            found[-1][1] = start = end  # at the start of the text, it goes with what follows
-    wide = [words for _, _, words in found if len(words) > whole]
-    by_content = iter(content_cuts([w for words in wide for w in words], [len(words) for words in wide], long) if wide else ())
-    ends, bodies, counts = [], [], []
-    for start, end, words in found:
-        if len(words) <= long:
+        if words := text[start:end].encode().split():
             ends.append(end)
             bodies.append(b" ".join(words))
             counts.append(len(words))
-        else:
-            cuts = [m.end() for m in _WORD.finditer(text, start, end)]
-            at = 0
-            for k in next(by_content) if len(words) > whole else [*range(long, len(words), long), len(words)]:
-                ends.append(cuts[k - 1])
-                bodies.append(b" ".join(words[at:k]))
-                counts.append(k - at)
-                at = k
+            start = end
+        elif end > start and ends:
+            ends[-1] = start = end  # at the start of the text, it goes with what follows
     return ends, bodies, counts
 
 
@@ -117,7 +85,7 @@ def run_hashes(bodies: list[bytes], counts: list[int], run: int = RUN, min_words
     return out.view(np.int64)
 
 
-def occurrences(docs: DataFrame, id_col: str, text_col: str, run: int, min_words: int, long: int) -> DataFrame:
+def occurrences(docs: DataFrame, id_col: str, text_col: str, run: int, min_words: int) -> DataFrame:
     """(h, id, key, at) of each run; key: hash of the whole text."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,7 +94,7 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str, run: int, min_words
                 batch = whole.slice(start, 512)
                 rows, hs, ats = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
                 for i, text in enumerate(batch.column("text").to_pylist()):
-                    _, bodies, counts = sentences(text, long, min_words)
+                    _, bodies, counts = sentences(text)
                     h = run_hashes(bodies, counts, run, min_words)
                     rows.append(np.full(len(h), i))
                     hs.append(h)
@@ -139,22 +107,29 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str, run: int, min_words
     return materialize(rows.mapInArrow(hashed, f"h long, id {rows.schema['id'].dataType.simpleString()}, key long, at int"), "runs")
 
 
-def repeated_runs(docs: DataFrame, id_col: str, text_col: str, run: int, min_words: int, long: int) -> DataFrame:
+def repeated_runs(docs: DataFrame, id_col: str, text_col: str, run: int, min_words: int) -> DataFrame:
     """(id, key, starts): the first sentences of the runs of a document that aren't the first of
     their kind, sorted."""
-    runs = occurrences(docs, id_col, text_col, run, min_words, long)
-    twice = materialize(runs.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), "repeated").hint("merge")
-    found = materialize(runs.join(twice, "h", "left_semi"), "found")
+    runs = occurrences(docs, id_col, text_col, run, min_words)
+    twice = materialize(runs.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"), "repeated")
+    n = twice.agg(F.sum("c")).first()[0] or 0
+    hot = F.broadcast(twice.where(F.col("c") > max(LEAST_HOT, n // MAX_HOT)).select("h"))  # at most MAX_HOT rows
+    cold = twice.join(hot, "h", "left_anti").select("h").hint("merge")
     place = F.struct(F.col("id").isNull().alias("n"), F.col("id"), F.col("key"), F.col("at"))
-    first = found.groupBy("h").agg(F.min(place).alias("first"))
-    later = found.join(first, "h").where(~F.col("first").eqNullSafe(place))
-    return later.groupBy("id", "key").agg(F.array_sort(F.collect_set("at")).alias("starts"))
+
+    def later(found: DataFrame, of_hash) -> DataFrame:
+        first = found.groupBy("h").agg(F.min(place).alias("first"))
+        return found.join(of_hash(first), "h").where(~F.col("first").eqNullSafe(place)).select("id", "key", "at")
+
+    often, seldom = runs.join(hot, "h", "left_semi"), materialize(runs.join(cold, "h", "left_semi"), "found")
+    every = later(often, F.broadcast).unionByName(later(seldom, lambda first: first))
+    return every.groupBy("id", "key").agg(F.array_sort(F.collect_set("at")).alias("starts"))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, min_words: int = MIN_WORDS, long: int = LONG) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
     """One row for each row of docs: doc_id, text without what is removed, n_sentences, n_removed,
     removed (spans of the old text, in code points, in order, apart from each other)."""
-    starts = repeated_runs(docs, id_col, text_col, run, min_words, long)
+    starts = repeated_runs(docs, id_col, text_col, run, min_words)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -162,7 +137,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 batch = whole.slice(begin, 512)
                 texts, n, gone, spans = [], [], [], []
                 for text, marks in zip(batch.column("text").to_pylist(), batch.column("starts").to_pylist(), strict=True):
-                    ends, _, counts = sentences(text, long, min_words)
+                    ends, _, counts = sentences(text)
                     last = run_ends(counts, run, min_words) if marks else ()
                     drop = sorted({k for i in marks or () for k in range(i, last[i])})
                     cuts: list[list[int]] = []

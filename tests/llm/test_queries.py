@@ -136,26 +136,40 @@ def test_op7_held_out_accuracy(spark):
     assert (rank[out.toxic == 1].sum() - n1 * (n1 + 1) / 2) / (n1 * n0) > 0.75
 
 
-def test_op8(spark, docs):
-    from mnemoframe.llm.substring_dedup import sentences
+def sentences(text):
+    """(end, words) of each sentence: it closes with a word that ends in . ! or ? or that a line
+    end follows, and holds the white space up to the next word."""
+    spans = list(re.finditer(r"[^\x20\x09-\x0D]+", text))
+    out, held = [], []
+    for k, m in enumerate(spans):
+        held.append(m[0])
+        end = spans[k + 1].start() if k + 1 < len(spans) else len(text)
+        if m[0][-1] in ".!?" or "\n" in text[m.end() : end] or k + 1 == len(spans):
+            out.append((end, tuple(held)))
+            held = []
+    return out
+
 
+def test_op8(spark, docs):
     got = result(spark, "op8_substring_dedup")
     cut = {i: sentences(docs.text[i]) for i in docs.index}
     where = defaultdict(list)
     for i in sorted(docs.index):
-        _, body, n = cut[i]
+        body = [w for _, w in cut[i]]
         for k in range(len(body)):
-            end = next((e for e in range(k + 3, len(body) + 1) if sum(n[k:e]) >= 12), None)
+            end = next((e for e in range(k + 2, len(body) + 1) if sum(map(len, body[k:e])) >= 20), None)
             if end:
                 where[tuple(body[k:end])].append((i, k, end))
     drop = defaultdict(set)
     for places in where.values():
         for i, k, end in sorted(places)[1:]:
             drop[i] |= set(range(k, end))
+    assert drop
     for i, t in docs.text.items():
-        ends = cut[i][0]
+        ends = [e for e, _ in cut[i]]
         left = "".join(t[(ends[j - 1] if j else 0) : ends[j]] for j in range(len(ends)) if j not in drop[i]) if ends else t
         assert got.text[i] == left and got.n_removed[i] == len(drop[i]) and got.n_sentences[i] == len(ends)
+        assert all(s.end in ends and (s.start in ends or s.start == 0) for s in got.removed[i])  # none ends inside a sentence
 
 
 def test_op9(spark, docs):
