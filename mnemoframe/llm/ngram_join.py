@@ -7,19 +7,24 @@ compared by 64-bit hashes.
 
 1. Each text gives a digest of its set and MinHash band keys. Texts of equal sets form one copy
    class, whose first row (smallest doc_id, null last) stands for it from there on.
-2. Band keys of the representatives are shuffled; each bucket links its members to its smallest
-   row, so that links stay in proportion to rows. Connected components of those stars are
-   candidate clusters: no pair that shares a bucket lies across two of them.
-3. Clusters are cut into blocks of BLOCK sets; every pair of blocks of one cluster is one unit of
-   work, in which all pairs are verified on their full sets at once. Units yield counts and a
-   spanning forest, never the pairs, so that large groups of near copies run on many tasks.
-4. Components of the verified forests are the classes.
-
-Copies are never compared with each other. No bucket, cluster or partner count is capped. The
-number of links needs every pair of a cluster once, which is the one cost that grows with the
-square of a cluster's distinct texts. Banding finds a pair at the threshold with probability
-RECALL at least, a more similar one with more. Empty tables give empty results; rows that repeat
-are copies; null texts are empty.
+2. Band keys of the representatives are shuffled into buckets. A row's home is the largest bucket
+   that it is in. Two rows that share a bucket are compared in the unit of their two homes, and
+   only there, however many buckets they share; rows meet in a unit only if both lie in a bucket
+   that the two homes share. So work follows the buckets, not what they are connected to: a chain
+   of texts, each like its neighbours alone, has one small unit a link.
+3. Units are cut into blocks of BLOCK sets; every pair of blocks is one piece of work, in which all
+   its pairs are verified on their full sets at once. It yields counts and a spanning forest, never
+   the pairs, so that large groups of near copies run on many tasks.
+4. Connected components of the verified forests are the classes.
+
+Copies are never compared with each other. No bucket, unit or partner count is capped. The number
+of links needs every pair within a bucket once, which is the one cost that grows with the square
+of a bucket's distinct texts. Banding finds a pair at the threshold with probability RECALL at
+least, a more similar one with more.
+
+Empty tables give empty results; rows that repeat are copies; null texts are empty; ties of doc_id
+go by row. A very long text is one set like any other, in the task that reads it. Other columns of
+the input, whatever their names, play no part, and pass through ``deduplicate`` untouched.
 """
 
 from __future__ import annotations
@@ -181,6 +186,25 @@ def verify_block(x: list[tuple], y: list[tuple] | None, threshold: float) -> tup
     return counts, [(r, find(r)) for r in parent if find(r) != r]
 
 
+def work_units(keyed: DataFrame) -> DataFrame:
+    """keyed: (row, band), a row for each band key. (row, h0, h1, side) for each unit of two homes
+    that the row takes part in, being of the home h0 (side 0) or h1 (side 1)."""
+    sizes = materialize(keyed.groupBy("band").agg(F.count("*").alias("c")).where("c > 1"), "sizes")
+    shared = materialize(keyed.join(sizes, "band"), "buckets")
+    homes = shared.groupBy("row").agg(F.max(F.struct("c", "band")).alias("m")).select("row", F.col("m.band").alias("home"))
+    member = materialize(shared.join(homes, "row").select("row", "band", "home"), "members")
+    others = member.groupBy("band", "home").agg(F.lit(1).alias("_")).select("band", F.col("home").alias("other"))
+    met = member.join(others, "band").select("row", F.least("home", "other").alias("h0"), F.greatest("home", "other").alias("h1"), (F.col("home") > F.col("other")).cast("int").alias("side"))
+    return met.distinct()
+
+
+def blocked(units: DataFrame) -> DataFrame:
+    """work_units() with n0 and n1, the blocks of either side of the unit."""
+    count = lambda side: F.greatest(F.lit(1), F.ceil(F.count_if(F.col("side") == side) / BLOCK)).cast("int")
+    unit = units.groupBy("h0", "h1").agg(count(0).alias("n0"), count(1).alias("n1"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return units.join(broadcast_if_small(unit, "blocks", MAX_BROADCAST), ["h0", "h1"])
+
+
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """One row for each row of docs: row, id, key, class_row (shared by the class), kept (the
     smallest id of its class, then the smallest row), n_links (linked documents, copies counted)
@@ -190,70 +214,71 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     first = F.min(F.struct(F.col("id").isNull().alias("n"), "id", "row"))["row"]
     classes = materialize(signed.groupBy("digest").agg(first.alias("rep"), F.count("*").alias("copies")), "classes")
     reps = signed.join(classes.withColumnRenamed("digest", f"{TMP}d"), (F.col("row") == F.col("rep")) & (F.col("digest") == F.col(f"{TMP}d")))
-    keyed = reps.select("row", F.explode("bands").alias("band"))
-    buckets = keyed.groupBy("band").agg(F.min("row").alias("low"), F.count("*").alias("c")).where("c > 1").drop("c")
-    stars = keyed.join(buckets, "band").where("row != low").select(F.col("row").alias("u"), F.col("low").alias("v"))
-    clusters = materialize(connected_components(stars).withColumnsRenamed({"node": "row", "component": "cluster"}), "clusters")
-    blocks = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    wanted = clusters.join(blocks, "cluster").join(reps.select("row", "id", "key", "copies", "digest"), "row")
+    units = blocked(materialize(work_units(reps.select("row", F.explode("bands").alias("band"))), "units"))
+    dealt = units.groupBy("row").agg(F.collect_list(F.struct("h0", "h1", "side", "n0", "n1")).alias("units"))
+    wanted = dealt.join(reps.select("row", "id", "key", "copies"), "row")
     verified = _verified(docs, broadcast_if_small(wanted, "candidates", MAX_BROADCAST), id_col, text_col, shingle, threshold)
     counts = verified.where("other is null").groupBy("row").agg(F.sum("links").alias("links"), F.sum("texts").alias("texts"))
-    edges = verified.where("other is not null")
-    # A cluster of one block is spanned by stars already.
-    whole = edges.where("alone").select("row", F.col("other").alias("root"))
-    roots = whole
-    if not edges.where("not alone").isEmpty():
-        roots = roots.unionByName(connected_components(edges.where("not alone").select(F.col("row").alias("u"), F.col("other").alias("v"))).select(F.col("node").alias("row"), F.col("component").alias("root")))
-    of_rep = classes.join(roots.withColumnRenamed("row", "rep"), "rep", "left").join(counts.withColumnRenamed("row", "rep"), "rep", "left")
+    edges = verified.where("other is not null").select(F.col("row").alias("u"), F.col("other").alias("v"))
+    roots = connected_components(edges).select(F.col("node").alias("rep"), F.col("component").alias("root"))
+    of_rep = classes.join(roots, "rep", "left").join(counts.withColumnRenamed("row", "rep"), "rep", "left")
     of_rep = of_rep.select("digest", F.coalesce("root", "rep").alias("class_row"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("texts", F.lit(0)).alias("n_text_links"))
     placed = materialize(signed.select("row", "id", "key", "digest").join(of_rep, "digest").drop("digest"), "placed")
-    heads = placed.groupBy("class_row").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "row")).alias("head"), F.count("*").alias("class_size"))
+    heads = materialize(placed.groupBy("class_row").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "row")).alias("head"), F.count("*").alias("class_size")), "heads")
     return placed.join(heads, "class_row").select("row", "id", "key", "class_row", F.col("head.id").alias("class_id"), "class_size", "n_links", "n_text_links", (F.col("row") == F.col("head.row")).alias("kept"))
 
 
 def _verified(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shingle: int, threshold: float) -> DataFrame:
-    """(row, other, links, texts, alone): counts of links, or edges where other isn't null."""
+    """wanted: row, id, key, copies, units. (row, other, links, texts): counts of links, or edges
+    where other isn't null."""
+    unit = "array<struct<h0: long, h1: long, side: int, n0: int, n1: int>>"
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
                 made = [shingle_set(t, shingle).tobytes() for t in batch.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("cluster", "blocks", "row", "copies")), pa.array(made, pa.binary())], ["cluster", "blocks", "row", "copies", "set"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("units", "row", "copies")), pa.array(made, pa.binary())], ["units", "row", "copies", "set"])
 
-    def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, blocks, x, y, seen = None, 1, [], [], set()
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, x, y, seen = None, [], [], set()
 
         def done() -> pa.RecordBatch:
-            counts, edges = verify_block(x, y if key[1] != key[2] else None, threshold) if x and (key[1] == key[2] or y) else ({}, [])
+            one = key[0] == key[1] and key[2] == key[3]
+            counts, edges = verify_block(x, None if one else y, threshold) if x and (one or y) else ({}, [])
             rows = [*counts, *(e[0] for e in edges)]
             other = [*([None] * len(counts)), *(e[1] for e in edges)]
             links = [*(c[0] for c in counts.values()), *([0] * len(edges))]
             texts = [*(c[1] for c in counts.values()), *([0] * len(edges))]
-            return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(other, pa.int64()), pa.array(links, pa.int64()), pa.array(texts, pa.int64()), pa.array([blocks == 1] * len(rows), pa.bool_())], ["row", "other", "links", "texts", "alone"])
+            return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (rows, other, links, texts)], ["row", "other", "links", "texts"])
 
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("cluster", "b0", "b1", "own", "blocks", "row", "copies", "set")]
-            for cluster, b0, b1, own, n, row, copies, made in zip(*cols, strict=True):
-                if (cluster, b0, b1) != key:
+            cols = [batch.column(c).to_pylist() for c in ("h0", "h1", "b0", "b1", "left", "row", "copies", "set")]
+            for h0, h1, b0, b1, left, row, copies, made in zip(*cols, strict=True):
+                if (h0, h1, b0, b1) != key:
                     if key is not None:
                         yield done()
-                    key, blocks, x, y, seen = (cluster, b0, b1), n, [], [], set()
+                    key, x, y, seen = (h0, h1, b0, b1), [], [], set()
                 if row not in seen:  # rows that repeat come once for each
                     seen.add(row)
-                    (x if own == b0 else y).append((row, copies, np.frombuffer(made, np.uint64)))
+                    (x if left else y).append((row, copies, np.frombuffer(made, np.uint64)))
         if key is not None:
             yield done()
 
     text = text_or_empty(text_col)
     read = docs.select(F.col(id_col).alias(f"{TMP}id"), F.md5(text.cast("binary")).alias(f"{TMP}key"), text.alias("text"))
     found = read.join(wanted, (F.col(f"{TMP}key") == F.col("key")) & F.col(f"{TMP}id").eqNullSafe(F.col("id")))
-    whole = found.select("cluster", "blocks", "row", "copies", "text").mapInArrow(sets, "cluster long, blocks int, row long, copies long, set binary")
-    own = F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")
-    pairs = whole.withColumn("own", own).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = pairs.select("cluster", F.least("own", "to").alias("b0"), F.greatest("own", "to").alias("b1"), "own", "blocks", "row", "copies", "set")
-    lined = dealt.repartition("cluster", "b0", "b1").sortWithinPartitions("cluster", "b0", "b1")
-    return materialize(lined.mapInArrow(units, "row long, other long, links long, texts long, alone boolean"), "verified")
+    whole = found.select("units", "row", "copies", "text").mapInArrow(sets, f"units {unit}, row long, copies long, set binary")
+    each = whole.select("row", "copies", "set", F.explode("units").alias("u")).select("row", "copies", "set", "u.*")
+    own = F.pmod(F.xxhash64("row"), F.when(F.col("side") == 0, F.col("n0")).otherwise(F.col("n1"))).cast("int")
+    facing = F.when((F.col("side") == 1) | (F.col("h0") == F.col("h1")), F.col("n0")).otherwise(F.col("n1"))
+    pairs = each.withColumn("own", own).withColumn("to", F.explode(F.sequence(F.lit(0), facing - 1)))
+    alike = F.col("h0") == F.col("h1")
+    b0 = F.when(alike, F.least("own", "to")).otherwise(F.when(F.col("side") == 0, F.col("own")).otherwise(F.col("to")))
+    b1 = F.when(alike, F.greatest("own", "to")).otherwise(F.when(F.col("side") == 0, F.col("to")).otherwise(F.col("own")))
+    dealt = pairs.select("h0", "h1", b0.alias("b0"), b1.alias("b1"), F.when(alike, F.col("own") == b0).otherwise(F.col("side") == 0).alias("left"), "row", "copies", "set")
+    lined = dealt.repartition("h0", "h1", "b0", "b1").sortWithinPartitions("h0", "h1", "b0", "b1")
+    return materialize(lined.mapInArrow(work, "row long, other long, links long, texts long"), "verified")
 
 
 def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: float) -> DataFrame:
