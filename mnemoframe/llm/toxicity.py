@@ -7,16 +7,17 @@
    a stretch is a lattice of characters; Viterbi search over it, exact for the model's contexts,
    gives the letters with the highest joint probability. What the lattice can't change is read as
    it stands, and so are numbers and signs without a letter, unless spaced out. Signs at the end
-   are read both ways, as letters and as silent.
-3. On the restored words of at most MAX_LABELLED labelled rows outside the held-out fold, the words
-   that go with label 1 are found by their log-likelihood ratio, and a logistic regression over
-   them is fitted. Labels are used nowhere else.
-4. Every text is restored and scored by that regression.
+   are read both ways, as letters and as silent. A stretch of any length is decoded as a whole.
+3. On the restored words of at most MAX_LABELLED labelled rows outside the held-out fold, all words
+   of MIN_DOCS documents that go with or against label 1, by their log-likelihood ratio, are the
+   features of a logistic regression with a ridge. Labels are used nowhere else.
+4. Every text is restored and scored by that regression; nothing but restored words is scored.
 
 A null or empty text has no words and gets the score of the intercept. A null doc_id counts as
 held out, as its label can't be known. A document labelled more than once is toxic if one label
-says so. Rows that repeat are scored each. Without labels all scores are 0. Empty tables give
-empty results.
+says so. Rows that repeat or tie are scored each. A very long text is read whole; its score is
+that of the set of its words. Other columns of the input, whatever their names, play no part.
+Without labels all scores are 0. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -38,9 +39,8 @@ from .lm_scoring import held_out
 
 #: Labelled rows that the classifier is fitted on, at most; more are sampled by hash of doc_id.
 MAX_LABELLED = 200_000
-#: Words that the regression has weights for, at most.
-MAX_FEATURES = 2000
-MIN_TOXIC_DOCS = 3
+#: Labelled documents that a feature occurs in, and its log-likelihood ratio, at least.
+MIN_DOCS = 3
 MIN_RATIO = 20.0
 FOLDS = 5
 
@@ -63,9 +63,9 @@ _ANY = re.compile(r"[^\W_]")
 #: Stretches to decode: letters spaced out or separated one by one (group 1), else a word with its signs.
 _STRETCH = re.compile(rf"((?<![^\W_])(?:[^\W_]|[{_SIGNS}])(?:[ .\-_*]{{1,2}}(?:[^\W_]|[{_SIGNS}])(?![^\W_])){{2,}})|[^\W_{_SIGNS}]*(?:[^\W_]|[{_SIGNS}])+")
 _SPLIT = re.compile(r"[ .\-_*]+")
-#: Characters of one stretch that are decoded together; longer ones are decoded in such parts.
-MAX_STRETCH = 400
 MAX_MEMO = 50_000
+#: Characters of a stretch whose reading a task remembers.
+SHORT = 64
 #: Distinct tokens whose words a task keeps.
 MAX_TOKENS = 200_000
 #: Distinct words that a task holds before it passes its counts on.
@@ -172,12 +172,12 @@ def lattice(stretch: str, silent: bool = True) -> list[list[tuple[str, float]]]:
 
 def viterbi(columns: list[list[tuple[str, float]]], model: CharModel) -> str:
     """The most probable letters. States are the last ORDER - 1 of them, which the model's next
-    step depends on, so that the search is exact."""
-    best: dict[str, tuple[float, str]] = {" " * (ORDER - 1): (0.0, "")}
+    step depends on, so that the search is exact. A path is its last letters and the path before."""
+    best: dict[str, tuple[float, tuple | None]] = {" " * (ORDER - 1): (0.0, None)}
     known, logp = model.memo.get, model.logp
     for column in [*columns, [(" ", 0.0)]]:
-        new: dict[str, tuple[float, str]] = {}
-        for context, (p, out) in best.items():
+        new: dict[str, tuple[float, tuple | None]] = {}
+        for context, (p, path) in best.items():
             for letters, q in column:
                 now, at = p + q, context
                 for c in letters:
@@ -186,9 +186,14 @@ def viterbi(columns: list[list[tuple[str, float]]], model: CharModel) -> str:
                     now += logp(at, c) if step is None else step
                     at = key[1:]
                 if at not in new or now > new[at][0]:
-                    new[at] = (now, out + letters)
+                    new[at] = (now, (letters, path))
         best = new
-    return max(best.values())[1].strip()
+    path = max(best.values(), key=lambda x: x[0])[1]
+    out: list[str] = []
+    while path is not None:
+        out.append(path[0])
+        path = path[1]
+    return "".join(reversed(out)).strip()
 
 
 _ALNUM, _SIGN = (np.array([f(chr(i)) for i in range(256)]) for f in (str.isalnum, LEET.__contains__))
@@ -266,18 +271,17 @@ def restore(text: str, model: CharModel, memo: dict[str, str]) -> list[str]:
         if not (_ANY.search(s) if m[1] else _SUSPECT.search(s)):
             out += _WORDS.findall(s)
             continue
-        for at in range(0, len(s), MAX_STRETCH):
-            part = s[at : at + MAX_STRETCH]
-            if part not in memo:
+        if (found := memo.get(s)) is None:
+            bare = s.strip()
+            readings = [viterbi(lattice(bare), model)]
+            if bare and not bare[-1].isalnum():
+                readings.append(viterbi(lattice(bare, silent=False), model))
+            found = " ".join(dict.fromkeys(readings))
+            if len(s) <= SHORT:
                 if len(memo) > MAX_MEMO:
                     memo.clear()
-                bare = part.strip()
-                readings = [viterbi(lattice(bare), model)]
-                if bare and not bare[-1].isalnum():
-                    readings.append(viterbi(lattice(bare, silent=False), model))
-                memo[part] = " ".join(dict.fromkeys(readings))
-            out += _WORDS.findall(memo[part])
-            out += _WORDS.findall(part)  # what stands there may be meant as it stands
+                memo[s] = found
+        out += _WORDS.findall(found)
     return out
 
 
@@ -317,22 +321,21 @@ def log_ratio(toxic: Column, clean: Column, all_toxic: int, all_clean: int) -> C
     cells = ((toxic, with_word, all_toxic), (clean, with_word, all_clean), (all_toxic - toxic, n - with_word, all_toxic), (all_clean - clean, n - with_word, all_clean))
     out = F.lit(0.0)
     for seen, row, col in cells:
-        out = out + F.when(seen > 0, seen * F.log(seen * F.lit(float(n)) / (row * F.lit(float(max(1, col)))))).otherwise(0.0)
+        out = out + F.when(seen > 0, seen * F.log(seen * F.lit(float(n)) / (F.greatest(row, F.lit(1)) * F.lit(float(max(1, col)))))).otherwise(0.0)
     return 2 * out
 
 
-def regression(rows: list[list[int]], labels: np.ndarray, features: int, ridge: float = 0.5, steps: int = 300) -> np.ndarray:
-    """Weights of the features' presence, the intercept last, by accelerated gradient steps."""
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    at = np.array([f for r in rows for f in r], np.int64)
-    w, last, n = np.zeros(features + 1), np.zeros(features + 1), max(1, len(rows))
+def regression(owner: np.ndarray, at: np.ndarray, labels: np.ndarray, features: int, ridge: float = 0.5, steps: int = 500) -> np.ndarray:
+    """Weights of the features' presence, the intercept last, by accelerated gradient steps. Row
+    owner[k] has the feature at[k]."""
+    w, last, n = np.zeros(features + 1), np.zeros(features + 1), max(1, len(labels))
     p = labels.mean() if len(labels) else 0.0
     w[-1] = last[-1] = math.log((p + 1e-4) / (1 - p + 1e-4))
     curve = np.bincount(at, minlength=features) * 0.25 * max(1, np.bincount(owner, minlength=1).max(initial=1)) + ridge
     curve = np.r_[curve, 0.25 * n * 2]
     for k in range(1, steps + 1):
         v = w + (k - 1) / (k + 2) * (w - last)
-        z = np.bincount(owner, v[at], len(rows)) + v[-1]
+        z = np.bincount(owner, v[at], len(labels)) + v[-1]
         err = 1 / (1 + np.exp(-z)) - labels
         grad = np.r_[np.bincount(at, err[owner], features) + ridge * v[:-1], err.sum()]
         last, w = w, v - grad / curve
@@ -367,36 +370,36 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                     toxic, clean = Counter(), Counter()
         yield told()
 
-    sums = once.agg(F.coalesce(F.count_if(F.col("toxic") == 1), F.lit(0)), F.count("*")).first()
+    sums = held.agg(F.coalesce(F.count_if(F.col("toxic") == 1), F.lit(0)), F.count("*")).first()
     all_toxic, all_clean = sums[0], sums[1] - sums[0]
     by_word = held.mapInArrow(counted, "word string, t long, c long").groupBy("word").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     ratio = log_ratio(F.col("t"), F.col("c"), all_toxic, all_clean)
-    # Words of label 1 are found at least thrice as often there as elsewhere.
-    lean = by_word.where((F.col("t") >= MIN_TOXIC_DOCS) & (F.col("t") * (all_clean + 1) > 3 * F.col("c") * (all_toxic + 1)) & (ratio >= MIN_RATIO))
-    words = sorted(r.word for r in lean.orderBy(ratio.desc(), "word").limit(MAX_FEATURES).collect())
-    at = {w: i for i, w in enumerate(words)}
+    lean = by_word.where((F.col("t") + F.col("c") >= MIN_DOCS) & (ratio >= MIN_RATIO))
+    words = sorted(lean.select("word").toArrow()["word"].to_pylist())  # of the labelled rows, a bounded sample
+    at = spark.sparkContext.broadcast({w: i for i, w in enumerate(words)})
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read = reader(run, model, at.keys())
+        known = at.value
+        read = reader(run, model, known.keys())
         for batch in batches:
             labels = batch.column("toxic").to_pylist()
-            found = [sorted(at[w] for w in read.words(text)) for text in batch.column("text").to_pylist()]
-            rows = [(t, f) for t, f in zip(labels, found, strict=True) if f]
-            yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in rows], pa.int32()), pa.array([f for _, f in rows], pa.list_(pa.int32()))], ["toxic", "f"])
+            found = [sorted(known[w] for w in read.words(text)) for text in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int32()), pa.array(found, pa.list_(pa.int32()))], ["toxic", "f"])
 
-    rows = held.mapInArrow(marked, "toxic int, f array<int>").collect() if words else []  # MAX_LABELLED rows at most
-    with_toxic = sum(r.toxic == 1 for r in rows)
-    bare = [(all_toxic - with_toxic, 1.0), (all_clean - (len(rows) - with_toxic), 0.0)]
-    x = [sorted(r.f) for r in rows] + [[] for k, _ in bare for _ in range(max(0, k))]
-    y = np.array([float(r.toxic == 1) for r in rows] + [v for k, v in bare for _ in range(max(0, k))])
-    weights = regression(x, y, len(words)) if len(y) else None
+    weights = None
+    if all_toxic + all_clean:
+        rows = held.mapInArrow(marked, "toxic int, f array<int>").toArrow()  # MAX_LABELLED rows at most
+        lists = rows["f"].combine_chunks()
+        owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+        weights = regression(owner, lists.flatten().to_numpy(), (rows["toxic"].to_numpy() == 1).astype(float), len(words))
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read = reader(run, model, at.keys())
+        known = at.value
+        read = reader(run, model, known.keys())
         for batch in batches:
             out = []
             for text in batch.column("text").to_pylist():
-                z = -np.inf if weights is None else weights[-1] + sum(weights[at[w]] for w in read.words(text))
+                z = -np.inf if weights is None else weights[-1] + sum(weights[known[w]] for w in read.words(text))
                 out.append(1 / (1 + math.exp(-max(-700.0, min(700.0, z)))) if weights is not None else 0.0)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.float64())], ["doc_id", "score"])
 
