@@ -21,9 +21,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a folder of our own only where none is set."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
-    return (base or f"file:///tmp/checkpoints/{os.getuid()}").rstrip("/")
+    """The shared folder that the cluster names. Where none is set, a folder of our own, if all of
+    Spark is this one machine; elsewhere executors would each write to their own disk, and that is
+    an error."""
+    context = spark.sparkContext
+    if base := context.getConf().get("spark.checkpoint.dir", ""):
+        return base.rstrip("/")
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"file:///tmp/checkpoints/{os.getuid()}"
+
+
+def app_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder, deleted with the application."""
+    folder = f"{scratch_dir(spark)}/mnemoframe/{spark.sparkContext.applicationId}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return folder
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -31,11 +45,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     executor costs a read of that table, not a new run of what made it. Row numbers in it are
     stable from then on."""
     spark = df.sparkSession
-    folder = f"{scratch_dir(spark)}/mnemoframe/{spark.sparkContext.applicationId}"
-    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    path = f"{app_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)  # with the application
     return spark.read.schema(df.schema).parquet(path)
 
 

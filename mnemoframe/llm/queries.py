@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from . import chat_format, exact_dedup, lm_scoring, mixing, ngram_join, packing, quality_rules, sharding, substring_dedup, toxicity
-from .common import table
+from .common import app_dir, table
 from .sql import SQL
 
 
@@ -19,8 +20,11 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(table(spark, sf_dir, "documents"))
 
 
-def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard(table(spark, sf_dir, "documents"))
+def op3_sharding(spark: SparkSession, sf_dir: str, n_shards: int = sharding.N_SHARDS) -> DataFrame:
+    """The slot map is kept in the shared folder, a store for each input; called again, the query
+    edits its last version."""
+    store = f"{app_dir(spark)}/slot-maps/{hashlib.md5(sf_dir.encode()).hexdigest()}"
+    return sharding.shard(table(spark, sf_dir, "documents"), n_shards, store=store)
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,8 +5,9 @@ map gives each slot its shard, so that shard sizes in bytes are near equal. When
 added or sizes drift, the map is edited, not rebuilt: only slots that must move do.
 
 A null text has no bytes; a null doc_id is a key like any other; rows that repeat share a slot.
-Positions in a shard are gapless from 0, by slot, then doc_id (null last). Empty tables give
-empty results.
+Positions in a shard are gapless from 0, by slot, then doc_id (null last); ties of doc_id go by
+checksum and size. A very long text counts with all its bytes, and can't be split. Other columns of
+the input, whatever their names, play no part. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -119,8 +120,9 @@ def slot_sizes(rows: DataFrame, n_slots: int = N_SLOTS) -> tuple[list[int], list
 
 def shard(docs: DataFrame, n_shards: int = N_SHARDS, n_slots: int = N_SLOTS, store: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot (the place in the shard), grown_shard,
-    virtual_slot for each row of docs. store: where the versions of the map are kept; with a
-    stored map, its last version is edited to fit the sizes, else a first one is made."""
+    virtual_slot and map_version for each row of docs. store: where the versions of the map are
+    kept; with a stored map, its last version is edited to fit the sizes, else a first one is made.
+    Rows are placed by what the store gives back."""
     spark = docs.sparkSession
     rows = slotted(docs, id_col, text_col, n_slots)
     sizes, counts = slot_sizes(rows, n_slots)
@@ -128,6 +130,7 @@ def shard(docs: DataFrame, n_shards: int = N_SHARDS, n_slots: int = N_SLOTS, sto
     slots = held.rebalanced(sizes, n_shards) if held else SlotMap.balanced(sizes, n_shards)
     if store:
         slots.save(spark, store)
+        slots = SlotMap.load(spark, store)
     cuts = max(1, -(-max(counts, default=0) // ROWS_A_TASK))
     cut = rows.withColumn(f"{TMP}cut", F.pmod(F.xxhash64(F.lit(7), "doc_id", "text_crc32"), F.lit(cuts)).cast("int"))
     placed = cut.join(F.broadcast(slots.frame(spark).select("virtual_slot", "shard")), "virtual_slot")
@@ -136,7 +139,7 @@ def shard(docs: DataFrame, n_shards: int = N_SHARDS, n_slots: int = N_SLOTS, sto
     starts = placed.groupBy(*part).agg(F.count("*").alias(f"{TMP}n")).withColumn(f"{TMP}start", F.coalesce(F.sum(f"{TMP}n").over(before), F.lit(0))).drop(f"{TMP}n")
     nth = F.row_number().over(Window.partitionBy(*part).orderBy(F.asc_nulls_last("doc_id"), "text_crc32", "size"))
     numbered = placed.withColumn(f"{TMP}nth", nth - 1).join(starts, part)
-    return numbered.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col(f"{TMP}start") + F.col(f"{TMP}nth")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
+    return numbered.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col(f"{TMP}start") + F.col(f"{TMP}nth")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.lit(slots.version).alias("map_version"))
 
 
 def _stored(spark: SparkSession, path: str) -> SlotMap | None:
