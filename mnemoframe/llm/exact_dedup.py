@@ -5,12 +5,14 @@ empty. Of equal texts, the row with the most code points stays, then the smalles
 last); of rows that still tie (the same doc_id), exactly one stays.
 
 1. A Misra-Gries pass over the digests (Spark's freqItems, a partial aggregate with at most
-   1/support counters a task) names every digest that more than support * rows rows have.
+   1/support counters a task) names every digest that more than support * rows rows have. A
+   digest that is there once is never heavy, however few the rows.
 2. An exact count verifies them. Fewer than 1/support digests can pass, so that the winners are
    broadcast safely, and rows of those digests are settled map-side.
-3. All other digests go through one ordinary shuffle. No group there exceeds support * rows rows.
+3. All other digests go through one ordinary shuffle. No group there exceeds support * rows rows,
+   or one row.
 
-Empty tables give empty results. Further columns, whatever their names, pass through
+A very long text is digested whole, in the task that reads it. Empty tables give empty results. Further columns, whatever their names, pass through
 ``deduplicate`` untouched.
 """
 
@@ -34,14 +36,14 @@ def _order() -> Column:
 
 
 def heavy_winners(digests: DataFrame, support: float = SUPPORT) -> DataFrame:
-    """(sha, best, size) of every digest that more than support * rows rows have: fewer than
-    1/support rows. digests: the columns sha, len, id and row, each with the prefix of TMP."""
+    """(sha, best, size) of every digest that more than support * rows rows have, and two at least:
+    fewer than 1/support digests. digests: the columns sha, len, id and row, each with the prefix of TMP."""
     sha, key = f"{TMP}sha", f"{TMP}key"
     rows = digests.count()
     keyed = digests.withColumn(key, F.xxhash64(sha))
     named = keyed.stat.freqItems([key], support).select(F.explode(f"{key}_freqItems").alias(key))
     counted = keyed.join(F.broadcast(named), key, "left_semi").groupBy(sha).agg(F.count("*").alias(f"{TMP}size"), F.min(_order()).alias(f"{TMP}best"))
-    return materialize(counted.where(F.col(f"{TMP}size") > support * rows), "heavy")
+    return materialize(counted.where(F.col(f"{TMP}size") > max(1.0, support * rows)), "heavy")
 
 
 def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: float = SUPPORT) -> DataFrame:
