@@ -11,9 +11,11 @@ roles and texts, a run of backslashes between < and | gets one backslash more, s
 can occur there; taking one away restores the text.
 
 Turns are ordered by turn (null first), then role and text; a null role or text is empty; rows
-with a null conv_id form one conversation. Rows that repeat are turns each. A conversation is
-rendered by one task, and must fit in its memory, as its tokens are one training example; the
-turns of a conversation reach it sorted, in batches. Empty tables give empty results.
+with a null conv_id form one conversation. Rows that repeat or tie are turns each. A very long
+text is one turn like any other. A conversation is rendered by one task, and must fit in its
+memory, as its tokens are one training example; the turns of a conversation reach it sorted, in
+batches. Other columns of the input, whatever their names, play no part. Empty tables give empty
+results.
 """
 
 from __future__ import annotations

@@ -9,7 +9,9 @@ integer quotas for each shard. A shard's documents lie in an order seeded by a h
 its quota of blocks is taken from the front of that order, all of it again as often as the quota
 holds it whole: with the order being random, so is the choice. A block may end inside a document.
 
-A null text has no words. Null doc_ids share one place in the order. A source with few words may
+A null text has no words. Null doc_ids share one place in the order; ties in it go by size and row.
+A very long text is one document, which a block may end inside. Other columns of the input,
+whatever their names, play no part, and pass through ``mix`` untouched. A source with few words may
 get no block; a source's taken words differ from its target by about a block. No document is
 taken more than MAX_REPEATS times. Empty tables give empty results. Only DataFrame functions are
 used. The quotients that are ranked are those near the result (about two a source), never one row
