@@ -45,15 +45,6 @@ def string_list(c: str | Column) -> Column:
     return F.coalesce(F.filter(_col(c), lambda x: x.isNotNull()), F.array().cast("array<string>"))
 
 
-def clean_metadata(**cols: Column) -> Column:
-    """A JSON object of the values that aren't null; empty strings of arrays and objects go too."""
-    return F.to_json(F.struct(*(F.nullif(c, F.array().cast("array<string>")).alias(k) if k.endswith("_ids") or k in LIST_KEYS else c.alias(k) for k, c in cols.items())))
-
-
-#: Metadata keys that hold lists.
-LIST_KEYS = {"participants", "facts", "incorrect_answers"}
-
-
 def tokens(c: str | Column) -> Column:
     return F.regexp_extract_all(_col(c), F.lit(f"({TOKEN_PATTERN})"), 1)
 
@@ -78,7 +69,8 @@ def sentences(c: str | Column) -> Column:
 
 def segments(c: str | Column, max_tokens: int = SEGMENT_TOKENS) -> Column:
     """The sentence whole, if it has few enough tokens, else its words packed greedily; a word
-    with too many tokens stands alone."""
+    with too many tokens stands alone. Segments lose commas, semicolons and spaces at their ends,
+    and go if nothing else is left."""
     whole = F.btrim(collapse(c), F.lit(" ,;"))
 
     def add(a: Column, w: Column) -> Column:
@@ -91,7 +83,8 @@ def segments(c: str | Column, max_tokens: int = SEGMENT_TOKENS) -> Column:
         )
 
     zero = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"), F.lit(0).alias("n"))
-    packed = F.aggregate(F.split(whole, " "), zero, add, lambda a: F.when(a["cur"] == "", a["done"]).otherwise(F.concat(a["done"], F.array(a["cur"]))))
+    packed = F.aggregate(F.split(whole, " "), zero, add, lambda a: F.concat(a["done"], F.array(a["cur"])))
+    packed = F.filter(F.transform(packed, lambda s: F.btrim(s, F.lit(" ,;"))), lambda s: s != "")
     return F.when(whole == "", F.array().cast("array<string>")).when(F.size(tokens(whole)) <= max_tokens, F.array(whole)).otherwise(packed)
 
 

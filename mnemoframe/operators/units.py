@@ -30,22 +30,33 @@ def message_accessors(rows: DataFrame) -> DataFrame:
 
 
 def raw_units(messages: DataFrame, target_roles: list[str] | None = None) -> DataFrame:
-    """One unit a message. Positions count all messages, filtered or not."""
-    role = F.lower(F.coalesce(text.first_text("role", "speaker"), F.lit("")))
-    kept = messages.where(F.coalesce(text.strip("content"), F.lit("")) != "")
+    """One unit a message, stripped. Positions count all messages, filtered or not; roles are
+    compared without case, a speaker standing in only where there is no role."""
+    role = message_role()
+    kept = messages.where(text.text_or_empty("content") != "")
     if target_roles:
-        kept = kept.where(role.isin([r.lower() for r in target_roles]) | F.lower("speaker").isin([r.lower() for r in target_roles]))
+        kept = kept.where(role.isin([r.lower() for r in target_roles]))
     place = F.format_string("c%d:m%d", "conv_ix", "msg_ix")
-    ts = F.col("ts_raw")
+    ts = text.text_or_null("ts_raw").alias("ts_raw")
     return kept.select(
-        "scope_id", F.concat_ws(":", "scope_id", place).alias("unit_id"), F.col("content").alias("text"), ts, ts.alias("available_at_raw"), ts.alias("source_time_start"),
+        "scope_id", F.concat_ws(":", "scope_id", place).alias("unit_id"), text.strip("content").alias("text"), ts, ts.alias("available_at_raw"), ts.alias("source_time_start"),
         ts.alias("source_time_end"), F.array(F.coalesce("message_id", place)).alias("source_ids"), F.lit("raw_message").alias("memory_type"), F.array().cast("array<string>").alias("tags"),
         role.alias("role"),
     )
 
 
+def message_role(role: str = "role", speaker: str = "speaker") -> Column:
+    return F.lower(text.text_or_empty(F.coalesce(text.first_text(role, speaker), F.lit(""))))
+
+
 def speaker_key(role: str = "role", speaker: str = "speaker") -> Column:
-    return F.coalesce(text.first_text(speaker, role), F.lit("unknown"))
+    return F.coalesce(text.text_or_null(speaker), text.text_or_null(message_role(role, speaker)), F.lit("unknown"))
+
+
+def speaker_id(key: str = "speaker_key") -> Column:
+    """The first eight digits of the SHA-1 of the name as a JSON string."""
+    as_json = F.regexp_extract(F.to_json(F.struct(F.col(key).alias("k"))), r'(?s)^\{"k":(.*)\}$', 1)
+    return F.substring(F.sha1(as_json), 1, 8)
 
 
 def chunked(messages: DataFrame, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
@@ -53,7 +64,7 @@ def chunked(messages: DataFrame, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
     a chunk as long as its tokens allow; one that is too large stands alone. Only positions and
     token counts are gathered for a conversation, never its texts."""
     rendered = F.concat(F.lit("speaker: "), speaker_key(), F.lit("\ncontent: "), F.col("content"))
-    kept = messages.where(F.coalesce(text.strip("content"), F.lit("")) != "").withColumn("tok", text.token_count(rendered))
+    kept = messages.withColumn("content", text.text_or_empty("content")).where("content != ''").withColumn("tok", text.token_count(rendered))
     most = max(1, chunk_tokens)
 
     def add(a: Column, m: Column) -> Column:
@@ -80,11 +91,10 @@ def fact_units(messages: DataFrame, chunk_tokens: int = CHUNK_TOKENS, max_tokens
     said = Window.partitionBy(*chunk, "speaker_key")
     rows = rows.withColumn("unit_ts", F.last("ts_raw").over(said.orderBy("msg_ix").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     facts = rows.select("*", F.posexplode(text.sentences("content")).alias("sent_ix", "sentence")).select("*", F.posexplode(text.segments("sentence", max_tokens)).alias("seg_ix", "segment"))
-    prefix = F.concat("speaker_key", F.lit(" said "))
-    body = F.when(F.startswith(F.lower("segment"), F.lower(prefix)), F.col("segment")).otherwise(F.concat(prefix, "segment"))
+    prefix = F.concat("speaker_key", F.lit(" said"))
+    body = F.when(F.startswith(F.lower("segment"), F.lower(prefix)), F.col("segment")).otherwise(F.concat(prefix, F.lit(" "), "segment"))
     facts = facts.withColumn("fact", F.row_number().over(said.orderBy("msg_ix", "sent_ix", "seg_ix")))
-    h8 = F.substring(F.sha1(F.concat(F.lit('"'), "speaker_key", F.lit('"'))), 1, 8)
-    unit_id = F.concat("scope_id", F.format_string(":c%d:fact_%d_%d:speaker_", "conv_ix", "chunk", "fact"), h8)
+    unit_id = F.concat("scope_id", F.format_string(":c%d:fact_%d_%d:speaker_", "conv_ix", "chunk", "fact"), speaker_id())
     return facts.join(spans, chunk).select(
         "scope_id", unit_id.alias("unit_id"), body.alias("text"), F.col("unit_ts").alias("ts_raw"), F.coalesce("source_time_end", "unit_ts").alias("available_at_raw"),
         "source_time_start", "source_time_end", "source_ids", F.lit("fact").alias("memory_type"), F.array().cast("array<string>").alias("tags"),

@@ -149,9 +149,8 @@ def extracted_units(messages: DataFrame, extract: Callable[[str], str], chunk_to
     replied = asks.mapInPandas(run, f"{kinds}, reply string, outcome string").withColumn("facts", prompts.parse_facts("reply"))
     call_id = F.sha1(F.concat_ws("|", *chunk, "speaker_key"))
     calls = replied.select("scope_id", call_id.alias("call_id"), text.token_count(F.coalesce("reply", F.lit(""))).alias("tokens"), F.when(F.col("outcome") != "ok", F.col("outcome")).when(F.coalesce(F.size("facts"), F.lit(0)) <= 0, F.lit("empty")).otherwise(F.lit("ok")).alias("outcome"))
-    h8 = F.substring(F.sha1(F.concat(F.lit('"'), "speaker_key", F.lit('"'))), 1, 8)
     facts = replied.select("*", F.posexplode("facts").alias("at", "fact"))
-    unit_id = F.concat("scope_id", F.format_string(":c%d:fact_%d_%d:speaker_", "conv_ix", "chunk", F.col("at") + 1), h8)
+    unit_id = F.concat("scope_id", F.format_string(":c%d:fact_%d_%d:speaker_", "conv_ix", "chunk", F.col("at") + 1), units.speaker_id())
     out = facts.select(
         "scope_id", unit_id.alias("unit_id"), F.col("fact.text").alias("text"), "ts_raw", F.coalesce("source_time_end", "ts_raw").alias("available_at_raw"), "source_time_start", "source_time_end", "source_ids", F.lit("fact").alias("memory_type"), F.col("fact.tags").alias("tags"), F.col("speaker_key").alias("role"),
     )

@@ -16,6 +16,8 @@ from .plans import systems
 from .streaming import incremental
 
 TOP_K = 20
+#: Tokens of a chunk.
+CHUNK = 64
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -28,7 +30,10 @@ def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
-            SQL[f.__name__] = sql.replace("{base}", BASE)
+            out = sql
+            for name, part in (("facts", FACTS), ("chunks", CHUNKS), ("pack", PACK), ("base", BASE), ("most", str(CHUNK))):
+                out = out.replace(f"{{{name}}}", part)
+            SQL[f.__name__] = out
         return f
 
     return add
@@ -37,7 +42,7 @@ def query(sql: str | None = None):
 BASE = r"""
     msgs AS (SELECT CAST(conv_id % 10 AS VARCHAR) AS scope_id, conv_id AS conv_ix, turn + 1 AS msg_ix, role, text AS content,
         TIMESTAMP '2024-01-01' + to_days(CAST(conv_id AS INTEGER)) + to_minutes(CAST(turn AS BIGINT)) AS ts FROM conversations),
-    units AS (SELECT scope_id, conv_ix, msg_ix, scope_id || ':c' || conv_ix || ':m' || msg_ix AS unit_id, content AS text, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS ts_raw, ts, role
+    units AS (SELECT scope_id, conv_ix, msg_ix, scope_id || ':c' || conv_ix || ':m' || msg_ix AS unit_id, trim(content, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS text, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS ts_raw, ts, role
         FROM msgs WHERE trim(content) <> ''),
     q AS (SELECT item_id AS question_id, CAST(item_id % 10 AS VARCHAR) AS scope_id, text AS query_text, TIMESTAMP '2024-01-01' + to_days(CAST(item_id * 3 AS INTEGER)) AS qt FROM benchmark),
     toks AS (SELECT *, list_distinct(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9_+\-'']*')) AS w FROM units),
@@ -51,6 +56,35 @@ BASE = r"""
         count(DISTINCT ts_raw) AS context_timepoints FROM q LEFT JOIN packed USING (question_id) GROUP BY q.question_id)"""
 
 
+# A greedy packing in SQL: of the words i to n, a segment that begins at i ends before the first
+# word whose running sum passes the limit; the chain of beginnings is followed by recursion.
+PACK = r"""
+    ws AS (SELECT k, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM src),
+    cum AS (SELECT k, i, word, sum(len(regexp_extract_all(word, '[A-Za-z0-9]+|[^A-Za-z0-9\s]'))) OVER (PARTITION BY k ORDER BY i) AS c, len(regexp_extract_all(word, '[A-Za-z0-9]+|[^A-Za-z0-9\s]')) AS t FROM ws),
+    nxt AS (SELECT a.k, a.i, coalesce(min(b.i), max(a.n) + 1) AS j FROM (SELECT *, max(i) OVER (PARTITION BY k) AS n FROM cum) a LEFT JOIN cum b ON a.k = b.k AND b.i > a.i AND b.c - (a.c - a.t) > 24 GROUP BY ALL),
+    chain(k, i, j) AS (SELECT k, i, j FROM nxt WHERE i = 1 UNION ALL SELECT n.k, n.i, n.j FROM chain c JOIN nxt n ON n.k = c.k AND n.i = c.j),
+    cut AS (SELECT chain.k, chain.i, trim(array_to_string(w[chain.i:chain.j - 1], ' '), ' ,;') AS segment FROM chain JOIN src USING (k)),
+    segs AS (SELECT k, segment, row_number() OVER (PARTITION BY k ORDER BY i) - 1 AS "at" FROM cut WHERE segment <> '')"""
+# A conversation's chunks, by the same recursion over messages.
+CHUNKS = r"""
+    said AS (SELECT scope_id, conv_ix, msg_ix, role, trim(content, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS content, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS ts_raw FROM msgs WHERE trim(content, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> ''),
+    mt AS (SELECT *, row_number() OVER (PARTITION BY scope_id, conv_ix ORDER BY msg_ix) AS i, len(regexp_extract_all('speaker: ' || role || ' content: ' || content, '[A-Za-z0-9]+|[^A-Za-z0-9\s]')) AS t FROM said),
+    mc AS (SELECT *, sum(t) OVER (PARTITION BY scope_id, conv_ix ORDER BY i) AS c, max(i) OVER (PARTITION BY scope_id, conv_ix) AS n FROM mt),
+    mn AS (SELECT a.scope_id, a.conv_ix, a.i, coalesce(min(b.i), max(a.n) + 1) AS j FROM mc a LEFT JOIN mc b ON a.scope_id = b.scope_id AND a.conv_ix = b.conv_ix AND b.i > a.i AND b.c - (a.c - a.t) > {most} GROUP BY ALL),
+    walk(scope_id, conv_ix, i, j, chunk) AS (SELECT scope_id, conv_ix, i, j, 1 FROM mn WHERE i = 1 UNION ALL SELECT n.scope_id, n.conv_ix, n.i, n.j, walk.chunk + 1 FROM walk JOIN mn n ON n.scope_id = walk.scope_id AND n.conv_ix = walk.conv_ix AND n.i = walk.j),
+    chunks AS (SELECT mc.scope_id, mc.conv_ix, mc.msg_ix, mc.role, mc.content, mc.ts_raw, walk.chunk FROM mc JOIN walk ON mc.scope_id = walk.scope_id AND mc.conv_ix = walk.conv_ix AND mc.i >= walk.i AND mc.i < walk.j)"""
+FACTS = r"""
+    sents AS (SELECT scope_id, conv_ix, chunk, msg_ix, role, unnest(parts) AS s, generate_subscripts(parts, 1) AS si FROM (SELECT *, list_filter(list_transform(string_split(regexp_replace(trim(regexp_replace(content, '\s+', ' ', 'g')), '([.!?;:])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ,;')), lambda x: x <> '') AS parts FROM chunks)),
+    src AS (SELECT scope_id || '|' || conv_ix || '|' || chunk || '|' || role || '|' || msg_ix || '|' || si AS k, scope_id, conv_ix, chunk, role, msg_ix, si, string_split(s, ' ') AS w FROM sents),
+    {pack},
+    spans AS (SELECT scope_id, conv_ix, chunk, max(ts_raw) AS last_raw, list('c' || conv_ix || ':m' || msg_ix ORDER BY msg_ix) AS source_ids FROM chunks GROUP BY ALL),
+    own AS (SELECT scope_id, conv_ix, chunk, role, arg_max(ts_raw, msg_ix) AS ts_raw FROM chunks GROUP BY ALL),
+    facts AS (SELECT src.scope_id, src.conv_ix, src.chunk, src.role, segment, row_number() OVER (PARTITION BY src.scope_id, src.conv_ix, src.chunk, src.role ORDER BY src.msg_ix, src.si, "at") AS n FROM segs JOIN src USING (k)),
+    made AS (SELECT f.scope_id, f.scope_id || ':c' || f.conv_ix || ':fact_' || f.chunk || '_' || n || ':speaker_' || substr(sha1('"' || role || '"'), 1, 8) AS unit_id,
+        CASE WHEN starts_with(lower(segment), lower(role || ' said')) THEN segment ELSE role || ' said ' || segment END AS text, own.ts_raw, spans.last_raw AS available_at_raw, array_to_string(spans.source_ids, ',') AS source_ids
+        FROM facts f JOIN spans USING (scope_id, conv_ix, chunk) JOIN own USING (scope_id, conv_ix, chunk, role))"""
+
+
 def messages(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "conversations")
     ts = F.expr("make_timestamp(2024, 1, 1, 0, 0, 0) + make_dt_interval(cast(conv_id as int), 0, cast(turn as int))")
@@ -84,9 +118,14 @@ def raw_units(spark, sf):
     return raw(spark, sf).select("scope_id", "unit_id", "text", "ts_raw", "role")
 
 
-@query("WITH {base} SELECT unit_id, role FROM units WHERE lower(role) IN ('user')")
+@query(r"""WITH {base}, m AS (SELECT unit_id, conv_ix, msg_ix, text, CASE WHEN msg_ix % 5 = 0 THEN '' ELSE ' ' || role END AS role, CASE msg_ix % 3 WHEN 0 THEN 'User' WHEN 1 THEN 'Ann' END AS speaker FROM units)
+    SELECT unit_id, text, lower(trim(coalesce(nullif(role, ''), speaker, ''))) AS role FROM m WHERE lower(trim(coalesce(nullif(role, ''), speaker, ''))) = 'user'""")
 def role_filter(spark, sf):
-    return units.raw_units(messages(spark, sf), ["User"]).select("unit_id", "role")
+    """Messages with padding, some without a role, some with a speaker of another name."""
+    role = F.when(F.col("msg_ix") % 5 == 0, "").otherwise(F.concat(F.lit(" "), "role"))
+    speaker = F.when(F.col("msg_ix") % 3 == 0, "User").when(F.col("msg_ix") % 3 == 1, "Ann")
+    padded = messages(spark, sf).withColumns({"role": role, "speaker": speaker, "content": F.concat(F.lit(" \n"), "content", F.lit("  "))})
+    return units.raw_units(padded, ["User"]).select("unit_id", "text", "role")
 
 
 @query(r"""SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9]+|[^A-Za-z0-9\s]')) AS n_tokens, len(list_distinct(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9_+\-'']*'))) AS n_lexical FROM documents""")
@@ -211,25 +250,30 @@ def sentence_split(spark, sf):
     return raw(spark, sf).select("unit_id", F.explode(text.sentences("text")).alias("sentence")).groupBy("unit_id", "sentence").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(r"""WITH RECURSIVE {base}, src AS (SELECT unit_id AS k, string_split(trim(regexp_replace(text, '\s+', ' ', 'g'), ' ,;'), ' ') AS w FROM units), {pack} SELECT k AS unit_id, "at", segment FROM segs""")
 def word_pack(spark, sf):
     return raw(spark, sf).select("unit_id", F.posexplode(text.segments("text")).alias("at", "segment"))
 
 
-@query()
+@query("WITH RECURSIVE {base}, {chunks} SELECT scope_id, conv_ix, msg_ix, chunk FROM chunks")
 def chunking(spark, sf):
-    return units.chunked(messages(spark, sf), 512).select("scope_id", "conv_ix", "msg_ix", "chunk")
+    return units.chunked(messages(spark, sf), CHUNK).select("scope_id", "conv_ix", "msg_ix", "chunk")
 
 
-@query()
+@query("WITH RECURSIVE {base}, {chunks}, {facts} SELECT scope_id, unit_id, text, ts_raw, available_at_raw, source_ids FROM made")
 def fact_units(spark, sf):
-    return units.fact_units(messages(spark, sf), 512).select("scope_id", "unit_id", "text", "ts_raw", "available_at_raw", "source_ids")
+    made = units.fact_units(messages(spark, sf), CHUNK)
+    return made.select("scope_id", "unit_id", "text", "ts_raw", "available_at_raw", F.array_join("source_ids", ",").alias("source_ids"))
 
 
-@query()
+@query(r"""WITH RECURSIVE {base}, {chunks}, {facts},
+    s AS (SELECT scope_id, CAST(sum(len(regexp_extract_all(content, '[A-Za-z0-9]+|[^A-Za-z0-9\s]'))) AS BIGINT) AS source_tokens FROM msgs GROUP BY scope_id),
+    u AS (SELECT scope_id, len(regexp_extract_all(text, '[A-Za-z0-9]+|[^A-Za-z0-9\s]')) AS n FROM made)
+    SELECT scope_id, any_value(source_tokens) AS source_tokens, count(*) AS unit_count, CAST(sum(n) AS BIGINT) AS unit_tokens, round(avg(n), 9) AS avg_unit_tokens, max(n) AS max_unit_tokens, round(sum(n) / any_value(source_tokens), 9) AS compression
+    FROM u JOIN s USING (scope_id) GROUP BY scope_id""")
 def fact_token_stats(spark, sf):
     m = messages(spark, sf)
-    return units.token_stats(m, units.fact_units(m, 512))
+    return units.token_stats(m, units.fact_units(m, CHUNK)).withColumns({c: F.round(c, 9) for c in ("avg_unit_tokens", "compression")})
 
 
 @query("WITH {base} SELECT scope_id, strftime(min(ts), '%Y-%m-%dT%H:%M:%S') AS first_raw, strftime(max(ts), '%Y-%m-%dT%H:%M:%S') AS last_raw FROM msgs GROUP BY scope_id")

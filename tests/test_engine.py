@@ -1,3 +1,4 @@
+import hashlib
 import json
 import random
 
@@ -32,6 +33,18 @@ def test_raw_units(spark):
     assert units.raw_units(talk(spark, *TWO)).count() == 3
 
 
+def test_roles_padding_and_names(spark):
+    rows = talk(spark, ("p", 1, 1, "assistant", "user", "a", None), ("p", 1, 2, " USER ", None, "  padded  ", " 2024-01-01 "), ("p", 1, 3, "", "User", "c", ""), ("p", 1, 4, None, "Ann", "d", None))
+    got = {r.unit_id: (r.text, r.role, r.ts_raw) for r in units.raw_units(rows, ["user"]).collect()}
+    assert got == {"p:c1:m2": ("padded", "user", "2024-01-01"), "p:c1:m3": ("c", "user", None)}
+    assert {r.role for r in units.raw_units(rows).collect()} == {"assistant", "user", "ann"}
+    named = talk(spark, ("p", 1, 1, "user", 'An"n\\', "Hi there.", None), ("p", 1, 2, "user", "Alice", "Alice said, it rains. She left", None))
+    want = {hashlib.sha1(json.dumps(n).encode()).hexdigest()[:8] for n in ('An"n\\', "Alice")}
+    made = units.fact_units(named).collect()
+    assert {r.unit_id[-8:] for r in made} == want
+    assert {r.text for r in made} == {'An"n\\ said Hi there.', "Alice said, it rains.", "Alice said She left"}
+
+
 def test_fact_units(spark):
     got = {r.unit_id.rsplit(":", 1)[0]: r for r in units.fact_units(talk(spark, *TWO)).collect()}
     assert [got[f"p:c1:fact_1_{i}"].text for i in (2, 3)] == ["Ann said I like tea", "Ann said green tea."] and "p:c2:fact_1_1" in got

@@ -61,7 +61,14 @@ def segments(t, most):
             out.append(" ".join(cur))
             cur = []
         cur.append(w)
-    return [*out, " ".join(cur)]
+    return [s for s in (x.strip(" ,;") for x in [*out, " ".join(cur)]) if s]
+
+
+def test_segments_end_clean(spark):
+    t = " ".join(f"w{i}," for i in range(30))
+    got = one(spark, t, text.segments("x", 24), "string")
+    assert got[0].endswith("w11") and got[1].startswith("w12") and not any(s[-1] in " ,;" for s in got)
+    assert one(spark, "; " * 3 + ", , ,", text.segments("x", 2)) == []
 
 
 def test_segments_and_sentences(spark):
