@@ -68,6 +68,16 @@ def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
 
+def _raised(table: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What adding `more` to each row raises its sum of x log x by, and the diagonal's part of it."""
+    at = np.flatnonzero(more)
+    part = table[:, at]
+    raised = _xlogx(part + more[at]) - _xlogx(part)
+    diag = np.zeros(len(table))
+    diag[at] = raised[at, np.arange(len(at))]
+    return raised.sum(1), diag
+
+
 def exchange(bigrams: np.ndarray, classes: int = CLASSES, fixed: int = 2, sweeps: int | None = None) -> np.ndarray:
     """Class of each item. bigrams: counts, items by items. The last `fixed` items stay alone in
     the first classes. The others start in turn by frequency; each sweep moves every item, most
@@ -96,11 +106,12 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, fixed: int = 2, sweeps
             table[a] -= r
             table[:, a] -= m
             table[a, a] -= s
-            was = _xlogx(table)
-            by_row, by_col = _xlogx(table + r) - was, _xlogx(table + m[:, None]) - was
+            # Rows and columns change only where the word has neighbours; the diagonal comes last.
+            by_row, row_diag = _raised(table, r)
+            by_col, col_diag = _raised(table.T, m)
             d = np.diag(table)
             tr, tc = table.sum(1), table.sum(0)
-            gain = by_row.sum(1) - np.diag(by_row) + by_col.sum(0) - np.diag(by_col) + _xlogx(d + r + m + s) - _xlogx(d)
+            gain = by_row - row_diag + by_col - col_diag + _xlogx(d + r + m + s) - _xlogx(d)
             gain += _xlogx(tr) - _xlogx(tr + r.sum() + s) + _xlogx(tc) - _xlogx(tc + m.sum() + s)
             gain[:fixed] = -np.inf
             b = int(np.argmax(gain))
