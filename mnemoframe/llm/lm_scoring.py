@@ -5,7 +5,7 @@ class; the end has class 0 to itself.
 
 1. The CORE most frequent training words (ties by code point) are clustered by exchange: items
    start in turn by frequency, and are moved, one by one, to the class of the highest likelihood
-   of the training bigrams, until none moves. All other words are one item of their own there.
+   of the training bigrams, until no move gains MIN_GAIN. All other words are one item there.
 2. Every other training word, however rare, then goes to the class under which the neighbours of
    all its occurrences, by their classes, are most probable. This is the same step with the
    classes held fixed, taken for all words at once, from counts that grow with the corpus.
@@ -49,6 +49,8 @@ CORE = 2048
 #: those of words.
 CLASSES = 64
 LOOKUP = 200_000
+#: What the move of a word must gain, in nats for each training bigram: the same at every size.
+MIN_GAIN = 1e-6
 DISCOUNT = 0.75
 #: Pseudo-count of each token in the base, and of each class's unknown words in the model.
 PSEUDO = 0.1
@@ -81,8 +83,8 @@ def _raised(table: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def exchange(bigrams: np.ndarray, classes: int = CLASSES, fixed: int = 2, sweeps: int | None = None) -> np.ndarray:
     """Class of each item. bigrams: counts, items by items. The last `fixed` items stay alone in
     the first classes. The others start in turn by frequency; each sweep moves every item, most
-    frequent first, to the class of the highest likelihood; ties go to the lowest class. Sweeps
-    go on until nothing moves, or as often as said."""
+    frequent first, to the class of the highest likelihood, if that gains MIN_GAIN nats a bigram;
+    ties go to the lowest class. Sweeps go on until nothing moves, or as often as said."""
     items = len(bigrams)
     n = bigrams.astype(np.float64)
     words = items - fixed
@@ -94,7 +96,7 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, fixed: int = 2, sweeps
     member[np.arange(items), of] = 1
     right, left = n @ member, n.T @ member  # what follows and what precedes each item, by class
     table = member.T @ right
-    least = 1e-9 + 1e-14 * _xlogx(table.sum())  # below that, a gain is rounding
+    least = MIN_GAIN * table.sum()
     active = [int(i) for i in order if n[i].any() or n[:, i].any()]
     while sweeps is None or sweeps > 0:
         moved = 0

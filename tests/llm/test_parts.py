@@ -206,7 +206,7 @@ def brown(docs, core_words, classes):
                 fits.append((likelihood(), -c))
             best, c = max(fits)
             of[w] = was
-            if best > fits[was - 2][0] + 1e-7:
+            if best > fits[was - 2][0] + lm_scoring.MIN_GAIN * sum(pairs.values()):
                 of[w], moved = -c, True
     t = np.full((classes, classes), 0.5)
     for (a, b), n in pairs.items():
