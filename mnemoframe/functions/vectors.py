@@ -32,6 +32,25 @@ def hashed_dense(text: Column) -> Column:
     return F.aggregate(hashed(text), F.array_repeat(F.lit(0), BUCKETS), add)
 
 
+def sparse(text: Column) -> Column:
+    """The vector's buckets that tokens fall in and their weights, as array<struct<b, w>>."""
+
+    def summed(h: Column) -> Column:
+        weight = lambda b: F.aggregate(h, F.lit(0), lambda a, x: a + F.when(x["b"] == b, x["s"]).otherwise(0))
+        return F.transform(F.array_distinct(F.transform(h, lambda x: x["b"])), lambda b: F.struct(b.alias("b"), weight(b).alias("w")))
+
+    return F.get(F.transform(F.array(hashed(text)), summed), F.lit(0))
+
+
+def sparse_norm(v: Column) -> Column:
+    return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x["w"].cast("double") * x["w"].cast("double")))
+
+
+def sparse_dot(v: Column, of: Column) -> Column:
+    """v: as sparse(); of: the other vector as a map from bucket to weight."""
+    return F.aggregate(v, F.lit(0.0), lambda s, x: s + x["w"].cast("double") * F.coalesce(F.try_element_at(of, x["b"]), F.lit(0)).cast("double"))
+
+
 def dot(a: Column, b: Column) -> Column:
     """Sum of products, as far as the shorter goes."""
     return F.aggregate(F.arrays_zip(a.alias("l"), b.alias("r")), F.lit(0.0), lambda s, x: s + F.coalesce(x["l"].cast("double") * x["r"].cast("double"), F.lit(0.0)))

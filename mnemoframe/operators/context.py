@@ -121,22 +121,22 @@ def render_grouped(lines: list[Line], depth: int, by_time: bool, min_group: int)
     return "\n".join(out)
 
 
-def best_rendering(lines: list[Line], timestamps: bool, by_time: bool, min_group: int) -> tuple[int, str]:
+def best_rendering(lines: list[Line], timestamps: bool, by_time: bool, min_group: int, count: Callable[[str], int] = count_tokens) -> tuple[int, str]:
     """Fewest tokens; of equals, the deepest."""
     made = [(render_flat(lines, timestamps, by_time), 0)]
     if timestamps and sum(x.ts is not None for x in lines) >= max(1, min_group):
         made += [(render_grouped(lines, d, by_time, min_group), d) for d in (1, 2, 3)]
-    n, _, s = min((count_tokens(s), -d, s) for s, d in made)
+    n, _, s = min((count(s), -d, s) for s, d in made)
     return n, s
 
 
-def adaptive(lines: list[Line], budget: int, timestamps: bool = True, by_time: bool = False, min_group: int = 2) -> tuple[str, int, int, int]:
+def adaptive(lines: list[Line], budget: int, timestamps: bool = True, by_time: bool = False, min_group: int = 2, count: Callable[[str], int] = count_tokens) -> tuple[str, int, int, int]:
     """The best rendering that fits; while none does, the line of least use for its tokens goes."""
     left = [x for x in lines if x.text.strip()]
-    worth = lambda x: ((1 / max(1, x.rank) + max(0.0, x.score)) / max(1, count_tokens(x.text)), -x.rank, x.unit_id)
+    worth = lambda x: ((1 / max(1, x.rank) + max(0.0, x.score)) / max(1, count(x.text)), -x.rank, x.unit_id)
     drop = sorted(left, key=worth)
     while left:
-        n, s = best_rendering(left, timestamps, by_time, min_group)
+        n, s = best_rendering(left, timestamps, by_time, min_group, count)
         if n <= budget:
             return s, n, len(left), len({x.raw for x in left if (x.raw or "").strip() and x.raw.strip().lower() != "unknown"})
         gone = drop.pop(0)
@@ -144,7 +144,7 @@ def adaptive(lines: list[Line], budget: int, timestamps: bool = True, by_time: b
     return "", 0, 0, 0
 
 
-def merged(lines: list[Line], budget: int, timestamps: bool = True, by_time: bool = False, joiner: str = "\n\n") -> tuple[str, int, int, int]:
+def merged(lines: list[Line], budget: int, timestamps: bool = True, by_time: bool = False, joiner: str = "\n\n", count: Callable[[str], int] = count_tokens) -> tuple[str, int, int, int]:
     """Blocks of lines with the same raw time, joined by a bar; ends before the first line with
     which the whole no longer fits."""
     best = ("", 0, 0, 0)
@@ -154,12 +154,31 @@ def merged(lines: list[Line], budget: int, timestamps: bool = True, by_time: boo
             held.setdefault((x.raw or "").strip() or "unknown", []).append(x.text)
         blocks = [f"[{raw}] {' | '.join(ts)}" if timestamps else " | ".join(ts) for raw, ts in held.items()]
         s = joiner.join(blocks)
-        if (n := count_tokens(s)) > budget:
+        if (n := count(s)) > budget:
             break
         best = (s, n, len(blocks), len(held))
     return best
 
 
+def prefix(lines: list[Line], budget: int, timestamps: bool = True, by_time: bool = False, joiner: str = "\n\n", style: str = "stamped", count: Callable[[str], int] = count_tokens) -> tuple[str, int, int, int]:
+    """As pack_lines(), for a count of tokens that need not add up: blocks by rank as long as the
+    whole text fits."""
+    taken: list[Line] = []
+    best = ("", 0, 0, 0)
+    for x in sorted(lines, key=lambda x: x.rank):
+        taken.append(x)
+        order = _ordered(taken, True) if by_time else taken
+        if style == "list":
+            blocks = [f"- {y.raw}: {y.text}" if timestamps and y.raw else f"- {y.text}" for y in order]
+        else:
+            blocks = [f"[{(y.raw or '').strip() or 'unknown'}] {y.text}" if timestamps else y.text for y in order]
+        s = joiner.join(blocks)
+        if (n := count(s)) > budget:
+            break
+        best = (s, n, len(blocks), len({(y.raw or "").strip() or "unknown" for y in taken}))
+    return best
+
+
 def pack_each(questions: DataFrame, ranked: DataFrame, render: Callable[..., tuple[str, int, int, int]], budget: int | None = None, **options) -> DataFrame:
     """Contexts by adaptive() or merged()."""
     from .retrieve import effective

@@ -42,6 +42,28 @@ def contains(answer: str = "answer", references: str = "references", need_all: b
     return {"score": F.when(n > 0, F.when(hit > 0, 1.0).otherwise(0.0)), "passed": F.when(n > 0, hit > 0)}
 
 
+#: Words by which texts and references meet.
+ANCHOR = 3
+
+
+def containing(texts: DataFrame, references: DataFrame) -> DataFrame:
+    """(doc_id, item_id) where the normalized text holds the normalized reference. texts: doc_id,
+    text; references: item_id, reference. A reference's words but the first and last stand whole
+    in a text that holds it, so that runs of ANCHOR words lead to the few pairs that are compared;
+    references without such a run are compared with each text, one of each kind."""
+    d = texts.select("doc_id", text.normalized("text").alias("said"))
+    b = references.select("item_id", text.normalized("reference").alias("ref")).where("ref is not null")
+    runs = lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - (ANCHOR - 1)), lambda i: F.xxhash64(F.slice(w, i, F.lit(ANCHOR)))))
+    b = b.withColumn("w", F.split("ref", " ")).withColumn("long", F.size("w") >= ANCHOR + 2)
+    anchors = b.where("long").select("item_id", F.xxhash64(F.slice("w", 2, ANCHOR)).alias("h"))
+    places = d.select("doc_id", F.split("said", " ").alias("w")).where(F.size("w") >= ANCHOR).select("doc_id", F.explode(runs(F.col("w"))).alias("h"))
+    near = places.join(anchors, "h").select("doc_id", "item_id").distinct()
+    found = near.join(d, "doc_id").join(b.select("item_id", "ref"), "item_id").where(F.contains("said", "ref")).select("doc_id", "item_id")
+    short = b.where("not long").groupBy("ref").agg(F.collect_list("item_id").alias("items"))
+    held = d.join(short, F.contains("said", "ref")).select("doc_id", F.explode("items").alias("item_id"))
+    return found.unionByName(held)
+
+
 # Parts of dataset names by which a family is known, and the category that isn't judged.
 FAMILIES = {"locomo": "turns", "longmemeval": "haystack", "mbench": "persona", "subtlememory": "persona"}
 SKIPPED_CATEGORY = "5"
@@ -115,7 +137,7 @@ def judge(rows: DataFrame, complete, dataset: str = "dataset", strict: bool = Fa
     base = base.withColumn("exact", F.when(F.col("skip_reason").isNull() & (F.col("family") == "persona"), exact_verdict()))
     base = base.withColumn("prompt_name", F.concat(F.col("family"), F.lit("_v1")))
     done = base.where(F.col("skip_reason").isNotNull() | F.col("exact").isNotNull()).withColumn("judge_raw", F.lit(None).cast("string"))
-    ask = base.where(F.col("skip_reason").isNull() & F.col("exact").isNull()).withColumn("prompt", prompts.judge_prompt())
+    ask = base.where(F.col("skip_reason").isNull() & F.col("exact").isNull()).withColumn("prompt", prompts.judge_prompt(base.columns))
     every = done.unionByName(judged(ask, complete).drop("prompt"))
     yes = F.contains(F.lower("judge_raw"), F.lit("yes"))
     if strict:

@@ -3,6 +3,8 @@ are what the parsers in evaluate expect."""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,9 +49,54 @@ def _listed(col: str) -> Column:
     return F.coalesce(F.nullif(F.array_join(F.transform(items, lambda x: F.concat(F.lit("- "), x)), "\n"), F.lit("")), F.lit("(none)"))
 
 
-def judge_prompt() -> Column:
-    """By family; of rows with question, answer, references, incorrect_answers, question_type,
-    question_id and, where the source has them, facts, case and relation."""
+# The relations between memories that cases are about, their kinds, other names of
+# kinds, and where cases come from. What is said of each is in this engine's words.
+RELATIONS = {
+    "complementary": "All memories hold together; the answer must combine what agrees.",
+    "nuanced": "Each memory holds under a condition of time or context; the answer must pick the one whose condition the question meets.",
+    "contradictory": "The memories can't be reconciled; the answer must own up to that and not settle on one of them with confidence.",
+}
+KINDS = {
+    "K=1": "One memory decides; background that merely fits it is not enough.",
+    "K>1": "Several memories must be combined; everything that is asked for must be there.",
+    "any_one": "Any one of several memories is enough.",
+    "Temporal": "Time decides which memory holds.",
+    "Context": "Context decides which memory holds.",
+    "contradictory": "No condition that is known reconciles the memories.",
+    "non_persona_contradiction": "The contradiction is one of facts; nothing about the person follows from its name.",
+}
+KIND_ALIASES = {"a_user_vs_user": "non_persona_contradiction", "b_user_vs_non_user": "non_persona_contradiction", "c_non_user_vs_non_user": "non_persona_contradiction"}
+SOURCES = {
+    "user-related": "The question is about the user; judge preferences, habits and circumstances by the accepted answers alone.",
+    "user-unrelated": "The question is not about the user; judge by the accepted answers and the relation alone.",
+}
+#: Columns that a persona's prompt shows where rows have them.
+CASE_COLUMNS = ("facts", "case", "relation_type", "relation_subtype", "topic", "source")
+
+
+def _looked_up(value: Column, table: dict[str, str], default: str) -> Column:
+    out = F.lit(default)
+    for key, said in reversed(table.items()):
+        out = F.when(value == key, F.lit(said)).otherwise(out)
+    return out
+
+
+def case_guidance(columns: list[str]) -> Column:
+    """What a persona's judge is told of the case: its facts, and the guidance of its relation,
+    kind and source."""
+    have = {c: text.text_or_empty(c) if c in columns and c != "facts" else F.lit("") for c in CASE_COLUMNS}
+    facts = _listed("facts") if "facts" in columns else F.lit("(none)")
+    kind = have["relation_subtype"]
+    for alias, name in KIND_ALIASES.items():
+        kind = F.when(kind == alias, F.lit(name)).otherwise(kind)
+    shown = [F.concat(F.lit(f"\n{label}: "), F.coalesce(F.nullif(have[c], F.lit("")), F.lit("(none)"))) for label, c in (("Case", "case"), ("Relation", "relation_type"), ("Kind of relation", "relation_subtype"), ("Topic", "topic"), ("Source", "source"))]
+    told = [_looked_up(have["relation_type"], RELATIONS, "Judge by the accepted answers alone."), _looked_up(kind, KINDS, "No more is known of the relation."), _looked_up(have["source"], SOURCES, "Judge without regard to where the case comes from.")]
+    return F.concat(F.lit("\nFacts:\n"), facts, *shown, F.lit("\nGuidance: "), F.concat_ws(" ", *told))
+
+
+def judge_prompt(columns: list[str] | None = None) -> Column:
+    """By family; of rows with question, answer, references, incorrect_answers, question_type and
+    question_id. columns: those that rows have; of CASE_COLUMNS, a persona's prompt shows these."""
     slots = F.concat(F.lit("\n\nQuestion: "), F.col("question"), F.lit("\nAccepted answers:\n"), _listed("references"), F.lit("\nGiven answer: "), F.coalesce("answer", F.lit("")))
     turns = F.concat(F.lit('Decide whether the given answer agrees with an accepted one; be generous about wording, formats and relative dates. Reply with JSON: {"label": "CORRECT"} or {"label": "WRONG"}.'), slots)
     kind = F.coalesce(F.col("question_type"), F.lit("unknown"))
@@ -59,7 +106,7 @@ def judge_prompt() -> Column:
         rule = rule.when(kind == name, F.lit(words))
     rule = rule.otherwise(F.raise_error(F.concat(F.lit("no judging rule for the question type "), kind)).cast("string"))
     haystack = F.concat(F.lit("Is the given answer right? "), rule, F.lit(" Reply yes or no only."), slots)
-    persona = F.concat(F.lit('Decide whether the given answer agrees with an accepted one and with none of the wrong ones. Reply with JSON: {"label": "CORRECT" or "WRONG", "reason": "..."}.'), slots, F.lit("\nWrong answers:\n"), _listed("incorrect_answers"))
+    persona = F.concat(F.lit('Decide whether the given answer agrees with an accepted one and with none of the wrong ones. Reply with JSON: {"label": "CORRECT" or "WRONG", "reason": "..."}.'), slots, F.lit("\nWrong answers:\n"), _listed("incorrect_answers"), case_guidance(columns or []))
     return F.when(F.col("family") == "turns", turns).when(F.col("family") == "haystack", haystack).otherwise(persona)
 
 
@@ -80,6 +127,25 @@ def parse_facts(reply: str | Column) -> Column:
         said = F.when(is_object, F.get_json_object(x, "$.text")).otherwise(x)
         tags = F.when(is_object, F.from_json(F.get_json_object(x, "$.tags"), "array<string>"))
         tags = F.filter(F.coalesce(tags, F.array().cast("array<string>")), lambda t: t.isNotNull() & (text.strip(t) != ""))
-        return F.struct(text.collapse(said).alias("text"), F.slice(F.transform(tags, text.collapse), 1, MAX_TAGS).alias("tags"))
+        return F.struct(text.text_or_empty(said).alias("text"), F.slice(F.transform(tags, text.strip), 1, MAX_TAGS).alias("tags"))
 
     return F.filter(F.transform(items, one), lambda x: x["text"] != "")
+
+
+def check_facts(reply: str) -> None:
+    """Raises where a reply is no JSON object with a list of facts (or null for none)."""
+    from ..plans.systems import Malformed
+
+    body = reply.strip()
+    for form in (body, body[body.find("{") : body.rfind("}") + 1]):
+        try:
+            got = json.loads(form)
+            break
+        except ValueError:
+            continue
+    else:
+        raise Malformed("no JSON in the reply")
+    if not isinstance(got, dict) or "facts" not in got:
+        raise Malformed("no facts in the reply")
+    if not isinstance(got["facts"] or [], list):
+        raise Malformed("facts are no list")

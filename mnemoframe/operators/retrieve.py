@@ -39,16 +39,24 @@ def snapshot(questions: DataFrame, units: DataFrame) -> DataFrame:
 
 def snapshot_counts(questions: DataFrame, units: DataFrame) -> DataFrame:
     """question_id, unit_count, snapshot_unit_count, hidden_unit_count. Units are counted by scope
-    and time first, so that no pair of a question and a unit is made."""
+    and time; questions lie among those times, and what is before each is a running sum: within a
+    day, plus the days before it. So no pair of a question and a unit or time is made, and a scope
+    with many times is many tasks."""
     when = times.parse(F.coalesce(F.nullif(F.col("available_at_raw"), F.lit("")), F.col("ts_raw")))
     per_time = units.groupBy("scope_id", when.alias("at")).agg(F.count("*").alias("n"))
     all_units = per_time.groupBy("scope_id").agg(F.sum("n").alias("unit_count"))
-    cutoff = times.parse("query_time_raw")
     free = F.col("query_time_raw").isNull() | (text.strip("query_time_raw") == "")
-    asks = questions.select("question_id", "scope_id", cutoff.alias("cutoff"), free.alias("free"))
-    seen = asks.join(per_time, "scope_id").groupBy("question_id").agg(F.sum(F.when(F.col("free") | F.coalesce(F.col("at") <= F.col("cutoff"), F.lit(False)), F.col("n")).otherwise(0)).alias("snapshot_unit_count"))
+    asks = questions.select("question_id", "scope_id", times.parse("query_time_raw").alias("at"), free.alias("free"))
+    line = per_time.where("at is not null").select(F.lit(None).cast(asks.schema["question_id"].dataType).alias("question_id"), "scope_id", "at", "n", F.lit(False).alias("asked"))
+    line = line.unionByName(asks.where("at is not null").select("question_id", "scope_id", "at", F.lit(0).cast("long").alias("n"), F.lit(True).alias("asked"))).withColumn("day", F.to_date("at"))
+    within = Window.partitionBy("scope_id", "day").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    days = line.groupBy("scope_id", "day").agg(F.sum("n").alias("n"))
+    before = Window.partitionBy("scope_id").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.select("scope_id", "day", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    seen = line.withColumn("n", F.sum("n").over(within)).where("asked").join(days, ["scope_id", "day"]).select("question_id", (F.col("n") + F.col("before")).alias("seen"))
     out = asks.join(all_units, "scope_id", "left").join(seen, "question_id", "left")
-    n, s = F.coalesce("unit_count", F.lit(0)), F.coalesce("snapshot_unit_count", F.lit(0))
+    n = F.coalesce("unit_count", F.lit(0))
+    s = F.when(F.col("free"), n).otherwise(F.coalesce("seen", F.lit(0)))
     return out.select("question_id", n.alias("unit_count"), s.alias("snapshot_unit_count"), (n - s).alias("hidden_unit_count"))
 
 
@@ -71,36 +79,53 @@ def hashed_scores(questions: DataFrame, units: DataFrame, fields: list[str] | No
     """Cosine of hashed vectors. Texts are hashed once each, before the join."""
     from .units import retrieval_text
 
-    q = questions.withColumn("q_vec", vectors.hashed_dense(F.col("query_text"))).withColumn("q_norm", vectors.norm(F.col("q_vec")))
-    u = units.withColumn("u_vec", vectors.hashed_dense(retrieval_text(fields or ["text", "tags"]))).withColumn("u_norm", vectors.norm(F.col("u_vec")))
-    product = vectors.dot(F.col("q_vec"), F.col("u_vec"))
+    q = questions.withColumn("q_vec", vectors.sparse(F.col("query_text"))).withColumn("q_norm", vectors.sparse_norm(F.col("q_vec")))
+    u = units.withColumn("u_vec", vectors.sparse(retrieval_text(fields or ["text", "tags"]))).withColumn("u_norm", vectors.sparse_norm(F.col("u_vec")))
+    u = u.withColumn("u_vec", F.map_from_entries("u_vec"))
+    product = vectors.sparse_dot(F.col("q_vec"), F.col("u_vec"))
     return snapshot(q, u).withColumn("score", vectors.cosine(product, F.col("q_norm"), F.col("u_norm"))).drop("q_vec", "u_vec", "q_norm", "u_norm")
 
 
-def vector_scores(queries: DataFrame, vectors_df: DataFrame, query_id: str = "question_id") -> DataFrame:
-    """Cosine of stored vectors. queries: query_id, vector; vectors_df: unit_id, vector. The
-    queries are the smaller side, whose size decides whether they are broadcast."""
-    q = queries.select(query_id, F.col("vector").alias("q_vec")).withColumn("q_norm", vectors.norm(F.col("q_vec")))
-    u = vectors_df.select("unit_id", F.col("vector").alias("u_vec")).withColumn("u_norm", vectors.norm(F.col("u_vec")))
-    product = vectors.dot(F.col("q_vec"), F.col("u_vec"))
-    pairs = u.crossJoin(q)  # every stored vector is scored against each query: that is the search
-    return pairs.select(query_id, "unit_id", vectors.cosine(product, F.col("q_norm"), F.col("u_norm")).alias("score"))
+#: Queries and vectors that are compared in one piece of work, at most.
+QUERY_BLOCK, VECTOR_BLOCK = 2048, 16384
 
 
-def embedded(texts: DataFrame, stored: DataFrame, embed, identity: str) -> tuple[DataFrame, DataFrame]:
-    """Vectors of texts (text) from a store (identity, text_hash, vector) and, for what it lacks,
-    from embed: a function of a list of texts that returns their vectors, called once for each
-    distinct text. Returns (text, vector), and the rows to add to the store, which holds no text."""
+def nearest(queries: DataFrame, vectors_df: DataFrame, top_k: int, digits: int = 6) -> DataFrame:
+    """(question_id, unit_id, score) of the nearest stored vectors of each query by cosine, exact;
+    a few more where scores tie. queries: question_id, vector; vectors_df: unit_id, vector. Every
+    query meets every vector, as the search wants, in blocks: one matrix product each, of which
+    only the first top_k of each query leave the task."""
+    import numpy as np
     import pandas as pd
 
-    key = F.sha2("text", 256)
-    wanted = texts.select("text").distinct().withColumn("text_hash", key)
-    have = stored.where(F.col("identity") == identity).select("text_hash", "vector")
-
-    def run(batches):
-        for b in batches:
-            yield pd.DataFrame({"text_hash": b["text_hash"], "vector": [[float(x) for x in v] for v in embed(b["text"].tolist())]})
-
-    new = wanted.join(have, "text_hash", "left_anti").mapInPandas(run, "text_hash string, vector array<double>")
-    every = have.unionByName(new)
-    return texts.withColumn("text_hash", key).join(every, "text_hash").drop("text_hash"), new.select(F.lit(identity).alias("identity"), "text_hash", "vector")
+    n_q, n_v = queries.count(), vectors_df.count()
+    blocks_q, blocks_v = max(1, -(-n_q // QUERY_BLOCK)), max(1, -(-n_v // VECTOR_BLOCK))
+    dealt = lambda df, key, own, n, other, m: df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    q = dealt(queries.select("question_id", F.col("vector").cast("array<double>").alias("vector")), "question_id", "qb", blocks_q, "vb", blocks_v)
+    v = dealt(vectors_df.select("unit_id", F.col("vector").cast("array<double>").alias("vector")), "unit_id", "vb", blocks_v, "qb", blocks_q)
+    slack = 10.0**-digits
+
+    def unit(rows: pd.Series) -> np.ndarray:
+        m = np.stack(rows.to_numpy())
+        n = np.linalg.norm(m, axis=1, keepdims=True)
+        return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
+
+    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"question_id": left["question_id"].iloc[:0], "unit_id": right["unit_id"].iloc[:0], "score": pd.Series(dtype=float)})
+        score = unit(left["vector"]) @ unit(right["vector"]).T
+        kth = np.partition(score, -top_k, axis=1)[:, -top_k] if score.shape[1] > top_k else np.full(len(left), -2.0)
+        i, j = np.nonzero(score >= kth[:, None] - slack)
+        return pd.DataFrame({"question_id": left["question_id"].to_numpy()[i], "unit_id": right["unit_id"].to_numpy()[j], "score": score[i, j]})
+
+    kinds = f"question_id {queries.schema['question_id'].dataType.simpleString()}, unit_id {vectors_df.schema['unit_id'].dataType.simpleString()}, score double"
+    return q.groupBy("qb", "vb").cogroup(v.groupBy("qb", "vb")).applyInPandas(search, kinds)
+
+
+def embedded_scores(questions: DataFrame, units: DataFrame, of_questions: DataFrame, of_units: DataFrame, unit_text: Column) -> DataFrame:
+    """Cosine of embedded vectors. of_questions, of_units: (text, vector) of query_text and of
+    unit_text. What has no vector scores 0."""
+    q = questions.join(of_questions.select(F.col("text").alias("query_text"), F.col("vector").alias("q_vec")), "query_text", "left").withColumn("q_norm", vectors.norm(F.col("q_vec")))
+    u = units.withColumn("_said", unit_text).join(of_units.select(F.col("text").alias("_said"), F.col("vector").alias("u_vec")), "_said", "left").drop("_said").withColumn("u_norm", vectors.norm(F.col("u_vec")))
+    score = F.coalesce(vectors.cosine(vectors.dot(F.col("q_vec"), F.col("u_vec")), F.col("q_norm"), F.col("u_norm")), F.lit(0.0))
+    return snapshot(q, u).withColumn("score", score).drop("q_vec", "u_vec", "q_norm", "u_norm")

@@ -4,6 +4,9 @@ messages: scope_id, conv_ix, msg_ix (both from 1), message_id, role, speaker, co
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,18 +17,17 @@ CHUNK_TOKENS = 1024
 
 
 def message_accessors(rows: DataFrame) -> DataFrame:
-    """Role, speaker, content and time from the fields that sources use for them. Fields that a
-    source lacks are looked up in a JSON column metadata, if there is one."""
+    """Role, speaker, content, time and id from the fields that sources use for them, stripped. A
+    speaker that is in no field of its own may be in the JSON column metadata."""
 
     def get(*names: str) -> Column:
         have = [F.col(n) for n in names if n in rows.columns]
-        if "metadata" in rows.columns:
-            have += [F.get_json_object("metadata", f"$.{n}") for n in names]
         return text.first_text(*have) if have else F.lit(None).cast("string")
 
+    speaker = [get("speaker")] + [F.get_json_object("metadata", "$.speaker")] * ("metadata" in rows.columns)
     return rows.withColumns({
-        "role": F.coalesce(get("role", "speaker"), F.lit("")), "speaker": get("speaker"), "content": F.coalesce(get("content", "text"), F.lit("")),
-        "ts_raw": get("ts_raw", "timestamp", "time", "created_at"), "message_id": get("message_id", "id", "turn_id", "record_id"),
+        "role": text.text_or_empty(get("role", "speaker")), "speaker": text.text_or_null(F.coalesce(*speaker)), "content": text.text_or_empty(get("content", "text")),
+        "ts_raw": text.text_or_null(get("ts_raw", "timestamp", "time", "created_at")), "message_id": get("message_id", "id", "turn_id", "record_id"),
     })
 
 
@@ -59,12 +61,28 @@ def speaker_id(key: str = "speaker_key") -> Column:
     return F.substring(F.sha1(as_json), 1, 8)
 
 
-def chunked(messages: DataFrame, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
+Count = Callable[[list[str]], list[int]]
+
+
+def counted(messages: DataFrame, column: Column, count: Count | None) -> DataFrame:
+    """messages with tok, the tokens of column: by the engine's own pattern, or by count."""
+    if count is None:
+        return messages.withColumn("tok", text.token_count(column))
+
+    @F.pandas_udf("long")
+    def tokens(s: pd.Series) -> pd.Series:
+        return pd.Series(count(s.tolist()), index=s.index, dtype="int64")
+
+    return messages.withColumn("tok", tokens(column))
+
+
+def chunked(messages: DataFrame, chunk_tokens: int = CHUNK_TOKENS, count: Count | None = None) -> DataFrame:
     """messages that aren't blank, with chunk (from 1): a conversation's messages are appended to
     a chunk as long as its tokens allow; one that is too large stands alone. Only positions and
-    token counts are gathered for a conversation, never its texts."""
+    token counts are gathered for a conversation, never its texts; so tokens of messages add up,
+    whatever counts them."""
     rendered = F.concat(F.lit("speaker: "), speaker_key(), F.lit("\ncontent: "), F.col("content"))
-    kept = messages.withColumn("content", text.text_or_empty("content")).where("content != ''").withColumn("tok", text.token_count(rendered))
+    kept = counted(messages.withColumn("content", text.text_or_empty("content")).where("content != ''"), rendered, count)
     most = max(1, chunk_tokens)
 
     def add(a: Column, m: Column) -> Column:
@@ -78,10 +96,10 @@ def chunked(messages: DataFrame, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
     return kept.join(starts, ["scope_id", "conv_ix"]).withColumn("chunk", F.size(F.filter("starts", lambda s: s <= F.col("msg_ix")))).drop("starts", "tok")
 
 
-def fact_units(messages: DataFrame, chunk_tokens: int = CHUNK_TOKENS, max_tokens: int = text.SEGMENT_TOKENS) -> DataFrame:
+def fact_units(messages: DataFrame, chunk_tokens: int = CHUNK_TOKENS, max_tokens: int = text.SEGMENT_TOKENS, count: Count | None = None) -> DataFrame:
     """Units of sentences, attributed to their speakers. A unit becomes visible with the latest
     message of its whole chunk, whoever said it."""
-    rows = chunked(messages, chunk_tokens).withColumn("speaker_key", speaker_key())
+    rows = chunked(messages, chunk_tokens, count).withColumn("speaker_key", speaker_key())
     chunk = ["scope_id", "conv_ix", "chunk"]
     place = F.format_string("c%d:m%d", "conv_ix", "msg_ix")
     spans = rows.groupBy(*chunk).agg(
@@ -98,7 +116,7 @@ def fact_units(messages: DataFrame, chunk_tokens: int = CHUNK_TOKENS, max_tokens
     return facts.join(spans, chunk).select(
         "scope_id", unit_id.alias("unit_id"), body.alias("text"), F.col("unit_ts").alias("ts_raw"), F.coalesce("source_time_end", "unit_ts").alias("available_at_raw"),
         "source_time_start", "source_time_end", "source_ids", F.lit("fact").alias("memory_type"), F.array().cast("array<string>").alias("tags"),
-        F.col("speaker_key").alias("role"), F.array("message_id").alias("message_ids"),
+        F.col("speaker_key").alias("role"), F.array("message_id").alias("message_ids"), F.lit(None).cast(GENERATION).alias("generation"),
     )
 
 
@@ -118,15 +136,29 @@ def retrieval_text(fields: list[str]) -> Column:
     return text.strip(F.array_join(flat, " "))
 
 
-def token_stats(messages: DataFrame, units: DataFrame, calls: DataFrame | None = None) -> DataFrame:
-    """Per scope: tokens of sources and units, and of generation calls (scope_id, call_id, tokens;
-    each call once, calls without an id each on their own), with compression ratios."""
-    source = messages.groupBy("scope_id").agg(F.sum(text.token_count("content")).alias("source_tokens"))
+#: What a call to a model cost; a unit that no call made has none.
+GENERATION = "struct<call_id: string, prompt_tokens: long, completion_tokens: long, total_tokens: long, call_count: int>"
+
+
+def generation_totals(units: DataFrame) -> DataFrame:
+    """Per scope, prompt, completion and total tokens and calls: each call once, however many units
+    it made; calls without an id each on their own."""
+    g = units.select("scope_id", "generation.*").where("call_count > 0")
+    sums = ["prompt_tokens", "completion_tokens", "total_tokens", "call_count"]
+    once = g.where("call_id <> ''").groupBy("scope_id", "call_id").agg(*(F.min(c).alias(c) for c in sums)).drop("call_id")
+    every = once.unionByName(g.where("coalesce(call_id, '') = ''").select("scope_id", *sums))
+    return every.groupBy("scope_id").agg(*(F.sum(c).alias(f"generation_{c}") for c in sums))
+
+
+def token_stats(messages: DataFrame, units: DataFrame) -> DataFrame:
+    """Per scope: tokens of sources and units, with the ratio of the two, and of the calls that
+    made units, where units say so (generation)."""
+    source = messages.groupBy("scope_id").agg(F.sum(text.token_count(text.text_or_empty("content"))).alias("source_tokens"))
     n = text.token_count("text")
     made = units.groupBy("scope_id").agg(F.count("*").alias("unit_count"), F.sum(n).alias("unit_tokens"), F.avg(n).alias("avg_unit_tokens"), F.max(n).alias("max_unit_tokens"))
-    out = source.join(made, "scope_id", "full")
-    if calls is not None:
-        once = calls.where("call_id is not null").groupBy("scope_id", "call_id").agg(F.min("tokens").alias("tokens"))
-        every = once.drop("call_id").unionByName(calls.where("call_id is null").select("scope_id", "tokens"))
-        out = out.join(every.groupBy("scope_id").agg(F.sum("tokens").alias("generation_tokens")), "scope_id", "left")
-    return out.withColumn("compression", F.col("unit_tokens") / F.nullif(F.col("source_tokens"), F.lit(0)))
+    out = source.join(made, "scope_id", "full").withColumn("compression", F.col("unit_tokens") / F.nullif(F.col("source_tokens"), F.lit(0)))
+    if "generation" not in units.columns:
+        return out
+    out = out.join(generation_totals(units), "scope_id", "left")
+    out = out.fillna(0, [c for c in out.columns if c.startswith("generation_")])
+    return out.withColumn("generation_to_unit", F.col("generation_total_tokens") / F.nullif(F.col("unit_tokens"), F.lit(0)))

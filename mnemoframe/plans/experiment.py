@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import functools
 import json
 import time
 from collections.abc import Callable
@@ -17,7 +18,7 @@ from ..functions import keys
 from ..operators import evaluate, retrieve, summaries, units
 from ..operators.cache import StageCache
 from ..sources import sinks, tables
-from . import systems
+from . import backends, systems
 
 
 @dataclass
@@ -25,11 +26,16 @@ class Result:
     tables: dict[str, DataFrame]
     summaries: dict[str, dict[str, Any]]
     report: dict[str, Any]
+    events: sinks.EventTable
+
+
+NO_COUNTS = {"cache_hits": 0, "cache_misses": 0}
 
 
 @dataclass
 class Experiment:
-    """fail_fast: a question without an answer stops the run; else it isn't evaluated."""
+    """fail_fast: a question without an answer stops the run; else it isn't evaluated. Stages are
+    build, index, read, answer and evaluate; each leaves events."""
 
     system: systems.MemorySystem
     agent: Callable[[DataFrame], DataFrame] = systems.fixed_query_answers
@@ -39,23 +45,23 @@ class Experiment:
     budget: int | None = None
     fail_fast: bool = True
     cache: StageCache | None = None
-    logger: sinks.Logger = field(default_factory=sinks.NullLogger)
+    events: sinks.EventTable = field(default_factory=sinks.EventTable)
 
     def _stage(self, name: str, run: Callable[[], Any]) -> Any:
         began = time.time()
-        self.logger.log(sinks.RunEvent(name, "started"))
+        self.events.add(name, "begun")
         try:
             out = run()
         except Exception as e:
-            self.logger.log(sinks.RunEvent(name, "failed", message=str(e)[:500]))
+            self.events.add(name, "failed", time.time() - began, str(e)[:500])
             raise
-        self.logger.log(sinks.RunEvent(name, "completed", metrics={"duration_ms": round(1000 * (time.time() - began))}))
+        self.events.add(name, "done", time.time() - began)
         return out
 
     def build(self, data: tables.Dataset) -> tuple[DataFrame, dict[str, int]]:
         """Units of each item, from the cache where its messages and the system haven't changed."""
         if self.cache is None:
-            return self.system.build(data.messages), {"cache_hits": 0, "cache_misses": 0}
+            return self.system.build(data.messages), NO_COUNTS
         cols = [c for c in data.messages.columns if c != "scope_id"]
         digest = F.sha2(F.array_join(F.sort_array(F.collect_list(keys.content_key(*cols))), ""), 256)
         wanted = data.messages.groupBy("scope_id").agg(F.sha2(F.concat_ws("|", F.lit(keys.config_key(self.system)), "scope_id", digest), 256).alias("cache_key"))
@@ -63,35 +69,59 @@ class Experiment:
         got, counts = self.cache.through("build", wanted, nested)
         return got.drop("cache_key"), counts
 
+    def artifacts(self, data: tables.Dataset, built: DataFrame) -> DataFrame:
+        """(scope_id, artifact_id, unit_count) of every item; one without units has an artifact too."""
+        made = keys.artifact_ids(built, self.system.name, self.system)
+        none = F.lit(f"{self.system.name}:{keys.stable_hash(['no units', keys.config_key(self.system)])}")
+        every = data.items.select(F.col("item_id").alias("scope_id")).join(made, "scope_id", "left")
+        return every.select("scope_id", F.coalesce("artifact_id", none).alias("artifact_id"), F.coalesce("unit_count", F.lit(0)).cast("long").alias("unit_count"))
+
+    def index(self, data: tables.Dataset, built: DataFrame, artifacts: DataFrame) -> DataFrame:
+        """item_id, artifact_id, system_name, supported, embedded: what the system could prepare
+        before it is asked. An item without an artifact is an error."""
+        warm = getattr(self.system, "index", None)
+        counts = warm(built) if warm else None
+        items = data.items.select("item_id")
+        rows = evaluate.strict_join(items, artifacts.withColumnRenamed("scope_id", "item_id"), ["item_id"], "artifact")
+        return rows.select("item_id", "artifact_id", F.lit(self.system.name).alias("system_name"), F.lit(counts is not None).alias("supported"), F.lit((counts or {}).get("cache_misses")).cast("long").alias("embedded"))
+
     def _through(self, stage: str, wanted: DataFrame, compute: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, dict[str, int]]:
         """By the cache, if there is one; wanted has cache_key, and so must compute's result."""
         if self.cache is None:
-            return compute(wanted), {"cache_hits": 0, "cache_misses": 0}
+            return compute(wanted), NO_COUNTS
         return self.cache.through(stage, wanted, compute)
 
-    def answer(self, data: tables.Dataset, built: DataFrame, artifacts: DataFrame | None = None) -> tuple[DataFrame, dict[str, int]]:
-        """Answers to the questions, which labels take no part in. A cached answer counts as long
-        as its question, its item's units, the system, the agent and the limits are the same."""
-        made = artifacts if artifacts is not None else keys.artifact_ids(built, self.system.name, self.system)
+    def read(self, data: tables.Dataset, built: DataFrame, artifacts: DataFrame) -> tuple[DataFrame, dict[str, int]]:
+        """Contexts for the questions, which labels take no part in. A cached context counts as
+        long as its question, its item's units, the system and the limits are the same, whatever
+        agent reads it. A question of an item without an artifact is an error."""
         asks = data.requests().select("item_id", "question_id", "scope_id", retrieve.query_text().alias("query_text"), "query_time_raw")
-        asks = asks.join(made.select("scope_id", "artifact_id"), "scope_id", "left")
-        how = keys.stable_hash([self.system.name, keys.config_key(self.system), getattr(self.agent, "__name__", str(self.agent)), self.top_k, self.budget], 64)
+        asks = evaluate.strict_join(asks, artifacts.select("scope_id", "artifact_id"), ["scope_id"], "artifact")
+        how = keys.stable_hash([self.system.name, keys.config_key(self.system), self.top_k, self.budget], 64)
         asks = asks.withColumn("cache_key", keys.content_key(F.lit(how).alias("how"), "item_id", "question_id", "query_text", "query_time_raw", "artifact_id"))
 
         def compute(some: DataFrame) -> DataFrame:
             one = some.withColumnRenamed("question_id", "qid").withColumn("question_id", F.concat_ws("\x1f", "item_id", "qid"))
-            reads = self.system.read(one, built, self.top_k, self.budget).join(one, "question_id")
-            return self.agent(reads).withColumn("question_id", F.col("qid")).drop("qid")
+            return self.system.read(one, built, self.top_k, self.budget).join(one, "question_id").withColumn("question_id", F.col("qid")).drop("qid")
 
-        got, counts = self._through("answer", asks, compute)
+        got, counts = self._through("context", asks, compute)
+        return got.drop("cache_key"), counts
+
+    def answer(self, reads: DataFrame) -> tuple[DataFrame, dict[str, int]]:
+        how = keys.stable_hash([keys.config_key(self.agent) if not callable(self.agent) else getattr(self.agent, "__qualname__", str(self.agent))], 64)
+        asked = reads.withColumn("cache_key", keys.content_key(F.lit(how).alias("how"), "item_id", "question_id", "query_text", "query_time_raw", "artifact_id", "context"))
+        got, counts = self._through("answer", asked, self.agent)
         return got.drop("cache_key"), counts
 
     def evaluate(self, data: tables.Dataset, answers: DataFrame) -> tuple[DataFrame, dict[str, int]]:
-        q = data.questions.select("item_id", "question_id", "query", "question_type", evaluate.category("question_type").alias("category"))
+        q = data.questions.select("item_id", "question_id", "query", "question_type", F.col("metadata").alias("question_metadata"), evaluate.category("question_type").alias("category"))
         said = answers.select("item_id", "question_id", "answer")
         asked = evaluate.strict_join(q, said, evaluate.KEYS, "answer") if self.fail_fast else q.join(said, evaluate.KEYS)
-        rows = asked.join(data.labels.select("item_id", "question_id", "reference", "references", "incorrect_answers"), evaluate.KEYS, "left")
-        how = keys.stable_hash([data.name, self.need_all, getattr(self.judge, "__name__", str(self.judge))], 64)
+        rows = asked.join(data.labels.select("item_id", "question_id", "reference", "references", "incorrect_answers", F.col("metadata").alias("label_metadata")), evaluate.KEYS, "left")
+        # What a persona's judge is told of the case, from either side's metadata.
+        case = {c: F.get_json_object("question_metadata", f"$.{c}") for c in ("relation_type", "relation_subtype", "topic", "source")}
+        rows = rows.withColumns(case | {"facts": F.from_json(F.get_json_object("label_metadata", "$.facts"), "array<string>"), "case": F.get_json_object("label_metadata", "$.case")}).drop("question_metadata", "label_metadata")
+        how = keys.stable_hash([data.name, self.need_all, getattr(self.judge, "__qualname__", str(self.judge))], 64)
         rows = rows.withColumn("cache_key", keys.content_key(F.lit(how).alias("how"), *rows.columns))
 
         def compute(some: DataFrame) -> DataFrame:
@@ -103,31 +133,36 @@ class Experiment:
         return got.drop("cache_key"), counts
 
     def run(self, data: tables.Dataset, run_id: str = "run") -> Result:
-        self.logger.log(sinks.RunEvent("run", "started", message=run_id))
+        self.events.add("run", "begun", note=run_id)
         built, counts = self._stage("build", lambda: self.build(data))
         built = built.persist()
-        artifacts = keys.artifact_ids(built, self.system.name, self.system)
-        answers, answer_counts = self._stage("answer", lambda: self.answer(data, built, artifacts))
+        artifacts = self.artifacts(data, built)
+        indexed = self._stage("index", lambda: self.index(data, built, artifacts))
+        reads, read_counts = self._stage("read", lambda: self.read(data, built, artifacts))
+        answers, answer_counts = self._stage("answer", lambda: self.answer(reads))
         answers = answers.persist()
         evaluations, evaluation_counts = self._stage("evaluate", lambda: self.evaluate(data, answers))
         evaluations = evaluations.persist()
         one = lambda df: df.first().asDict()
+        stats = units.token_stats(data.messages, built)
+        spent = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("source_tokens", "unit_tokens", "generation_total_tokens", "generation_call_count") if c in stats.columns]
         sums = {
-            "build": one(summaries.build_summary(data.items, artifacts, counts["cache_hits"], counts["cache_misses"])), "answer": one(summaries.answer_summary(answers, **{k.removeprefix("cache_"): v for k, v in answer_counts.items()})), "evaluate": one(evaluate.accuracy(evaluations)),
-            "tokens": one(units.token_stats(data.messages, built).agg(F.sum("source_tokens").alias("source_tokens"), F.sum("unit_tokens").alias("unit_tokens"))),
+            "build": one(summaries.build_summary(data.items, artifacts, counts["cache_hits"], counts["cache_misses"])), "index": one(summaries.index_summary(indexed)), "read": read_counts,
+            "answer": one(summaries.answer_summary(answers, **{k.removeprefix("cache_"): v for k, v in answer_counts.items()})), "evaluate": one(evaluate.accuracy(evaluations)), "tokens": one(stats.agg(*spent)),
         }
         built_sum, answered, graded = sums["build"], sums["answer"], sums["evaluate"]
         report = sinks.report_row(
             run_id=run_id, dataset=data.name, memory_system=self.system.name, agent="fixed_query" if self.agent is systems.fixed_query_answers else "model", evaluator="judge" if self.judge else "contains",
             total_units=built_sum["unit_count"], memory_read_count=answered["question_count"], total_context_tokens=answered["context_tokens"], build_cache_hit_count=counts["cache_hits"], answer_cache_hit_count=answer_counts["cache_hits"], evaluation_cache_hit_count=evaluation_counts["cache_hits"],
-            storage_generation_tokens=0, **{k: built_sum[k] for k in ("item_count", "avg_units_per_item")}, avg_context_tokens=answered["avg_context_tokens"], **graded,
+            storage_generation_tokens=sums["tokens"].get("generation_total_tokens", 0), **{k: built_sum[k] for k in ("item_count", "avg_units_per_item")}, avg_context_tokens=answered["avg_context_tokens"], **graded,
         )
         for name, s in sums.items():
-            self.logger.log(sinks.RunEvent(name, "summary", metrics=s))
-        self.logger.log(sinks.RunEvent("run", "completed", message=run_id))
+            self.events.add(name, "totals", **{k: v for k, v in s.items() if isinstance(v, int | float)})
+        self.events.add("run", "done", note=run_id)
         by_category = evaluate.accuracy(evaluations, "category")
-        out = {"units": built, "artifacts": artifacts, "answers": sinks.answer_record(answers), "evaluations": sinks.evaluation_record(evaluations), "categories": by_category}
-        return Result(out, sums, report)
+        labelled = evaluate.with_labels(answers, data.labels)
+        out = {"units": built, "artifacts": artifacts, "index": indexed, "answers": sinks.answer_record(labelled), "evaluations": sinks.evaluation_record(evaluations), "categories": by_category}
+        return Result(out, sums, report, self.events)
 
 
 READERS = ("unified", "turn_records", "haystack", "persona")
@@ -135,7 +170,9 @@ READERS = ("unified", "turn_records", "haystack", "persona")
 
 @dataclass(frozen=True)
 class Spec:
-    """A run as JSON: data, reader, system and its options, evaluation, limits, output."""
+    """A run as JSON: data, reader, system, agent and evaluator with their options, limits, output.
+    Models are options of a backend, or the place of a function ("module:name"): `model` of an
+    agent or a judge, `extract` and `embed` of the system of facts."""
 
     run_id: str
     data: str
@@ -144,6 +181,10 @@ class Spec:
     instances: str | None = None
     system: str = "facts"
     system_options: dict[str, Any] = field(default_factory=dict)
+    agent: str = "fixed_query"
+    agent_options: dict[str, Any] = field(default_factory=dict)
+    evaluator: str = "contains"
+    evaluator_options: dict[str, Any] = field(default_factory=dict)
     need_all: bool = False
     top_k: int | None = None
     budget: int | None = None
@@ -174,16 +215,47 @@ class Spec:
         return data.head(self.max_items, self.max_questions)
 
     def memory(self) -> systems.MemorySystem:
-        made = {"facts": systems.FactMemory, "raw": systems.RawMemory, "null": systems.NullMemory}
-        if self.system not in made:
-            raise ValueError(f"unknown system {self.system!r}; there are {sorted(made)}")
-        return made[self.system](**{k: tuple(v) if isinstance(v, list) else v for k, v in self.system_options.items()})
+        kinds = {"facts": systems.FactMemory, "raw": systems.RawMemory, "null": systems.NullMemory}
+        options = {k: tuple(v) if isinstance(v, list) else v for k, v in self.system_options.items()}
+        for name, kind in (("extract", backends.ChatModel), ("embed", backends.EmbeddingModel)):
+            if options.get(name):
+                options[name] = backends.made(options[name], kind)
+        if "retry" in options:
+            options["retry"] = systems.Retry(**options["retry"])
+        return _chosen("system", self.system, kinds)(**options)
+
+    def answering(self) -> Callable[[DataFrame], DataFrame]:
+        def fixed(**options: Any) -> Callable[[DataFrame], DataFrame]:
+            return functools.partial(systems.fixed_query_answers, **options) if options else systems.fixed_query_answers
+
+        def model(model: Any, with_time: bool = True) -> Callable[[DataFrame], DataFrame]:
+            return functools.partial(systems.model_answers, complete=_many(model), with_time=with_time)
+
+        return _chosen("agent", self.agent, {"fixed_query": fixed, "model": model})(**self.agent_options)
+
+    def judging(self) -> Callable[[list[str]], list[str]] | None:
+        return _chosen("evaluator", self.evaluator, {"contains": lambda: None, "judge": lambda model: _many(model)})(**self.evaluator_options)
+
+
+def _chosen(what: str, name: str, kinds: dict[str, Any]) -> Any:
+    if name not in kinds:
+        raise ValueError(f"unknown {what} {name!r}; there are {sorted(kinds)}")
+    return kinds[name]
+
+
+def _many(model: Any) -> Callable[[list[str]], list[str]]:
+    got = backends.made(model, backends.ChatModel)
+    return got.many if isinstance(got, backends.ChatModel) else got
 
 
 def run_spec(spark: SparkSession, spec: Spec) -> dict[str, Any]:
-    ex = Experiment(spec.memory(), need_all=spec.need_all, top_k=spec.top_k, budget=spec.budget, cache=StageCache(spec.cache) if spec.cache else None, logger=sinks.LinesLogger(f"{spec.output.removeprefix('file://')}/events.jsonl"))
-    result = ex.run(spec.dataset(spark), spec.run_id)
-    return sinks.write_run(spec.output, spec.run_id, spec, result.tables, result.report)
+    events = sinks.EventTable(sinks.on_screen)
+    ex = Experiment(spec.memory(), spec.answering(), need_all=spec.need_all, judge=spec.judging(), top_k=spec.top_k, budget=spec.budget, cache=StageCache(spec.cache) if spec.cache else None, events=events)
+    try:
+        result = ex.run(spec.dataset(spark), spec.run_id)
+        return sinks.write_run(spark, spec.output, spec.run_id, spec, result.tables, result.report)
+    finally:
+        events.store(spark, spec.output)
 
 
 def main(argv: list[str] | None = None) -> int:

@@ -13,13 +13,38 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text
-from ..operators import context, evaluate, prompts, retrieve, units
+from ..operators import context, embedding, evaluate, prompts, retrieve, units
 
 # Parts of error messages after which a call is tried again.
 RETRYABLE = ("timeout", "rate_limit", "ratelimit", "rate limit", "server_error", "server error", "connection", "temporarily", "429", "500", "502", "503", "504")
 
 
+@dataclass(frozen=True)
+class Reply:
+    """What a model said and used. Models are functions from a prompt to a Reply, or to a string."""
+
+    text: str
+    prompt_tokens: int = 0
+    completion_tokens: int = 0
+    total_tokens: int = 0
+
+
+Model = Callable[[str], "Reply | str"]
+
+
+class Malformed(ValueError):
+    """A reply that can't be read; it is asked for again like a call that failed."""
+
+
+@dataclass(frozen=True)
+class Outcome:
+    """reply is null where no attempt gave a readable one; said is "ok", or what went wrong."""
+
+    reply: Reply | None
+    said: str
+    attempts: int
+
+
 @dataclass(frozen=True)
 class Retry:
     attempts: int = 3
@@ -27,19 +52,26 @@ class Retry:
     backoff: float = 2.0
     retryable: tuple[str, ...] = RETRYABLE
 
-    def call(self, f: Callable[[str], str], prompt: str) -> tuple[str | None, str]:
-        """(reply, "ok"), or (None, what went wrong at last)."""
-        wait = self.delay
-        for k in range(max(1, self.attempts)):
+    def again(self, e: Exception) -> bool:
+        said = f"{type(e).__name__} {e}".lower()
+        return isinstance(e, Malformed) or not self.retryable or any(x.lower() in said for x in self.retryable)
+
+    def call(self, f: Model, prompt: str, check: Callable[[str], None] = lambda _: None) -> Outcome:
+        """Asks f until check finds its reply readable, an error is of no kind that passes, or the
+        attempts are used up."""
+        wait, most = max(0.0, self.delay), max(1, self.attempts)
+        for k in range(1, most + 1):
             try:
-                return f(prompt), "ok"
+                got = f(prompt)
+                reply = got if isinstance(got, Reply) else Reply(got or "")
+                check(reply.text)
+                return Outcome(reply, "ok", k)
             except Exception as e:
-                said = f"{type(e).__name__}: {e}"
-                if k + 1 >= self.attempts or self.retryable and not any(x in said.lower() for x in self.retryable):
-                    return None, said
+                if k >= most or not self.again(e):
+                    return Outcome(None, f"{type(e).__name__}: {e}", k)
                 time.sleep(wait)
-                wait *= self.backoff
-        return None, "no attempt"
+                wait *= max(1.0, self.backoff)
+        raise AssertionError("no attempt was made")
 
 
 class MemorySystem(Protocol):
@@ -88,7 +120,10 @@ RENDERS = ("adaptive", "timeline", "ranked_list")
 
 @dataclass(frozen=True)
 class FactMemory:
-    """Attributed sentences, ranked by hashed vectors, rendered by one of RENDERS."""
+    """Attributed sentences, or facts that a model extracts, ranked by hashed vectors, or by those
+    that `embed` gives, rendered by one of RENDERS. identity names the embedding model and its
+    settings; vectors is the folder of its store. count counts the tokens of a text, for chunks and
+    budgets, where the engine's own pattern is not to; tokens need not add up."""
 
     chunk_tokens: int = units.CHUNK_TOKENS
     top_k: int = retrieve.TOP_K
@@ -99,35 +134,64 @@ class FactMemory:
     merge: bool = False
     min_group: int = 2
     by_time: bool = False
-    extract: Callable[[str], str] | None = None
+    extract: Model | None = None
     retry: Retry = field(default_factory=Retry)
+    embed: embedding.Embed | None = None
+    identity: str = ""
+    vectors: str | None = None
+    count: Callable[[str], int] | None = None
     name: str = "facts"
 
     def __post_init__(self) -> None:
         if self.render not in RENDERS:
             raise ValueError(f"unknown rendering {self.render!r}")
+        if self.embed is not None and not (self.identity and self.vectors):
+            raise ValueError("an embedding needs an identity and a folder for its vectors")
+
+    def _counts(self) -> units.Count | None:
+        one = self.count
+        return None if one is None else lambda ts: [one(t) for t in ts]
 
     def build(self, messages: DataFrame) -> DataFrame:
         if self.extract is None:
-            return units.fact_units(messages, self.chunk_tokens)
-        return extracted_units(messages, self.extract, self.chunk_tokens, self.retry)[0]
-
-    def rank(self, questions: DataFrame, units: DataFrame, top_k: int | None = None) -> DataFrame:
-        return retrieve.ranked(retrieve.hashed_scores(questions, units, list(self.fields)), retrieve.effective(top_k, self.top_k))
+            return units.fact_units(messages, self.chunk_tokens, count=self._counts())
+        return extracted_units(messages, self.extract, self.chunk_tokens, self.retry, self._counts())[0]
+
+    def index(self, built: DataFrame) -> dict[str, int] | None:
+        """Embeds what isn't embedded yet, before anything is asked; None without an embedding."""
+        if self.embed is None:
+            return None
+        said = units.retrieval_text(list(self.fields))
+        return embedding.VectorStore(self.vectors).warm(built.select(said.alias("text")), self.embed, self.identity)
+
+    def rank(self, questions: DataFrame, built: DataFrame, top_k: int | None = None) -> DataFrame:
+        most = retrieve.effective(top_k, self.top_k)
+        if self.embed is None:
+            return retrieve.ranked(retrieve.hashed_scores(questions, built, list(self.fields)), most)
+        said, store = units.retrieval_text(list(self.fields)), embedding.VectorStore(self.vectors)
+        of_q = store.vectors(questions.select(F.col("query_text").alias("text")), self.embed, self.identity)
+        of_u = store.vectors(built.select(said.alias("text")), self.embed, self.identity)
+        return retrieve.ranked(retrieve.embedded_scores(questions, built, of_q, of_u, said), most)
 
     def read(self, questions, units, top_k=None, budget=None):
         found, most = self.rank(questions, units, top_k), retrieve.effective(budget, self.budget)
+        how = {"timestamps": self.timestamps, "by_time": self.by_time}
+        if self.count is not None:
+            how["count"] = self.count
         if self.render == "adaptive":
-            return context.pack_each(questions, found, context.adaptive, most, timestamps=self.timestamps, by_time=self.by_time, min_group=self.min_group)
+            return context.pack_each(questions, found, context.adaptive, most, min_group=self.min_group, **how)
         if self.merge:
-            return context.pack_each(questions, found, context.merged, most, timestamps=self.timestamps, by_time=self.by_time)
+            return context.pack_each(questions, found, context.merged, most, **how)
+        if self.count is not None:
+            return context.pack_each(questions, found, context.prefix, most, **how)
         return context.pack_lines(questions, found, most, self.timestamps, by_time=self.by_time)
 
 
-def extracted_units(messages: DataFrame, extract: Callable[[str], str], chunk_tokens: int, retry: Retry = Retry()) -> tuple[DataFrame, DataFrame]:
-    """Facts that a model finds in each speaker's part of each chunk: (units, calls). A call that
-    fails to the end, or whose reply can't be read, gives no facts; calls say why."""
-    rows = units.chunked(messages, chunk_tokens).withColumn("speaker_key", units.speaker_key())
+def extracted_units(messages: DataFrame, extract: Model, chunk_tokens: int, retry: Retry = Retry(), count: units.Count | None = None) -> tuple[DataFrame, DataFrame]:
+    """Facts that a model finds in each speaker's part of each chunk: (units, calls). A reply that
+    can't be read is asked for again; a call that fails to the end gives no facts, and calls say
+    why. Units carry what their call cost, all attempts counted (generation)."""
+    rows = units.chunked(messages, chunk_tokens, count).withColumn("speaker_key", units.speaker_key())
     chunk = ["scope_id", "conv_ix", "chunk"]
     from ..functions import times
 
@@ -139,20 +203,27 @@ def extracted_units(messages: DataFrame, extract: Callable[[str], str], chunk_to
     )
     speakers = rows.groupBy(*chunk, "speaker_key").agg(F.max_by("ts_raw", "msg_ix").alias("ts_raw"))
     asks = speakers.join(whole, chunk).withColumn("prompt", F.concat(F.lit(prompts.FACTS_PROMPT), F.lit("Speaker: "), "speaker_key", F.lit("\n\n"), "talk"))
+    call_id = F.concat("scope_id", F.format_string(":c%d:chunk_%d:speaker_", "conv_ix", "chunk"), units.speaker_id())
 
     def run(batches):
         for b in batches:
-            got = [retry.call(extract, p) for p in b["prompt"]]
-            yield b.assign(reply=pd.Series([r for r, _ in got], dtype=object), outcome=[o for _, o in got])
-
+            got = [retry.call(extract, p, prompts.check_facts) for p in b["prompt"]]
+            r = [o.reply or Reply("") for o in got]
+            yield b.assign(
+                reply=pd.Series([o.reply.text if o.reply else None for o in got], dtype=object), outcome=[o.said for o in got], prompt_tokens=[x.prompt_tokens for x in r],
+                completion_tokens=[x.completion_tokens for x in r], total_tokens=[x.total_tokens or x.prompt_tokens + x.completion_tokens for x in r], call_count=[o.attempts for o in got],
+            )
+
+    asks = asks.withColumn("call_id", call_id)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in asks.schema)
-    replied = asks.mapInPandas(run, f"{kinds}, reply string, outcome string").withColumn("facts", prompts.parse_facts("reply"))
-    call_id = F.sha1(F.concat_ws("|", *chunk, "speaker_key"))
-    calls = replied.select("scope_id", call_id.alias("call_id"), text.token_count(F.coalesce("reply", F.lit(""))).alias("tokens"), F.when(F.col("outcome") != "ok", F.col("outcome")).when(F.coalesce(F.size("facts"), F.lit(0)) <= 0, F.lit("empty")).otherwise(F.lit("ok")).alias("outcome"))
+    replied = asks.mapInPandas(run, f"{kinds}, reply string, outcome string, prompt_tokens long, completion_tokens long, total_tokens long, call_count int").withColumn("facts", prompts.parse_facts("reply"))
+    cost = F.struct("call_id", "prompt_tokens", "completion_tokens", "total_tokens", "call_count")
+    calls = replied.select("scope_id", cost.alias("generation"), F.when(F.col("outcome") != "ok", F.col("outcome")).when(F.coalesce(F.size("facts"), F.lit(0)) <= 0, F.lit("empty")).otherwise(F.lit("ok")).alias("outcome"))
     facts = replied.select("*", F.posexplode("facts").alias("at", "fact"))
     unit_id = F.concat("scope_id", F.format_string(":c%d:fact_%d_%d:speaker_", "conv_ix", "chunk", F.col("at") + 1), units.speaker_id())
     out = facts.select(
-        "scope_id", unit_id.alias("unit_id"), F.col("fact.text").alias("text"), "ts_raw", F.coalesce("source_time_end", "ts_raw").alias("available_at_raw"), "source_time_start", "source_time_end", "source_ids", F.lit("fact").alias("memory_type"), F.col("fact.tags").alias("tags"), F.col("speaker_key").alias("role"),
+        "scope_id", unit_id.alias("unit_id"), F.col("fact.text").alias("text"), "ts_raw", F.coalesce("source_time_end", "ts_raw").alias("available_at_raw"), "source_time_start", "source_time_end", "source_ids", F.lit("fact").alias("memory_type"), F.col("fact.tags").alias("tags"),
+        F.col("speaker_key").alias("role"), cost.cast(units.GENERATION).alias("generation"),
     )
     return out, calls
 

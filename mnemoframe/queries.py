@@ -7,12 +7,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import session
 from .functions import keys, text, times, vectors
 from .operators import cache, context, evaluate, prompts, retrieve, summaries, units
-from .plans import systems
+from .plans import experiment, systems
+from .sources import codecs, sinks, tables
 from .streaming import incremental
 
 TOP_K = 20
@@ -31,7 +33,7 @@ def query(sql: str | None = None):
         QUERIES[f.__name__] = f
         if sql:
             out = sql
-            for name, part in (("facts", FACTS), ("chunks", CHUNKS), ("pack", PACK), ("base", BASE), ("most", str(CHUNK))):
+            for name, part in (("facts", FACTS), ("chunks", CHUNKS), ("pack", PACK), ("base", BASE), ("placed", PLACED), ("most", str(CHUNK))):
                 out = out.replace(f"{{{name}}}", part)
             SQL[f.__name__] = out
         return f
@@ -85,6 +87,10 @@ FACTS = r"""
         FROM facts f JOIN spans USING (scope_id, conv_ix, chunk) JOIN own USING (scope_id, conv_ix, chunk, role))"""
 
 
+# As BASE, with conversations numbered from 1 in each scope, as files give them.
+PLACED = BASE.replace("conv_id AS conv_ix, turn + 1 AS msg_ix", "dense_rank() OVER (PARTITION BY conv_id % 10 ORDER BY conv_id) AS conv_ix, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS msg_ix, conv_id, turn")
+
+
 def messages(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "conversations")
     ts = F.expr("make_timestamp(2024, 1, 1, 0, 0, 0) + make_dt_interval(cast(conv_id as int), 0, cast(turn as int))")
@@ -188,9 +194,8 @@ def contains_eval(spark, sf):
 
 @query(r"""SELECT doc_id, item_id FROM documents d, benchmark b WHERE contains(trim(regexp_replace(lower(d.text), '\s+', ' ', 'g')), trim(regexp_replace(lower(b.text), '\s+', ' ', 'g')))""")
 def contains_docs(spark, sf):
-    b = table(spark, sf, "benchmark").select("item_id", text.normalized("text").alias("ref"))  # the stated set of questions
-    d = table(spark, sf, "documents").select("doc_id", text.normalized("text").alias("said"))
-    return d.join(b, F.contains("said", "ref")).select("doc_id", "item_id")
+    b = table(spark, sf, "benchmark").select(F.col("item_id"), F.col("text").alias("reference"))
+    return evaluate.containing(table(spark, sf, "documents").select("doc_id", "text"), b)
 
 
 @query("""SELECT lang AS category, count(*) AS question_count, count(quality) AS evaluated_count, count(*) FILTER (quality = 1) AS passed_count, round(count(*) FILTER (quality = 1) / nullif(count(quality), 0), 9) AS accuracy, round(avg(quality), 9) AS avg_score
@@ -239,7 +244,7 @@ def hash_dense_topk(spark, sf):
 def vector_topk(spark, sf):
     e = table(spark, sf, "embeddings")
     asks = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("vector"))
-    scored = retrieve.vector_scores(asks, e.select(F.col("vec_id").alias("unit_id"), F.col("embedding").alias("vector")))
+    scored = retrieve.nearest(asks, e.select(F.col("vec_id").alias("unit_id"), F.col("embedding").alias("vector")), TOP_K)
     return retrieve.ranked(scored.withColumn("score", F.round("score", 6) + 0.0), TOP_K).select("question_id", "unit_id", "score", "rank")
 
 
@@ -269,7 +274,8 @@ def fact_units(spark, sf):
 @query(r"""WITH RECURSIVE {base}, {chunks}, {facts},
     s AS (SELECT scope_id, CAST(sum(len(regexp_extract_all(content, '[A-Za-z0-9]+|[^A-Za-z0-9\s]'))) AS BIGINT) AS source_tokens FROM msgs GROUP BY scope_id),
     u AS (SELECT scope_id, len(regexp_extract_all(text, '[A-Za-z0-9]+|[^A-Za-z0-9\s]')) AS n FROM made)
-    SELECT scope_id, any_value(source_tokens) AS source_tokens, count(*) AS unit_count, CAST(sum(n) AS BIGINT) AS unit_tokens, round(avg(n), 9) AS avg_unit_tokens, max(n) AS max_unit_tokens, round(sum(n) / any_value(source_tokens), 9) AS compression
+    SELECT scope_id, any_value(source_tokens) AS source_tokens, count(*) AS unit_count, CAST(sum(n) AS BIGINT) AS unit_tokens, round(avg(n), 9) AS avg_unit_tokens, max(n) AS max_unit_tokens, round(sum(n) / any_value(source_tokens), 9) AS compression,
+        0 AS generation_prompt_tokens, 0 AS generation_completion_tokens, 0 AS generation_total_tokens, 0 AS generation_call_count, 0.0 AS generation_to_unit
     FROM u JOIN s USING (scope_id) GROUP BY scope_id""")
 def fact_token_stats(spark, sf):
     m = messages(spark, sf)
@@ -334,13 +340,12 @@ def clean_replies(spark, sf):
 
 @query("""WITH r AS (SELECT conv_id, turn, dense_rank() OVER (ORDER BY conv_id) AS i, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS m FROM conversations) SELECT conv_id, turn FROM r WHERE i <= 30 AND m <= 2""")
 def head_limits(spark, sf):
-    from .sources.tables import Dataset
-
+    """Conversations numbered over the whole table; the limit is Dataset.head's."""
     c = table(spark, sf, "conversations")
-    ids = c.select("conv_id").distinct().orderBy("conv_id").limit(30)  # the first items are what this returns
-    items = ids.select(F.col("conv_id").alias("item_id"), F.lit(0).alias("item_ord"))
+    ids = c.select(F.col("conv_id").alias("item_id")).distinct()
+    items = tables.numbered(ids.repartitionByRange("item_id").sortWithinPartitions("item_id").withColumn("ord", F.monotonically_increasing_id()), "item_ord").drop("ord")
     q = c.select(F.col("conv_id").alias("item_id"), F.concat_ws(":", "conv_id", "turn").alias("question_id"), F.col("turn").alias("q_ord"))
-    got = Dataset("d", items, q, q, q).head(1, 2)
+    got = tables.Dataset("d", items, q, q, q).head(30, 2)
     return got.questions.select(F.col("item_id").alias("conv_id"), F.col("q_ord").alias("turn"))
 
 
@@ -382,3 +387,104 @@ def judged_answers(spark, sf):
         F.array("query_text").alias("references"), F.array().cast("array<string>").alias("incorrect_answers"), (F.col("question_id") % 6).cast("string").alias("question_type"),
     )
     return evaluate.judge(rows, lambda ps: ['{"label": "CORRECT"}' if len(p) % 2 else '{"label": "WRONG"}' for p in ps]).select("question_id", "skip_reason", "judge_label", "score", "passed")
+
+
+def dataset(spark: SparkSession, sf: str) -> tables.Dataset:
+    """The tables as a dataset: an item for each scope, its conversations numbered from 1. What a
+    question's first three words are is its reference."""
+    rank = F.dense_rank().over(Window.partitionBy("scope_id").orderBy("conv_ix"))
+    nth = F.row_number().over(Window.partitionBy("scope_id", "conv_ix").orderBy("msg_ix"))
+    m = messages(spark, sf).withColumns({"at": rank, "nth": nth}).drop("conv_ix", "msg_ix").withColumnsRenamed({"at": "conv_ix", "nth": "msg_ix"})
+    m = m.withColumns({"item_id": F.col("scope_id"), "session_id": F.lit(None).cast("string"), "metadata": F.to_json(F.struct("message_id"))}).select(*tables.MESSAGES)
+    q = questions(spark, sf).select(
+        F.col("scope_id").alias("item_id"), F.col("question_id").cast("string").alias("question_id"), (F.row_number().over(Window.partitionBy("scope_id").orderBy("question_id")) - 1).alias("q_ord"), F.col("query_text").alias("query"),
+        "query_time_raw", F.lit(None).cast("string").alias("question_type"), F.to_json(F.struct((F.col("question_id") % 3).cast("string").alias("category"))).alias("metadata"),
+    )
+    refs = F.slice(text.lexical_tokens("query"), 1, 3)
+    labels = q.select("item_id", "question_id", F.to_json(refs).alias("reference"), refs.alias("references"), F.array(F.lit("e1")).alias("evidence_ids"), F.lit(None).cast("string").alias("evidence_level"), F.array().cast("array<string>").alias("incorrect_answers"), F.lit("{}").alias("metadata"))
+    scopes = m.select("item_id").distinct()
+    items = scopes.select(F.col("item_id").cast("long").alias("item_ord"), "item_id", F.col("item_id").alias("subject_id"), F.lit("{}").alias("metadata"))
+    return tables.Dataset("tables", items, m, q.join(scopes, "item_id", "left_semi"), labels.join(scopes, "item_id", "left_semi"))
+
+
+def from_file(spark: SparkSession, sf: str) -> tables.Dataset:
+    """dataset() written as a unified file and read again."""
+    at = session.scratch(spark, "unified")
+    sinks.write_unified(dataset(spark, sf), at)
+    return tables.read_unified(spark, at)
+
+
+@query("""WITH {placed} SELECT scope_id AS item_id, conv_ix, msg_ix, conv_id || ':' || turn AS message_id, role, trim(content, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS content, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS ts_raw FROM msgs""")
+def unified_messages(spark, sf):
+    """A unified file, written and read: messages."""
+    return from_file(spark, sf).messages.select("item_id", "conv_ix", "msg_ix", "message_id", "role", "content", "ts_raw")
+
+
+@query(r"""WITH {placed}, s AS (SELECT DISTINCT scope_id FROM msgs) SELECT scope_id AS item_id, CAST(question_id AS VARCHAR) AS question_id, row_number() OVER (PARTITION BY scope_id ORDER BY question_id) - 1 AS q_ord, query_text AS query, strftime(qt, '%Y-%m-%dT%H:%M:%S') AS query_time_raw,
+    CAST(question_id % 3 AS VARCHAR) AS question_type, array_to_string(list_slice(regexp_extract_all(lower(query_text), '[a-z0-9][a-z0-9_+\-'']*'), 1, 3), '|') AS refs, 'e1' AS evidence FROM q JOIN s USING (scope_id)""")
+def unified_questions(spark, sf):
+    """A unified file, written and read: questions with their labels."""
+    d = from_file(spark, sf)
+    rows = d.questions.join(d.labels.select("item_id", "question_id", F.array_join("references", "|").alias("refs"), F.array_join("evidence_ids", "|").alias("evidence")), evaluate.KEYS)
+    return rows.select("item_id", "question_id", "q_ord", "query", "query_time_raw", "question_type", "refs", "evidence")
+
+
+@query("""WITH {base} SELECT scope_id, unit_id, text, ts_raw, role, 'c' || conv_ix || ':m' || msg_ix AS source FROM units""")
+def unit_codec(spark, sf):
+    """Units as JSON and back."""
+    rows = units.raw_units(messages(spark, sf).withColumn("message_id", F.lit(None).cast("string")))
+    return codecs.decode(codecs.encode(rows, "unit"), "unit").select("scope_id", "unit_id", "text", "ts_raw", "role", F.array_join("source_ids", "|").alias("source"))
+
+
+def json_lines(rows: DataFrame, name: str, schema: str) -> DataFrame:
+    """rows written as JSON lines and read as a source's records, in order."""
+    at = session.scratch(rows.sparkSession, name)
+    rows.write.json(at)
+    return tables.json_array(rows.sparkSession, at, schema)
+
+
+@query("""SELECT 'c' || conv_id AS item_id, 1 AS conv_ix, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS msg_ix, 't' || turn AS message_id, 'participant' AS role, role AS speaker, trim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS content FROM conversations""")
+def turn_records(spark, sf):
+    """One record a question, two for each conversation, with all its turns in one session."""
+    t = F.struct("turn", F.struct(F.concat(F.lit("t"), "turn").alias("record_id"), F.lit("s").alias("session_id"), F.col("turn").cast("int").alias("turn_index"), F.col("role").alias("speaker"), "text").alias("t"))
+    c = table(spark, sf, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(t)), lambda x: x["t"]).alias("turn_records"))
+    rows = c.select(F.explode(F.array(F.lit(1), F.lit(2))).alias("k"), "*").select(F.concat(F.lit("c"), "conv_id").alias("source_sample_id"), F.concat_ws(":", "conv_id", "k").alias("question_id"), F.lit("?").alias("question"), F.lit("x").alias("answer"), "turn_records")
+    d = tables.from_turn_records(json_lines(rows, "turns", tables.TURNS), "turns")
+    return d.messages.select("item_id", "conv_ix", "msg_ix", "message_id", "role", "speaker", "content")
+
+
+@query("""WITH p AS (SELECT *, dense_rank() OVER (PARTITION BY conv_id % 10 ORDER BY conv_id) AS conv_ix, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS msg_ix FROM conversations)
+    SELECT CAST(conv_id % 10 AS VARCHAR) AS item_id, conv_ix, msg_ix, CASE WHEN conv_id % 2 = 0 THEN 's' || conv_id ELSE 'session_' || conv_ix END || ':m' || msg_ix AS message_id, role, role AS speaker, trim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS content FROM p""")
+def haystack_sessions(spark, sf):
+    """One question for each scope, over all its conversations as sessions, every other one without
+    an id."""
+    t = F.struct("turn", F.struct("role", F.col("text").alias("content")).alias("t"))
+    c = table(spark, sf, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(t)), lambda x: x["t"]).alias("turns"))
+    s = F.array_sort(F.collect_list(F.struct("conv_id", F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("s"), "conv_id")).otherwise("").alias("sid"), "turns")))
+    rows = c.groupBy((F.col("conv_id") % 10).cast("string").alias("question_id")).agg(s.alias("s")).select("question_id", F.lit("?").alias("question"), F.lit("7").alias("answer"), F.transform("s", lambda x: x["sid"]).alias("haystack_session_ids"), F.transform("s", lambda x: x["turns"]).alias("haystack_sessions"))
+    d = tables.from_haystack(json_lines(rows, "haystack", tables.HAYSTACK), "haystack")
+    return d.messages.select("item_id", "conv_ix", "msg_ix", "message_id", "role", "speaker", "content")
+
+
+@query("""WITH p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS msg_ix FROM conversations) SELECT 'p0' AS item_id, msg_ix, 's' || conv_id || ':m' || msg_ix AS message_id, role, CASE WHEN role = 'user' THEN 'Bo' ELSE lower(role) END AS speaker, trim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS content FROM p""")
+def persona_sessions(spark, sf):
+    """Every conversation as a session of one persona."""
+    t = F.struct("turn", F.struct("role", F.col("text").alias("content")).alias("t"))
+    c = table(spark, sf, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(t)), lambda x: x["t"]).alias("history"))
+    sess = json_lines(c.select(F.concat(F.lit("s"), "conv_id").alias("session_id"), F.lit("p0").alias("persona_id"), F.col("conv_id").cast("int").alias("order"), "history"), "sessions", tables.PERSONA_SESSIONS)
+    inst = spark.createDataFrame([("n1", "p0", '{"name": "Bo"}')], "instance_id string, persona_id string, persona_str string")
+    d = tables.from_persona(sess, json_lines(inst, "instances", tables.PERSONA_INSTANCES), "persona")
+    return d.messages.select("item_id", "msg_ix", "message_id", "role", "speaker", "content")
+
+
+@query(r"""WITH {placed}, s AS (SELECT DISTINCT scope_id FROM msgs), r AS (SELECT q.question_id, lower(context) AS c, list_slice(regexp_extract_all(lower(query_text), '[a-z0-9][a-z0-9_+\-'']*'), 1, 3) AS refs FROM contexts JOIN q USING (question_id) JOIN s ON q.scope_id = s.scope_id),
+    h AS (SELECT question_id, len(list_filter(refs, lambda x: contains(c, x))) > 0 AS passed FROM r WHERE len(refs) > 0)
+    SELECT CAST(question_id % 3 AS VARCHAR) AS category, count(*) AS evaluated_count, count(*) FILTER (passed) AS passed_count, round(count(*) FILTER (passed) / count(*), 9) AS accuracy FROM h GROUP BY ALL""")
+def experiment_categories(spark, sf):
+    """A whole run over a unified file: built, indexed, read, answered, evaluated, written, and its
+    accuracies by category read from the run's folder."""
+    ex = experiment.Experiment(systems.RawMemory(top_k=TOP_K, budget=400))
+    got = ex.run(from_file(spark, sf))
+    at = session.scratch(spark, "run")
+    sinks.write_run(spark, at, "r", {"system": "raw"}, got.tables, got.report)
+    return spark.read.parquet(f"{at}/categories").select("category", "evaluated_count", "passed_count", F.round("accuracy", 9).alias("accuracy"))

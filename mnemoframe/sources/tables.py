@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text
+from ..operators import units
+from . import files
 
 # Fixed value: the version that unified files must carry, after the name of what wrote them.
 SCHEMA_VERSIONS = r"[a-z_]+\.unified_dataset\.v1"
@@ -48,23 +50,32 @@ class Dataset:
 def json_array(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
     """The records of a JSON array of objects, or of JSON lines, in order (ord). What isn't such
     an array is refused."""
-    lines = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("value"), r"^\s*(\S)", 1).alias("c")).first()
-    if lines is None or lines.c not in ("[", "{"):
+    head = files.first_character(spark, path)
+    if head not in ("[", "{"):
         raise ValueError(f"{path} holds no array of objects")
     read = spark.read.schema(schema).option("mode", "FAILFAST")
-    rows = read.option("multiLine", True).json(path) if lines.c == "[" else read.json(path)
+    rows = read.option("multiLine", True).json(path) if head == "[" else read.json(path)
     return rows.withColumn("ord", F.monotonically_increasing_id())
 
 
-def to_lines(spark: SparkSession, path: str, out: str, schema: str | T.StructType) -> None:
-    """A large array once as JSON lines, which can be read in parts."""
-    json_array(spark, path, schema).orderBy("ord").drop("ord").write.json(out)
+def numbered(rows: DataFrame, name: str, *then: str) -> DataFrame:
+    """rows with their place from 0, by ord and `then`. ord holds a partition and a place in it
+    (monotonically_increasing_id): partitions are counted, and each numbers its own rows, so that
+    no task sees them all. rows should be narrow, as they are dealt by partition."""
+    part = F.shiftright("ord", 33)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition of the source
+    starts = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    nth = F.row_number().over(Window.partitionBy("_part").orderBy("ord", *then)) - 1
+    return rows.withColumn("_part", part).withColumn(name, nth).join(starts, "_part").withColumn(name, F.col(name) + F.col("_start")).drop("_part", "_start")
 
 
-UNIFIED = """schema_version string, dataset_name string, split string, items array<struct<
-    item_id: string, subject_id: string, metadata: string,
+ITEM = """item_id: string, subject_id: string, metadata: string,
     conversations: array<array<struct<message_id: string, id: string, role: string, speaker: string, content: string, text: string, timestamp: string, time: string, created_at: string, metadata: string>>>,
-    questions: array<struct<question_id: string, query: string, query_time: string, metadata: string, label: struct<reference_answer: string, evidence_ids: array<string>, metadata: string>>>>>"""
+    questions: array<struct<question_id: string, query: string, query_time: string, metadata: string, label: struct<reference_answer: string, evidence_ids: array<string>, metadata: string>>>"""
+UNIFIED = f"schema_version string, dataset_name string, split string, items array<struct<{ITEM}>>"
+UNIFIED_LINE = f"schema_version string, dataset_name string, item_ord long, item struct<{ITEM}>"
+#: Where, in a folder, write_unified puts its lines.
+LINES = "items.jsonl"
 MESSAGES = ("item_id", "scope_id", "conv_ix", "msg_ix", "message_id", "role", "speaker", "content", "ts_raw", "session_id", "metadata")
 QUESTIONS = ("item_id", "question_id", "q_ord", "query", "query_time_raw", "question_type", "metadata")
 LABELS = ("item_id", "question_id", "reference", "references", "evidence_ids", "evidence_level", "incorrect_answers", "metadata")
@@ -81,21 +92,26 @@ def _meta(col: str, key: str) -> Column:
     return F.get_json_object(col, f"$.{key}")
 
 
+def _root(spark: SparkSession, path: str) -> DataFrame:
+    """(schema_version, dataset_name, item_ord, i): of one object with all items, or of a folder
+    of lines (write_unified) with an item and its place each."""
+    if files.exists(spark, f"{path}/{LINES}"):
+        return spark.read.schema(UNIFIED_LINE).option("mode", "FAILFAST").json(f"{path}/{LINES}").select("schema_version", "dataset_name", "item_ord", F.col("item").alias("i"))
+    whole = spark.read.schema(UNIFIED).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    return whole.select("schema_version", "dataset_name", F.posexplode_outer("items").alias("item_ord", "i"))
+
+
 def read_unified(spark: SparkSession, path: str) -> Dataset:
-    """A unified file: one object with items, conversations and questions."""
-    root = spark.read.schema(UNIFIED).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    """A unified file: one object with items, conversations and questions; or such a dataset as a
+    folder of lines, an item each."""
+    root = _root(spark, path)
     head = root.select("schema_version", "dataset_name").first()
     if head is None or not re.fullmatch(SCHEMA_VERSIONS, head.schema_version or ""):
         raise ValueError(f"schema_version must be like {SCHEMA_VERSION}, not {head and head.schema_version}")
-    items = root.select(F.posexplode("items").alias("item_ord", "i")).select("item_ord", text.text_or_empty("i.item_id").alias("item_id"), "i")
+    items = root.where("item_ord is not null").select("item_ord", text.text_or_empty("i.item_id").alias("item_id"), "i")
     talks = items.select("item_id", F.posexplode("i.conversations").alias("c", "msgs")).select("item_id", (F.col("c") + 1).alias("conv_ix"), F.posexplode("msgs").alias("m", "x"))
-    meta = F.col("x.metadata")
-    messages = talks.select(
-        "item_id", F.col("item_id").alias("scope_id"), "conv_ix", (F.col("m") + 1).alias("msg_ix"), text.first_text("x.message_id", "x.id").alias("message_id"),
-        F.coalesce(text.first_text("x.role", "x.speaker"), F.lit("")).alias("role"), F.coalesce(text.first_text("x.speaker"), _meta("x.metadata", "speaker")).alias("speaker"),
-        F.coalesce(text.first_text("x.content", "x.text"), F.lit("")).alias("content"), text.first_text("x.timestamp", "x.time", "x.created_at").alias("ts_raw"),
-        _meta("x.metadata", "session_id").alias("session_id"), meta.alias("metadata"),
-    )
+    flat = units.message_accessors(talks.select("item_id", "conv_ix", (F.col("m") + 1).alias("msg_ix"), "x.*"))
+    messages = flat.select("item_id", F.col("item_id").alias("scope_id"), "conv_ix", "msg_ix", "message_id", "role", "speaker", "content", "ts_raw", _meta("metadata", "session_id").alias("session_id"), "metadata")
     asked = items.select("item_id", F.posexplode("i.questions").alias("q_ord", "q"))
     qid = text.text_or_empty("q.question_id").alias("question_id")
     kind = F.coalesce(*(text.text_or_null(_meta("q.metadata", k)) for k in ("question_category", "category", "question_type", "type")))
@@ -122,10 +138,9 @@ def from_turn_records(rows: DataFrame, name: str) -> Dataset:
     key = F.coalesce(text.text_or_null("source_sample_id"), text.text_or_null("example_id"))
     rows = rows.withColumn("item_id", F.when(key.isNull(), F.raise_error(F.lit("a record has neither source_sample_id nor example_id"))).otherwise(key))
     first = rows.groupBy("item_id").agg(F.min("ord").alias("ord"))
-    order = F.row_number().over(Window.orderBy("ord")) - 1
-    heads = rows.join(first, ["item_id", "ord"], "left_semi")
+    heads = rows.join(numbered(first, "item_ord"), ["item_id", "ord"])
     meta = F.to_json(F.struct(F.coalesce(text.text_or_null("source_sample_id"), F.col("item_id")).alias("source_sample_id"), F.nullif(text.string_list("participants"), F.array().cast("array<string>")).alias("participants"), "metadata.dataset_file", "metadata.category"))
-    items = heads.select(order.alias("item_ord"), "item_id", F.col("item_id").alias("subject_id"), meta.alias("metadata"))
+    items = heads.select("item_ord", "item_id", F.col("item_id").alias("subject_id"), meta.alias("metadata"))
     turns = heads.select("item_id", F.posexplode("turn_records").alias("p", "t"))
     session = F.coalesce(text.text_or_null("t.session_id"), F.lit("unknown_session"))
     turns = turns.withColumn("sid", session).withColumn("start", F.min("p").over(Window.partitionBy("item_id", "sid")))
@@ -163,8 +178,7 @@ def from_haystack(rows: DataFrame, name: str) -> Dataset:
     from those lists; a missing id is session_N, a missing date null."""
     item = text.text_or_empty("question_id")
     rows = rows.withColumn("item_id", item)
-    order = F.row_number().over(Window.orderBy("ord")) - 1
-    items = rows.select(order.alias("item_ord"), "item_id", F.col("item_id").alias("subject_id"), F.lit("{}").alias("metadata"))
+    items = numbered(rows.select("item_id", "ord"), "item_ord").select("item_ord", "item_id", F.col("item_id").alias("subject_id"), F.lit("{}").alias("metadata"))
     talks = rows.select("item_id", text.string_list("haystack_session_ids").alias("ids"), text.string_list("haystack_dates").alias("dates"), F.posexplode("haystack_sessions").alias("c", "turns"))
     at = F.col("c")
     talks = talks.select("item_id", (at + 1).alias("conv_ix"), F.coalesce(F.nullif(F.get("ids", at), F.lit("")), F.concat(F.lit("session_"), at + 1)).alias("session_id"), F.nullif(F.get("dates", at), F.lit("")).alias("ts_raw"), F.posexplode("turns").alias("m", "t"))
@@ -193,8 +207,8 @@ def from_persona(sessions: DataFrame, instances: DataFrame, name: str) -> Datase
     called = instances.select("ord", text.text_or_null(F.get_json_object("persona_str", "$.name")).alias("called")).where("called is not null").agg(F.min_by("called", "ord").alias("called"))
     who = head.join(called).select(F.coalesce("id", F.lit("persona")).alias("item_id"), "called")  # one row
     items = who.select(F.lit(0).alias("item_ord"), "item_id", F.col("item_id").alias("subject_id"), F.lit("{}").alias("metadata"))
-    conv = F.row_number().over(Window.orderBy("ord"))
-    talks = sessions.withColumn("conv_ix", conv).join(F.broadcast(who)).select("item_id", "called", "conv_ix", text.text_or_empty("session_id").alias("session_id"), text.text_or_null("timestamp").alias("ts_raw"), "case_id", "source", "conversation_type", "conversation_flow", "persona_signal_level", "order", F.posexplode("history").alias("m", "t"))
+    places = numbered(sessions.select("ord"), "conv_at").select("ord", (F.col("conv_at") + 1).cast("int").alias("conv_ix"))
+    talks = sessions.join(places, "ord").join(F.broadcast(who)).select("item_id", "called", "conv_ix", text.text_or_empty("session_id").alias("session_id"), text.text_or_null("timestamp").alias("ts_raw"), "case_id", "source", "conversation_type", "conversation_flow", "persona_signal_level", "order", F.posexplode("history").alias("m", "t"))
     role = F.coalesce(text.text_or_null("t.role"), F.lit("unknown"))
     low = F.lower(text.strip(role))
     n = F.col("m") + 1
@@ -204,10 +218,10 @@ def from_persona(sessions: DataFrame, instances: DataFrame, name: str) -> Datase
         text.text_or_empty("t.content").alias("content"), "ts_raw", "session_id", F.to_json(F.struct("session_id", n.alias("turn_index"), *details, "order")).alias("metadata"),
     )
     asked = instances.join(F.broadcast(who.select("item_id"))).select("*", F.posexplode("qas").alias("q", "qa"))
+    order = numbered(asked.select("ord", "q"), "q_ord", "q")
     qid = F.concat(text.text_or_empty("instance_id"), F.lit(":q"), F.col("q") + 1)
     known = [text.text_or_null(c).alias(c) for c in ("instance_id", "case_id", "persona_id", "relation_type", "relation_subtype", "topic", "source")]
-    q_ord = F.row_number().over(Window.orderBy("ord", "q")) - 1
-    questions = asked.select("item_id", qid.alias("question_id"), q_ord.alias("q_ord"), text.text_or_empty("qa.query").alias("query"), F.lit(None).cast("string").alias("query_time_raw"), text.text_or_null("relation_type").alias("question_type"), F.to_json(F.struct(*known)).alias("metadata"))
+    questions = asked.join(order, ["ord", "q"]).select("item_id", qid.alias("question_id"), F.col("q_ord").cast("int").alias("q_ord"), text.text_or_empty("qa.query").alias("query"), F.lit(None).cast("string").alias("query_time_raw"), text.text_or_null("relation_type").alias("question_type"), F.to_json(F.struct(*known)).alias("metadata"))
     trimmed = lambda c: F.filter(F.transform(text.string_list(c), text.strip), lambda x: x != "")
     labels = asked.select(
         "item_id", qid.alias("question_id"), F.to_json("qa.correct_answers").alias("reference"), trimmed("qa.correct_answers").alias("references"), trimmed("session_ids").alias("evidence_ids"), F.lit("conversation").alias("evidence_level"),
