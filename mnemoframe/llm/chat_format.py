@@ -20,6 +20,7 @@ results.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 from collections.abc import Iterator
@@ -33,12 +34,12 @@ from .common import text_or_empty
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 LOSS_ROLE = "assistant"
-TOKENIZER = "byte_bpe_50k.json"
+TOKENIZER = "byte_bpe_50k.tiktoken"
 
 _ESCAPE = re.compile(r"<(\\*)\|")
 _UNESCAPE = re.compile(r"<\\(\\*)\|")
 
-_tokenizer = None
+_encoder = None
 
 
 def escape(text: str) -> str:
@@ -74,89 +75,119 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return out
 
 
-def tokenizer(name: str = TOKENIZER):
-    global _tokenizer
-    if _tokenizer is None or _tokenizer[0] != name:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import AddedToken, Tokenizer, processors
+def encoder(name: str = TOKENIZER) -> tuple:
+    """A byte-level encoder whose vocabulary is a file of ranks, with the controls as tokens after
+    all others; and how many bytes each of its tokens stands for."""
+    global _encoder
+    if _encoder is None or _encoder[0] != name:
+        import public_tokenizers
+        import tiktoken
 
         from .packing import _path
 
-        made = Tokenizer.from_file(_path(name))
-        made.post_processor = processors.ByteLevel(trim_offsets=False)  # spans hold their spaces
-        made.encode_special_tokens = True  # the strings of its own specials are text here
-        made.add_tokens([AddedToken(t, normalized=False, special=False) for t in (TURN, TEXT, END)])
-        _tokenizer = (name, made)
-    return _tokenizer[1]
+        with open(_path(name), "rb") as f:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+        first = max(ranks.values()) + 2  # the id after the ranks is kept for an end of text
+        controls = {t: first + k for k, t in enumerate((TURN, TEXT, END))}
+        sizes = np.zeros(first + len(controls), np.int64)
+        for token, i in (ranks | {t.encode(): i for t, i in controls.items()}).items():
+            sizes[i] = len(token)
+        _encoder = (name, tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=controls), sizes, frozenset(controls))
+    return _encoder[1:]
+
+
+def encoded(texts: list[str], name: str = TOKENIZER) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of each text, encoded once, the ids and the offsets of each token in characters (tokens by
+    2). Tokens stand for bytes one after the other, so that their offsets follow from their lengths;
+    a token that is a part of a character has all of it."""
+    made, sizes, controls = encoder(name)
+    out = []
+    for text in texts:
+        ids = made.encode_to_numpy(text, allowed_special=controls, disallowed_special=()).astype(np.int32)
+        end = np.cumsum(sizes[ids])
+        start = end - sizes[ids]
+        if not text.isascii():
+            raw = np.frombuffer(text.encode(), np.uint8)
+            char = np.cumsum((raw & 0xC0) != 0x80) - 1  # the character of each byte
+            start, end = char[start], char[end - 1] + 1
+        out.append((ids, np.stack([start, end], 1)))
+    return out
 
 
-def loss_mask(offsets: list[tuple[int, int]], spans: list[tuple[int, int]]) -> np.ndarray:
+def loss_mask(offsets: np.ndarray | list[tuple[int, int]], spans: list[tuple[int, int]]) -> np.ndarray:
     """For each token, whether it lies in a span. Both lists are sorted; a character that is
     several tokens gives each of them its own span."""
     mask = np.zeros(len(offsets), bool)
-    if not offsets or not spans:
+    if not len(offsets) or not spans:
         return mask
-    at = np.array(offsets, np.int64)
+    at = np.asarray(offsets, np.int64)
     s = np.array(spans, np.int64)
     first = np.searchsorted(at[:, 0], s[:, 0], side="left")
     last = np.searchsorted(at[:, 1], s[:, 1], side="right")
-    for a, b in zip(first, last, strict=True):
-        mask[a:b] = True
-    return mask
+    edge = np.zeros(len(at) + 1, np.int64)
+    np.add.at(edge, first, 1)
+    np.add.at(edge, np.maximum(first, last), -1)
+    return np.cumsum(edge[:-1]) > 0
 
 
-def masked_text(formatted: str, offsets: list[tuple[int, int]], mask: np.ndarray) -> list[str]:
+def masked_text(formatted: str, offsets: np.ndarray | list[tuple[int, int]], mask: np.ndarray) -> list[str]:
     """What the masked tokens cover, unescaped, one string for each stretch of them."""
-    out: list[str] = []
-    start = end = None
-    for i in np.flatnonzero(mask):
-        a, b = offsets[i]
-        if end is not None and a <= end:
-            end = max(end, b)
-        else:
-            if end is not None:
-                out.append(unescape(formatted[start:end]))
-            start, end = a, b
-    if end is not None:
-        out.append(unescape(formatted[start:end]))
-    return out
+    at = np.asarray(offsets, np.int64).reshape(-1, 2)[np.asarray(mask, bool)]
+    if not len(at):
+        return []
+    new = np.r_[True, at[1:, 0] > at[:-1, 1]]
+    starts = at[new, 0]
+    ends = at[np.r_[new[1:], True], 1]
+    return [unescape(formatted[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+
+
+#: Characters of conversations that are encoded together.
+BATCH_CHARS = 1 << 20
 
 
 def format_conversations(rows: DataFrame, name: str = TOKENIZER) -> DataFrame:
     """rows: conv_id, turn, role, text. One row for each conversation: conv_id, formatted,
     input_ids, loss_mask, offsets (start and end in turn)."""
 
-    def made(conv: object, turns: list[tuple[str, str]]) -> tuple:
-        formatted, spans = render(turns)
-        e = tokenizer(name).encode(formatted, add_special_tokens=False)
-        return conv, formatted, e.ids, loss_mask(e.offsets, spans).tolist(), [x for o in e.offsets for x in o]
+    def told(convs: list, texts: list[str], spans: list, kind: pa.DataType) -> pa.RecordBatch:
+        got = encoded(texts, name)
+        masks = [loss_mask(at, s) for (_, at), s in zip(got, spans, strict=True)]
+        bounds = np.r_[0, np.cumsum([len(m) for m in masks])].astype(np.int32)
+
+        def lists(parts: list[np.ndarray], scale: int, kind: type) -> pa.Array:
+            flat = np.concatenate(parts) if parts else np.empty(0)
+            return pa.ListArray.from_arrays(pa.array(bounds * scale), pa.array(flat.astype(kind)))
+
+        cols = [pa.array(convs, kind), pa.array(texts, pa.string()), lists([i for i, _ in got], 1, np.int32), lists(masks, 1, bool), lists([at.ravel() for _, at in got], 2, np.int32)]
+        return pa.RecordBatch.from_arrays(cols, ["conv_id", "formatted", "input_ids", "loss_mask", "offsets"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        conv, turns, out, n = None, None, [], 0
+        conv, turns, n, kind = None, None, 0, None
+        convs: list = []
+        texts: list[str] = []
+        spans: list = []
 
-        def told() -> pa.RecordBatch:
-            cols = list(zip(*out, strict=True)) or [[]] * 5
-            kinds = [kind, pa.string(), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.list_(pa.int32())]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["conv_id", "formatted", "input_ids", "loss_mask", "offsets"])
+        def close() -> None:
+            text, at = render(turns)
+            convs.append(conv)
+            texts.append(text)
+            spans.append(at)
 
-        kind = None
         for batch in batches:
             kind = batch.column("conv_id").type
             for c, role, text in zip(*(batch.column(x).to_pylist() for x in ("conv_id", "role", "text")), strict=True):
                 if turns is None or c != conv:
                     if turns is not None:
-                        out.append(made(conv, turns))
-                        n += len(out[-1][1])
-                        if n > 1 << 20:
-                            yield told()
-                            out, n = [], 0
+                        close()
+                        n += len(texts[-1])
+                        if n > BATCH_CHARS:
+                            yield told(convs, texts, spans, kind)
+                            convs, texts, spans, n = [], [], [], 0
                     conv, turns = c, []
                 turns.append((role, text))
         if turns is not None:
-            out.append(made(conv, turns))
-            yield told()
+            close()
+            yield told(convs, texts, spans, kind)
 
     clean = rows.select("conv_id", "turn", text_or_empty("role").alias("role"), text_or_empty("text").alias("text"))
     lined = clean.repartition("conv_id").sortWithinPartitions("conv_id", F.asc_nulls_first("turn"), "role", "text").select("conv_id", "role", "text")
@@ -171,13 +202,17 @@ def read_back(formatted: DataFrame) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, mask, flat in zip(*(batch.column(x).to_pylist() for x in ("formatted", "loss_mask", "offsets")), strict=True):
+            masks, flat = batch.column("loss_mask"), batch.column("offsets")
+            values, at = masks.flatten().to_numpy(zero_copy_only=False), flat.flatten().to_numpy()
+            m = np.r_[0, np.cumsum(masks.value_lengths().to_numpy())]
+            for i, text in enumerate(batch.column("formatted").to_pylist()):
                 turns = parse(text)
                 digest = hashlib.sha256()
                 for role, body in turns:
                     digest.update(f"{role}\n{body}\n".encode())
-                loss = "".join(masked_text(text, list(zip(flat[::2], flat[1::2], strict=True)), np.array(mask, bool)))
-                out.append((len(turns), digest.hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text), len(mask), sum(mask)))
+                mask = values[m[i] : m[i + 1]]
+                loss = "".join(masked_text(text, at[2 * m[i] : 2 * m[i + 1]].reshape(-1, 2), mask))
+                out.append((len(turns), digest.hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text), len(mask), int(mask.sum())))
             cols = list(zip(*out, strict=True)) or [[]] * 7
             i, s = pa.int64(), pa.string()
             yield pa.RecordBatch.from_arrays([batch.column("conv_id"), *(pa.array(c, k) for c, k in zip(cols, (i, s, i, s, i, i, i), strict=True))], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_tokens", "loss_tokens"])

@@ -11,6 +11,8 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from pyspark.sql import functions as F
+
 from mnemoframe.llm import queries
 
 from .data import SF, words
@@ -76,6 +78,48 @@ def test_op3(spark, docs):
     assert set(load.index) == set(range(40)) and load.max() <= max(got["size"].max(), load.mean() * 1.1)
 
 
+def test_op3_map_is_stored_and_edited(spark):
+    """The query keeps its map in the shared folder; with one more shard, the next version moves
+    slots there alone."""
+    first = queries.op3_sharding(spark, SF).toPandas()
+    again = queries.op3_sharding(spark, SF, 41).toPandas()
+    assert again.map_version.iloc[0] == first.map_version.iloc[0] + 1 and first.map_version.nunique() == 1
+    a, b = (x.groupby("virtual_slot")["shard"].first() for x in (first, again))
+    assert (first.groupby("virtual_slot")["shard"].nunique() == 1).all()
+    moved = a.index[a != b]
+    assert 0 < len(moved) < len(a) / 5 and (b[moved] == 40).sum() > 0
+    size = first.groupby("virtual_slot")["size"].sum()
+    assert again.groupby("shard")["size"].sum().max() <= max(size.max(), size.sum() / 41 * 1.1)
+
+
+def test_op4_sql_with_learnt_cutoffs(spark, tmp_path):
+    """On a table whose labels are enough for cutoffs, the query and its SQL agree on what they
+    reject."""
+    from .data import prose
+
+    docs = [(i, prose(40, i) + (" ### $$$ %%%" * 8 if i % 5 == 0 else " AB CD" * (i % 11 == 0)) + "\n".join(["", "same line here"] * (3 if i % 13 == 0 else 0)), "en" if i % 4 else "de", "s", 0) for i in range(2400)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"file://{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i % 5 != 0), 0) for i in range(2400)], "doc_id long, quality int, toxic int").coalesce(1).write.parquet(f"file://{tmp_path}/labels.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    want = con.sql(queries.SQL["op4_quality_rules"]).df().set_index("doc_id").sort_index()
+    got = queries.QUERIES["op4_quality_rules"](spark, f"file://{tmp_path}").toPandas().set_index("doc_id").sort_index()
+    assert (got[want.columns] == want).all().all() and (~got.kept & ~got.base_failed).sum() > 300
+
+
+def test_op1_uses_both_branches(spark):
+    """Digests that are there once are shuffled, others are settled map-side."""
+    from mnemoframe.llm import exact_dedup
+    from mnemoframe.llm.common import TMP, text_or_empty
+
+    text = text_or_empty("text")
+    rows = spark.read.parquet(f"{SF}/documents.parquet").selectExpr(f"doc_id AS {TMP}id", "text", f"0L AS {TMP}row").withColumns({f"{TMP}sha": exact_dedup.text_digest(text), f"{TMP}len": F.length(text)})
+    heavy = exact_dedup.heavy_winners(rows.drop("text"))
+    sizes = [r[0] for r in heavy.select(f"{TMP}size").collect()]
+    assert min(sizes) >= 2 and len(sizes) < rows.select(f"{TMP}sha").distinct().count()
+
+
 def test_op4(spark, docs):
     got = result(spark, "op4_quality_rules")
     for i, t in docs.text.items():
@@ -126,6 +170,38 @@ def test_op7(spark, docs):
     assert got.score.between(0, 1).all() and (got.predicted == (got.score >= 0.5)).all() and len(got) == len(docs)
 
 
+def test_op7_against_plain_python(spark, docs):
+    """Words that lean to a label, a logistic regression on them by Newton's steps, and its scores,
+    from the restored words of each text."""
+    from collections import Counter as C
+
+    from mnemoframe.llm import toxicity
+
+    texts = spark.read.parquet(f"{SF}/documents.parquet").select("text")
+    model = toxicity.CharModel(toxicity.character_counts(texts))
+    said = {i: set(toxicity.restore(t.lower(), model, {})) for i, t in docs.text.items()}
+    lab = pd.read_parquet(f"{SF}/labels.parquet").dropna().groupby("doc_id").toxic.max()
+    lab = lab[[i for i in lab.index if zlib.crc32(str(i).encode()) % 5 and i in docs.index]]
+    n1, n = int((lab == 1).sum()), len(lab)
+    t = C(w for i in lab.index if lab[i] == 1 for w in said[i])
+    every = C(w for i in lab.index for w in said[i])
+
+    def lean(w):
+        cells = [(t[w], every[w], n1), (every[w] - t[w], every[w], n - n1), (n1 - t[w], n - every[w], n1), (n - n1 - every[w] + t[w], n - every[w], n - n1)]
+        return 2 * sum(x * math.log(x * n / (row * max(1, col))) for x, row, col in cells if x > 0)
+
+    words = sorted(w for w in every if every[w] >= 3 and lean(w) >= 20)
+    x = np.array([[w in said[i] for w in words] + [True] for i in lab.index], float)
+    y, b = (lab == 1).to_numpy(float), np.zeros(len(words) + 1)
+    ridge = np.r_[np.full(len(words), 0.5), 1e-9]
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-x @ b))
+        b -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge), x.T @ (p - y) + ridge * b)
+    got = result(spark, "op7_toxicity")
+    want = {i: 1 / (1 + math.exp(-(b[-1] + sum(b[k] for k, w in enumerate(words) if w in said[i])))) for i in docs.index}
+    assert max(abs(got.score[i] - want[i]) for i in want) < 0.02
+
+
 def test_op7_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     got = queries.QUERIES["op7_toxicity"](spark, sf).toPandas().merge(pd.read_parquet(f"{sf}/labels.parquet"), on="doc_id")
