@@ -123,7 +123,7 @@ def judged(rows: DataFrame, complete, prompt: str = "prompt") -> DataFrame:
     return rows.mapInPandas(run, f"{kinds}, judge_raw string")
 
 
-def judge(rows: DataFrame, complete, dataset: str = "dataset", strict: bool = False) -> DataFrame:
+def judge(rows: DataFrame, complete, dataset: str = "dataset", strict: bool = False, templates: dict[str, str] | None = None) -> DataFrame:
     """rows: the keys, dataset, question, answer, references, question_type, incorrect_answers and
     the metadata that prompts use. Adds family, prompt_name, skip_reason, judge_source, judge_label,
     score and passed. Only rows that no rule settles reach the judge."""
@@ -137,7 +137,7 @@ def judge(rows: DataFrame, complete, dataset: str = "dataset", strict: bool = Fa
     base = base.withColumn("exact", F.when(F.col("skip_reason").isNull() & (F.col("family") == "persona"), exact_verdict()))
     base = base.withColumn("prompt_name", F.concat(F.col("family"), F.lit("_v1")))
     done = base.where(F.col("skip_reason").isNotNull() | F.col("exact").isNotNull()).withColumn("judge_raw", F.lit(None).cast("string"))
-    ask = base.where(F.col("skip_reason").isNull() & F.col("exact").isNull()).withColumn("prompt", prompts.judge_prompt(base.columns))
+    ask = base.where(F.col("skip_reason").isNull() & F.col("exact").isNull()).withColumn("prompt", prompts.judge_prompt(base.columns, templates))
     every = done.unionByName(judged(ask, complete).drop("prompt"))
     yes = F.contains(F.lower("judge_raw"), F.lit("yes"))
     if strict:

@@ -4,6 +4,7 @@ are what the parsers in evaluate expect."""
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -94,9 +95,18 @@ def case_guidance(columns: list[str]) -> Column:
     return F.concat(F.lit("\nFacts:\n"), facts, *shown, F.lit("\nGuidance: "), F.concat_ws(" ", *told))
 
 
-def judge_prompt(columns: list[str] | None = None) -> Column:
+def filled(template: str, slots: dict[str, Column]) -> Column:
+    """The template with each {slot} filled; what is filled in isn't looked at again. Other braces
+    stay."""
+    parts = re.split(r"(\{(?:" + "|".join(map(re.escape, slots)) + r")\})", template)
+    return F.concat(*(slots[p[1:-1]] if p[:1] == "{" and p[1:-1] in slots else F.lit(p) for p in parts if p))
+
+
+def judge_prompt(columns: list[str] | None = None, templates: dict[str, str] | None = None) -> Column:
     """By family; of rows with question, answer, references, incorrect_answers, question_type and
-    question_id. columns: those that rows have; of CASE_COLUMNS, a persona's prompt shows these."""
+    question_id. columns: those that rows have; of CASE_COLUMNS, a persona's prompt shows these.
+    templates: by family, wordings other than the engine's own, with the slots question, answer,
+    references, incorrect_answers, rule (of a haystack's question type) and case."""
     slots = F.concat(F.lit("\n\nQuestion: "), F.col("question"), F.lit("\nAccepted answers:\n"), _listed("references"), F.lit("\nGiven answer: "), F.coalesce("answer", F.lit("")))
     turns = F.concat(F.lit('Decide whether the given answer agrees with an accepted one; be generous about wording, formats and relative dates. Reply with JSON: {"label": "CORRECT"} or {"label": "WRONG"}.'), slots)
     kind = F.coalesce(F.col("question_type"), F.lit("unknown"))
@@ -107,7 +117,10 @@ def judge_prompt(columns: list[str] | None = None) -> Column:
     rule = rule.otherwise(F.raise_error(F.concat(F.lit("no judging rule for the question type "), kind)).cast("string"))
     haystack = F.concat(F.lit("Is the given answer right? "), rule, F.lit(" Reply yes or no only."), slots)
     persona = F.concat(F.lit('Decide whether the given answer agrees with an accepted one and with none of the wrong ones. Reply with JSON: {"label": "CORRECT" or "WRONG", "reason": "..."}.'), slots, F.lit("\nWrong answers:\n"), _listed("incorrect_answers"), case_guidance(columns or []))
-    return F.when(F.col("family") == "turns", turns).when(F.col("family") == "haystack", haystack).otherwise(persona)
+    own = {"turns": turns, "haystack": haystack, "persona": persona}
+    slots = {"question": F.col("question"), "answer": F.coalesce("answer", F.lit("")), "references": _listed("references"), "incorrect_answers": _listed("incorrect_answers"), "case": case_guidance(columns or [])}
+    own |= {k: filled(t, slots | ({"rule": rule} if k == "haystack" else {"rule": F.lit("")})) for k, t in (templates or {}).items()}
+    return F.when(F.col("family") == "turns", own["turns"]).when(F.col("family") == "haystack", own["haystack"]).otherwise(own["persona"])
 
 
 FACTS_PROMPT = "List the lasting facts that the speaker states in the conversation below, one short sentence each. Reply with JSON: {\"facts\": [{\"text\": \"...\", \"tags\": [\"...\"]}]}.\n\n"

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from . import session
 from .functions import keys, text, times, vectors
-from .operators import cache, context, evaluate, prompts, retrieve, summaries, units
+from .operators import cache, context, embedding, evaluate, prompts, retrieve, summaries, units
 from .plans import experiment, systems
 from .sources import codecs, sinks, tables
 from .streaming import incremental
@@ -488,3 +488,46 @@ def experiment_categories(spark, sf):
     at = session.scratch(spark, "run")
     sinks.write_run(spark, at, "r", {"system": "raw"}, got.tables, got.report)
     return spark.read.parquet(f"{at}/categories").select("category", "evaluated_count", "passed_count", F.round("accuracy", 9).alias("accuracy"))
+
+
+def stub_vectors(texts: list[str]) -> list[list[float]]:
+    """A model that any SQL can follow: length, letters e, and words."""
+    return [[float(len(t)), float(t.count("e")), float(t.count(" ") + 1)] for t in texts]
+
+
+@query("""WITH {base}, f AS (SELECT unit_id, scope_id, ts, [length(text)::DOUBLE, length(text) - length(replace(text, 'e', '')), length(text) - length(replace(text, ' ', '')) + 1] AS v FROM units),
+    g AS (SELECT question_id, scope_id, qt, [length(query_text)::DOUBLE, length(query_text) - length(replace(query_text, 'e', '')), length(query_text) - length(replace(query_text, ' ', '')) + 1] AS v FROM q),
+    s AS (SELECT question_id, unit_id, round(list_cosine_similarity(g.v, f.v), 9) AS score FROM g JOIN f ON g.scope_id = f.scope_id AND f.ts <= g.qt)
+    SELECT question_id, unit_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, unit_id) AS rank FROM s) WHERE rank <= 20""")
+def embedded_topk(spark, sf):
+    """Units and questions embedded by a model, each text once, and ranked by its vectors."""
+    store, q, u = embedding.VectorStore(session.scratch(spark, "vectors")), questions(spark, sf), raw(spark, sf)
+    of_u = store.vectors(u.select("text"), stub_vectors, "stub")
+    of_q = store.vectors(q.select(F.col("query_text").alias("text")), stub_vectors, "stub")
+    scored = retrieve.embedded_scores(q, u, of_q, of_u, F.col("text"))
+    return retrieve.ranked(scored.withColumn("score", F.round("score", 9)), TOP_K).select("question_id", "unit_id", "score", "rank")
+
+
+def token_counter(name: str = "byte_bpe_50k.tiktoken") -> Callable[[str], int]:
+    """Counts tokens by a public vocabulary of ranks, loaded once in a worker."""
+    held: list = []
+
+    def count(s: str) -> int:
+        if not held:
+            import base64
+
+            import public_tokenizers
+            import tiktoken
+
+            with open(public_tokenizers.path(name), "rb") as f:
+                ranks = {base64.b64decode(t): int(r) for t, r in map(bytes.split, f)}
+            held.append(tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}))
+        return len(held[0].encode_ordinary(s))
+
+    return count
+
+
+@query()
+def tokenizer_context(spark, sf):
+    """Contexts within a budget of a real tokenizer's tokens, which don't add up over lines."""
+    return context.pack_each(questions(spark, sf), lexical(spark, sf), context.prefix, 400, joiner="\n", style="list", count=token_counter())

@@ -15,10 +15,11 @@ from pyspark.sql.streaming import StreamingQuery
 
 
 class IncrementalBuild:
-    """folder: messages (all that came, once for each key) and units, by batch."""
+    """folder: messages (all that came, once for each key) and units, by batch. build's unit_ids
+    end in the conversation's place and their own, whatever the scope is called."""
 
-    def __init__(self, folder: str, build: Callable[[DataFrame], DataFrame], buckets: int = 16) -> None:
-        self.folder, self.build, self.buckets = folder.rstrip("/"), build, buckets
+    def __init__(self, folder: str, build: Callable[[DataFrame], DataFrame]) -> None:
+        self.folder, self.build = folder.rstrip("/"), build
 
     def _read(self, like: DataFrame, name: str) -> DataFrame | None:
         spark = like.sparkSession
@@ -33,7 +34,7 @@ class IncrementalBuild:
         batch.withColumn("batch", F.lit(batch_id)).drop("batch").write.mode("overwrite").parquet(f"{self.folder}/messages/batch={batch_id}")
         touched = batch.select(*conv).distinct()
         every = self.messages(batch).join(touched, conv, "left_semi")
-        place = F.regexp_extract("unit_id", r":c(\d+):", 1).cast("int")
+        place = F.regexp_extract("unit_id", r"^.*:c(\d+):", 1).cast("int")  # the last one, as scopes may hold such marks
         made = self.build(every).withColumn("conv_ix", place)
         made.write.mode("overwrite").parquet(f"{self.folder}/units/batch={batch_id}")
         touched.write.mode("overwrite").parquet(f"{self.folder}/touched/batch={batch_id}")

@@ -393,6 +393,8 @@ def test_judge_is_told_of_the_case(spark):
     for said in ("- f1", "moved twice", "nuanced", "food", prompts.RELATIONS["nuanced"], prompts.KINDS["non_persona_contradiction"], prompts.SOURCES["user-related"], "- w"):
         assert said in one and (said == "- w" or said not in two)
     assert "(none)" in two
+    said = df.select(prompts.judge_prompt(df.columns, {"persona": "{question}|{answer}|{references}|{other}"}).alias("p")).first().p
+    assert said == "q|a|- r|{other}"
     bare = df.select("question", "answer", "references", "incorrect_answers", "question_type", "question_id", "family")
     assert bare.select(prompts.judge_prompt(bare.columns)).count() == 2
 
@@ -475,7 +477,7 @@ def test_heads_of_files(spark, tmp_path):
 
 
 def test_stream_equals_batch(spark, tmp_path):
-    rows = [(s, c, m, None, "user", "Ann", f"Fact {s} {c} {m}. More.", f"2024-0{c}-01") for s in ("a", "b") for c in (1, 2, 3) for m in (1, 2)]
+    rows = [(s, c, m, None, "user", "Ann", f"Fact {s} {c} {m}. More.", f"2024-0{c}-01") for s in ("a", "x:c5:y") for c in (1, 2, 3) for m in (1, 2)]
     src = tmp_path / "in"
     b = incremental.IncrementalBuild(f"file://{tmp_path}/state", units.fact_units)
     order = [rows[:3], rows[4:9], rows[3:4] + rows[8:9], rows[9:]]

@@ -102,6 +102,20 @@ def test_merged_timeline(spark, con):
         assert got[i] == (best, tokens(best)), i
 
 
+def test_tokenizer_context(spark, con):
+    count = queries.token_counter()
+    got = {r.question_id: (r.context, r.context_tokens, r.context_blocks) for r in queries.QUERIES["tokenizer_context"](spark, SF).collect()}
+    for i, lines in ranked(con).items():
+        best = ("", 0, 0)
+        for k in range(1, len(lines) + 1):
+            s = "\n".join(f"- {r[1]}: {r[0]}" for r in lines[:k])
+            if count(s) > 400:
+                break
+            best = (s, count(s), k)
+        assert got[i] == best, i
+    assert any(k for _, _, k in got.values())
+
+
 def test_judged_answers(spark, con):
     """The stubs' verdicts, from the prompts' lengths: each row is judged as its own prompt says."""
     got = {r.question_id: r for r in queries.QUERIES["judged_answers"](spark, SF).collect()}
