@@ -6,6 +6,7 @@ import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import chat_format, exact_dedup, lm_scoring, mixing, ngram_join, packing, quality_rules, sharding, substring_dedup, toxicity
 from .common import app_dir, table
@@ -47,7 +48,9 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    got = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    spans = F.array_join(F.transform("removed", lambda s: F.concat(s["start"], F.lit(":"), s["end"])), ";")
+    return got.select("doc_id", "text", "n_sentences", "n_removed", spans.alias("removed"))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

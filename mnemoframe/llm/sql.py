@@ -3,7 +3,7 @@ unnesting, quotients for every block, pairs from shared n-grams."""
 
 from __future__ import annotations
 
-from . import mixing, ngram_join, quality_rules
+from . import mixing, ngram_join, quality_rules, substring_dedup
 
 EXACT = r"""
     WITH d AS (
@@ -95,4 +95,26 @@ def _near() -> str:
     FROM c LEFT JOIN n USING (doc_id)"""
 
 
-SQL = {"op1_exact_dedup": EXACT, "op4_quality_rules": _quality(), "op6_chat_format": CHAT, "op9_mixing": _mixing(), "op10_ngram_join": _near()}
+def _substring() -> str:
+    n, m = substring_dedup.RUN, substring_dedup.MIN_WORDS
+    return rf"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+    p AS (SELECT doc_id, text, list_filter(string_split(regexp_replace(regexp_replace(text, '([.!?][\x20\x09-\x0D]+)', '\1' || chr(1), 'g'), '([\x20\x09\x0B-\x0D]*\n[\x20\x09-\x0D]*)', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS raw FROM d),
+    q AS (SELECT doc_id, text, CASE WHEN len(raw) > 0 AND NOT regexp_matches(raw[1], '[^\x20\x09-\x0D]') THEN CASE WHEN len(raw) > 1 THEN list_prepend(raw[1] || raw[2], raw[3:]) ELSE [] END ELSE raw END AS ps FROM p),
+    s AS (SELECT doc_id, ps, list_transform(ps, lambda x: regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS ws FROM q),
+    x AS (SELECT doc_id, unnest(ps) AS piece, unnest(list_transform(ws, lambda w: len(w))) AS n, generate_subscripts(ps, 1) AS i FROM s),
+    c AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS upto, sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i) AS stop, max(i) OVER (PARTITION BY doc_id) AS last FROM x),
+    e AS (SELECT a.doc_id, a.i, greatest(a.i + {n - 1}, min(b.i)) AS j, any_value(a.last) AS last FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.upto - a.upto + a.n >= {m} GROUP BY a.doc_id, a.i),
+    bodies AS (SELECT doc_id, list_transform(ws, lambda w: array_to_string(w, ' ')) AS b FROM s),
+    runs AS (SELECT e.doc_id, i, j, md5(array_to_string(b[i:j], chr(2))) AS h FROM e JOIN bodies USING (doc_id) WHERE j <= last),
+    later AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS k FROM runs) WHERE k > 1),
+    gone AS (SELECT DISTINCT doc_id, unnest(range(i, j + 1)) AS i FROM later),
+    marked AS (SELECT c.*, gone.i IS NOT NULL AS dropped FROM c LEFT JOIN gone ON c.doc_id = gone.doc_id AND c.i = gone.i),
+    kept AS (SELECT doc_id, coalesce(string_agg(piece, '' ORDER BY i) FILTER (NOT dropped), '') AS text, count(*) AS n_sentences, count(*) FILTER (dropped) AS n_removed FROM marked GROUP BY doc_id),
+    isles AS (SELECT doc_id, min(stop - length(piece)) AS a, max(stop) AS z FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS g FROM marked WHERE dropped) GROUP BY doc_id, g),
+    spans AS (SELECT doc_id, string_agg(CAST(a AS BIGINT) || ':' || CAST(z AS BIGINT), ';' ORDER BY a) AS removed FROM isles GROUP BY doc_id)
+    SELECT d.doc_id, coalesce(kept.text, d.text) AS text, coalesce(n_sentences, 0) AS n_sentences, coalesce(n_removed, 0) AS n_removed, coalesce(removed, '') AS removed
+    FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN spans USING (doc_id)"""
+
+
+SQL = {"op1_exact_dedup": EXACT, "op4_quality_rules": _quality(), "op6_chat_format": CHAT, "op8_substring_dedup": _substring(), "op9_mixing": _mixing(), "op10_ngram_join": _near()}
