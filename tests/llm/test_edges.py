@@ -37,7 +37,7 @@ def test_per_row(spark, name):
 def test_values_of_odd_rows(spark):
     rows = data.odd(spark)
     exact = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in PER_ROW["exact"](spark, rows, True).collect()}
-    assert {(1, 3, 7, False), (3, 3, 7, True), (11, 11, 2, True), (12, 11, 2, False), (10, 10, 4, True), (4, 10, 4, False), (None, 3, 7, False), (None, 10, 4, False)} <= exact
+    assert {(1, 3, 6, False), (3, 3, 6, True), (11, 11, 2, True), (12, 11, 2, False), (10, 10, 4, True), (4, 10, 4, False), (None, 3, 6, False), (None, 10, 4, False)} <= exact
     lm = {r.doc_id: (r.n_tokens, r.held_out) for r in PER_ROW["lm"](spark, rows, True).collect() if r.doc_id is not None}
     assert lm[5][0] == lm[4][0] == lm[10][0] == 1 and lm[7][0] == 20_001 and lm[11][0] == 3
     assert all(r.held_out for r in PER_ROW["lm"](spark, rows, True).collect() if r.doc_id is None)
