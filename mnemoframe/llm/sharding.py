@@ -56,21 +56,22 @@ class SlotMap:
     def rebalanced(self, slot_bytes: list[int], n_shards: int | None = None, tolerance: float = 0.02) -> SlotMap:
         """The next version, with n_shards shards (at least as many as now): slots leave shards
         above the mean for the lightest one, each move lowering the larger of the two, until
-        all are within the tolerance or no move helps."""
+        all are within the tolerance or no move helps. A shard that one large slot fills can't be
+        helped, and the mean is then that of the others."""
         n = n_shards or self.n_shards
         if n < self.n_shards:
             raise ValueError("shards can be added, not taken away")
         grown = replace(self, version=self.version + 1, n_shards=n)
         load, shards = grown.loads(slot_bytes), list(self.shards)
-        mean = sum(load) / n
         members: list[list[int]] = [[] for _ in range(n)]
         for slot, shard in enumerate(shards):
             if slot_bytes[slot]:
                 members[shard].append(slot)
         stuck: set[int] = set()
         while True:
-            rich = max((s for s in range(n) if s not in stuck), key=lambda s: (load[s], -s), default=None)
-            if rich is None or load[rich] <= mean * (1 + tolerance):
+            free = [s for s in range(n) if s not in stuck]
+            rich = max(free, key=lambda s: (load[s], -s), default=None)
+            if rich is None or load[rich] * len(free) <= sum(load[s] for s in free) * (1 + tolerance):
                 break
             poor = min(range(n), key=lambda s: (load[s], s))
             room = (load[rich] - load[poor]) / 2

@@ -97,7 +97,7 @@ def test_op4_sql_with_learnt_cutoffs(spark, tmp_path):
     reject."""
     from .data import prose
 
-    docs = [(i, prose(40, i) + (" ### $$$ %%%" * 8 if i % 5 == 0 else " AB CD" * (i % 11 == 0)) + "\n".join(["", "same line here"] * (3 if i % 13 == 0 else 0)), "en" if i % 4 else "de", "s", 0) for i in range(2400)]
+    docs = [(i, (prose(40, i).replace(" ", "##$ ") if i % 5 == 0 else prose(40, i) + " AB CD" * (i % 11 == 0)) + "\n".join(["", "same line here"] * (3 if i % 13 == 0 else 0)), "en" if i % 4 else "de", "s", 0) for i in range(2400)]
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"file://{tmp_path}/documents.parquet")
     spark.createDataFrame([(i, int(i % 5 != 0), 0) for i in range(2400)], "doc_id long, quality int, toxic int").coalesce(1).write.parquet(f"file://{tmp_path}/labels.parquet")
     con = duckdb.connect()
