@@ -64,6 +64,8 @@ _ANY = re.compile(r"[^\W_]")
 _STRETCH = re.compile(rf"((?<![^\W_])(?:[^\W_]|[{_SIGNS}])(?:[ .\-_*]{{1,2}}(?:[^\W_]|[{_SIGNS}])(?![^\W_])){{2,}})|[^\W_{_SIGNS}]*(?:[^\W_]|[{_SIGNS}])+")
 _SPLIT = re.compile(r"[ .\-_*]+")
 MAX_MEMO = 50_000
+#: Spellings of a word up to which they are weighed one by one; more are searched.
+MAX_SPELLINGS = 32
 #: Characters of a stretch whose reading a task remembers.
 SHORT = 64
 #: Distinct tokens whose words a task keeps.
@@ -196,6 +198,32 @@ def viterbi(columns: list[list[tuple[str, float]]], model: CharModel) -> str:
     return "".join(reversed(out)).strip()
 
 
+def respelled(word: str, model: CharModel) -> str:
+    """What viterbi() finds for a word of letters only, whose lattice is a few spellings: each run
+    of one letter as one or two. The spellings are weighed one by one."""
+    spellings = [("", 0.0)]
+    for m in _RUN.finditer(word):
+        options = _COLUMNS.get(m[0]) or column(m[0])
+        if len(options) == 1:
+            x, q = options[0]
+            spellings = [(s + x, p + q) for s, p in spellings]
+        else:
+            spellings = [(s + x, p + q) for s, p in spellings for x, q in options]
+            if len(spellings) > MAX_SPELLINGS:
+                return viterbi(lattice(word), model)
+    known, logp, best, most = model.memo.get, model.logp, word, -math.inf
+    for s, p in spellings:
+        at = " " * (ORDER - 1)
+        for c in s + " ":
+            key = at + c
+            step = known(key)
+            p += logp(at, c) if step is None else step
+            at = key[1:]
+        if p > most:
+            best, most = s, p
+    return best
+
+
 _ALNUM, _SIGN = (np.array([f(chr(i)) for i in range(256)]) for f in (str.isalnum, LEET.__contains__))
 
 
@@ -243,7 +271,12 @@ class Reader:
             seen.clear()
         for t in set(text.split()):
             if (words := seen.get(t)) is None:
-                words = seen[t] = self.wanted(set(restore(t, self.model, self.memo)) if _SUSPECT.search(t) else (t,) if t.isalpha() else _WORDS.findall(t))
+                suspect, letters = _SUSPECT.search(t), t.isalpha()
+                if letters:
+                    found = (respelled(t, self.model) if suspect else t,)
+                else:
+                    found = set(restore(t, self.model, self.memo)) if suspect else _WORDS.findall(t)
+                words = seen[t] = self.wanted(found)
             if words:
                 out.update(words)
         return out
@@ -273,7 +306,7 @@ def restore(text: str, model: CharModel, memo: dict[str, str]) -> list[str]:
             continue
         if (found := memo.get(s)) is None:
             bare = s.strip()
-            readings = [viterbi(lattice(bare), model)]
+            readings = [respelled(bare, model) if bare.isalpha() else viterbi(lattice(bare), model)]
             if bare and not bare[-1].isalnum():
                 readings.append(viterbi(lattice(bare, silent=False), model))
             found = " ".join(dict.fromkeys(readings))

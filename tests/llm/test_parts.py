@@ -414,6 +414,14 @@ def test_deobfuscation_at_ends_and_of_doubled_letters():
     assert reader.words("a plain text, 2023-01-02") == {"a", "plain", "text"}
 
 
+def test_spellings_are_those_of_the_search():
+    rng = random.Random(8)
+    model = toxicity.CharModel(toxicity.count_words(Counter({data.prose(1, i): rng.randint(1, 9) for i in range(300)})))
+    for _ in range(500):
+        w = "".join(rng.choice("abcde") * rng.choice([1, 1, 2, 3]) for _ in range(rng.randint(1, 7)))
+        assert toxicity.respelled(w, model) == toxicity.viterbi(toxicity.lattice(w), model), w
+
+
 def test_slots_agree():
     text = "   aß\U0001f600c "
     codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
