@@ -70,8 +70,6 @@ MAX_SPELLINGS = 32
 SHORT = 64
 #: Distinct tokens whose words a task keeps.
 MAX_TOKENS = 200_000
-#: Distinct words that a task holds before it passes its counts on.
-MAX_HELD = 300_000
 
 
 def _slots(codes: np.ndarray, order: int) -> np.ndarray:
@@ -387,25 +385,19 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         once = once.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(970_000 * MAX_LABELLED / n))
     held = texts.join(F.broadcast(once), "doc_id").select(F.col("toxic").cast("int").alias("toxic"), "text")
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def told() -> pa.RecordBatch:
-            words = [*(toxic.keys() | clean.keys())]
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([toxic[w] for w in words], pa.int64()), pa.array([clean[w] for w in words], pa.int64())], ["word", "t", "c"])
-
+    def restored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = reader(run, model)
-        toxic: Counter[str] = Counter()
-        clean: Counter[str] = Counter()
         for batch in batches:
-            for t, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                (toxic if t == 1 else clean).update(read.words(text))
-                if len(toxic) + len(clean) > MAX_HELD:
-                    yield told()
-                    toxic, clean = Counter(), Counter()
-        yield told()
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array([[*read.words(t)] for t in part.column("text").to_pylist()], pa.list_(pa.string()))], ["toxic", "words"])
 
+    # Read once: their words are counted, and then marked, from this table.
+    held = materialize(held.mapInArrow(restored, "toxic int, words array<string>"), "restored")
     sums = held.agg(F.coalesce(F.count_if(F.col("toxic") == 1), F.lit(0)), F.count("*")).first()
     all_toxic, all_clean = sums[0], sums[1] - sums[0]
-    by_word = held.mapInArrow(counted, "word string, t long, c long").groupBy("word").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    is_toxic = (F.col("toxic") == 1).cast("long")
+    by_word = held.select(is_toxic.alias("t"), F.explode("words").alias("word")).groupBy("word").agg(F.sum("t").alias("t"), F.sum(1 - F.col("t")).alias("c"))
     ratio = log_ratio(F.col("t"), F.col("c"), all_toxic, all_clean)
     lean = by_word.where((F.col("t") + F.col("c") >= MIN_DOCS) & (ratio >= MIN_RATIO))
     words = sorted(lean.select("word").toArrow()["word"].to_pylist())  # of the labelled rows, a bounded sample
@@ -413,10 +405,9 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = at.value
-        read = reader(run, model, known.keys())
         for batch in batches:
             labels = batch.column("toxic").to_pylist()
-            found = [sorted(known[w] for w in read.words(text)) for text in batch.column("text").to_pylist()]
+            found = [sorted(known[w] for w in ws if w in known) for ws in batch.column("words").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int32()), pa.array(found, pa.list_(pa.int32()))], ["toxic", "f"])
 
     weights = None
