@@ -47,13 +47,16 @@ def snapshot_counts(questions: DataFrame, units: DataFrame) -> DataFrame:
     all_units = per_time.groupBy("scope_id").agg(F.sum("n").alias("unit_count"))
     free = F.col("query_time_raw").isNull() | (text.strip("query_time_raw") == "")
     asks = questions.select("question_id", "scope_id", times.parse("query_time_raw").alias("at"), free.alias("free"))
-    line = per_time.where("at is not null").select(F.lit(None).cast(asks.schema["question_id"].dataType).alias("question_id"), "scope_id", "at", "n", F.lit(False).alias("asked"))
-    line = line.unionByName(asks.where("at is not null").select("question_id", "scope_id", "at", F.lit(0).cast("long").alias("n"), F.lit(True).alias("asked"))).withColumn("day", F.to_date("at"))
+    # Times that can't be read stay in line, as a day of their own that counts nothing: a filter on
+    # them would have every time parsed twice.
+    known = F.when(F.col("at").isNotNull(), F.col("n")).otherwise(0)
+    line = per_time.select(F.lit(None).cast(asks.schema["question_id"].dataType).alias("question_id"), "scope_id", "at", known.alias("n"), F.lit(False).alias("asked"))
+    line = line.unionByName(asks.select("question_id", "scope_id", "at", F.lit(0).cast("long").alias("n"), F.lit(True).alias("asked"))).withColumn("day", F.to_date("at"))
     within = Window.partitionBy("scope_id", "day").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     days = line.groupBy("scope_id", "day").agg(F.sum("n").alias("n"))
     before = Window.partitionBy("scope_id").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
     days = days.select("scope_id", "day", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    seen = line.withColumn("n", F.sum("n").over(within)).where("asked").join(days, ["scope_id", "day"]).select("question_id", (F.col("n") + F.col("before")).alias("seen"))
+    seen = line.withColumn("n", F.sum("n").over(within)).where("asked").join(days, ["scope_id", "day"]).select("question_id", (F.col("n") + F.col("before")).alias("seen"))  # days that are null meet none
     out = asks.join(all_units, "scope_id", "left").join(seen, "question_id", "left")
     n = F.coalesce("unit_count", F.lit(0))
     s = F.when(F.col("free"), n).otherwise(F.coalesce("seen", F.lit(0)))
