@@ -3,7 +3,7 @@ unnesting, quotients for every block, pairs from shared n-grams."""
 
 from __future__ import annotations
 
-from . import mixing, ngram_join, quality_rules, substring_dedup
+from . import importance, mixing, ngram_join, quality_rules, spelling, substring_dedup
 
 EXACT = r"""
     WITH d AS (
@@ -117,4 +117,54 @@ def _substring() -> str:
     FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN spans USING (doc_id)"""
 
 
-SQL = {"op1_exact_dedup": EXACT, "op4_quality_rules": _quality(), "op6_chat_format": CHAT, "op8_substring_dedup": _substring(), "op9_mixing": _mixing(), "op10_ngram_join": _near()}
+#: CRC-32's table, and the CRC of a text given as hexadecimal digits of its bytes.
+CRC_TABLE = """crcs AS (SELECT list(v ORDER BY i) AS tab FROM (SELECT i, list_reduce(list_prepend(i::BIGINT, range(8)), lambda v, k: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END) AS v FROM range(256) t(i)))"""
+
+
+def _digit(at: str) -> str:
+    return f"(instr('0123456789ABCDEF', hx[{at}]) - 1)"
+
+
+CRC = f"""xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(hx) // 2 + 1), lambda i: (16 * {_digit("2 * i - 1")} + {_digit("2 * i")})::BIGINT)),
+    lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295)"""
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+SPELLING = rf"""
+    WITH RECURSIVE {CRC_TABLE},
+    runs AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all({LOWER}, '{spelling.LETTERS}')) AS run FROM documents),
+    once AS (SELECT id, run, count(*) AS n, hex(encode(id || ':' || run)) AS hx FROM runs WHERE length(run) >= {spelling.MIN_LENGTH} GROUP BY id, run),
+    hashed AS (SELECT run, n, {CRC} AS h FROM once, crcs),
+    w AS (SELECT CASE WHEN h % {spelling.MISPRINTS} = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, CAST(sum(n) AS BIGINT) AS n
+        FROM hashed GROUP BY 1 HAVING length(word) >= {spelling.MIN_LENGTH} AND sum(n) >= {spelling.MIN_COUNT}),
+    cuts AS (SELECT word, n, i, word[:i - 1] || word[i + 1:] AS cut FROM w, unnest(range(1, length(word) + 1)) t(i)),
+    near AS (SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM cuts a JOIN cuts b ON a.cut = b.cut AND a.i = b.i AND a.word <> b.word
+        UNION SELECT w.word, w.n, c.word, c.n FROM w JOIN cuts c ON w.word = c.cut UNION SELECT c.word, c.n, w.word, w.n FROM w JOIN cuts c ON w.word = c.cut),
+    best AS (SELECT word, n, other, other_n, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY other_n DESC, other) AS k FROM near),
+    forms AS (SELECT word, other AS form, other_n AS form_n FROM best WHERE k = 1 AND other_n >= {spelling.FORM_RATIO} * n),
+    steps AS (SELECT word, form AS upto FROM forms UNION ALL SELECT s.word, f.form FROM steps s JOIN forms f ON s.upto = f.word)
+    SELECT w.word, f.form, coalesce(s.upto, w.word) AS root, w.n, coalesce(b.n_near, 0) AS n_near, f.form_n
+    FROM w LEFT JOIN (SELECT * FROM best WHERE k = 1) b USING (word) LEFT JOIN forms f USING (word) LEFT JOIN (SELECT * FROM steps WHERE upto NOT IN (SELECT word FROM forms)) s USING (word)"""
+
+
+def _importance() -> str:
+    n, word = importance.BUCKETS, r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    return rf"""
+    WITH {CRC_TABLE},
+    d AS (SELECT doc_id, regexp_extract_all({LOWER}, '{word}') AS ws FROM documents),
+    said AS (SELECT doc_id, unnest(ws) AS word FROM d),
+    aim AS (SELECT unnest(regexp_extract_all({LOWER}, '{word}')) AS word FROM benchmark),
+    vocabulary AS (SELECT word, {CRC} % {n} AS bucket FROM (SELECT word, hex(encode(word)) AS hx FROM (SELECT word FROM said UNION SELECT word FROM aim)), crcs),
+    s AS (SELECT bucket, count(*) AS n FROM said JOIN vocabulary USING (word) GROUP BY bucket),
+    t AS (SELECT bucket, count(*) AS n FROM aim JOIN vocabulary USING (word) GROUP BY bucket),
+    sums AS (SELECT (SELECT coalesce(sum(n), 0)::DOUBLE FROM s) AS s_all, (SELECT coalesce(sum(n), 0)::DOUBLE FROM t) AS t_all),
+    gains AS (SELECT bucket, CAST(floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * (s_all + {n}) / ((s.n + 1)::DOUBLE * (t_all + {n})))) AS BIGINT) AS gain FROM s LEFT JOIN t USING (bucket), sums),
+    weighed AS (SELECT doc_id, count(*) AS k, CAST(sum(gain) AS BIGINT) AS g FROM said JOIN vocabulary USING (word) JOIN gains USING (bucket) GROUP BY doc_id),
+    noisy AS (SELECT doc_id, len(ws) AS n_features, coalesce((g - ((g % k) + k) % k) // k, 0) AS weight,
+        list_reduce(list_prepend(0::BIGINT, list_transform(range(1, 9), lambda i: (instr('0123456789abcdef', sha256('{importance.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), ''))[i]) - 1)::BIGINT)), lambda a, b: 16 * a + b) AS h
+        FROM d LEFT JOIN weighed USING (doc_id)),
+    scored AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM noisy),
+    ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n FROM scored WHERE n_features >= {importance.MIN_WORDS})
+    SELECT doc_id, n_features, weight, score, CASE WHEN r <= {importance.DRAW_PERCENT} * n // 100 THEN r END AS rank FROM scored LEFT JOIN ranked USING (doc_id)"""
+
+
+SQL = {"op1_exact_dedup": EXACT, "op4_quality_rules": _quality(), "op6_chat_format": CHAT, "op8_substring_dedup": _substring(), "op9_mixing": _mixing(), "op10_ngram_join": _near(), "op12_spelling": SPELLING, "op13_importance": _importance()}
