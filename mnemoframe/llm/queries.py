@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, importance, lm_scoring, mixing, ngram_join, packing, quality_rules, sharding, spelling, substring_dedup, toxicity
+from . import chat_format, exact_dedup, importance, lm_scoring, mixing, ngram_join, packing, pii, quality_rules, sharding, spelling, substring_dedup, toxicity
 from .common import app_dir, table
 from .sql import SQL
 
@@ -61,6 +61,10 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.decisions(table(spark, sf_dir, "documents"))
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(table(spark, sf_dir, "documents"))
+
+
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
@@ -69,6 +73,6 @@ def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_lm_scoring, op3_sharding, op4_quality_rules, op5_packing, op6_chat_format, op7_toxicity, op8_substring_dedup, op9_mixing, op10_ngram_join, op12_spelling, op13_importance)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_lm_scoring, op3_sharding, op4_quality_rules, op5_packing, op6_chat_format, op7_toxicity, op8_substring_dedup, op9_mixing, op10_ngram_join, op11_pii, op12_spelling, op13_importance)}
 
 __all__ = ["QUERIES", "SQL"]
