@@ -1,7 +1,8 @@
 """Stage caches: Parquet tables by stage, looked up by content keys.
 
 A lookup is a semi join and an anti join on the key; what is missing is computed and appended.
-Of rows with one key, the last written counts."""
+Of rows with one key, the last written counts. Rows with an error are written too, so that what
+failed is known without asking again, but a later run finds nothing in them and does ask again."""
 
 from __future__ import annotations
 
@@ -12,12 +13,20 @@ from pyspark.sql import functions as F
 
 
 def latest(rows: DataFrame, key: str = "cache_key", at: str = "written_at") -> DataFrame:
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(at)))).where("_n = 1").drop("_n")
+    """Each key's rows of its last writing, of which there may be many; what has no error goes
+    before what has."""
+    order = F.struct(F.col("error").isNull(), F.col(at)) if "error" in rows.columns else F.struct(at)
+    return rows.withColumn("_w", order).withColumn("_last", F.max("_w").over(Window.partitionBy(key))).where("_w = _last").drop("_w", "_last")
 
 
 def split(wanted: DataFrame, cached: DataFrame, key: str = "cache_key") -> tuple[DataFrame, DataFrame]:
     """(hits, misses): rows of wanted that the cache has, with its columns, and those it hasn't."""
-    return wanted.select(key).join(latest(cached, key).drop("written_at"), key), wanted.join(cached.select(key).distinct(), key, "left_anti")
+    keys = wanted.select(key).distinct()
+    return keys.join(latest(cached.join(keys, key, "left_semi"), key).drop("written_at"), key), wanted.join(cached.select(key).distinct(), key, "left_anti")
+
+
+def _with_error(rows: DataFrame) -> DataFrame:
+    return rows if "error" in rows.columns else rows.withColumn("error", F.lit(None).cast("string"))
 
 
 class StageCache:
@@ -27,8 +36,11 @@ class StageCache:
     def __init__(self, folder: str) -> None:
         self.folder = folder.rstrip("/")
 
+    #: Part of every path: tables of other layouts are never read.
+    LAYOUT = 2
+
     def path(self, stage: str) -> str:
-        return f"{self.folder}/stage={stage}"
+        return f"{self.folder}/v{self.LAYOUT}/stage={stage}"
 
     def table(self, like: DataFrame, stage: str) -> DataFrame | None:
         jvm = like.sparkSession.sparkContext._jvm
@@ -38,16 +50,17 @@ class StageCache:
         return like.sparkSession.read.parquet(self.path(stage))
 
     def through(self, stage: str, wanted: DataFrame, compute: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, dict[str, int]]:
-        """compute(rows of wanted that are missing) must keep cache_key. The result has all of
-        them; the counts are hits and misses."""
+        """compute(rows of wanted that are missing) must keep cache_key, and may have error. The
+        result has all of them, with a column error, computed once; the counts are hits and misses."""
         held = self.table(wanted, stage)
-        if held is None:
-            hits, misses, n_hits = None, wanted, 0
-        else:
-            hits, misses = split(wanted, held)
-            n_hits = hits.count()
+        held = None if held is None else held.where("error is null")
+        keys = wanted.select("cache_key").distinct()
+        misses = wanted if held is None else wanted.join(held.select("cache_key").distinct(), "cache_key", "left_anti")
+        n_hits = 0 if held is None else keys.join(held.select("cache_key"), "cache_key", "left_semi").count()
         n_misses = misses.count()
         if n_misses:
-            compute(misses).withColumn("written_at", F.current_timestamp()).write.mode("append").parquet(self.path(stage))
-        every = latest(wanted.sparkSession.read.parquet(self.path(stage))).drop("written_at") if n_hits or n_misses else compute(misses)
-        return every.join(wanted.select("cache_key").distinct(), "cache_key", "left_semi"), {"cache_hits": n_hits, "cache_misses": n_misses}
+            _with_error(compute(misses)).withColumn("written_at", F.current_timestamp()).write.mode("append").parquet(self.path(stage))
+        if not (n_hits or n_misses):
+            return _with_error(compute(misses)), {"cache_hits": 0, "cache_misses": 0}
+        every = wanted.sparkSession.read.parquet(self.path(stage)).join(keys, "cache_key", "left_semi")
+        return latest(every).drop("written_at"), {"cache_hits": n_hits, "cache_misses": n_misses}

@@ -5,11 +5,11 @@ metadata columns. score and passed are null where nothing was evaluated."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from .calls import Calls, Complete, replied
 
 KEYS = ["item_id", "question_id"]
 
@@ -112,21 +112,11 @@ def exact_verdict(answer: str = "answer", correct: str = "references", incorrect
     return F.when(said == "", F.lit(None).cast("string")).when(known(correct), F.lit("CORRECT")).when(known(incorrect), F.lit("WRONG"))
 
 
-def judged(rows: DataFrame, complete, prompt: str = "prompt") -> DataFrame:
-    """rows with judge_raw: complete's reply to each prompt. complete takes a list of prompts."""
-
-    def run(batches):
-        for b in batches:
-            yield b.assign(judge_raw=pd.Series(complete(b[prompt].tolist()), index=b.index, dtype=object))
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInPandas(run, f"{kinds}, judge_raw string")
-
-
-def judge(rows: DataFrame, complete, dataset: str = "dataset", strict: bool = False, templates: dict[str, str] | None = None) -> DataFrame:
+def judge(rows: DataFrame, complete: Complete, dataset: str = "dataset", strict: bool = False, templates: dict[str, str] | None = None, calls: Calls = Calls()) -> DataFrame:
     """rows: the keys, dataset, question, answer, references, question_type, incorrect_answers and
     the metadata that prompts use. Adds family, prompt_name, skip_reason, judge_source, judge_label,
-    score and passed. Only rows that no rule settles reach the judge."""
+    score, passed and error. Only rows that no rule settles reach the judge; those whose call failed
+    have an error, and neither label nor score."""
     from . import prompts
 
     gold = F.coalesce(F.exists(F.col("references"), lambda r: text.collapse(r) != ""), F.lit(False))
@@ -136,9 +126,9 @@ def judge(rows: DataFrame, complete, dataset: str = "dataset", strict: bool = Fa
     )
     base = base.withColumn("exact", F.when(F.col("skip_reason").isNull() & (F.col("family") == "persona"), exact_verdict()))
     base = base.withColumn("prompt_name", F.concat(F.col("family"), F.lit("_v1")))
-    done = base.where(F.col("skip_reason").isNotNull() | F.col("exact").isNotNull()).withColumn("judge_raw", F.lit(None).cast("string"))
+    done = base.where(F.col("skip_reason").isNotNull() | F.col("exact").isNotNull()).withColumns({"judge_raw": F.lit(None).cast("string"), "error": F.lit(None).cast("string")})
     ask = base.where(F.col("skip_reason").isNull() & F.col("exact").isNull()).withColumn("prompt", prompts.judge_prompt(base.columns, templates))
-    every = done.unionByName(judged(ask, complete).drop("prompt"))
+    every = done.unionByName(replied(ask, complete, calls, reply="judge_raw").drop("prompt"))
     yes = F.contains(F.lower("judge_raw"), F.lit("yes"))
     if strict:
         yes = F.lower("judge_raw").rlike(r"\byes\b")
@@ -146,8 +136,8 @@ def judge(rows: DataFrame, complete, dataset: str = "dataset", strict: bool = Fa
         F.col("exact"),
         F.when(F.col("family") == "turns", parse_turn_label("judge_raw", strict)).when(F.col("family") == "persona", parse_persona_label("judge_raw")).otherwise(F.when(F.coalesce(yes, F.lit(False)), F.lit("CORRECT")).otherwise(F.lit("WRONG"))),
     )
-    out = every.withColumn("judge_label", F.when(F.col("skip_reason").isNull(), label))
-    source = F.when(F.col("exact").isNotNull(), F.lit("exact_reference")).when(F.col("skip_reason").isNull(), F.lit("judge"))
+    out = every.withColumn("judge_label", F.when(F.col("skip_reason").isNull() & F.col("error").isNull(), label))
+    source = F.when(F.col("exact").isNotNull(), F.lit("exact_reference")).when(F.col("skip_reason").isNull() & F.col("error").isNull(), F.lit("judge"))
     return out.withColumns({"judge_source": source, "passed": F.col("judge_label") == "CORRECT"}).withColumn("score", F.col("passed").cast("double")).drop("exact")
 
 

@@ -3,13 +3,16 @@ are what the parsers in evaluate expect."""
 
 from __future__ import annotations
 
+import functools
+import inspect
 import json
 import re
+import sys
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import keys, text
 
 NO_MEMORIES = "(no memories were found)"
 # Marks in replies.
@@ -18,6 +21,12 @@ MESSAGE_MARK = r"(?i)<\|message\|>"
 FINAL_MARK = r"(?is)^(?:.*\n)?[\s*_#]*final\s+answer[\s*_]*[:：]?[\s*_]*"
 
 
+@functools.cache
+def version() -> str:
+    """Changes with anything in this module: the wordings, and how replies are read."""
+    return keys.stable_hash(inspect.getsource(sys.modules[__name__]))
+
+
 def answer_prompt(context: str = "context", question: str = "query_text", question_time: str = "query_time_raw", with_time: bool = True) -> Column:
     asked = F.when(text.text_or_null(question_time).isNotNull(), F.concat(F.lit("\nThe question was asked at: "), F.col(question_time))).otherwise(F.lit("")) if with_time else F.lit("")
     seen = F.coalesce(text.text_or_null(context), F.lit(NO_MEMORIES))

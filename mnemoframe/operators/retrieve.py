@@ -32,9 +32,26 @@ def effective(value: int | None, default: int) -> int:
 
 
 def snapshot(questions: DataFrame, units: DataFrame) -> DataFrame:
-    """Each question with each unit of its scope that it can see."""
-    u = units.withColumnsRenamed({"scope_id": "unit_scope"})
-    return questions.join(u, (F.col("scope_id") == F.col("unit_scope")) & times.visible(F.col("available_at_raw"), F.col("ts_raw"), F.col("query_time_raw"))).drop("unit_scope")
+    """Each question with each unit of its scope that it can see. Times are read once a row, on
+    either side of the join, which compares timestamps."""
+    q, u = timed_questions(questions), timed_units(units).withColumnRenamed("scope_id", "_scope")
+    return q.join(u, (F.col("scope_id") == F.col("_scope")) & seen()).drop("_scope", *TIMES)
+
+
+#: Columns that questions and units have while they are compared.
+TIMES = ("_free", "_asked", "_at")
+
+
+def seen() -> Column:
+    return F.col("_free") | F.coalesce(F.col("_at") <= F.col("_asked"), F.lit(False))
+
+
+def timed_questions(questions: DataFrame) -> DataFrame:
+    return questions.withColumns({"_free": times.no_cutoff("query_time_raw"), "_asked": times.parse("query_time_raw")})
+
+
+def timed_units(units: DataFrame) -> DataFrame:
+    return units.withColumn("_at", times.available_at(F.col("available_at_raw"), F.col("ts_raw")))
 
 
 def snapshot_counts(questions: DataFrame, units: DataFrame) -> DataFrame:
@@ -42,10 +59,10 @@ def snapshot_counts(questions: DataFrame, units: DataFrame) -> DataFrame:
     and time; questions lie among those times, and what is before each is a running sum: within a
     day, plus the days before it. So no pair of a question and a unit or time is made, and a scope
     with many times is many tasks."""
-    when = times.parse(F.coalesce(F.nullif(F.col("available_at_raw"), F.lit("")), F.col("ts_raw")))
+    when = times.available_at(F.col("available_at_raw"), F.col("ts_raw"))
     per_time = units.groupBy("scope_id", when.alias("at")).agg(F.count("*").alias("n"))
     all_units = per_time.groupBy("scope_id").agg(F.sum("n").alias("unit_count"))
-    free = F.col("query_time_raw").isNull() | (text.strip("query_time_raw") == "")
+    free = times.no_cutoff("query_time_raw")
     asks = questions.select("question_id", "scope_id", times.parse("query_time_raw").alias("at"), free.alias("free"))
     # Times that can't be read stay in line, as a day of their own that counts nothing: a filter on
     # them would have every time parsed twice.

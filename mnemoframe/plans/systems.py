@@ -13,7 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import context, embedding, evaluate, prompts, retrieve, units
+from ..operators import context, embedding, prompts, retrieve, units
+from ..operators.calls import Calls, Complete, replied
 
 # Parts of error messages after which a call is tried again.
 RETRYABLE = ("timeout", "rate_limit", "ratelimit", "rate limit", "server_error", "server error", "connection", "temporarily", "429", "500", "502", "503", "504")
@@ -123,7 +124,9 @@ class FactMemory:
     """Attributed sentences, or facts that a model extracts, ranked by hashed vectors, or by those
     that `embed` gives, rendered by one of RENDERS. identity names the embedding model and its
     settings; vectors is the folder of its store. count counts the tokens of a text, for chunks and
-    budgets, where the engine's own pattern is not to; tokens need not add up."""
+    budgets, where the engine's own pattern is not to; tokens need not add up. calls: how models are called.
+    A call for facts that fails gives none; a text that can't be embedded has no vector, unless
+    calls.fail_fast ends the job there."""
 
     chunk_tokens: int = units.CHUNK_TOKENS
     top_k: int = retrieve.TOP_K
@@ -137,6 +140,7 @@ class FactMemory:
     extract: Model | None = None
     retry: Retry = field(default_factory=Retry)
     embed: embedding.Embed | None = None
+    calls: Calls = Calls()
     identity: str = ""
     vectors: str | None = None
     count: Callable[[str], int] | None = None
@@ -155,22 +159,22 @@ class FactMemory:
     def build(self, messages: DataFrame) -> DataFrame:
         if self.extract is None:
             return units.fact_units(messages, self.chunk_tokens, count=self._counts())
-        return extracted_units(messages, self.extract, self.chunk_tokens, self.retry, self._counts())[0]
+        return extracted_units(messages, self.extract, self.chunk_tokens, self.retry, self._counts(), self.calls.workers)[0]
 
     def index(self, built: DataFrame) -> dict[str, int] | None:
         """Embeds what isn't embedded yet, before anything is asked; None without an embedding."""
         if self.embed is None:
             return None
         said = units.retrieval_text(list(self.fields))
-        return embedding.VectorStore(self.vectors).warm(built.select(said.alias("text")), self.embed, self.identity)
+        return embedding.VectorStore(self.vectors).warm(built.select(said.alias("text")), self.embed, self.identity, self.calls)
 
     def rank(self, questions: DataFrame, built: DataFrame, top_k: int | None = None) -> DataFrame:
         most = retrieve.effective(top_k, self.top_k)
         if self.embed is None:
             return retrieve.ranked(retrieve.hashed_scores(questions, built, list(self.fields)), most)
         said, store = units.retrieval_text(list(self.fields)), embedding.VectorStore(self.vectors)
-        of_q = store.vectors(questions.select(F.col("query_text").alias("text")), self.embed, self.identity)
-        of_u = store.vectors(built.select(said.alias("text")), self.embed, self.identity)
+        of_q = store.vectors(questions.select(F.col("query_text").alias("text")), self.embed, self.identity, self.calls)
+        of_u = store.vectors(built.select(said.alias("text")), self.embed, self.identity, self.calls)
         return retrieve.ranked(retrieve.embedded_scores(questions, built, of_q, of_u, said), most)
 
     def read(self, questions, units, top_k=None, budget=None):
@@ -187,7 +191,7 @@ class FactMemory:
         return context.pack_lines(questions, found, most, self.timestamps, by_time=self.by_time)
 
 
-def extracted_units(messages: DataFrame, extract: Model, chunk_tokens: int, retry: Retry = Retry(), count: units.Count | None = None) -> tuple[DataFrame, DataFrame]:
+def extracted_units(messages: DataFrame, extract: Model, chunk_tokens: int, retry: Retry = Retry(), count: units.Count | None = None, workers: int = 1) -> tuple[DataFrame, DataFrame]:
     """Facts that a model finds in each speaker's part of each chunk: (units, calls). A reply that
     can't be read is asked for again; a call that fails to the end gives no facts, and calls say
     why. Units carry what their call cost, all attempts counted (generation)."""
@@ -207,7 +211,7 @@ def extracted_units(messages: DataFrame, extract: Model, chunk_tokens: int, retr
 
     def run(batches):
         for b in batches:
-            got = [retry.call(extract, p, prompts.check_facts) for p in b["prompt"]]
+            got = [o for o, _ in Calls(workers).each(lambda p: retry.call(extract, p, prompts.check_facts), b["prompt"].tolist())]
             r = [o.reply or Reply("") for o in got]
             yield b.assign(
                 reply=pd.Series([o.reply.text if o.reply else None for o in got], dtype=object), outcome=[o.said for o in got], prompt_tokens=[x.prompt_tokens for x in r],
@@ -233,8 +237,9 @@ def fixed_query_answers(reads: DataFrame, empty: str = "") -> DataFrame:
     return reads.withColumns({"answer": F.coalesce(F.nullif(F.col("context"), F.lit("")), F.lit(empty)), "agent_name": F.lit("fixed_query")})
 
 
-def model_answers(reads: DataFrame, complete: Callable[[list[str]], list[str]], with_time: bool = True) -> DataFrame:
-    """reads: question_id, query_text, query_time_raw, context. complete: replies to prompts."""
+def model_answers(reads: DataFrame, complete: Complete, with_time: bool = True, calls: Calls = Calls()) -> DataFrame:
+    """reads: question_id, query_text, query_time_raw, context. complete: replies to prompts. error
+    says why a question has no reply."""
     asked = reads.withColumn("prompt", prompts.answer_prompt(with_time=with_time))
-    got = evaluate.judged(asked, complete).withColumnRenamed("judge_raw", "reply")
+    got = replied(asked, complete, calls)
     return got.withColumns({"answer": prompts.clean_reply("reply"), "final_answer": prompts.final_answer("reply"), "agent_name": F.lit("model")})

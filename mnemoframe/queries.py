@@ -284,7 +284,7 @@ def fact_token_stats(spark, sf):
 
 @query("WITH {base} SELECT scope_id, strftime(min(ts), '%Y-%m-%dT%H:%M:%S') AS first_raw, strftime(max(ts), '%Y-%m-%dT%H:%M:%S') AS last_raw FROM msgs GROUP BY scope_id")
 def min_max_ts_raw(spark, sf):
-    rows = messages(spark, sf).withColumn("ord", F.col("conv_ix") * 100_000 + F.col("msg_ix"))
+    rows = messages(spark, sf).withColumn("ord", F.struct("conv_ix", "msg_ix"))
     return rows.groupBy("scope_id").agg(times.earliest("ts_raw", "ord").alias("first_raw"), times.latest("ts_raw", "ord").alias("last_raw"))
 
 
@@ -343,7 +343,9 @@ def head_limits(spark, sf):
     """Conversations numbered over the whole table; the limit is Dataset.head's."""
     c = table(spark, sf, "conversations")
     ids = c.select(F.col("conv_id").alias("item_id")).distinct()
-    items = tables.numbered(ids.repartitionByRange("item_id").sortWithinPartitions("item_id").withColumn("ord", F.monotonically_increasing_id()), "item_ord").drop("ord")
+    at = session.scratch(spark, "items")  # ranges are sampled, and numbered() reads its input twice
+    ids.repartitionByRange("item_id").sortWithinPartitions("item_id").withColumn("ord", F.monotonically_increasing_id()).write.parquet(at)
+    items = tables.numbered(spark.read.parquet(at), "item_ord").drop("ord")
     q = c.select(F.col("conv_id").alias("item_id"), F.concat_ws(":", "conv_id", "turn").alias("question_id"), F.col("turn").alias("q_ord"))
     got = tables.Dataset("d", items, q, q, q).head(30, 2)
     return got.questions.select(F.col("item_id").alias("conv_id"), F.col("q_ord").alias("turn"))
@@ -491,12 +493,12 @@ def experiment_categories(spark, sf):
 
 
 def stub_vectors(texts: list[str]) -> list[list[float]]:
-    """A model that any SQL can follow: length, letters e, and words."""
-    return [[float(len(t)), float(t.count("e")), float(t.count(" ") + 1)] for t in texts]
+    """A model that any SQL can follow: length, letters e, and words, as fractions."""
+    return [[len(t) / 7, t.count("e") / 3, (t.count(" ") + 1) / 9] for t in texts]
 
 
-@query("""WITH {base}, f AS (SELECT unit_id, scope_id, ts, [length(text)::DOUBLE, length(text) - length(replace(text, 'e', '')), length(text) - length(replace(text, ' ', '')) + 1] AS v FROM units),
-    g AS (SELECT question_id, scope_id, qt, [length(query_text)::DOUBLE, length(query_text) - length(replace(query_text, 'e', '')), length(query_text) - length(replace(query_text, ' ', '')) + 1] AS v FROM q),
+@query("""WITH {base}, f AS (SELECT unit_id, scope_id, ts, [length(text) / 7.0::DOUBLE, (length(text) - length(replace(text, 'e', ''))) / 3.0::DOUBLE, (length(text) - length(replace(text, ' ', '')) + 1) / 9.0::DOUBLE] AS v FROM units),
+    g AS (SELECT question_id, scope_id, qt, [length(query_text) / 7.0::DOUBLE, (length(query_text) - length(replace(query_text, 'e', ''))) / 3.0::DOUBLE, (length(query_text) - length(replace(query_text, ' ', '')) + 1) / 9.0::DOUBLE] AS v FROM q),
     s AS (SELECT question_id, unit_id, round(list_cosine_similarity(g.v, f.v), 9) AS score FROM g JOIN f ON g.scope_id = f.scope_id AND f.ts <= g.qt)
     SELECT question_id, unit_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, unit_id) AS rank FROM s) WHERE rank <= 20""")
 def embedded_topk(spark, sf):

@@ -134,7 +134,7 @@ def write_run(spark: SparkSession, folder: str, run_id: str, spec: Any, tables:
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{folder}/{name}")
         made[name] = name
-    for name in ("index", "answers", "evaluations"):
+    for name in ("index", "answers", "evaluations", "failures"):
         if name in tables:
             append_lines(spark.read.parquet(f"{folder}/{name}"), f"{folder}/{name}.jsonl")
             made[f"{name}_lines"] = f"{name}.jsonl"

@@ -61,7 +61,8 @@ def json_array(spark: SparkSession, path: str, schema: str | T.StructType) -> Da
 def numbered(rows: DataFrame, name: str, *then: str) -> DataFrame:
     """rows with their place from 0, by ord and `then`. ord holds a partition and a place in it
     (monotonically_increasing_id): partitions are counted, and each numbers its own rows, so that
-    no task sees them all. rows should be narrow, as they are dealt by partition."""
+    no task sees them all. rows should be narrow, as they are dealt by partition. They are read
+    twice: ord must come out the same, as from a stored table or a scan of files."""
     part = F.shiftright("ord", 33)
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition of the source
     starts = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
