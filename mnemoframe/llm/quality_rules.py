@@ -30,6 +30,8 @@ from .common import TMP, WS_RUN, let, materialize, text_or_empty, words
 
 MAX_FALSE_REJECTION = 0.08
 CONFIDENCE_MISS = 0.05
+#: Labelled ids that are broadcast, at most, by count.
+MAX_BROADCAST = 500_000
 #: Rule, and its cutoffs from lenient to strict; a text is rejected when its score is above.
 GRID = {
     "symbols": (0.5, 0.3, 0.2, 0.1, 0.05, 0.03),
@@ -151,12 +153,16 @@ def decisions(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
     """The rows of docs that no rule rejects, with all their columns. The cutoffs come from a
-    first pass over the labelled rows alone; whole rows are then judged where they are read."""
+    first pass over the labelled rows alone; whole rows are then judged where they are read. No
+    text is shuffled: labels that are few by count travel to the texts."""
     names = docs.columns
     inner = F.coalesce(F.col(f"{TMP}0.{stratum_col}").cast("string"), F.lit(""))
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias(f"{TMP}0"))
-    labelled = docs.select(id_col, text_col, stratum_col).join(labels.where("quality = 1").select(F.col("doc_id").alias(id_col)).distinct(), id_col, "left_semi")
-    held = measured(labelled, [F.col(id_col).alias("doc_id"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum")], text_col)
+    said = docs.select(id_col, text_col, stratum_col)
+    good = materialize(labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias(id_col)).distinct(), "good")
+    if good.count() <= MAX_BROADCAST:  # else all rows are measured, and counts alone meet the labels
+        said = said.join(F.broadcast(good), id_col, "left_semi")
+    held = measured(said, [F.col(id_col).alias("doc_id"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum")], text_col)
     cuts = materialize(thresholds(held, labels), "cutoffs")
     judged = _judged(measured(rows.withColumn(f"{TMP}t", F.col(f"{TMP}0.{text_col}")), [F.col(f"{TMP}0"), inner.alias("stratum")], f"{TMP}t"), cuts)
     return judged.where("kept").select(*(F.col(f"{TMP}0.`{c}`").alias(c) for c in names))
