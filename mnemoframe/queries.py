@@ -492,6 +492,18 @@ def experiment_categories(spark, sf):
     return spark.read.parquet(f"{at}/categories").select("category", "evaluated_count", "passed_count", F.round("accuracy", 9).alias("accuracy"))
 
 
+@query("WITH {base} SELECT scope_id, unit_id, text, ts_raw, role FROM units")
+def replayed_units(spark, sf):
+    """Units of a stream: every other turn of all conversations first, then the others, late, with
+    the first ones once more."""
+    at, rows = session.scratch(spark, "replay"), messages(spark, sf)
+    replay = incremental.IncrementalBuild(f"{at}/state", units.raw_units)
+    for part in (rows.where("msg_ix % 2 = 1"), rows):
+        part.write.mode("append").parquet(f"{at}/in")
+        replay.start(spark.readStream.schema(rows.schema).parquet(f"{at}/in"), f"{at}/checkpoint").awaitTermination()
+    return replay.units(rows).select("scope_id", "unit_id", "text", "ts_raw", "role")
+
+
 def stub_vectors(texts: list[str]) -> list[list[float]]:
     """A model that any SQL can follow: length, letters e, and words, as fractions."""
     return [[len(t) / 7, t.count("e") / 3, (t.count(" ") + 1) / 9] for t in texts]

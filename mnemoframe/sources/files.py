@@ -19,6 +19,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    fs, p = _at(spark, path)
+    fs.delete(p, True)
+
+
 def write_parts(spark: SparkSession, path: str, parts: Iterable[str]) -> None:
     """A file from its parts, in order."""
     fs, p = _at(spark, path)
