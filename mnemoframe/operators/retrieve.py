@@ -95,6 +95,88 @@ def lexical_scores(questions: DataFrame, units: DataFrame) -> DataFrame:
     return snapshot(q, u).withColumn("score", both / F.sqrt(size.cast("double"))).drop("q_words", "u_words")
 
 
+#: Pairs of a question and a unit of its scope up to which all are compared at once.
+DIRECT_PAIRS = 20_000_000
+#: A word is common in a scope if more than this share of its units hold it.
+COMMON = 1 / 16
+PAIR = ["scope_id", "question_id", "unit_id"]
+
+
+def lexical_top(questions: DataFrame, units: DataFrame, top_k: int | None = None, direct_pairs: int = DIRECT_PAIRS) -> DataFrame:
+    """ranked(lexical_scores(...)), by pairs that share words where all pairs would be many. unit_ids
+    are unique in a scope, question_ids in all."""
+    of_q, of_u = (df.groupBy("scope_id").agg(F.count("*").alias(n)) for df, n in ((questions, "q"), (units, "u")))
+    pairs = of_q.join(of_u, "scope_id").agg(F.sum(F.col("q") * F.col("u"))).first()[0] or 0
+    if pairs <= direct_pairs:
+        return ranked(lexical_scores(questions, units), top_k)
+    k = effective(top_k, TOP_K)
+    best, short = lexical_postings(questions, units, k)
+    q, u = timed_questions(questions), timed_units(units).withColumnRenamed("scope_id", "_scope")
+    # Questions with too few units that share a word: the first of the others, by unit_id, fill up.
+    lack = q.join(short, "question_id")
+    rest = lack.join(u, (F.col("scope_id") == F.col("_scope")) & seen()).select(*PAIR).join(best.select(*PAIR), PAIR, "left_anti")
+    fill = ranked(rest.withColumn("score", F.lit(0.0)), k).drop("rank")
+    top = ranked(best.unionByName(fill), k)
+    return questions.join(top.drop("scope_id"), "question_id").join(units.withColumnRenamed("scope_id", "_scope"), "unit_id").where("scope_id = _scope").drop("_scope")
+
+
+def lexical_postings(questions: DataFrame, units: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """The best k pairs (scope_id, question_id, unit_id, score) of each question that share a word,
+    exact, and the questions that have fewer.
+
+    Words lead from questions to units by an inverted index of the scope. Rare words come first; the
+    score of a pair that shares one is bounded from both sides, as a question's common words are
+    known by number, and what can't reach the k-th lower bound isn't scored. A unit that shares
+    only common words can reach the k-th score only if it has few words, so that the index of common
+    words, cut by the binary size of units, is read as far as that."""
+    from ..session import scratch
+
+    spark = questions.sparkSession
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        at = scratch(spark, name)
+        df.write.parquet(at)
+        return spark.read.parquet(at)
+
+    def score(shared: Column) -> Column:
+        return shared / F.sqrt((F.greatest(F.lit(1), F.col("n_q")) * F.greatest(F.lit(1), F.col("n_u"))).cast("double"))
+
+    u = timed_units(units).withColumn("u_words", text.lexical_set("text")).select("scope_id", "unit_id", "_at", "u_words", F.size("u_words").alias("n_u"))
+    postings = kept(u.select("scope_id", "unit_id", "_at", "n_u", F.explode("u_words").alias("word")), "postings")
+    held = units.groupBy("scope_id").agg(F.count("*").alias("in_scope"))
+    often = postings.groupBy("scope_id", "word").agg(F.count("*").alias("df")).join(held, "scope_id").select("scope_id", "word", (F.col("df") > COMMON * F.col("in_scope")).alias("common"))
+    q = timed_questions(questions).withColumn("q_words", text.lexical_set("query_text")).select("scope_id", "question_id", "_free", "_asked", F.size("q_words").alias("n_q"), F.explode("q_words").alias("word"))
+    asked = q.join(often, ["scope_id", "word"])
+    n_common = asked.groupBy("question_id").agg(F.count_if("common").alias("n_common"), F.collect_list(F.when(F.col("common"), F.col("word"))).alias("commons"))
+    asked = kept(asked.join(n_common.drop("commons"), "question_id"), "asked")
+
+    # Pairs that share a rare word, and their bounds.
+    rare = asked.where("not common").join(postings, ["scope_id", "word"]).where(seen()).groupBy(*PAIR, "n_q", "n_u", "n_common").agg(F.count("*").alias("shared"))
+    rare = kept(rare.withColumns({"low": score(F.col("shared")), "high": score(F.col("shared") + F.least("n_common", F.col("n_u") - F.col("shared")))}), "rare")
+    by = Window.partitionBy("question_id")
+    floor = rare.withColumn("at", F.row_number().over(by.orderBy(F.desc("low")))).where(F.col("at") == k).select("question_id", F.col("low").alias("floor"))
+    worth = rare.join(floor, "question_id", "left").where(F.col("floor").isNull() | (F.col("high") >= F.col("floor") * SLACK))
+    worth = worth.join(n_common.select("question_id", "commons"), "question_id").join(u.select("scope_id", "unit_id", "u_words"), ["scope_id", "unit_id"])
+    first = kept(worth.select(*PAIR, score(F.col("shared") + F.size(F.array_intersect("commons", "u_words"))).alias("score")), "first")
+
+    # Pairs that share common words alone: short units only, where the k-th score is known.
+    kth = first.withColumn("at", F.row_number().over(by.orderBy(F.desc("score")))).where(F.col("at") == k).select("question_id", F.col("score").alias("kth"))
+    most = F.col("n_common") * F.col("n_common") / (F.col("n_q") * F.col("kth") * F.col("kth") * SLACK)
+    power = lambda n: F.floor(F.log2(F.greatest(F.lit(1), n))).cast("int")
+    top = postings.agg(F.max("n_u")).first()[0] or 1
+    wide = asked.where("common").join(kth, "question_id", "left").withColumn("most", F.least(F.coalesce(most, F.lit(float(top))), F.lit(float(top)))).where("most >= 1")
+    wide = wide.withColumn("power", F.explode(F.sequence(F.lit(0), power(F.col("most")))))
+    plain = wide.join(postings.withColumn("power", power(F.col("n_u"))), ["scope_id", "word", "power"]).where(seen()).groupBy(*PAIR, "n_q", "n_u").agg(F.count("*").alias("shared"))
+    second = plain.join(rare.select(*PAIR), PAIR, "left_anti").select(*PAIR, score(F.col("shared")).alias("score"))
+    best = kept(ranked(first.unionByName(second), k).drop("rank"), "best")
+    counts = questions.select("question_id").join(best.groupBy("question_id").agg(F.count("*").alias("n")), "question_id", "left")
+    return best, counts.where(F.coalesce("n", F.lit(0)) < k).select("question_id")
+
+
+#: Bounds are taken a little lower than they come out, as they are rounded.
+SLACK = 1 - 1e-9
+
+
 def hashed_scores(questions: DataFrame, units: DataFrame, fields: list[str] | None = None) -> DataFrame:
     """Cosine of hashed vectors. Texts are hashed once each, before the join."""
     from .units import retrieval_text

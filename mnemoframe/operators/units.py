@@ -4,7 +4,7 @@ messages: scope_id, conv_ix, msg_ix (both from 1), message_id, role, speaker, co
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -64,26 +64,17 @@ def speaker_id(key: str = "speaker_key") -> Column:
 Count = Callable[[list[str]], list[int]]
 
 
-def counted(messages: DataFrame, column: Column, count: Count | None) -> DataFrame:
-    """messages with tok, the tokens of column: by the engine's own pattern, or by count."""
-    if count is None:
-        return messages.withColumn("tok", text.token_count(column))
-
-    @F.pandas_udf("long")
-    def tokens(s: pd.Series) -> pd.Series:
-        return pd.Series(count(s.tolist()), index=s.index, dtype="int64")
-
-    return messages.withColumn("tok", tokens(column))
-
-
 def chunked(messages: DataFrame, chunk_tokens: int = CHUNK_TOKENS, count: Count | None = None) -> DataFrame:
     """messages that aren't blank, with chunk (from 1): a conversation's messages are appended to
-    a chunk as long as its tokens allow; one that is too large stands alone. Only positions and
-    token counts are gathered for a conversation, never its texts; so tokens of messages add up,
-    whatever counts them."""
+    a chunk as long as the tokens of its joined text allow; one that is too large stands alone. By
+    the engine's own pattern tokens of messages add up, and only positions and counts are gathered
+    for a conversation; with count, which need not add up, the chunk's text itself is counted."""
     rendered = F.concat(F.lit("speaker: "), speaker_key(), F.lit("\ncontent: "), F.col("content"))
-    kept = counted(messages.withColumn("content", text.text_or_empty("content")).where("content != ''"), rendered, count)
+    said = messages.withColumn("content", text.text_or_empty("content")).where("content != ''")
     most = max(1, chunk_tokens)
+    if count is not None:
+        return _chunked_by(said, rendered, most, count)
+    kept = said.withColumn("tok", text.token_count(rendered))
 
     def add(a: Column, m: Column) -> Column:
         new = (a["n"] > 0) & (a["tok"] + m["tok"] > most)
@@ -96,6 +87,30 @@ def chunked(messages: DataFrame, chunk_tokens: int = CHUNK_TOKENS, count: Count
     return kept.join(starts, ["scope_id", "conv_ix"]).withColumn("chunk", F.size(F.filter("starts", lambda s: s <= F.col("msg_ix")))).drop("starts", "tok")
 
 
+def _chunked_by(said: DataFrame, rendered: Column, most: int, count: Count) -> DataFrame:
+    """Conversations pass through their tasks message by message, in order; what is held of one is
+    the text of its open chunk, which the limit bounds, and its number."""
+    key = ["scope_id", "conv_ix"]
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, held, chunk = None, None, 0
+        for b in batches:
+            chunks = []
+            for scope, conv, line in zip(b["scope_id"], b["conv_ix"], b["_said"], strict=True):
+                if (scope, conv) != at:
+                    at, held, chunk = (scope, conv), None, 1
+                longer = line if held is None else f"{held}\n{line}"
+                if held is not None and count([longer])[0] > most:
+                    held, chunk = line, chunk + 1
+                else:
+                    held = longer
+                chunks.append(chunk)
+            yield b.drop(columns="_said").assign(chunk=chunks)
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in said.schema)
+    return said.withColumn("_said", rendered).repartition(*key).sortWithinPartitions(*key, "msg_ix").mapInPandas(walk, f"{kinds}, chunk int")
+
+
 def fact_units(messages: DataFrame, chunk_tokens: int = CHUNK_TOKENS, max_tokens: int = text.SEGMENT_TOKENS, count: Count | None = None) -> DataFrame:
     """Units of sentences, attributed to their speakers. A unit becomes visible with the latest
     message of its whole chunk, whoever said it."""

@@ -110,7 +110,7 @@ class RawMemory:
         return units.raw_units(messages, list(self.target_roles))
 
     def rank(self, questions: DataFrame, units: DataFrame, top_k: int | None = None) -> DataFrame:
-        return retrieve.ranked(retrieve.lexical_scores(questions, units), retrieve.effective(top_k, self.top_k))
+        return retrieve.lexical_top(questions, units, retrieve.effective(top_k, self.top_k))
 
     def read(self, questions, units, top_k=None, budget=None):
         return context.pack_lines(questions, self.rank(questions, units, top_k), retrieve.effective(budget, self.budget), self.timestamps, joiner="\n", style="list")

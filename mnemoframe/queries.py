@@ -150,6 +150,13 @@ def lexical_topk(spark, sf):
     return lexical(spark, sf).select("question_id", "unit_id", "score", "rank")
 
 
+@query("WITH {base} SELECT question_id, unit_id, score, rank FROM ranked")
+def lexical_postings(spark, sf):
+    """The same through the inverted index, however few the pairs are."""
+    got = retrieve.lexical_top(questions(spark, sf), raw(spark, sf), TOP_K, direct_pairs=0)
+    return got.select("question_id", "unit_id", F.round("score", 9).alias("score"), "rank")
+
+
 @query("WITH {base} SELECT * FROM contexts")
 def context_pack(spark, sf):
     return context.pack_lines(questions(spark, sf), lexical(spark, sf), 400, joiner="\n", style="list")
@@ -541,6 +548,13 @@ def token_counter(name: str = "byte_bpe_50k.tiktoken") -> Callable[[str], int]:
     return count
 
 
+@query()
+def tokenizer_chunks(spark, sf):
+    """Chunks by a real tokenizer's tokens of their joined messages."""
+    count = token_counter()
+    return units.chunked(messages(spark, sf), CHUNK, lambda ts: [count(t) for t in ts]).select("scope_id", "conv_ix", "msg_ix", "chunk")
+
+
 @query()
 def tokenizer_context(spark, sf):
     """Contexts within a budget of a real tokenizer's tokens, which don't add up over lines."""
