@@ -45,6 +45,27 @@ def string_list(c: str | Column) -> Column:
     return F.coalesce(F.filter(_col(c), lambda x: x.isNotNull()), F.array().cast("array<string>"))
 
 
+def clean_metadata(c: str | Column) -> Column:
+    """A JSON object without the members that are null, an empty list or an empty object; null for
+    what isn't an object."""
+    held = F.map_filter(F.from_json(_col(c), "map<string, variant>"), lambda _, v: ~F.coalesce(F.to_json(v), F.lit("null")).isin("null", "[]", "{}"))
+    return F.to_json(held)
+
+
+def metadata_texts(c: str | Column, path: str) -> Column:
+    """What stands at a path of a JSON object, as texts: a list's elements, or the value; what is
+    blank or isn't there gives none."""
+    held = F.try_variant_get(F.try_parse_json(_col(c)), f"$.{path}", "variant")
+    many = F.try_variant_get(held, "$", "array<variant>")
+    said = F.when(many.isNotNull(), F.transform(many, variant_text)).otherwise(F.array(variant_text(held)))
+    return F.filter(said, lambda x: x.isNotNull() & (strip(x) != ""))
+
+
+def variant_text(v: Column) -> Column:
+    """A string as it is, other values as JSON; null for null."""
+    return F.coalesce(F.try_variant_get(v, "$", "string"), F.nullif(F.to_json(v), F.lit("null")))
+
+
 def tokens(c: str | Column) -> Column:
     return F.regexp_extract_all(_col(c), F.lit(f"({TOKEN_PATTERN})"), 1)
 

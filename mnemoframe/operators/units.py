@@ -145,8 +145,22 @@ def speaker_phrases(messages: DataFrame, fallback: str = "user") -> DataFrame:
 
 
 def retrieval_text(fields: list[str]) -> Column:
-    """The text that a unit is ranked by: columns or lists, blanks dropped, joined by spaces."""
-    parts = [F.array(F.col("ts_raw")) if f == "timestamp" else F.col(f) if f in ("tags", "source_ids") else F.array(F.col(f).cast("string")) for f in fields]
+    """The text that a unit is ranked by: columns, lists, or paths of the JSON column metadata
+    ("metadata.place.name"; "structured" are the texts and tags of its facts), whose lists count
+    by their elements; blanks dropped, joined by spaces."""
+
+    def part(f: str) -> list[Column]:
+        if f == "timestamp":
+            return [F.array(F.col("ts_raw"))]
+        if f in ("tags", "source_ids"):
+            return [F.col(f)]
+        if f.startswith("structured"):
+            facts = F.try_variant_get(F.try_parse_json("metadata"), "$.structured.facts", "array<variant>")
+            of = lambda x: F.concat(F.array(F.try_variant_get(x, "$.text", "string")), F.coalesce(F.try_variant_get(x, "$.tags", "array<string>"), F.array().cast("array<string>")))
+            return [F.coalesce(F.flatten(F.transform(facts, of)), F.array().cast("array<string>"))]
+        return [text.metadata_texts("metadata", f.removeprefix("metadata."))] if f.startswith("metadata.") else [F.array(F.col(f).cast("string"))]
+
+    parts = [c for f in fields for c in part(f)]
     flat = F.filter(F.flatten(F.array(*parts)), lambda x: x.isNotNull() & (text.strip(x) != ""))
     return text.strip(F.array_join(flat, " "))
 

@@ -25,18 +25,22 @@ def _post(url: str, key_env: str, body: dict[str, Any], timeout: float) -> dict[
 
 @dataclass(frozen=True)
 class ChatModel:
-    """A function from a prompt to a Reply with its usage."""
+    """A function from a prompt to a Reply with its usage. json_mode asks for a JSON object."""
 
     model: str
     base_url: str
     system: str | None = None
     max_tokens: int = 8192
+    json_mode: bool = False
     key_env: str = "OPENAI_API_KEY"
     timeout: float = 120.0
 
     def __call__(self, prompt: str) -> Reply:
         said = [{"role": "system", "content": self.system}] if self.system else []
-        got = _post(f"{self.base_url.rstrip('/')}/chat/completions", self.key_env, {"model": self.model, "temperature": 0, "max_tokens": self.max_tokens, "messages": [*said, {"role": "user", "content": prompt}]}, self.timeout)
+        body: dict[str, Any] = {"model": self.model, "temperature": 0, "max_tokens": self.max_tokens, "messages": [*said, {"role": "user", "content": prompt}]}
+        if self.json_mode:
+            body["response_format"] = {"type": "json_object"}
+        got = _post(f"{self.base_url.rstrip('/')}/chat/completions", self.key_env, body, self.timeout)
         use = got.get("usage") or {}
         return Reply(got["choices"][0]["message"].get("content") or "", *(int(use.get(k) or 0) for k in ("prompt_tokens", "completion_tokens", "total_tokens")))
 

@@ -246,6 +246,23 @@ def hash_dense_topk(spark, sf):
     return retrieve.ranked(scored, TOP_K).select("question_id", "unit_id", "score", "rank")
 
 
+@query(r"""WITH RECURSIVE {base}, {chunks}, {facts}, uh AS (SELECT unit_id, sha1(unnest(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9_+\-'']*'))) AS h FROM made),
+    qh AS (SELECT question_id, sha1(unnest(regexp_extract_all(lower(query_text), '[a-z0-9][a-z0-9_+\-'']*'))) AS h FROM q),
+    uv AS (SELECT unit_id, substr(h, 7, 2) AS b, sum(1 - 2 * (CAST(('0x' || substr(h, 9, 2)) AS INTEGER) % 2))::DOUBLE AS w FROM uh GROUP BY ALL),
+    qv AS (SELECT question_id, substr(h, 7, 2) AS b, sum(1 - 2 * (CAST(('0x' || substr(h, 9, 2)) AS INTEGER) % 2))::DOUBLE AS w FROM qh GROUP BY ALL),
+    un AS (SELECT unit_id, sqrt(sum(w * w)) AS n FROM uv GROUP BY unit_id), qn AS (SELECT question_id, sqrt(sum(w * w)) AS n FROM qv GROUP BY question_id),
+    pairs AS (SELECT question_id, unit_id FROM q JOIN made u ON q.scope_id = u.scope_id AND CAST(u.available_at_raw AS TIMESTAMP) <= q.qt),
+    dots AS (SELECT question_id, unit_id, sum(qv.w * uv.w) AS d FROM pairs JOIN qv USING (question_id) JOIN uv USING (unit_id) WHERE qv.b = uv.b GROUP BY ALL),
+    s AS (SELECT p.question_id, p.unit_id, CASE WHEN coalesce(un.n, 0) = 0 OR coalesce(qn.n, 0) = 0 THEN 0.0 ELSE coalesce(d, 0) / (un.n * qn.n) END AS score
+        FROM pairs p LEFT JOIN dots USING (question_id, unit_id) LEFT JOIN un USING (unit_id) LEFT JOIN qn USING (question_id))
+    SELECT question_id, unit_id, round(score, 9) + 0.0 AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, unit_id) AS rank FROM s) WHERE rank <= 20""")
+def fact_memory_topk(spark, sf):
+    """FactMemory from messages to ranks: chunks, sentences, visible facts, hashed vectors."""
+    memory = systems.FactMemory(chunk_tokens=CHUNK, top_k=TOP_K)
+    ranked = memory.rank(questions(spark, sf), memory.build(messages(spark, sf)))
+    return ranked.select("question_id", "unit_id", (F.round("score", 9) + 0.0).alias("score"), "rank")
+
+
 @query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT a.vec_id AS question_id, b.vec_id AS unit_id, round(list_cosine_similarity(a.e, b.e), 6) + 0.0 AS score FROM v a, v b WHERE a.vec_id % 20 = 0)
     SELECT question_id, unit_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, unit_id) AS rank FROM s) WHERE rank <= 20""")
 def vector_topk(spark, sf):

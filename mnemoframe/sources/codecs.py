@@ -11,8 +11,25 @@ from pyspark.sql import types as T
 
 from ..operators.units import GENERATION
 
+SCOPE = "scope_id string, dataset string, subject_id string, timeline_id string, metadata string"
+REQUEST = "query string, query_id string, query_time string, top_k int, context_budget_tokens int, metadata string"
+CONTEXT = "text string, token_count long, block_count long, timepoint_count long"
 UNIT = f"scope_id string, unit_id string, text string, ts_raw string, available_at_raw string, source_time_start string, source_time_end string, source_ids array<string>, memory_type string, tags array<string>, role string, generation {GENERATION}"
+
+
+
+def _struct(shape: str) -> str:
+    return f"struct<{shape}>"
+
+
+#: Records within records are structs; open metadata and stats are JSON strings.
 SHAPES = {
+    "scope": SCOPE,
+    "request": REQUEST,
+    "context": CONTEXT,
+    "build": f"item_id string, artifact struct<artifact_id: string, system_name: string, scope: {_struct(SCOPE)}, units: array<{_struct(UNIT)}>, metadata: string>, stats string",
+    "index": "item_id string, memory_artifact_id string, system_name string, stats string",
+    "read_result": f"request {_struct(REQUEST)}, ranked_units array<struct<unit: {_struct(UNIT)}, rank: int, score: double, retrieval_text: string, score_breakdown: string>>, context {_struct(CONTEXT)}, stats string, trace_ref string",
     "unit": UNIT,
     "artifact": "scope_id string, artifact_id string, unit_count long",
     "ranked": f"question_id string, rank int, score double, {UNIT}",

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from ..functions import text
 from ..operators import units
-from . import files
+from . import arrays, files
 
 # Fixed value: the version that unified files must carry, after the name of what wrote them.
 SCHEMA_VERSIONS = r"[a-z_]+\.unified_dataset\.v1"
@@ -49,10 +49,12 @@ class Dataset:
 
 def json_array(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
     """The records of a JSON array of objects, or of JSON lines, in order (ord). What isn't such
-    an array is refused."""
+    an array is refused. One array in one file is read in parts (arrays)."""
     head = files.first_character(spark, path)
     if head not in ("[", "{"):
         raise ValueError(f"{path} holds no array of objects")
+    if head == "[" and (uri := arrays.readable(spark, path)):
+        return arrays.read_array(spark, uri, schema)
     read = spark.read.schema(schema).option("mode", "FAILFAST")
     rows = read.option("multiLine", True).json(path) if head == "[" else read.json(path)
     return rows.withColumn("ord", F.monotonically_increasing_id())
