@@ -59,8 +59,16 @@ def _as_many(got: list[Any], asked: list[Any]) -> list[Any]:
     return got
 
 
-def replied(rows: DataFrame, complete: Complete, calls: Calls = Calls(), prompt: str = "prompt", reply: str = "reply") -> DataFrame:
-    """rows with the reply to each prompt, and error, null where there is a reply."""
+def replied(rows: DataFrame, complete: Complete, calls: Calls = Calls(), prompt: str = "prompt", reply: str = "reply", live: str | None = None) -> DataFrame:
+    """rows with the reply to each prompt, and error, null where there is a reply. live: a folder
+    where they can be read as they come; all calls are made at once then."""
+    if live is not None:
+        from ..sources.live import live_records
+
+        def each(some: list[dict[str, Any]]) -> list[dict[str, Any]]:
+            return [r | {reply: said, "error": e} for r, (said, e) in zip(some, calls.replies(complete, [r[prompt] for r in some]), strict=True)]
+
+        return live_records(rows.drop(reply, "error"), live, each, f"{reply} string, error string")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -39,7 +39,8 @@ NO_COUNTS = {"cache_hits": 0, "cache_misses": 0}
 class Experiment:
     """fail_fast: a question without an answer, or a call to a model that fails, stops the run; else
     the question isn't evaluated, or its verdict stays open, and it is listed under failures with
-    the error. workers: calls that a task makes at once. templates: the judge's wordings. Stages
+    the error. workers: calls that a task makes at once. live: a folder in which a model's
+    replies can be read as they come, also those of a run that fails. templates: the judge's wordings. Stages
     are build, index, read, answer and evaluate; each leaves events.
 
     With a cache, keys hold the identity of the system, the agent and the judge (keys.identity),
@@ -51,6 +52,7 @@ class Experiment:
     judge: Callable[[list[str]], list[str]] | None = None
     templates: dict[str, str] | None = None
     workers: int = 1
+    live: str | None = None
     top_k: int | None = None
     budget: int | None = None
     fail_fast: bool = True
@@ -132,8 +134,9 @@ class Experiment:
         """Answers, with the error of those that failed."""
         how = keys.stable_hash([self._identity(self.agent), prompts.version()], 64)
         agent = self.agent
-        if "calls" in inspect.signature(agent).parameters and "calls" not in getattr(agent, "keywords", {}):
-            agent = functools.partial(agent, calls=self.calls)
+        takes, given = inspect.signature(agent).parameters, getattr(agent, "keywords", {})
+        ours = {"calls": self.calls} | ({"live": f"{self.live}/answers"} if self.live else {})
+        agent = functools.partial(agent, **{k: v for k, v in ours.items() if k in takes and k not in given})
         asked = reads.withColumn("cache_key", keys.content_key(F.lit(how).alias("how"), "item_id", "question_id", "query_text", "query_time_raw", "artifact_id", "context"))
         got, counts = self._through("answer", asked, agent)
         return got.drop("cache_key"), counts
@@ -222,6 +225,7 @@ class Spec:
     workers: int = 1
     fail_fast: bool = True
     templates: dict[str, str] | None = None
+    live: str | None = None
     top_k: int | None = None
     budget: int | None = None
     max_items: int | None = None
@@ -286,7 +290,7 @@ def _many(model: Any) -> Callable[[list[str]], list[str]]:
 
 def run_spec(spark: SparkSession, spec: Spec) -> dict[str, Any]:
     events = sinks.EventTable(sinks.on_screen)
-    ex = Experiment(spec.memory(), spec.answering(), need_all=spec.need_all, judge=spec.judging(), templates=spec.templates, workers=spec.workers, fail_fast=spec.fail_fast, top_k=spec.top_k, budget=spec.budget, cache=StageCache(spec.cache) if spec.cache else None, events=events)
+    ex = Experiment(spec.memory(), spec.answering(), need_all=spec.need_all, judge=spec.judging(), templates=spec.templates, workers=spec.workers, fail_fast=spec.fail_fast, live=spec.live, top_k=spec.top_k, budget=spec.budget, cache=StageCache(spec.cache) if spec.cache else None, events=events)
     try:
         result = ex.run(spec.dataset(spark), spec.run_id)
         return sinks.write_run(spark, spec.output, spec.run_id, spec, result.tables, result.report)

@@ -237,9 +237,9 @@ def fixed_query_answers(reads: DataFrame, empty: str = "") -> DataFrame:
     return reads.withColumns({"answer": F.coalesce(F.nullif(F.col("context"), F.lit("")), F.lit(empty)), "agent_name": F.lit("fixed_query")})
 
 
-def model_answers(reads: DataFrame, complete: Complete, with_time: bool = True, calls: Calls = Calls()) -> DataFrame:
+def model_answers(reads: DataFrame, complete: Complete, with_time: bool = True, calls: Calls = Calls(), live: str | None = None) -> DataFrame:
     """reads: question_id, query_text, query_time_raw, context. complete: replies to prompts. error
-    says why a question has no reply."""
+    says why a question has no reply. live: a folder where replies can be read as they come."""
     asked = reads.withColumn("prompt", prompts.answer_prompt(with_time=with_time))
-    got = replied(asked, complete, calls)
+    got = replied(asked, complete, calls, live=live)
     return got.withColumns({"answer": prompts.clean_reply("reply"), "final_answer": prompts.final_answer("reply"), "agent_name": F.lit("model")})
