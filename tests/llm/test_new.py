@@ -242,3 +242,63 @@ def test_odd_words(spark):
     assert spelling.variants(data.empty(spark)).count() == 0
     got = {r.word: r for r in spelling.variants(data.odd(spark)).collect()}
     assert all(len(w) >= 7 and r.n >= 2 and r.root == r.word for w, r in got.items())
+
+
+# Gaps in the tests of earlier operators.
+
+
+def test_slot_map_by_plain_python(spark):
+    """Slots by XXH64, the map by handing out slots, the places by counting."""
+    import struct
+
+    import xxhash
+
+    from mnemoframe.llm import sharding
+
+    got = pd.DataFrame([r.asDict() for r in sharding.shard(spark.read.parquet(f"{SF}/documents.parquet")).collect()])
+
+    def slot(doc_id, crc):
+        h = 42
+        for v in (doc_id, crc):
+            h = xxhash.xxh64_intdigest(struct.pack("<q", v), h)
+        return h % sharding.N_SLOTS
+
+    assert [slot(*x) for x in zip(got.doc_id, got.text_crc32, strict=True)] == got.virtual_slot.tolist()
+    size = got.groupby("virtual_slot")["size"].sum().to_dict()
+    load, where = dict.fromkeys(range(40), 0), {}
+    for s in sorted(size, key=lambda s: (-size[s], s)):
+        where[s] = min(load, key=lambda k: (load[k], k))
+        load[where[s]] += size[s]
+    assert got.virtual_slot.map(where).tolist() == got.shard.tolist()
+    for _, rows in got.groupby("shard"):
+        order = rows.sort_values("slot")
+        assert order.slot.tolist() == list(range(len(rows))) and order.virtual_slot.is_monotonic_increasing
+
+
+def test_lattices_by_enumeration():
+    """Of all paths of a lattice, the search finds one of the highest probability."""
+    from itertools import product
+
+    from mnemoframe.llm import toxicity
+
+    rng = random.Random(6)
+    model = toxicity.CharModel(toxicity.count_words(Counter({"".join(rng.choice("abeilost") for _ in range(rng.randint(2, 7))): rng.randint(1, 50) for _ in range(200)})))
+
+    def total(letters, channel):
+        p, at = channel, " " * (toxicity.ORDER - 1)
+        for c in letters + " ":
+            p, at = p + model.logp(at, c), (at + c)[1:]
+        return p
+
+    forms = ["1d10t", "b@ss", "l o s t", "s.t.0.l.e", "aab", "b!llll", "t-0-0-l", "5ee", "|o$t", "looost!", "a b 1 e", "+e5+s"]
+    forms += ["".join(rng.choice("abeilost01$@!+") for _ in range(rng.randint(2, 6))) for _ in range(60)]
+    for form in forms:
+        for silent in (True, False):
+            columns = toxicity.lattice(form, silent)
+            best = {}
+            for path in product(*columns):
+                said = "".join(x for x, _ in path)
+                best[said] = max(best.get(said, -np.inf), total(said, sum(q for _, q in path)))
+            top = max(best.values())
+            found = toxicity.viterbi(columns, model)
+            assert max(p for s, p in best.items() if s.strip() == found) >= top - 1e-9, form
