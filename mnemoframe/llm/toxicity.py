@@ -28,6 +28,7 @@ import uuid
 from collections import Counter
 from collections.abc import Collection, Iterable, Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
@@ -97,12 +98,12 @@ def count_words(words: Counter[str]) -> np.ndarray:
     out = np.zeros((ORDER, 1 << TABLE_BITS))
     if not words:
         return out
-    text, weight = [], []
-    for w, c in words.items():
-        text.append(f"{' ' * (ORDER - 1)}{w} ")
-        weight.append(np.r_[np.zeros(ORDER - 1), np.full(len(w) + 1, c)])
-    codes = np.frombuffer("".join(text).encode("utf-32-le"), np.uint32).astype(np.uint64)
-    weights = np.concatenate(weight)[ORDER - 1 :]
+    lead = " " * (ORDER - 1)
+    codes = np.frombuffer("".join(f"{lead}{w} " for w in words).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    size = np.fromiter(map(len, words), np.int64, len(words)) + ORDER
+    weights = np.repeat(np.fromiter(words.values(), np.float64, len(words)), size)
+    weights[((np.cumsum(size) - size)[:, None] + np.arange(ORDER - 1)).ravel()] = 0  # the spaces before each word
+    weights = weights[ORDER - 1 :]
     for order in range(1, ORDER + 1):
         out[order - 1] = np.bincount(_slots(codes, order), weights, 1 << TABLE_BITS)
     return out
@@ -249,12 +250,36 @@ def _words_of(tokens: Iterable[bytes]) -> Iterator[tuple[bytes, list[str]]]:
         yield t, [w] if w.isalpha() else _WORDS.findall(w)
 
 
+def skeleton(word: str) -> str:
+    """What all spellings that the lattice weighs for a word have in common: signs and the letters
+    that one sign may stand for are one letter, and runs of it are one."""
+    return _RUN.sub(r"\1", word.translate(_CLASSES))
+
+
+#: A letter for each sign, and for letters that share one.
+_CLASSES = {ord(c): {"l": "i"}.get(xs[0], xs[0]) for c, xs in LEET.items()} | {ord("l"): "i"}
+
+
 class Reader:
     """Reads the words of texts, deobfuscated; of those, only the ones in known, if given. Tokens
-    are decoded once each; only spaced-out stretches reach beyond a token."""
+    are decoded once each; only spaced-out stretches reach beyond a token. With known words, a token
+    is searched only if it may become one: letters alone keep their skeleton, and words between
+    signs that are read as themselves have part of it."""
 
     def __init__(self, counts: np.ndarray, known: Collection[str] | None = None) -> None:
         self.model, self.known, self.memo, self.tokens = CharModel(counts), known, {}, {}
+        self.whole = None if known is None else {skeleton(w) for w in known}
+        self.parts = ahocorasick.Automaton() if self.whole else None
+        for form in self.whole or ():
+            self.parts.add_word(form, form)
+        if self.parts:
+            self.parts.make_automaton()
+
+    def may_matter(self, token: str, letters: bool) -> bool:
+        if self.whole is None:
+            return True
+        form = skeleton(token)
+        return form in self.whole if letters else self.parts is not None and any(True for _ in self.parts.iter(form))
 
     def wanted(self, words: Iterable[str]) -> tuple[str, ...]:
         return tuple(words if self.known is None else (w for w in words if w in self.known))
@@ -270,7 +295,9 @@ class Reader:
         for t in set(text.split()):
             if (words := seen.get(t)) is None:
                 suspect, letters = _SUSPECT.search(t), t.isalpha()
-                if letters:
+                if suspect and not self.may_matter(t, letters):
+                    found = ()
+                elif letters:
                     found = (respelled(t, self.model) if suspect else t,)
                 else:
                     found = set(restore(t, self.model, self.memo)) if suspect else _WORDS.findall(t)

@@ -302,3 +302,31 @@ def test_lattices_by_enumeration():
             top = max(best.values())
             found = toxicity.viterbi(columns, model)
             assert max(p for s, p in best.items() if s.strip() == found) >= top - 1e-9, form
+
+
+def test_words_that_cannot_matter_are_passed_over():
+    """With known words, tokens that are not searched would have given none of them."""
+    from mnemoframe.llm import toxicity
+
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abeilost") for _ in range(rng.randint(2, 6))) for _ in range(150)]
+    counts = toxicity.count_words(Counter({w: rng.randint(1, 40) for w in words}))
+    known = dict.fromkeys(words[:40])
+    some, every = toxicity.Reader(counts, known), toxicity.Reader(counts)
+    for _ in range(3000):
+        w = rng.choice(words) if rng.random() < 0.5 else "".join(rng.choice("abeilost") for _ in range(5))
+        w = "".join(rng.choice([c, c, c * 2, c * 3, {"a": "4@", "e": "3", "i": "1!|", "l": "1|", "o": "0", "s": "5$", "t": "7+", "b": "8"}[c][0]]) for c in w) + rng.choice(["", "", "!", "$$", ".", "###", "1"])
+        assert some.words(w) == every.words(w) & set(known), w
+
+
+def test_counts_of_grams():
+    from mnemoframe.llm import toxicity
+
+    words = Counter({"a": 2, "über": 1, "lost": 5, "x" * 50: 3})
+    want = np.zeros((toxicity.ORDER, 1 << toxicity.TABLE_BITS))
+    for w, n in words.items():
+        text = "   " + w + " "
+        for order in range(1, toxicity.ORDER + 1):
+            for at in range(3, len(text)):
+                want[order - 1, toxicity._slot(text[at - order + 1 : at + 1])] += n
+    assert (toxicity.count_words(words) == want).all()
