@@ -46,16 +46,16 @@ class Calls:
                 pool.shutdown(cancel_futures=True)  # what hasn't begun isn't called
                 raise
 
-    def replies(self, complete: Complete, prompts: list[str]) -> list[tuple[str | None, str | None]]:
+    def replies(self, complete: Complete, prompts: list[str], what: str = "replies") -> list[tuple[str | None, str | None]]:
         """Of a model that takes many prompts: all in one call, if nothing is to be kept apart."""
         if self.fail_fast and self.workers <= 1:
-            return [(r, None) for r in _as_many(complete(prompts), prompts)] if prompts else []
-        return self.each(lambda p: _as_many(complete([p]), [p])[0], prompts)
+            return [(r, None) for r in _as_many(complete(prompts), prompts, what)] if prompts else []
+        return self.each(lambda p: _as_many(complete([p]), [p], what)[0], prompts)
 
 
-def _as_many(got: list[Any], asked: list[Any]) -> list[Any]:
+def _as_many(got: list[Any], asked: list[Any], what: str) -> list[Any]:
     if len(got) != len(asked):
-        raise ValueError(f"{len(asked)} prompts gave {len(got)} replies")
+        raise ValueError(f"{len(asked)} texts gave {len(got)} {what}")
     return got
 
 

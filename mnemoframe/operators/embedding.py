@@ -51,7 +51,7 @@ class VectorStore:
 
         def run(batches):
             for b in batches:
-                got = [None if v is None else [float(x) for x in v] for v, _ in calls.replies(embed, b["text"].tolist())]
+                got = [None if v is None else [float(x) for x in v] for v, _ in calls.replies(embed, b["text"].tolist(), "vectors")]
                 yield pd.DataFrame({"text_hash": b["text_hash"], "vector": pd.Series(got, index=b.index, dtype=object)})
 
         n, n_missing = wanted.count(), missing.count()

@@ -226,7 +226,7 @@ def test_vectors_are_stored_once(spark, tmp_path):
     assert store.warm(texts, by_length, "m2")["cache_misses"] == 2
     assert {r.text: r.vector for r in store.vectors(texts, by_length, "m1").collect()} == {"a": [1.0, 1.0, 0.0], "bb": [2.0, 1.0, 0.0]}
     rows = store.table(texts).collect()
-    assert all(r.text_hash not in ("a", "bb") and r.dim == 3 and len(r.vector) == 12 for r in rows)
+    assert all(r.text_hash not in ("a", "bb") and r.dim == 3 and len(r.vector) == 24 for r in rows)
     with pytest.raises(Exception, match="gave 1 vectors"):
         store.warm(spark.createDataFrame([("c",), ("d",)], "text string").coalesce(1), lambda ts: [[1.0]], "m3")
 

@@ -110,9 +110,9 @@ def test_calls():
         assert got == [(10, None), (20, None), (None, "OSError: no"), (40, None)]
         with pytest.raises(OSError):
             Calls(workers).each(call, [1, 2, 3, 4])
-    with pytest.raises(ValueError, match="2 prompts gave 1"):
+    with pytest.raises(ValueError, match="2 texts gave 1"):
         Calls().replies(lambda ps: ps[:1], ["a", "b"])
-    assert Calls(2, False).replies(lambda ps: [], ["a"]) == [(None, "ValueError: 1 prompts gave 0 replies")]
+    assert Calls(2, False).replies(lambda ps: [], ["a"]) == [(None, "ValueError: 1 texts gave 0 replies")]
 
 
 def test_calls_run_at_once():
