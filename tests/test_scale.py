@@ -84,3 +84,21 @@ def test_chunks_by_a_tokenizer(spark):
     assert got == want and summed
     facts = systems.FactMemory(count=count, chunk_tokens=40).build(talk(spark, *rows))
     assert facts.select(F.col("unit_id")).distinct().count() == facts.count() > 0
+
+
+@pytest.mark.parametrize("name", ["snapshot_counts", "lexical_topk", "context_pack", "fact_units", "min_max_ts_raw"])
+def test_plans_compile(spark, name):
+    """Without a fallback, generated code that is too large is an error."""
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
+
+
+def test_times_are_read_before_the_join(spark):
+    """The as-of join compares two timestamps; no expression that reads times is in its condition."""
+    q = asks(spark, ("q", "p", "tea", "2024-01-01"))
+    plan = retrieve.snapshot(q, corpus(spark, 20))._jdf.queryExecution().optimizedPlan().toString()
+    join = next(line for line in plan.split("\n") if "Join Inner" in line)
+    assert "_at" in join and "_asked" in join and "regexp" not in join.lower() and "timestamp(" not in join.lower()
