@@ -91,11 +91,16 @@ def parse_turn_label(raw: str | Column, strict: bool = False) -> Column:
     return F.coalesce(of(label), of(r), F.lit("WRONG"))
 
 
+# The forms in which replies give a JSON object with a label, fenced and inside text.
+FENCED_OBJECT = r"(?s)```(?:json)?\s*(\{.*?\})\s*```"
+LABELLED_OBJECT = r'(?s)(\{[^{}]*"label"\s*:[^{}]*\})'
+
+
 def parse_persona_label(raw: str | Column) -> Column:
     """The label of the reply's JSON object, bare, fenced or inside the text; else whole words,
     WRONG and INCORRECT before CORRECT; else WRONG."""
     r = F.col(raw) if isinstance(raw, str) else raw
-    forms = [text.strip(r), F.regexp_extract(r, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1), F.regexp_extract(r, r'(?s)(\{[^{}]*"label"\s*:[^{}]*\})', 1)]
+    forms = [text.strip(r), F.regexp_extract(r, FENCED_OBJECT, 1), F.regexp_extract(r, LABELLED_OBJECT, 1)]
     labels = [F.upper(text.strip(F.get_json_object(f, "$.label"))) for f in forms]
     found = F.coalesce(*(F.when(x.isin("CORRECT", "WRONG"), x) for x in labels))
     u = F.upper(F.coalesce(r, F.lit("")))

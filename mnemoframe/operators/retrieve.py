@@ -73,8 +73,8 @@ def snapshot_counts(questions: DataFrame, units: DataFrame) -> DataFrame:
     days = line.groupBy("scope_id", "day").agg(F.sum("n").alias("n"))
     before = Window.partitionBy("scope_id").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
     days = days.select("scope_id", "day", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    seen = line.withColumn("n", F.sum("n").over(within)).where("asked").join(days, ["scope_id", "day"]).select("question_id", (F.col("n") + F.col("before")).alias("seen"))  # days that are null meet none
-    out = asks.join(all_units, "scope_id", "left").join(seen, "question_id", "left")
+    seen = line.withColumn("n", F.sum("n").over(within)).where("asked").join(days, ["scope_id", "day"]).select("question_id", "scope_id", (F.col("n") + F.col("before")).alias("seen"))  # days that are null meet none
+    out = asks.join(all_units, "scope_id", "left").join(seen, ["question_id", "scope_id"], "left")
     n = F.coalesce("unit_count", F.lit(0))
     s = F.when(F.col("free"), n).otherwise(F.coalesce("seen", F.lit(0)))
     return out.select("question_id", n.alias("unit_count"), s.alias("snapshot_unit_count"), (n - s).alias("hidden_unit_count"))

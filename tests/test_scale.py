@@ -102,3 +102,10 @@ def test_times_are_read_before_the_join(spark):
     plan = retrieve.snapshot(q, corpus(spark, 20))._jdf.queryExecution().optimizedPlan().toString()
     join = next(line for line in plan.split("\n") if "Join Inner" in line)
     assert "_at" in join and "_asked" in join and "regexp" not in join.lower() and "timestamp(" not in join.lower()
+
+
+def test_question_ids_may_repeat_across_scopes(spark):
+    built = units.raw_units(talk(spark, ("a", 1, 1, "user", "Ann", "x", "2024-01-01"), ("b", 1, 1, "user", "Ann", "y", "2024-03-01"), ("b", 1, 2, "user", "Ann", "z", "2024-01-01")))
+    q = asks(spark, ("q", "a", "", "2024-02-01"), ("q", "b", "", "2024-02-01"))
+    got = retrieve.snapshot_counts(q, built).collect()
+    assert sorted((r.unit_count, r.snapshot_unit_count, r.hidden_unit_count) for r in got) == [(1, 1, 0), (2, 1, 1)]
