@@ -112,7 +112,7 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, fixed: int = 2, sweeps
             by_row, row_diag = _raised(table, r)
             by_col, col_diag = _raised(table.T, m)
             d = np.diag(table)
-            tr, tc = table.sum(1), table.sum(0)
+            tr, tc = table.sum(1) + m, table.sum(0) + r  # a class's own totals keep its bigrams with the word
             gain = by_row - row_diag + by_col - col_diag + _xlogx(d + r + m + s) - _xlogx(d)
             gain += _xlogx(tr) - _xlogx(tr + r.sum() + s) + _xlogx(tc) - _xlogx(tc + m.sum() + s)
             gain[:fixed] = -np.inf

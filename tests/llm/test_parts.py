@@ -307,6 +307,30 @@ def test_exchange_finds_classes():
     assert pure >= 50
 
 
+def test_exchange_ends_at_a_maximum():
+    """It ends, and then no move of one item raises the likelihood, counted anew, by MIN_GAIN."""
+
+    def likelihood(n, of):
+        member = np.eye(of.max() + 1)[of]
+        table = member.T @ n @ member
+        x = lambda v: (v * np.log(np.maximum(v, 1))).sum()
+        return x(table) - x(table.sum(1)) - x(table.sum(0))
+
+    for seed in range(8):
+        rng = np.random.default_rng(seed)
+        n = rng.poisson(rng.pareto(1.0, (40, 1)) * rng.pareto(1.0, 40)).astype(float)
+        n[-2:] += 1
+        n[:, -2:] += 1
+        of = lm_scoring.exchange(n, 8, sweeps=200)
+        assert (of == lm_scoring.exchange(n, 8, sweeps=400)).all()
+        here = likelihood(n, of)
+        for w in range(38):
+            for c in range(2, 8):
+                other = of.copy()
+                other[w] = c
+                assert likelihood(n, other) <= here + lm_scoring.MIN_GAIN * n.sum() * 1.001
+
+
 def test_minhash_recall():
     bands, rows = ngram_join.band_shape()
     assert 1 - (1 - 0.8**rows) ** bands >= 0.9999 and bands * rows <= 128
