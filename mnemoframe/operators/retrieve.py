@@ -102,17 +102,19 @@ COMMON = 1 / 16
 PAIR = ["scope_id", "question_id", "unit_id"]
 
 
-def lexical_top(questions: DataFrame, units: DataFrame, top_k: int | None = None, direct_pairs: int = DIRECT_PAIRS) -> DataFrame:
+def lexical_top(questions: DataFrame, units: DataFrame, top_k: int | None = None, direct_pairs: int = DIRECT_PAIRS, digits: int | None = None) -> DataFrame:
     """ranked(lexical_scores(...)), by pairs that share words where all pairs would be many. unit_ids
-    are unique in a scope, question_ids in all."""
+    are unique in a scope, question_ids in all. digits: those that scores are rounded to before they
+    are ranked, so that scores tie that differ by the rounding of their quotients alone."""
     of_q, of_u = (df.groupBy("scope_id").agg(F.count("*").alias(n)) for df, n in ((questions, "q"), (units, "u")))
     pairs = of_q.join(of_u, "scope_id").agg(F.sum(F.col("q") * F.col("u"))).first()[0] or 0
     if pairs <= direct_pairs:
-        return ranked(lexical_scores(questions, units), top_k)
+        scored = lexical_scores(questions, units)
+        return ranked(scored if digits is None else scored.withColumn("score", F.round("score", digits)), top_k)
     k = effective(top_k, TOP_K)
-    best, short = lexical_postings(questions, units, k)
+    best, short = lexical_postings(questions, units, k, digits)
     q, u = timed_questions(questions), timed_units(units).withColumnRenamed("scope_id", "_scope")
-    # Questions with too few units that share a word: the first of the others, by unit_id, fill up.
+    # Questions with too few units of a score above 0: the first of the others, by unit_id, fill up.
     lack = q.join(short, "question_id")
     rest = lack.join(u, (F.col("scope_id") == F.col("_scope")) & seen()).select(*PAIR).join(best.select(*PAIR), PAIR, "left_anti")
     fill = ranked(rest.withColumn("score", F.lit(0.0)), k).drop("rank")
@@ -120,9 +122,10 @@ def lexical_top(questions: DataFrame, units: DataFrame, top_k: int | None = None
     return questions.join(top.drop("scope_id"), "question_id").join(units.withColumnRenamed("scope_id", "_scope"), "unit_id").where("scope_id = _scope").drop("_scope")
 
 
-def lexical_postings(questions: DataFrame, units: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+def lexical_postings(questions: DataFrame, units: DataFrame, k: int, digits: int | None = None) -> tuple[DataFrame, DataFrame]:
     """The best k pairs (scope_id, question_id, unit_id, score) of each question that share a word,
-    exact, and the questions that have fewer.
+    exact, and the questions that have fewer above 0. digits: as in lexical_top; bounds are rounded
+    like scores, which keeps their order.
 
     Words lead from questions to units by an inverted index of the scope. Rare words come first; the
     score of a pair that shares one is bounded from both sides, as a question's common words are
@@ -139,7 +142,8 @@ def lexical_postings(questions: DataFrame, units: DataFrame, k: int) -> tuple[Da
         return spark.read.parquet(at)
 
     def score(shared: Column) -> Column:
-        return shared / F.sqrt((F.greatest(F.lit(1), F.col("n_q")) * F.greatest(F.lit(1), F.col("n_u"))).cast("double"))
+        exact = shared / F.sqrt((F.greatest(F.lit(1), F.col("n_q")) * F.greatest(F.lit(1), F.col("n_u"))).cast("double"))
+        return exact if digits is None else F.round(exact, digits)
 
     u = timed_units(units).withColumn("u_words", text.lexical_set("text")).select("scope_id", "unit_id", "_at", "u_words", F.size("u_words").alias("n_u"))
     postings = kept(u.select("scope_id", "unit_id", "_at", "n_u", F.explode("u_words").alias("word")), "postings")
@@ -161,7 +165,8 @@ def lexical_postings(questions: DataFrame, units: DataFrame, k: int) -> tuple[Da
 
     # Pairs that share common words alone: short units only, where the k-th score is known.
     kth = first.withColumn("at", F.row_number().over(by.orderBy(F.desc("score")))).where(F.col("at") == k).select("question_id", F.col("score").alias("kth"))
-    most = F.col("n_common") * F.col("n_common") / (F.col("n_q") * F.col("kth") * F.col("kth") * SLACK)
+    reach = F.col("kth") - (0.0 if digits is None else 10.0**-digits)  # what may be rounded up to it
+    most = F.when(reach > 0, F.col("n_common") * F.col("n_common") / (F.col("n_q") * reach * reach * SLACK))
     power = lambda n: F.floor(F.log2(F.greatest(F.lit(1), n))).cast("int")
     top = postings.agg(F.max("n_u")).first()[0] or 1
     wide = asked.where("common").join(kth, "question_id", "left").withColumn("most", F.least(F.coalesce(most, F.lit(float(top))), F.lit(float(top)))).where("most >= 1")
@@ -169,7 +174,7 @@ def lexical_postings(questions: DataFrame, units: DataFrame, k: int) -> tuple[Da
     plain = wide.join(postings.withColumn("power", power(F.col("n_u"))), ["scope_id", "word", "power"]).where(seen()).groupBy(*PAIR, "n_q", "n_u").agg(F.count("*").alias("shared"))
     second = plain.join(rare.select(*PAIR), PAIR, "left_anti").select(*PAIR, score(F.col("shared")).alias("score"))
     best = kept(ranked(first.unionByName(second), k).drop("rank"), "best")
-    counts = questions.select("question_id").join(best.groupBy("question_id").agg(F.count("*").alias("n")), "question_id", "left")
+    counts = questions.select("question_id").join(best.where("score > 0").groupBy("question_id").agg(F.count("*").alias("n")), "question_id", "left")
     return best, counts.where(F.coalesce("n", F.lit(0)) < k).select("question_id")
 
 

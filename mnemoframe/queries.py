@@ -153,8 +153,8 @@ def lexical_topk(spark, sf):
 @query("WITH {base} SELECT question_id, unit_id, score, rank FROM ranked")
 def lexical_postings(spark, sf):
     """The same through the inverted index, however few the pairs are."""
-    got = retrieve.lexical_top(questions(spark, sf), raw(spark, sf), TOP_K, direct_pairs=0)
-    return got.select("question_id", "unit_id", F.round("score", 9).alias("score"), "rank")
+    got = retrieve.lexical_top(questions(spark, sf), raw(spark, sf), TOP_K, direct_pairs=0, digits=9)
+    return got.select("question_id", "unit_id", "score", "rank")
 
 
 @query("WITH {base} SELECT * FROM contexts")

@@ -34,6 +34,25 @@ def test_lexical_top_is_exact(spark, k):
     assert got == want and want
 
 
+@pytest.mark.parametrize("digits", [9, 2, 1])
+def test_lexical_top_ranks_rounded_scores(spark, digits):
+    """3 of 27 words and 5 of 75 score alike but for the last bit of the quotient; with few digits
+    many tie, at the k-th place and at 0 as well."""
+    n = {"x": (3, 27), "y": (5, 75), "z": (1, 3)}
+    rows = [("a", 1, 10 * i + j, "user", "Ann", " ".join([*(f"s{w}" for w in range(shared)), *(f"{name}{i}u{w}" for w in range(size - shared))]), "2024-01-01") for i in range(9) for j, (name, (shared, size)) in enumerate(n.items(), 1)]
+    rng = random.Random(digits)
+    built = units.raw_units(talk(spark, *rows)).unionByName(corpus(spark))
+    said = [f"s0 s1 s2 s3 s4 q{i}" for i in range(1, 4)] + [" ".join(["the", "of", *(f"w{rng.randint(0, 299)}" for _ in range(rng.randint(0, 8)))]) for _ in range(12)]
+    q = asks(spark, *((f"q{i}", "a" if i < 3 else rng.choice(["a", "b"]), t, None) for i, t in enumerate(said)))
+    built = built.dropDuplicates(["scope_id", "unit_id"]).localCheckpoint()
+    cols = ["question_id", "unit_id", "score", "rank"]
+    plain = retrieve.lexical_scores(q, built).withColumn("score", F.round("score", digits))
+    for k in (5, 20):
+        want = sorted(map(tuple, retrieve.ranked(plain, k).select(*cols).collect()))
+        for most in (0, retrieve.DIRECT_PAIRS):
+            assert sorted(map(tuple, retrieve.lexical_top(q, built, k, most, digits).select(*cols).collect())) == want
+
+
 def test_lexical_pairs_follow_shared_words(spark, monkeypatch):
     """Where a question has rare words, pairs that are met are those that share them, and not the
     scope's; words that all units hold don't bring them back."""
