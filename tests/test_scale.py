@@ -36,7 +36,7 @@ def test_lexical_top_is_exact(spark, k):
 
 @pytest.mark.parametrize("digits", [9, 2, 1])
 def test_lexical_top_ranks_rounded_scores(spark, digits):
-    """3 of 27 words and 5 of 75 score alike but for the last bit of the quotient; with few digits
+    """1 of 3 words and 3 of 27 score alike but for the last bit of the quotient; with few digits
     many tie, at the k-th place and at 0 as well."""
     n = {"x": (3, 27), "y": (5, 75), "z": (1, 3)}
     rows = [("a", 1, 10 * i + j, "user", "Ann", " ".join([*(f"s{w}" for w in range(shared)), *(f"{name}{i}u{w}" for w in range(size - shared))]), "2024-01-01") for i in range(9) for j, (name, (shared, size)) in enumerate(n.items(), 1)]
