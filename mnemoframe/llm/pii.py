@@ -7,30 +7,30 @@
    address, within longer runs of digits too.
 3. Gradient boosted trees rate each by features of its format (digits, groups, separators, checks)
    and its context (characters around it, digits near by, how the word before leans). They are
-   fitted on a bounded sample of texts, MAX_TEXTS distinct ones and MAX_ROWS spans at most. What
-   is right is known there: base spans as they stand, and renditions of them, planted in their own
+   fitted on all texts, each distinct one once, and all spans that are proposed in them. What is
+   right is known there: base spans as they stand, and renditions of them, planted in their own
    places (spelt out, regrouped, beside another number), as against decoys planted likewise (a
    broken check digit, a part above 255, dates, versions) and all else that the generators propose.
-   Words are weighed on every eighth text, and the trees are fitted on five more.
-4. On the other two, each kind gets the lowest cutoff
+   By a hash of the texts, words are weighed on one eighth, and the trees are fitted on five more.
+4. On the other two eighths, each kind gets the lowest cutoff
    above which the share of right spans is TARGET at least, by the lower end of its Wilson interval.
    A kind without such a cutoff gets none, and adds nothing.
 5. Of the spans above their kind's cutoff, the best rated are added first; none overlaps a base span
    or another added one.
 
 A null or empty text has no spans. Rows that repeat or tie are read each; a text's spans depend on
-nothing but the text and the sample, which is chosen by a hash of the texts. A very long text is read
+nothing but the text and the set of all texts. A very long text is read
 whole, in time that grows with its length. doc_id and other columns of the input, whatever their
 names, play no part. Empty tables give empty results; without base spans nothing is learnt or added.
 """
 
 from __future__ import annotations
 
+import math
 import random
 import re
 import zlib
 from bisect import bisect_left
-from collections import defaultdict
 from collections.abc import Iterator
 from itertools import islice
 
@@ -45,10 +45,7 @@ from .common import materialize, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 EMAIL, IP, CARD, PHONE = range(4)
-#: Distinct texts that the trees learn from, and spans in them, at most.
-MAX_TEXTS = 20_000
-MAX_ROWS = 100_000
-#: Copies of each text of the sample with planted renditions.
+#: Copies of each text with planted renditions.
 PLANTED = 6
 TARGET = 0.9
 #: Weight of proposals that are no base spans, where nothing was planted: they may be right.
@@ -60,6 +57,9 @@ MIN_CUES = 10
 #: Of one-sided 95 % intervals.
 Z = 1.645
 TREES, DEPTH, BINS, STEP = 30, 4, 64, 0.3
+#: Margins are told apart to one part in so many, and rows of a part of the training set, at most.
+GRID = 1024
+PART = 50_000
 #: Proposals that are rated together.
 BATCH = 4096
 ROWS = pa.schema([("h", pa.int64()), ("nth", pa.int64()), ("kind", pa.int32()), ("x", pa.list_(pa.float64())), ("cue", pa.string()), ("label", pa.int32()), ("weight", pa.float64())])
@@ -287,7 +287,7 @@ class Trees:
             for _ in range(DEPTH):
                 at = np.where(x[rows, feature[at]] <= threshold[at], left[at], right[at])
             out += weight * value[at]
-        return out
+        return np.round(out * GRID) / GRID
 
 
 class Model:
@@ -335,13 +335,6 @@ class Taken:
         return True
 
 
-def _sample(texts: DataFrame, n_texts: int) -> DataFrame:
-    """(h, text): texts chosen by their hash, so that MAX_TEXTS distinct ones are, at most but for
-    chance; each as often as it is there."""
-    share = min(1.0, 0.97 * MAX_TEXTS / max(1, n_texts))
-    return texts.select(F.xxhash64("text").alias("h"), "text").where(F.pmod("h", F.lit(1_000_000)) < int(share * 1_000_000))
-
-
 def wilson(right: np.ndarray, n: np.ndarray) -> np.ndarray:
     p = right / n
     return (p + Z * Z / (2 * n) - Z * np.sqrt(p * (1 - p) / n + Z * Z / (4 * n * n))) / (1 + Z * Z / n)
@@ -361,7 +354,7 @@ def cutoff(margin: np.ndarray, label: np.ndarray, weight: np.ndarray, target: fl
 
 
 def fit(texts: DataFrame) -> Model | None:
-    """The model of a sample of texts (text); None where there is nothing to learn."""
+    """The model of all texts (text); None where there is nothing to learn."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -374,16 +367,13 @@ def fit(texts: DataFrame) -> Model | None:
                 while some := list(islice(told, BATCH)):
                     yield pa.RecordBatch.from_pylist([{"h": h, "nth": k, "kind": span[0], "x": [float(v) for v in x], "cue": word, "label": label, "weight": weight} for k, (span, x, word, label, weight) in some], ROWS)
 
-    found = _sample(texts, texts.count()).mapInArrow(rows, "h long, nth long, kind int, x array<double>, cue string, label int, weight double")
+    found = texts.select(F.xxhash64("text").alias("h"), "text").mapInArrow(rows, "h long, nth long, kind int, x array<double>, cue string, label int, weight double")
     found = materialize(found.dropDuplicates(["h", "nth"]), "spans")  # a text may be in many tasks
-    n = found.count()
-    if n > MAX_ROWS:
-        found = found.where(F.pmod(F.xxhash64("h", "kind", "x", "cue"), F.lit(1_000_000)) < int(970_000 * MAX_ROWS / n))
     fold = F.pmod("h", F.lit(8))  # 0 and 1 for cutoffs, 2 for words, the rest for trees
     lean = found.where(fold == 2)
     leans = lean.where("cue != ''").groupBy("kind", "cue").agg(F.avg("label").alias("m"), F.count_distinct("h").alias("n")).where(F.col("n") >= MIN_CUES)
     means = {r.kind: r.m for r in lean.groupBy("kind").agg(F.avg("label").alias("m")).collect()}
-    cues = {(r.kind, r.cue): r.m * r.n / (r.n + MIN_CUES) - means[r.kind] * r.n / (r.n + MIN_CUES) for r in leans.collect()}  # words of a bounded sample
+    cues = {(r.kind, r.cue): r.m * r.n / (r.n + MIN_CUES) - means[r.kind] * r.n / (r.n + MIN_CUES) for r in leans.collect()}  # words before numbers in MIN_CUES texts
 
     def with_cue(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -392,19 +382,29 @@ def fit(texts: DataFrame) -> Model | None:
 
     # Spans that look alike weigh as one row with a count, in a fixed order, so that a fit can be repeated.
     ready = found.mapInArrow(with_cue, "h long, kind int, x array<double>, label double, weight double")
-    known = ready.where(fold > 2).groupBy("x", "label").agg(F.sum("weight").alias("weight"))
-    known = materialize(known.repartition(4, "x").sortWithinPartitions("x", "label"), "train")
+    weight = F.round(F.sum("weight"), 6).alias("weight")  # whatever the order they are added in
+    known = ready.where(fold > 2).groupBy("x", "label").agg(weight)
+    known = materialize(known.repartition(4 + found.count() // PART, "x").sortWithinPartitions("x", "label"), "train")
     if known.select("label").distinct().count() < 2:
         return None
-    gbt = GBTClassifier(featuresCol="v", weightCol="weight", maxIter=TREES, maxDepth=DEPTH, maxBins=BINS, stepSize=STEP, minInstancesPerNode=LEAST, seed=11)
+    # Spark looks for thresholds among bins * bins rows; more bins than it needs make that all rows.
+    bins = max(BINS, math.isqrt(known.count()) + 1)
+    gbt = GBTClassifier(featuresCol="v", weightCol="weight", maxIter=TREES, maxDepth=DEPTH, maxBins=bins, stepSize=STEP, minInstancesPerNode=LEAST, seed=11)
     got = gbt.fit(known.withColumn("v", array_to_vector("x")))
     trees = Trees([t.toDebugString for t in got.trees], list(got.treeWeights))
-    rows_held = ready.where(fold < 2).toArrow()  # MAX_ROWS at most
-    margins = defaultdict(list)
-    x = np.array(rows_held["x"].to_pylist(), float).reshape(-1, FEATURES + 1)
-    for k, *row in zip(rows_held["kind"].to_pylist(), trees.margin(x), rows_held["label"].to_pylist(), rows_held["weight"].to_pylist(), strict=True):
-        margins[k].append(row)
-    cuts = [cutoff(*np.array(sorted(margins[k])).reshape(-1, 3).T) for k in range(len(KINDS))]
+
+    def margins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array(batch.column("x").to_pylist(), float).reshape(-1, FEATURES + 1)
+            yield pa.RecordBatch.from_arrays([batch.column("kind"), pa.array(trees.margin(x)), batch.column("label"), batch.column("weight")], ["kind", "margin", "label", "weight"])
+
+    # A row for each margin of the grid at most, whatever the spans are.
+    right = F.round(F.sum(F.col("label") * F.col("weight")), 6).alias("right")
+    held = ready.where(fold < 2).mapInArrow(margins, "kind int, margin double, label double, weight double").groupBy("kind", "margin").agg(right, weight).toPandas()
+    cuts = []
+    for k in range(len(KINDS)):
+        m, good, w = held[held["kind"] == k].sort_values("margin")[["margin", "right", "weight"]].to_numpy().T
+        cuts.append(cutoff(m, good / w, w))
     return Model(trees, cues, cuts)
 
 

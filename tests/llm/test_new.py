@@ -202,6 +202,27 @@ def test_learnt_spans(spark, private):
     assert again == got
 
 
+def test_all_texts_are_learnt_from(spark, private, monkeypatch):
+    """Every span of every text of the trees' folds, of which repeated texts count once, weighs in the
+    fit, and all rows are looked through for thresholds."""
+
+    class Seen(Exception):
+        pass
+
+    class Trees(pii.GBTClassifier):
+        def fit(self, df):
+            raise Seen(df.agg({"weight": "sum"}).first()[0], df.count(), self.getMaxBins())
+
+    monkeypatch.setattr(pii, "GBTClassifier", Trees)
+    for name, most in (("MAX_TEXTS", 300), ("MAX_ROWS", 2000)):
+        monkeypatch.setattr(pii, name, most, raising=False)
+    with pytest.raises(Seen) as seen:
+        pii.fit(private.unionByName(private.limit(50)).select("text"))
+    weight, n, bins = seen.value.args
+    mine = private.where("pmod(xxhash64(text), 8) > 2").collect()
+    assert weight == pytest.approx(sum(row[-1] for r in mine for row in pii.labelled(r.text))) and 0 < n <= bins * bins
+
+
 def test_cutoff():
     m, y = np.array([3.0] * 40 + [2.0] * 5 + [1.0] * 40), np.array([1] * 40 + [0] * 5 + [1] * 40)
     w = np.ones(85)
