@@ -26,11 +26,12 @@ import math
 import re
 import uuid
 from collections import Counter
-from collections.abc import Collection, Iterable, Iterator
+from collections.abc import Callable, Collection, Iterable, Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -267,7 +268,7 @@ class Reader:
     signs that are read as themselves have part of it."""
 
     def __init__(self, counts: np.ndarray, known: Collection[str] | None = None) -> None:
-        self.model, self.known, self.memo, self.tokens = CharModel(counts), known, {}, {}
+        self.model, self.known, self.memo, self.tokens, self.dull = CharModel(counts), known, {}, {}, set()
         self.whole = None if known is None else {skeleton(w) for w in known}
         self.parts = ahocorasick.Automaton() if self.whole else None
         for form in self.whole or ():
@@ -287,12 +288,13 @@ class Reader:
     def words(self, text: str) -> set[str]:
         text = text.lower()
         if spaced_out(text):
-            return set(self.wanted(restore(text, self.model, self.memo)))
+            return set(self.wanted(restore(text, self.model, self.memo, self.may_matter)))
         out: set[str] = set()
-        seen = self.tokens
-        if len(seen) > MAX_TOKENS:
-            seen.clear()
-        for t in set(text.split()):
+        seen, dull = self.tokens, self.dull  # dull: those without a wanted word
+        for held in (seen, dull):
+            if len(held) > MAX_TOKENS:
+                held.clear()
+        for t in set(text.split()) - dull:
             if (words := seen.get(t)) is None:
                 suspect, letters = _SUSPECT.search(t), t.isalpha()
                 if suspect and not self.may_matter(t, letters):
@@ -301,9 +303,12 @@ class Reader:
                     found = (respelled(t, self.model) if suspect else t,)
                 else:
                     found = set(restore(t, self.model, self.memo)) if suspect else _WORDS.findall(t)
-                words = seen[t] = self.wanted(found)
-            if words:
-                out.update(words)
+                words = self.wanted(found)
+                if words:
+                    seen[t] = words
+                else:
+                    dull.add(t)
+            out.update(words)
         return out
 
 
@@ -320,8 +325,9 @@ def reader(run: str, counts: Broadcast, known: Collection[str] | None = None) ->
     return _READERS[key]
 
 
-def restore(text: str, model: CharModel, memo: dict[str, str]) -> list[str]:
-    """The words of a text in order, deobfuscated."""
+def restore(text: str, model: CharModel, memo: dict[str, str], may_matter: Callable[[str, bool], bool] | None = None) -> list[str]:
+    """The words of a text in order, deobfuscated; without those of a word with its signs that
+    may_matter() says no to."""
     text = text.lower()
     out: list[str] = []
     for m in _STRETCH.finditer(text):
@@ -331,8 +337,8 @@ def restore(text: str, model: CharModel, memo: dict[str, str]) -> list[str]:
             continue
         if (found := memo.get(s)) is None:
             bare = s.strip()
-            readings = [respelled(bare, model) if bare.isalpha() else viterbi(lattice(bare), model)]
-            if bare and not bare[-1].isalnum():
+            readings = [] if may_matter and not m[1] and not may_matter(s, s.isalpha()) else [respelled(bare, model) if bare.isalpha() else viterbi(lattice(bare), model)]
+            if readings and bare and not bare[-1].isalnum():
                 readings.append(viterbi(lattice(bare, silent=False), model))
             found = " ".join(dict.fromkeys(readings))
             if len(s) <= SHORT:
@@ -431,11 +437,15 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     at = spark.sparkContext.broadcast({w: i for i, w in enumerate(words)})
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = at.value
         for batch in batches:
-            labels = batch.column("toxic").to_pylist()
-            found = [sorted(known[w] for w in ws if w in known) for ws in batch.column("words").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int32()), pa.array(found, pa.list_(pa.int32()))], ["toxic", "f"])
+            lists = batch.column("words")
+            flat = lists.flatten()
+            found = pc.index_in(flat, value_set=pa.array(list(at.value), flat.type)).fill_null(-1).to_numpy()
+            owner = pc.list_parent_indices(lists).to_numpy()[found >= 0]
+            found = found[found >= 0]
+            ends = np.r_[0, np.cumsum(np.bincount(owner, minlength=len(lists)))].astype(np.int32)
+            f = pa.ListArray.from_arrays(pa.array(ends), pa.array(found[np.lexsort((found, owner))], pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), f], ["toxic", "f"])
 
     weights = None
     if all_toxic + all_clean:

@@ -307,6 +307,17 @@ def test_exchange_finds_classes():
     assert pure >= 50
 
 
+def test_texts_with_spaced_out_words_search_no_more_than_may_matter(monkeypatch):
+    counts = toxicity.count_words(Counter({"idiot": 50, "letter": 50, "balloon": 50, "tree": 50}))
+    text = "i d i o t l3tt3r b4lloon !d1ot tr3e balloon"
+    met, plain = [], toxicity.lattice
+    monkeypatch.setattr(toxicity, "lattice", lambda s, *a, **k: (met.append(s), plain(s, *a, **k))[1])
+    want = toxicity.Reader(counts).words(text) & {"idiot"}
+    met.clear()
+    assert toxicity.Reader(counts, {"idiot"}).words(text) == want == {"idiot"}
+    assert set(met) == {"i d i o t", "!d1ot"}
+
+
 def test_exchange_ends_at_a_maximum():
     """It ends, and then no move of one item raises the likelihood, counted anew, by MIN_GAIN."""
 
