@@ -39,6 +39,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,6 +57,10 @@ DISCOUNT = 0.75
 PSEUDO = 0.1
 #: Distinct words that a task holds before it passes its counts on.
 MAX_HELD = 300_000
+#: Neighbours of rare words that a task holds before it passes them on.
+MAX_CONTEXTS = 2_000_000
+#: Bytes of texts, or of classes, whose tokens a task holds at once, unless one row has more.
+PART = 1 << 20
 #: Class code of a word that isn't known yet, or not at all.
 NONE = 255
 #: Classes 0 and 1.
@@ -195,10 +200,16 @@ def _flat(texts: list[str]) -> tuple[list[bytes], np.ndarray]:
     return flat, np.array(starts, np.int64)
 
 
-def _parts(whole: Iterator[pa.RecordBatch], size: int = 512) -> Iterator[pa.RecordBatch]:
+def _parts(whole: Iterator[pa.RecordBatch], col: str = "text") -> Iterator[pa.RecordBatch]:
+    """The rows in order, in slices of at most PART bytes of the column, or of one row. A token costs
+    many times its bytes, so that what is in hand is bounded by these and not by rows."""
     for batch in whole:
-        for at in range(0, batch.num_rows, size):
-            yield batch.slice(at, size)
+        ends = np.cumsum(pc.binary_length(batch.column(col)).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PART, "right")))
+            yield batch.slice(at, to - at)
+            at = to
 
 
 def vocabulary(train: DataFrame) -> DataFrame:
@@ -242,11 +253,10 @@ def item_bigrams(train: DataFrame, core: list[bytes]) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, sums = held.value, np.zeros(items * items, np.int64)
-        for batch in _parts(batches, 4096):
-            flat, starts = _flat(batch.column("text").to_pylist())
-            if len(starts):
-                at = np.fromiter(map(known.get, flat, repeat(k + 1)), np.int64, len(flat))
-                sums += np.bincount(np.r_[k, at[:-1]] * items + at, minlength=items * items)
+        for batch in _parts(batches):
+            flat, _ = _flat(batch.column("text").to_pylist())
+            at = np.fromiter(map(known.get, flat, repeat(k + 1)), np.int64, len(flat))
+            np.add.at(sums, np.r_[k, at[:-1]] * items + at, 1)
         code = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(sums[code])], ["code", "n"])
 
@@ -265,19 +275,25 @@ def rare_classes(train: DataFrame, core: list[bytes], of: np.ndarray, affinity:
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        def told() -> pa.RecordBatch:
+            code, n = np.unique(np.concatenate([np.zeros(0, np.int64), *codes]), return_counts=True)
+            h = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in names), np.uint64, len(names)).view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(h[code // classes**2]), pa.array((code % classes**2).astype(np.int32)), pa.array(n.astype(np.int32))], ["h", "ctx", "n"])
+
         known = held.value
-        for batch in _parts(batches, 4096):
-            flat, starts = _flat(batch.column("text").to_pylist())
-            if not len(starts):
-                continue
+        names: dict[bytes, int] = {}
+        codes: list[np.ndarray] = []
+        for batch in _parts(batches):
+            flat, _ = _flat(batch.column("text").to_pylist())
             cls = np.fromiter(map(known.get, flat, repeat(REST)), np.int64, len(flat))
             rare = np.flatnonzero(cls == REST)
-            names: dict[bytes, int] = {}
             which = np.fromiter((names.setdefault(flat[i], len(names)) for i in rare.tolist()), np.int64, len(rare))
             left, right = np.r_[END, cls[:-1]][rare], cls[np.minimum(rare + 1, len(cls) - 1)]  # an end follows
-            code, n = np.unique((which * classes + left) * classes + right, return_counts=True)
-            h = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in names), np.uint64, len(names)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(h[code // classes**2]), pa.array((code % classes**2).astype(np.int32)), pa.array(n.astype(np.int32))], ["h", "ctx", "n"])
+            codes.append((which * classes + left) * classes + right)
+            if len(names) > MAX_HELD or sum(map(len, codes)) > MAX_CONTEXTS:
+                yield told()
+                names, codes = {}, []
+        yield told()
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = (None, None, None)  # the word in hand, whose rows may go on in the next batch
@@ -328,8 +344,6 @@ def resolved(texts: DataFrame, lexicon: DataFrame, known: pa.Table, ends: int) -
         get, absent = cache["at"].get, len(words) + 1
         for batch in _parts(batches):
             flat, starts = _flat(batch.column("text").to_pylist())
-            if not len(starts):
-                continue
             at = np.fromiter(map(get, flat, repeat(absent)), np.int64, len(flat))
             codes = cache["cls"][at]
             n = np.diff(np.r_[starts, len(flat)])
@@ -411,10 +425,9 @@ def class_bigrams(rows: DataFrame, classes: int) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(classes * classes, np.int64)
-        for batch in batches:
+        for batch in _parts(batches, "classes"):
             cls = np.frombuffer(b"".join(batch.column("classes").to_pylist()), np.uint8).astype(np.int64)
-            if len(cls):
-                sums += np.bincount(np.r_[END, cls[:-1]] * classes + cls, minlength=classes * classes)
+            sums += np.bincount(np.r_[END, cls[:-1]] * classes + cls, minlength=classes * classes)
         code = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(sums[code])], ["code", "n"])
 
@@ -452,7 +465,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", core_
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         then = model.then.tolist()
-        for batch in _parts(batches, 2048):
+        for batch in _parts(batches, "classes"):
             n = batch.column("n_tokens").to_numpy()
             cls = np.frombuffer(b"".join(batch.column("classes").to_pylist()), np.uint8).astype(np.int64)
             unknown = np.flatnonzero(cls == NONE)
@@ -461,7 +474,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", core_
             before = np.r_[END, cls[:-1]]
             step = model.trans[before, cls] + model.emit[cls]
             step[unknown] = model.unknown[before[unknown]]
-            sums = np.add.reduceat(step, np.r_[0, np.cumsum(n)[:-1]]) if len(n) else np.zeros(0)
+            sums = np.add.reduceat(step, np.r_[0, np.cumsum(n)[:-1]])
             base = batch.column("base").to_numpy() - n * base_all
             names = ["doc_id", "held_out", "n_tokens", "n_known"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(base), pa.array(batch.column("own").to_numpy() + sums)], [*names, "base_score", "score"])

@@ -318,6 +318,44 @@ def test_texts_with_spaced_out_words_search_no_more_than_may_matter(monkeypatch)
     assert set(met) == {"i d i o t", "!d1ot"}
 
 
+def test_steps_hold_the_tokens_of_few_texts_at_once():
+    """Each step of the class model over one large batch, in this process: the memory of its tokens."""
+    import tracemalloc
+    import types
+
+    import pyarrow as pa
+
+    class Steps(Exception):
+        pass
+
+    class Frame:
+        sparkSession = types.SimpleNamespace(sparkContext=types.SimpleNamespace(broadcast=lambda x: types.SimpleNamespace(value=x)))
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, step, _):
+            raise Steps(step)
+
+    core = [f"w{i}".encode() for i in range(50)]
+    text = " ".join(f"w{i % 60}" for i in range(400))
+    texts = pa.record_batch({"text": [text] * 4000})
+    affinity = lm_scoring.Affinity.of(np.ones((8, 8)))
+    steps = {
+        "items": (lambda: lm_scoring.item_bigrams(Frame(), core), texts, 4000 * 401),
+        "contexts": (lambda: lm_scoring.rare_classes(Frame(), core, np.r_[np.arange(50) % 6 + 2, 0, 1], affinity), texts, 4000 * 60),
+        "bigrams": (lambda: lm_scoring.class_bigrams(Frame(), 8), pa.record_batch({"classes": [bytes([2] * 400 + [0])] * 4000}), 4000 * 401),
+    }
+    for name, (make, batch, tokens) in steps.items():
+        with pytest.raises(Steps) as got:
+            make()
+        tracemalloc.start()
+        n = sum(sum(out.column("n").to_pylist()) for out in got.value.args[0](iter([batch])))
+        held = tracemalloc.get_traced_memory()[1] / 1e6
+        tracemalloc.stop()
+        assert n == tokens and held < 32, (name, n, held)
+
+
 def test_exchange_ends_at_a_maximum():
     """It ends, and then no move of one item raises the likelihood, counted anew, by MIN_GAIN."""
 
