@@ -26,7 +26,9 @@ import math
 import re
 import uuid
 from collections import Counter
-from collections.abc import Callable, Collection, Iterable, Iterator
+from collections.abc import Callable, Collection, Iterable, Iterator, Sequence
+from functools import cache
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -37,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, text_or_empty
-from .lm_scoring import held_out
+from .lm_scoring import _parts, held_out
 
 #: Labelled rows that the classifier is fitted on, at most; more are sampled by hash of doc_id.
 MAX_LABELLED = 200_000
@@ -65,13 +67,18 @@ _ANY = re.compile(r"[^\W_]")
 #: Stretches to decode: letters spaced out or separated one by one (group 1), else a word with its signs.
 _STRETCH = re.compile(rf"((?<![^\W_])(?:[^\W_]|[{_SIGNS}])(?:[ .\-_*]{{1,2}}(?:[^\W_]|[{_SIGNS}])(?![^\W_])){{2,}})|[^\W_{_SIGNS}]*(?:[^\W_]|[{_SIGNS}])+")
 _SPLIT = re.compile(r"[ .\-_*]+")
+#: Words with their signs, where nothing is spaced out; of one, its signs by run and what is between.
+_PIECE = re.compile(rf"(?:[^\W_]|[{_SIGNS}])+")
+_SEGMENT = re.compile(rf"([{_SIGNS}])\1*|[^{_SIGNS}]+")
 MAX_MEMO = 50_000
 #: Spellings of a word up to which they are weighed one by one; more are searched.
 MAX_SPELLINGS = 32
 #: Characters of a stretch whose reading a task remembers.
 SHORT = 64
-#: Distinct tokens whose words a task keeps.
+#: Distinct words with their signs whose reading a task keeps.
 MAX_TOKENS = 200_000
+#: Segments of a word with signs up to which its parts are looked at one by one.
+MAX_SEGMENTS = 6
 
 
 def _slots(codes: np.ndarray, order: int) -> np.ndarray:
@@ -96,13 +103,18 @@ def _slot(gram: str) -> int:
 
 def count_words(words: Counter[str]) -> np.ndarray:
     """Sums of 1 to ORDER-grams over the words, each word between spaces."""
+    return count_grams(list(words), list(words.values()))
+
+
+def count_grams(words: Sequence[str], times: Sequence[int]) -> np.ndarray:
+    """The same of words that may repeat, each so many times."""
     out = np.zeros((ORDER, 1 << TABLE_BITS))
     if not words:
         return out
     lead = " " * (ORDER - 1)
-    codes = np.frombuffer("".join(f"{lead}{w} " for w in words).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    codes = np.frombuffer((lead + f" {lead}".join(words) + " ").encode("utf-32-le"), np.uint32).astype(np.uint64)
     size = np.fromiter(map(len, words), np.int64, len(words)) + ORDER
-    weights = np.repeat(np.fromiter(words.values(), np.float64, len(words)), size)
+    weights = np.repeat(np.fromiter(times, np.float64, len(words)), size)
     weights[((np.cumsum(size) - size)[:, None] + np.arange(ORDER - 1)).ravel()] = 0  # the spaces before each word
     weights = weights[ORDER - 1 :]
     for order in range(1, ORDER + 1):
@@ -227,28 +239,47 @@ def respelled(word: str, model: CharModel) -> str:
 _ALNUM, _SIGN = (np.array([f(chr(i)) for i in range(256)]) for f in (str.isalnum, LEET.__contains__))
 
 
-def spaced_out(text: str) -> bool:
-    """Whether the lower-cased text may hold a spaced-out stretch: a quick look at its characters.
-    Those beyond Latin-1 count as letters."""
-    c = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    c = np.minimum(c, 256).astype(np.uint16)
-    c[c == 256] = ord("ª")
-    word = _ALNUM[c]
-    alone = np.flatnonzero((word | _SIGN[c]) & ~np.r_[False, word[:-1]] & ~np.r_[word[1:], False])
+@cache
+def _alnum() -> np.ndarray:
+    """Whether each code point is a letter or a number."""
+    return np.fromiter((chr(i).isalnum() for i in range(0x110000)), bool, 0x110000)
+
+
+def spots(text: str) -> np.ndarray:
+    """Places of the lower-cased text where a spaced-out stretch may be: characters that stand alone
+    between two others. Every such stretch has one."""
+    try:
+        c = np.frombuffer(text.encode("latin-1"), np.uint8)
+        word, sign = _ALNUM[c], _SIGN[c]
+    except UnicodeEncodeError:
+        c = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        word, sign = _alnum()[c], _SIGN[np.minimum(c, 255)]  # 255 is no sign
+    at = word | sign
+    at[1:] &= ~word[:-1]
+    at[:-1] &= ~word[1:]
+    alone = np.flatnonzero(at)
     gap = np.diff(alone)
     near = (gap == 2) | (gap == 3)
-    return bool((near[1:] & near[:-1]).any())
+    return alone[1:-1][near[1:] & near[:-1]] if len(alone) > 2 else alone[:0]
 
 
-#: ASCII that isn't a letter, as spaces; other bytes as they are.
-_LETTERS_ONLY = bytes(b if b > 127 or chr(b).isalpha() else 32 for b in range(256))
+def spaced_out(text: str) -> tuple[str, list[str]]:
+    """The lower-cased text without the lines that may hold a spaced-out stretch, which crosses no
+    line, and those lines."""
+    rest, lines, at = [], [], 0
+    for i in spots(text).tolist():
+        if i >= at:
+            start = max(at, text.rfind("\n", at, i) + 1)
+            end = len(text) if (end := text.find("\n", i)) < 0 else end
+            rest.append(text[at:start])
+            lines.append(text[start:end])
+            at = end
+    return "".join(rest) + text[at:], lines
 
 
-def _words_of(tokens: Iterable[bytes]) -> Iterator[tuple[bytes, list[str]]]:
-    """Each token of a text whose ASCII is letters only, with the words in it."""
-    for t in tokens:
-        w = t.decode()
-        yield t, [w] if w.isalpha() else _WORDS.findall(w)
+#: ASCII that isn't a letter, and that is neither letter, number nor sign, as spaces; other bytes as they are.
+_LETTERS_ONLY = bytes(b if b > 127 or chr(b).isalpha() else 32 for b in range(256))
+_PIECES_ONLY = bytes(b if b > 127 or chr(b).isalnum() or chr(b) in LEET else 32 for b in range(256))
 
 
 def skeleton(word: str) -> str:
@@ -261,14 +292,30 @@ def skeleton(word: str) -> str:
 _CLASSES = {ord(c): {"l": "i"}.get(xs[0], xs[0]) for c, xs in LEET.items()} | {ord("l"): "i"}
 
 
+#: The same by code point; what may be no plain letter, beyond Latin-1 too.
+_CLASS_OF = np.array([ord(_CLASSES.get(i, chr(i))) for i in range(256)], np.uint32)
+_MIXED = np.array([not chr(i).isalpha() and i != 10 for i in range(256)] + [True])
+
+
+def skeletons(pieces: Sequence[bytes]) -> tuple[list[str], np.ndarray]:
+    """The skeleton of each of some pieces of texts, all in one; whether it isn't letters only, or may not be."""
+    if not pieces:
+        return [], np.zeros(0, bool)
+    c = np.frombuffer(b"\n".join(pieces).decode().encode("utf-32-le"), np.uint32)
+    mixed = np.logical_or.reduceat(_MIXED[np.minimum(c, 256)], np.r_[0, np.flatnonzero(c == 10) + 1])
+    form = np.where(c < 256, _CLASS_OF[np.minimum(c, 255)], c)
+    return form[np.r_[True, form[1:] != form[:-1]]].tobytes().decode("utf-32-le").split("\n"), mixed
+
+
 class Reader:
-    """Reads the words of texts, deobfuscated; of those, only the ones in known, if given. Tokens
-    are decoded once each; only spaced-out stretches reach beyond a token. With known words, a token
-    is searched only if it may become one: letters alone keep their skeleton, and words between
-    signs that are read as themselves have part of it."""
+    """Reads the words of texts, deobfuscated. Texts are cut into pieces, which are words with their
+    signs, and each piece is read once; only spaced-out stretches reach beyond a piece. With known
+    words, only those are read, and a piece is searched only if it may become one: letters alone
+    keep their skeleton, and a word in a piece with signs has the skeleton of some of its segments,
+    as only whole runs of a sign can be read as themselves."""
 
     def __init__(self, counts: np.ndarray, known: Collection[str] | None = None) -> None:
-        self.model, self.known, self.memo, self.tokens, self.dull = CharModel(counts), known, {}, {}, set()
+        self.model, self.known, self.memo, self.pieces, self.dull = CharModel(counts), known, {}, {}, set()
         self.whole = None if known is None else {skeleton(w) for w in known}
         self.parts = ahocorasick.Automaton() if self.whole else None
         for form in self.whole or ():
@@ -276,41 +323,56 @@ class Reader:
         if self.parts:
             self.parts.make_automaton()
 
-    def may_matter(self, token: str, letters: bool) -> bool:
+    def may_matter(self, piece: str, letters: bool) -> bool:
         if self.whole is None:
             return True
-        form = skeleton(token)
-        return form in self.whole if letters else self.parts is not None and any(True for _ in self.parts.iter(form))
+        if letters:
+            return skeleton(piece) in self.whole
+        segments = [m[0] for m in _SEGMENT.finditer(piece)]
+        if len(segments) > MAX_SEGMENTS or not all(x[0] in LEET or _WORDS.fullmatch(x) for x in segments):
+            return self.parts is not None and any(True for _ in self.parts.iter(skeleton(piece)))
+        return any(skeleton("".join(segments[i:j])) in self.whole for j in range(len(segments) + 1) for i in range(j))
 
     def wanted(self, words: Iterable[str]) -> tuple[str, ...]:
         return tuple(words if self.known is None else (w for w in words if w in self.known))
 
-    def words(self, text: str) -> set[str]:
-        text = text.lower()
-        if spaced_out(text):
-            return set(self.wanted(restore(text, self.model, self.memo, self.may_matter)))
-        out: set[str] = set()
-        seen, dull = self.tokens, self.dull  # dull: those without a wanted word
-        for held in (seen, dull):
+    def read(self, piece: str) -> tuple[str, ...]:
+        if not _SUSPECT.search(piece):
+            return self.wanted((piece,) if piece.isalpha() else _WORDS.findall(piece))
+        return self.wanted((respelled(piece, self.model),) if piece.isalpha() else set(restore(piece, self.model, self.memo, self.may_matter)))
+
+    def learn(self, new: Collection[bytes]) -> None:
+        """Reads pieces that weren't met before."""
+        if self.whole is not None:
+            pieces = list(new)
+            forms, mixed = skeletons(pieces)
+            new = {p for p, form, x in zip(pieces, forms, mixed.tolist(), strict=True) if x or form in self.whole}
+            self.dull.update(pieces)
+            self.dull -= new
+        for p in new:
+            if (words := self.read(p.decode())) or self.known is None:
+                self.pieces[p] = words
+            else:
+                self.dull.add(p)
+
+    def sets(self, texts: Iterable[str]) -> list[set[str]]:
+        """The words of each text."""
+        for held in (self.pieces, self.dull):  # dull: those without a wanted word
             if len(held) > MAX_TOKENS:
                 held.clear()
-        for t in set(text.split()) - dull:
-            if (words := seen.get(t)) is None:
-                suspect, letters = _SUSPECT.search(t), t.isalpha()
-                if suspect and not self.may_matter(t, letters):
-                    found = ()
-                elif letters:
-                    found = (respelled(t, self.model) if suspect else t,)
-                else:
-                    found = set(restore(t, self.model, self.memo)) if suspect else _WORDS.findall(t)
-                words = self.wanted(found)
-                if words:
-                    seen[t] = words
-                else:
-                    dull.add(t)
-            out.update(words)
+        out, met = [], []
+        for text in texts:
+            rest, lines = spaced_out(text.lower())
+            out.append({w for x in lines for w in self.wanted(restore(x, self.model, self.memo, self.may_matter))})
+            met.append(set(rest.encode().translate(_PIECES_ONLY).split()) - self.dull)
+        self.learn(set().union(*met) - self.pieces.keys())
+        for words, pieces in zip(out, met, strict=True):
+            words.update(chain.from_iterable(map(self.pieces.__getitem__, pieces - self.dull)))
         return out
 
+    def words(self, text: str) -> set[str]:
+        return self.sets([text])[0]
+
 
 _READERS: dict[tuple[str, bool], Reader] = {}
 
@@ -355,11 +417,12 @@ def character_counts(texts: DataFrame) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def told() -> np.ndarray:
-            words: Counter[str] = Counter()
-            for t, ws in _words_of(held):
-                for w in ws:
-                    words[w] += held[t]
-            return count_words(words)
+            words, times = [], []
+            for t, n in zip(b" ".join(held).decode().split(" "), held.values(), strict=True) if held else ():
+                found = (t,) if t.isalpha() else _WORDS.findall(t)
+                words += found
+                times += [n] * len(found)
+            return count_grams(words, times)
 
         held: Counter[bytes] = Counter()
         sums = np.zeros((ORDER, size))
@@ -420,10 +483,9 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def restored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = reader(run, model)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array([[*read.words(t)] for t in part.column("text").to_pylist()], pa.list_(pa.string()))], ["toxic", "words"])
+        for batch in _parts(batches):
+            words = read.sets(batch.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([[*x] for x in words], pa.list_(pa.string()))], ["toxic", "words"])
 
     # Read once: their words are counted, and then marked, from this table.
     held = materialize(held.mapInArrow(restored, "toxic int, words array<string>"), "restored")
@@ -455,13 +517,14 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         weights = regression(owner, lists.flatten().to_numpy(), (rows["toxic"].to_numpy() == 1).astype(float), len(words))
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = at.value
-        read = reader(run, model, known.keys())
-        for batch in batches:
-            out = []
-            for text in batch.column("text").to_pylist():
-                z = -np.inf if weights is None else weights[-1] + sum(weights[known[w]] for w in read.words(text))
-                out.append(1 / (1 + math.exp(-max(-700.0, min(700.0, z)))) if weights is not None else 0.0)
+        of = {} if weights is None else {w: float(weights[i]) for w, i in at.value.items()}
+        read = reader(run, model, at.value.keys())
+        for batch in _parts(batches):
+            if weights is None:
+                out = [0.0] * batch.num_rows
+            else:
+                sums = (math.fsum([weights[-1], *map(of.__getitem__, words)]) for words in read.sets(batch.column("text").to_pylist()))
+                out = [1 / (1 + math.exp(-max(-700.0, min(700.0, z)))) for z in sums]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.float64())], ["doc_id", "score"])
 
     kind = texts.schema["doc_id"].dataType.simpleString()

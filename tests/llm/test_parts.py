@@ -318,6 +318,35 @@ def test_texts_with_spaced_out_words_search_no_more_than_may_matter(monkeypatch)
     assert set(met) == {"i d i o t", "!d1ot"}
 
 
+def test_pieces_with_signs_are_searched_by_segments(monkeypatch):
+    counts = toxicity.count_words(Counter({"idiot": 50, "trash": 50, "loan": 50, "a": 90}))
+    text = "trash!! a loan$, assail!! and !d1ot!!"
+    met, plain = [], toxicity.lattice
+    monkeypatch.setattr(toxicity, "lattice", lambda s, *a, **k: (met.append(s), plain(s, *a, **k))[1])
+    want = toxicity.Reader(counts).words(text) & {"a", "idiot"}
+    met.clear()
+    assert toxicity.Reader(counts, {"a", "idiot"}).words(text) == want == {"a", "idiot"}
+    assert set(met) == {"!d1ot!!"}  # no other may become one of the two, though all hold an a
+
+
+def test_readers_agree_with_whole_texts():
+    """Pieces, lines that are spaced out and batches: the words are those of the whole text."""
+    rng = random.Random(12)
+    words = [data.prose(1, i) for i in range(40)] + ["straße", "élan", "жук", "a", "il"]
+    counts = toxicity.count_words(Counter({w: rng.randint(1, 30) for w in words}))
+
+    def token():
+        w = "".join(rng.choice([c, c, c, c * 2, rng.choice("!$@013+")]) for c in rng.choice(words))
+        return rng.choice([w, w, w.upper(), " ".join(w), ".".join(w), f"({w})", f"“{w}”", f"{w}!!", f"{w}-{w}", f"{w}_²", f"{w}…{w}\u0301"])
+
+    texts = ["".join(token() + rng.choice([" ", " ", ", ", "\n", ". ", "\u00a0", "\n\n"]) for _ in range(rng.randint(0, 25))) for _ in range(150)]
+    want = [set(toxicity.restore(t, toxicity.CharModel(counts), {})) for t in texts]
+    assert toxicity.Reader(counts).sets(texts) == want
+    some = set(rng.sample(words, 12)) | {"a"}
+    assert toxicity.Reader(counts, some).sets(texts) == [w & some for w in want]
+    assert [toxicity.Reader(counts, some).words(t) for t in texts[:30]] == [w & some for w in want[:30]]
+
+
 def test_steps_hold_the_tokens_of_few_texts_at_once():
     """Each step of the class model over one large batch, in this process: the memory of its tokens."""
     import tracemalloc
